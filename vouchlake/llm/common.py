@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; file sizes for a plain scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -43,6 +43,13 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def hash_sample(rows: DataFrame, total: int, n: int, *keys: str) -> DataFrame:
+    """n of about `total` rows, the first by hash of the keys. A filter on the hash leaves about 2n before the sort."""
+    h = F.xxhash64(*keys)
+    near = F.pmod(F.xxhash64(h), F.lit(2**30)) < min(2**30, -(-(2**31) * n // max(total, 1)))
+    return rows.where(near).orderBy(h, *keys).limit(n)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for reuse; emptied when it holds `most`, so memory stays bounded."""
 

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 DIMS = 4096
 LETTER = re.compile(r"[^\W\d_]")
 FAMILIES = {
@@ -114,8 +116,8 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def train(docs: DataFrame, may_learn: Column, per_language: int = 300, most_languages: int = 32, sample_bytes: int = 30_000) -> Model:
     """A model from text and lang of the rows that may_learn allows: at most per_language * most_languages texts of sample_bytes."""
     rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= sample_bytes)).select("doc_id", "lang", "text")
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    picked = [rows.where(F.col("lang") == a).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_language) for a in common]
+    common = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    picked = [hash_sample(rows.where(F.col("lang") == a), n, per_language, "doc_id", "text") for a, n in common.items()]
     if not picked:
         return fit([], [])
     sample = picked[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_duplicates, quality_rules, secrets, sharding, toxicity
+from . import chat_format, decontamination, language_id, lm_scoring, near_duplicates, packing, quality_rules, secrets, sharding, toxicity
 from .common import fold, table
 
 #: Window by window, by equality of joined words; the rows of documents are told apart by their number.
@@ -49,6 +49,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2, by_file=True)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, fold(F.col("doc_id"), 3) != 1)
@@ -56,6 +65,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "family")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"  # control strings inside texts must come back as they were
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.read_back(chat_format.windows(turns))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.references(docs))
@@ -76,5 +92,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_secret_scan, op5_language_id, op7_quality_rules, op8_sharding, op9_near_duplicates, op10_decontamination)
+    f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_packing, op4_lm_scoring, op5_language_id, op6_chat_format, op7_quality_rules, op8_sharding, op9_near_duplicates, op10_decontamination)
 }

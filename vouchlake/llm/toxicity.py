@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
 SCHEMA = "doc_id long, score double, worst_score double, worst_start long, worst_end long, toxic_sentences array<struct<start:long,end:long,score:double>>"
@@ -130,7 +132,8 @@ def fit(texts: list[str], labels: list[int], most_words: int = 4000, least_docs:
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_docs: int = 2500, sample_bytes: int = 60_000) -> Model:
     """A model from documents and labels(doc_id, toxic); may_learn: a predicate on doc_id. The sample is at most 2 * sample_docs texts of sample_bytes."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(may_learn)
-    parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for c in (0, 1)]
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    parts = [hash_sample(known.where(F.col("toxic") == c), n.get(c, 0), sample_docs, "doc_id") for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # bounded by 2 * sample_docs ids
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
     return fit(list(rows["text"]), [int(t) for t in rows["toxic"]])

@@ -35,7 +35,7 @@ CONTEXT = 4  # turns before a segment that it may repeat
 #: A control string's first character, tildes, and its rest.
 CONTROL = re.compile(r"([<\[])(~*)(?=/?s>|/?INST\]|/?SYS>>|/SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>)")
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
-SCHEMA = "conv_id long, segment long, window int, text string, loss array<struct<start:long,end:long>>, n_context int, n_new int"
+SCHEMA = "conv_id string, segment long, window int, text string, loss array<struct<start:long,end:long>>, n_context int, n_new int"
 
 
 def escaped(text: str) -> str:
@@ -73,7 +73,7 @@ def parsed(text: str) -> list[tuple[str, str]]:
 def _prepared(conversations: DataFrame) -> DataFrame:
     """Rows of every segment: its system turn (kind 0), the turns before it (1) and its own (2)."""
     c = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), c("role").alias("role"), c("text").alias("text"))
+    turns = conversations.select(F.col("conv_id").cast("long").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), c("role").alias("role"), c("text").alias("text"))
     turns = turns.withColumn("segment", F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT))
     own = turns.withColumn("kind", F.lit(2))
     before = turns.where(F.pmod("turn", F.lit(SEGMENT)) >= SEGMENT - CONTEXT).withColumn("segment", F.col("segment") + 1).withColumn("kind", F.lit(1))
@@ -108,7 +108,7 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, vo
             system, head, new = head or system, None, []
 
         for x in batches:
-            for conv, segment, kind, role, text in zip(x["conv_id"].astype("object").where(x["conv_id"].notna(), None), x["segment"], x["kind"], x["role"], x["text"], strict=True):
+            for conv, segment, kind, role, text in zip(x["conv_id"], x["segment"], x["kind"], x["role"], x["text"], strict=True):
                 if (conv, segment) != key:
                     if key:
                         close()
@@ -132,17 +132,18 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, vo
                 if role == "system" and len(new) == 1 and number == 0 and system is None and not past:
                     head = turn  # a conversation's own system turn: new in this window, repeated in the later ones
                 if len(out) >= 500:
-                    yield pd.DataFrame(out, columns=["conv_id", "segment", "window", "text", "loss", "n_context", "n_new"]).astype({"conv_id": "Int64"})
+                    yield pd.DataFrame(out, columns=["conv_id", "segment", "window", "text", "loss", "n_context", "n_new"])
                     out = []
         if key:
             close()
         if out:
-            yield pd.DataFrame(out, columns=["conv_id", "segment", "window", "text", "loss", "n_context", "n_new"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "segment", "window", "text", "loss", "n_context", "n_new"])
 
     rows = _prepared(conversations)
     parts = max(1, int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(parts, "conv_id", "segment").sortWithinPartitions("conv_id", "segment", "kind", "turn", "role", "text")
-    return dealt.select("conv_id", "segment", "kind", "role", "text").mapInPandas(run, SCHEMA)
+    # Ids travel as text: pandas would make floats of integers beside nulls.
+    return dealt.select("conv_id", "segment", "kind", "role", "text").mapInPandas(run, SCHEMA).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def read_back(of: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def read_back(of: DataFrame) -> DataFrame:
         out: list[tuple] = []
         done = lambda: out.append((key[0], n, all_turns.hexdigest(), turns, loss.hexdigest(), chars))
         for x in batches:
-            for conv, text, spans, context in zip(x["conv_id"].astype("object").where(x["conv_id"].notna(), None), x["text"], x["loss"], x["n_context"], strict=True):
+            for conv, text, spans, context in zip(x["conv_id"], x["text"], x["loss"], x["n_context"], strict=True):
                 if key != (conv,):
                     if key:
                         done()
@@ -171,8 +172,8 @@ def read_back(of: DataFrame) -> DataFrame:
                     loss.update(target.encode("utf-8", "replace"))
         if key:
             done()
-        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     parts = max(1, int(of.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = of.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "segment", "window")
-    return dealt.select("conv_id", "text", "loss", "n_context").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    dealt = of.withColumn("conv_id", F.col("conv_id").cast("string")).repartition(parts, "conv_id").sortWithinPartitions("conv_id", "segment", "window")
+    return dealt.select("conv_id", "text", "loss", "n_context").mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumn("conv_id", F.col("conv_id").cast("long"))

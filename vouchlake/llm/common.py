@@ -5,10 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +48,21 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def over_texts(docs: DataFrame, make: Callable[[], Callable[[str | None], tuple]], fields: str) -> DataFrame:
+    """doc_id and the fields that a function gives of each text, for every row. make() builds the function once a task."""
+    schema = T.StructType.fromDDL(f"doc_id long, {fields}")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            rows = [of(t) for t in b.column("text").to_pylist()]
+            made = zip(*rows, strict=True) if rows else [[]] * (len(arrow) - 1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(made, list(arrow)[1:], strict=True))], schema=arrow)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
 def hash_sample(rows: DataFrame, total: int, n: int, *keys: str) -> DataFrame:
     """n of about `total` rows, the first by hash of the keys. A filter on the hash leaves about 2n before the sort."""
     h = F.xxhash64(*keys)

@@ -17,15 +17,13 @@ sum, then to the first language in alphabetical order.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import hash_sample, over_texts
 
 DIMS = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -39,7 +37,7 @@ FAMILIES = {
     "semitic": ["ar", "he", "mt"],
 }
 FAMILY = {x: f for f, xs in FAMILIES.items() for x in xs}
-SCHEMA = "doc_id long, lang_pred string, score double, family string"
+FIELDS = "lang_pred string, score double, family string"
 
 
 def vector(text: str) -> np.ndarray:
@@ -131,9 +129,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and family of every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # (families + pairs) * DIMS floats; bounded by most_languages
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            got = [sent.value.predict(t) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "family": [g[2] for g in got]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return over_texts(docs, lambda: sent.value.predict, FIELDS)

@@ -84,7 +84,7 @@ def _with_blocks(docs: DataFrame, may_learn: Column, by_file: bool) -> tuple[Dat
         block = F.xxhash64(F.input_file_name(), F.pmod(part, F.lit(each)))
     else:
         block = F.pmod(part, F.lit(n))
-    return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", may_learn.alias("learn")), n
+    return docs.select(block.alias("block"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", may_learn.alias("learn")), n
 
 
 def score(docs: DataFrame, may_learn: Column, prior: float = PRIOR, by_file: bool = False) -> DataFrame:
@@ -178,4 +178,6 @@ def score(docs: DataFrame, may_learn: Column, prior: float = PRIOR, by_file: boo
         )
 
     back = totals.where("block is not null").select("block", "ord", "keys", "totals")
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(traverse, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # Ids travel as text: pandas would make floats of integers beside nulls.
+    scored = rows.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(traverse, "doc_id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .tokens import Encoder
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
+SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
 @dataclass(frozen=True)
@@ -104,10 +104,10 @@ class Packer:
     def __init__(self, costs: Costs, encoder: Encoder, first_id: int):
         self.costs, self.encoder, self.next_id = costs, encoder, first_id
         self.ends = encoder.ends_sentence()
-        self.docs: list[tuple[int | None, np.ndarray]] = []
+        self.docs: list[tuple[str | None, np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, doc_id: int | None, text: str | None) -> pd.DataFrame | None:
+    def add(self, doc_id: str | None, text: str | None) -> pd.DataFrame | None:
         ids = np.append(self.encoder.ids(text) if text else np.zeros(0, "<u4"), np.uint32(0)).astype("<u4")
         self.docs.append((doc_id, ids))
         self.waiting += len(ids)
@@ -130,7 +130,7 @@ class Packer:
         raw = memoryview(stream.tobytes())
         rows = pd.DataFrame(
             {
-                "doc_id": pd.array([self.docs[d][0] for d in doc], "Int64"),
+                "doc_id": [self.docs[d][0] for d in doc],
                 "start": starts - doc_starts[doc],
                 "length": ends - starts,
                 "ids_crc32": [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)],
@@ -151,10 +151,12 @@ def pack(docs: DataFrame, costs: Costs = Costs(), vocabulary: str | None = None,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(costs, Encoder(vocabulary, ranks), TaskContext.get().partitionId() << 32)
         for x in batches:
-            for doc_id, text in zip(x["doc_id"].astype("object").where(x["doc_id"].notna(), None), x["text"], strict=True):
+            for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
                 if (rows := packer.add(doc_id, text)) is not None:
                     yield rows
         if (rows := packer.pack()) is not None:
             yield rows
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    # Ids travel as text: pandas would make floats of integers beside nulls.
+    pieces = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))

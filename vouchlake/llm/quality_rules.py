@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import over_texts, written
+
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 CLASSES = 8
@@ -125,8 +127,6 @@ def references(docs: DataFrame, common: int = 150, most_languages: int = 64) ->
             yield flushed()
 
     counts = docs.select("lang", "text").where("lang is not null and text is not null").mapInPandas(run, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    from .common import written
-
     counts = written(counts, "quality_counts")
     langs = [r["lang"] for r in counts.where("kind = 'd'").orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
     if not langs:
@@ -149,18 +149,18 @@ def judge(docs: DataFrame, refs: References | None, rules: Rules = Rules()) -> D
     """The counts and the verdict of every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(refs)  # bounded by common and most_languages
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            rows = []
-            for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
-                text = text or ""
-                raw = text.encode("utf-8", "replace")
-                words = raw.split()
-                counts = base_counts(text, words)
-                failed = len(words) < 50 or 100 * counts[3] > 50 * len(words)
-                kept, near, c, w = rules.verdict(sent.value, raw, raw.lower().split()) if not failed else (False, None, 0.0, 0.0)
-                rows.append((doc_id, len(words), *counts, failed, kept, near, c, w))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "class_distance", "word_distance"])
-
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, nearest string, class_distance double, word_distance double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    def make():
+        refs = sent.value
+
+        def of(text: str | None) -> tuple:
+            text = text or ""
+            raw = text.encode("utf-8", "replace")
+            words = raw.split()
+            counts = base_counts(text, words)
+            failed = len(words) < 50 or 100 * counts[3] > 50 * len(words)
+            verdict = (False, None, 0.0, 0.0) if failed else rules.verdict(refs, raw, raw.lower().split())
+            return len(words), *counts, failed, *verdict
+
+        return of
+
+    return over_texts(docs, make, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, nearest string, class_distance double, word_distance double")

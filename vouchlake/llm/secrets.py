@@ -21,11 +21,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import over_texts
+
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -106,27 +108,28 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans of every row of docs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scanner = Scanner()
-        for x in batches:
-            rows = []
-            for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
-                base, every = scanner.spans(text)
-                n = [sum(k == kind for _, k, _ in every) for kind in range(4)]
-                rows.append((doc_id, *n[:3], hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), n[3]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+        def of(text: str | None) -> tuple:
+            base, every = scanner.spans(text)
+            n = [sum(k == kind for _, k, _ in every) for kind in range(4)]
+            return *n[:3], hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), n[3]
+
+        return of
+
+    return over_texts(docs, make, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets in text replaced, and n_chars to match; texts without a secret stay as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for x in batches:
-            yield x.assign(text=[t if t is None or not (s := scanner.spans(t)[1]) else redacted(t, s) for t in x["text"]])
+        for b in batches:
+            texts = [t if t is None or not (s := scanner.spans(t)[1]) else redacted(t, s) for t in b.column("text").to_pylist()]
+            at = b.schema.get_field_index("text")
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))

@@ -21,15 +21,15 @@ from dataclasses import dataclass
 from math import exp, expm1, log1p
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import hash_sample, over_texts
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
-SCHEMA = "doc_id long, score double, worst_score double, worst_start long, worst_end long, toxic_sentences array<struct<start:long,end:long,score:double>>"
+FIELDS = "score double, worst_score double, worst_start long, worst_end long, toxic_sentences array<struct<start:long,end:long,score:double>>"
 
 
 def words(sentence: str) -> list[str]:
@@ -143,19 +143,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, the worst sentence and the offending ones, for every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # bounded by fit's most_words
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(*sent.value)
-        for x in batches:
-            rows = [model.document(t) for t in x["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": x["doc_id"],
-                    "score": [r[0] for r in rows],
-                    "worst_score": [r[1] for r in rows],
-                    "worst_start": [r[2] for r in rows],
-                    "worst_end": [r[3] for r in rows],
-                    "toxic_sentences": [[{"start": a, "end": b, "score": p} for a, b, p in r[4]] for r in rows],
-                }
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    def make():
+        document = Model(*sent.value).document
+
+        def of(text: str | None) -> tuple:
+            score, worst, a, b, hits = document(text)
+            return score, worst, a, b, [{"start": a, "end": b, "score": p} for a, b, p in hits]
+
+        return of
+
+    return over_texts(docs, make, FIELDS)
+
+
+def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document = Model(*sent.value).document
+        for b in batches:
+            yield b.filter(pa.array([document(t)[0] < threshold for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -44,12 +44,13 @@ server host port path file http https www com org net json xml yaml true false n
 def function const let var int string bool list dict map array object request response header content type length default
 environment variable example placeholder changeme your_password_here your_api_key_here xxxxxxxxxxxxxxxx 0123456789abcdef
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ application/json authorization bearer database connection localhost
+src main java python com org app test lib build target service default local proxy http https port 8080 reset expires
 getElementById addEventListener toString hashCode equals implements extends override readonly undefined prototype constructor
 """ # identifiers and placeholders, the dictionary's content
 
 
 class Scanner:
-    def __init__(self, least_ratio: float = 0.62, names: str = NAMES):
+    def __init__(self, least_ratio: float = 0.95, names: str = NAMES):
         self.least_ratio = least_ratio
         primed = zstandard.ZstdCompressionDict(names.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)

@@ -8,10 +8,10 @@ left to right, the state being the last word; the log-probabilities met add up t
 
 The model grows with the corpus, so it is never gathered in one place. Documents lie in blocks of a few MB:
 
-1. Each task counts its documents' words and word pairs as 64-bit hashes and sends sorted arrays of hashes
-   and counts, cut by hash range: (range, block, hashes, counts).
+1. Each task counts its documents' words, then their pairs, as 64-bit hashes and sends sorted arrays of
+   hashes and counts, cut by hash range: (range, block, hashes, counts). Arrays travel as compressed differences.
 2. Each range adds its counts up over all blocks, and returns to a block only the totals that differ from
-   the block's own counts.
+   the block's own counts. The words' totals also give N and V.
 3. Each block meets its documents again, recounts, overrides its counts by the totals returned, and so
    holds exactly the states and arcs that its texts need. All counts are those of the whole corpus.
 
@@ -28,7 +28,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ END, START = np.uint64(0xE7D1), np.uint64(0x57A7)
 PRIME = np.uint64(0x100000001B3)
 PRIOR = 300.0
 BLOCK_BYTES = 8_000_000
-FLUSH_TOKENS = 1_500_000
+FLUSH_TOKENS = 3_000_000
 
 
 def tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +72,24 @@ def counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ranked[starts], sums.astype(np.int64), order, np.cumsum(first) - 1
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned 64-bit integers, byte plane by byte plane: the upper planes of small ones are all zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw), dtype=np.uint64)
+
+
 def _pairs(words: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mixed(before * PRIME + words)
 
@@ -84,100 +103,103 @@ def _with_blocks(docs: DataFrame, may_learn: Column, by_file: bool) -> tuple[Dat
         block = F.xxhash64(F.input_file_name(), F.pmod(part, F.lit(each)))
     else:
         block = F.pmod(part, F.lit(n))
-    return docs.select(block.alias("block"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", may_learn.alias("learn")), n
+    return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", may_learn.alias("learn")), n
 
 
-def score(docs: DataFrame, may_learn: Column, prior: float = PRIOR, by_file: bool = False) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
-    rows, n_blocks = _with_blocks(docs, may_learn, by_file)
+SENT = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+BACK = pa.schema([("block", pa.int64()), ("ord", pa.int32()), ("keys", pa.binary()), ("totals", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+OUT = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _totals(rows: DataFrame, order: int, n_blocks: int) -> DataFrame:
+    """For words (order 1) or pairs (2): to each block the totals that it cannot know; in rows without block, N and V of a range."""
     shift = np.uint64(64 - max(1, math.ceil(math.log2(2 * n_blocks + 1))))  # ranges of hashes: twice the blocks or more
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         waiting = 0
 
-        def sent() -> Iterator[pd.DataFrame]:
+        def sent() -> Iterator[pa.RecordBatch]:
             for block, parts in held.items():
-                words, before, learn = (np.concatenate(p) for p in zip(*parts, strict=True))
-                for order, keys in ((1, mixed(words)), (2, _pairs(words, before))):
-                    keys, sums, _, _ = counted(keys, learn)
-                    ranges = (keys >> shift).astype(np.int64)
-                    cut = np.nonzero(np.append(True, ranges[1:] != ranges[:-1]))[0]
-                    ends = np.append(cut[1:], len(keys))
-                    yield pd.DataFrame({"ord": order, "range": ranges[cut], "block": block, "keys": [keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], "counts": [sums[a:b].astype("<u4").tobytes() for a, b in zip(cut, ends, strict=True)]})
+                keys, sums, _, _ = counted(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+                ranges = (keys >> shift).astype(np.int64)
+                cut = np.nonzero(np.append(True, ranges[1:] != ranges[:-1]))[0]
+                parts = list(zip(cut, [*cut[1:], len(keys)], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(ranges[cut]), pa.array([block] * len(cut), pa.int64()), pa.array([_packed_keys(keys[a:b]) for a, b in parts], pa.binary()), pa.array([_packed(sums[a:b]) for a, b in parts], pa.binary())], schema=SENT)
             held.clear()
 
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                for block, x in batch.iloc[at : at + 1000].groupby("block"):
-                    words, sizes = tokens(list(x["text"]), hashes)
-                    held.setdefault(block, []).append((words, contexts(words, sizes), np.repeat(x["learn"].to_numpy(np.int64), sizes)))
-                    waiting += len(words)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                blocks, learn = part.column("block").to_numpy(), part.column("learn").to_numpy().astype(np.int64)
+                words, sizes = tokens(part.column("text").to_pylist(), hashes)
+                keys = mixed(words) if order == 1 else _pairs(words, contexts(words, sizes))
+                of, learn = np.repeat(blocks, sizes), np.repeat(learn, sizes)
+                for block in np.unique(blocks).tolist():
+                    own = of == block
+                    held.setdefault(block, []).append((keys[own], learn[own]))
+                waiting += len(words)
                 if waiting >= FLUSH_TOKENS:
                     yield from sent()
                     waiting = 0
         yield from sent()
 
-    def add_up(x: pd.DataFrame) -> pd.DataFrame:
-        own = {}
-        for block, parts in x.groupby("block"):
-            keys = np.concatenate([np.frombuffer(k, "<u8") for k in parts["keys"]])
-            sums = np.concatenate([np.frombuffer(c, "<u4") for c in parts["counts"]]).astype(np.int64)
-            own[block] = counted(keys, sums)[:2] if len(parts) > 1 else (keys, sums)
+    def add_up(x: pa.Table) -> pa.Table:
+        parts: dict[int, list] = {}
+        for block, k, c in zip(x.column("block").to_pylist(), x.column("keys").to_pylist(), x.column("counts").to_pylist(), strict=True):
+            parts.setdefault(block, []).append((_unpacked_keys(k), _unpacked(c).astype(np.int64)))
+        own = {b: p[0] if len(p) == 1 else counted(*(np.concatenate(y) for y in zip(*p, strict=True)))[:2] for b, p in parts.items()}
         keys, totals, _, _ = counted(np.concatenate([k for k, _ in own.values()]), np.concatenate([c for _, c in own.values()]))
-        out = [(None, int(x["ord"].iloc[0]), None, None, int(totals.sum()), int((totals > 0).sum()))]
+        out = [(None, order, None, None, int(totals.sum()), int((totals > 0).sum()))]
         for block, (k, c) in own.items():
             total = totals[np.searchsorted(keys, k)]
             other = total != c
             if other.any():
-                out.append((block, int(x["ord"].iloc[0]), k[other].tobytes(), total[other].astype("<u8").tobytes(), 0, 0))
-        got = pd.DataFrame(out, columns=["block", "ord", "keys", "totals", "n", "v"])
-        got["block"] = got["block"].astype("Int64")
-        return got
-
-    counts = rows.select("block", "text", F.col("learn").cast("int").alias("learn")).mapInPandas(count, "ord int, range long, block long, keys binary, counts binary")
-    totals = written(counts.groupBy("ord", "range").applyInPandas(add_up, "block long, ord int, keys binary, totals binary, n long, v long"), "lm_totals")
-    whole = totals.where("block is null and ord = 1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+                out.append((block, order, _packed_keys(k[other]), _packed(total[other]), 0, 0))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), BACK, strict=True)], schema=BACK)
+
+    counts = rows.select("block", "text", F.col("learn").cast("int").alias("learn")).mapInArrow(count, "range long, block long, keys binary, counts binary")
+    return counts.groupBy("range").applyInArrow(add_up, "block long, ord int, keys binary, totals binary, n long, v long")
+
+
+def score(docs: DataFrame, may_learn: Column, prior: float = PRIOR, by_file: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+    rows, n_blocks = _with_blocks(docs, may_learn, by_file)
+    of_words = written(_totals(rows, 1, n_blocks), "lm_words")
+    whole = of_words.where("block is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(whole["n"] or 0), int(whole["v"] or 0)
 
-    def traverse(x: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        words, sizes = tokens(list(x["text"]), WordHashes())
+    def traverse(x: pa.Table, arcs: pa.Table) -> pa.Table:
+        words, sizes = tokens(x.column("text").to_pylist(), WordHashes())
         if not len(words):
-            return pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
+            return OUT.empty_table()
         before = contexts(words, sizes)
-        learn = np.repeat(x["learn"].to_numpy(np.int64), sizes)
+        learn = np.repeat(x.column("learn").to_numpy().astype(np.int64), sizes)
 
         def totalled(order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Distinct keys of the block, their corpus counts, and the count at each token."""
             keys, own, back, place = counted(keys, learn)
-            for r in arcs[arcs["ord"] == order].itertuples():
-                own[np.searchsorted(keys, np.frombuffer(r.keys, "<u8"))] = np.frombuffer(r.totals, "<u8")
+            for o, k, t in zip(arcs.column("ord").to_pylist(), arcs.column("keys"), arcs.column("totals"), strict=True):
+                if o == order:
+                    own[np.searchsorted(keys, _unpacked_keys(k.as_py()))] = _unpacked(t.as_py())
             at = np.empty(len(back), np.int64)
             at[back] = own[place]
             return keys, own, at
 
         keys, own, c_word = totalled(1, mixed(words))
-        _, _, c_pair = totalled(2, _pairs(words, before))
+        c_pair = totalled(2, _pairs(words, before))[2]
         # A state's count is that of its word; the start's is that of the end, which closes every text.
+        firsts = np.cumsum(sizes) - sizes
         c_state = np.empty_like(c_word)
         c_state[1:] = c_word[:-1]
-        c_state[np.cumsum(sizes) - sizes] = own[np.searchsorted(keys, mixed(np.array([END]))[0])]
+        c_state[firsts] = own[np.searchsorted(keys, mixed(np.array([END]))[0])]
         root = (c_word + 1.0) / (n + v + 1.0)
         step = np.log10((c_pair + prior * root) / (c_state + prior))
-        firsts = np.cumsum(sizes) - sizes
-        return pd.DataFrame(
-            {
-                "doc_id": x["doc_id"].to_numpy(),
-                "n_tokens": sizes,
-                "n_known": np.add.reduceat((c_word > 0).astype(np.int64), firsts),
-                "train_tokens": n,
-                "base_score": np.add.reduceat(np.log10(root), firsts),
-                "score": np.add.reduceat(step, firsts),
-            }
-        )
-
-    back = totals.where("block is not null").select("block", "ord", "keys", "totals")
-    # Ids travel as text: pandas would make floats of integers beside nulls.
-    scored = rows.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(traverse, "doc_id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+        known = np.add.reduceat((c_word > 0).astype(np.int64), firsts)
+        columns = [x.column("doc_id").combine_chunks(), sizes, known, np.full(len(sizes), n), np.add.reduceat(np.log10(root), firsts), np.add.reduceat(step, firsts)]
+        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, OUT, strict=True)], schema=OUT)
+
+    back = of_words.unionByName(_totals(rows, 2, n_blocks)).where("block is not null").select("block", "ord", "keys", "totals")
+    dealt = rows.select("block", "doc_id", "text", F.col("learn").cast("int").alias("learn"))
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(traverse, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: All but ASCII that is no digit or letter. As a union of ranges: Java matches a negated class ten times as slowly.
+WORD = r"[a-z0-9\x80-\x{10FFFF}]+"
+WORD_ANY_CASE = r"[a-zA-Z0-9\x80-\x{10FFFF}]+"
 BROADCAST_ROWS = 200_000  # rows of a few hundred bytes at most: under 100 MB
 NO_ID = -(2**63)
 

@@ -70,6 +70,28 @@ def test_toxicity_awkward_rows(spark):
     assert kept.columns == documents(spark).columns and ids(kept)[None] == 3
 
 
+def test_toxicity_of_long_texts(spark):
+    rows, labels = toxic_rows(400, 1)
+    long = " ".join(r[1] for r in rows if r[0] % 5)  # a labelled text over 60,000 bytes is learned from
+    assert len(long) > 60_000
+    rows, labels = rows + [(1000, long + " you zorkling. " + long, "en", "s", 0, 0.0, [], 0, "")], labels + [(1000, 1, 1)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(spark, rows), table, F.lit(True))
+    clean = [r[1] for r in toxic_rows(400, 3)[0] if r[0] % 5 and model.document(r[1])[0] < 0.05]
+    for size in (200_000, 1_000_000, 5_000_000):
+        text = " ".join(clean * (size // sum(map(len, clean)) + 1))[:size]
+        assert model.document(text)[0] < 0.3, size
+        score, _, a, b, _ = model.document(text[: size // 2] + ". you vile scumbag. " + text[size // 2 :])
+        assert score >= 0.3, size
+    seen = []
+    kept, toxicity.fit = toxicity.fit, lambda texts, labels: seen.extend(texts) or kept(texts, labels)
+    try:
+        toxicity.train(documents(spark, rows), table, F.lit(True))
+    finally:
+        toxicity.fit = kept
+    assert rows[-1][1] in seen
+
+
 def test_noisy_or():
     m = toxicity.Model(-2.0, {"bad": 3.0})
     p = [1 / (1 + math.exp(2)), 1 / (1 + math.exp(-1))]

@@ -5,8 +5,15 @@ distinct words' weights), and the document's is their noisy-or, 1 - prod(1 - p).
 the likelihood of the noisy-or is maximised, so that the weights move to the sentences that explain the
 label, and the same model then points at the offending sentences.
 
-The weights are fitted on a bounded sample of the labelled documents (`sample_docs` per class, of at most
-`sample_bytes` each, by hash of the id). Scoring reads every whole text, one Arrow batch at a time.
+Clean sentences have a small probability each, and a long clean text has many of them. So a text of n
+sentences has a leak, the hazard -log(1 - p) that every sentence may have for nothing: the least q with which n
+clean sentences have an expected excess hazard of at most `allowed`. It is 0 for texts of ordinary length, and
+is learned from the clean texts of the sample that the weights clear. Only the hazard over the leak adds up.
+
+The weights are fitted on a bounded sample of the labelled documents (`sample_docs` per class by hash of the id,
+and `sample_bytes` per class), long ones among them: of a clean text a stretch of `stretch` characters is
+enough, since each part of a clean text is clean; toxic texts are taken whole where the bytes last, as the
+sentence that makes them toxic may be anywhere. Scoring reads every whole text, one Arrow batch at a time.
 
 Defined results: null or empty texts have no sentence, score 0 and no worst sentence; repeated rows get
 equal scores; with no labelled document of either class every score is 0; other columns are ignored.
@@ -18,7 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, expm1, log1p
+from math import exp, expm1, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +36,7 @@ from .common import hash_sample, over_texts
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
+CLEAR = -log1p(-0.3)  # a text of less hazard is taken as clean
 FIELDS = "score double, worst_score double, worst_start long, worst_end long, toxic_sentences array<struct<start:long,end:long,score:double>>"
 
 
@@ -64,6 +72,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 class Model:
     bias: float
     weights: dict[str, float]
+    leaks: tuple[float, ...] = ()  # of texts of 1, 2, 4, 8, ... sentences
 
     def __post_init__(self) -> None:
         self.by_word = WordWeights(self.weights)
@@ -72,12 +81,17 @@ class Model:
         z = self.bias + sum(map(self.by_word.__getitem__, set(text.lower().split())))  # a repeated word counts once
         return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, z))))
 
+    def leak(self, n: int) -> float:
+        return float(np.interp(log(n, 2), range(len(self.leaks)), self.leaks)) if n and self.leaks else 0.0
+
     def document(self, text: str | None, mark: float = 0.3) -> tuple[float, float, int, int, list]:
-        """Noisy-or of the sentences; the worst sentence; all at or above `mark`."""
+        """Noisy-or of the sentences' hazards over the leak; the worst sentence; all at or above `mark`."""
         none, worst, hits = 0.0, (0.0, 0, 0), []
-        for a, b in sentences(text or ""):
+        spans = sentences(text or "")
+        leak = self.leak(len(spans))
+        for a, b in spans:
             p = self.sentence(text[a:b])
-            none += log1p(-p)
+            none += min(0.0, log1p(-p) + leak)
             if p > worst[0]:
                 worst = (p, a, b)
             if p >= mark:
@@ -89,7 +103,8 @@ def fit(texts: list[str], labels: list[int], most_words: int = 4000, least_docs:
     """Weights by Adam on the likelihood of the noisy-or. Features of at least `least_docs` documents, the `most_words` that differ most between the classes."""
     if len(set(labels)) < 2:
         return Model(-30.0, {})
-    bags = [[sorted({f for w in words(t[a:b]) for f in features(w)}) for a, b in sentences(t)] for t in texts]
+    one: dict[str, str] = {}  # a feature is held once, however often it occurs
+    bags = [[sorted({one.setdefault(f, f) for w in words(t[a:b]) for f in features(w)}) for a, b in sentences(t)] for t in texts]
     by = (Counter(), Counter())
     for bag, y in zip(bags, labels, strict=True):
         by[y].update({w for s in bag for w in s})
@@ -126,22 +141,53 @@ def fit(texts: list[str], labels: list[int], most_words: int = 4000, least_docs:
         grad[:-1] += decay * x[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         x -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return Model(float(x[-1]), {w: float(x[i]) for w, i in used.items() if abs(x[i]) > 1e-3})
-
-
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_docs: int = 2500, sample_bytes: int = 60_000) -> Model:
-    """A model from documents and labels(doc_id, toxic); may_learn: a predicate on doc_id. The sample is at most 2 * sample_docs texts of sample_bytes."""
+    z = np.clip(x[-1] + np.bincount(sent, x[feature], n_sent), -30, 30)
+    hazard = np.log1p(np.exp(z))
+    cleared = (y == 0) & (np.bincount(doc, hazard, len(y)) < CLEAR)
+    return Model(float(x[-1]), {w: float(x[i]) for w, i in used.items() if abs(x[i]) > 1e-3}, leaks(hazard[cleared[doc]]))
+
+
+def leaks(clean: np.ndarray, allowed: float = 0.05, doublings: int = 25) -> tuple[float, ...]:
+    """For 1, 2, 4, ... sentences the least q where their expected hazard over q, by the hazards of clean sentences, is at most `allowed`."""
+    h = np.sort(clean)[::-1]
+    if not len(h):
+        return ()
+    upto = np.cumsum(h)
+    k = np.arange(1, len(h) + 1)
+    over = (upto - k * h) / len(h)  # the mean excess over h[k - 1], rising from 0
+    out = []
+    for d in range(doublings):
+        most = allowed / 2**d
+        i = int(np.searchsorted(over, most, "right"))  # h[i - 1] has at most that excess; between it and h[i] it is linear
+        out.append(max(0.0, float((upto[i - 1] - most * len(h)) / i)))
+    return tuple(out)
+
+
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_docs: int = 2500, sample_bytes: int = 10_000_000, stretch: int = 60_000) -> Model:
+    """A model from documents and labels(doc_id, toxic); may_learn: a predicate on doc_id. The sample is at most sample_docs texts and sample_bytes of each class."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(may_learn)
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     parts = [hash_sample(known.where(F.col("toxic") == c), n.get(c, 0), sample_docs, "doc_id") for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # bounded by 2 * sample_docs ids
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
-    return fit(list(rows["text"]), [int(t) for t in rows["toxic"]])
+    first = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - stretch + 1)).cast("int") + 1
+    cut = F.when(F.col("toxic") == 0, F.substring("text", first, F.lit(stretch))).otherwise(F.col("text"))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", cut.alias("text"))
+    sizes = rows.groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("size")).select("doc_id", "toxic", "size", F.xxhash64("doc_id").alias("h")).collect()
+    left, picked = {0: sample_bytes, 1: sample_bytes}, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["size"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["size"]
+            picked.append((r["doc_id"],))
+    if not picked:
+        return fit([], [])
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long")
+    got = rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    return fit(list(got["text"]), [int(t) for t in got["toxic"]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, the worst sentence and the offending ones, for every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # bounded by fit's most_words
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.leaks))  # bounded by fit's most_words
 
     def make():
         document = Model(*sent.value).document
@@ -157,7 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.leaks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         document = Model(*sent.value).document

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -133,6 +134,29 @@ def test_secret_novelty_and_awkward_rows(spark):
     assert got[1]["text"] == "my [SECRET] ok" and got[1]["n_chars"] == 14 and got[2]["text"] is None
 
 
+def test_secret_recall_by_alphabet():
+    r = random.Random(3)
+    before = "def connect(user, host):\n    client = Client(host, port=8080)\n    config.load('settings.json')\n    "
+    lower, base62 = "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    made = {(a, n): ["".join(r.choice(a) for _ in range(n)) for _ in range(60)] for a in (lower, base62) for n in (20, 40, 64)}
+    made["uuid", 36] = [str(uuid.UUID(int=r.getrandbits(128), version=4)) for _ in range(60)]
+    scanner = secrets.Scanner()
+    for kind, values in made.items():
+        found = 0
+        for v in values:
+            text = f'{before}JWT_SECRET_KEY = "{v}"\n    return client.get(user)\n'
+            found += any((text[a:b], k) == (v, 3) for a, k, b in scanner.spans(text)[1])
+        assert found >= 0.85 * len(values), kind
+
+
+def test_every_secret_candidate_within_reach_is_measured():
+    scanner, key = secrets.Scanner(), "q8x1z7k3p0w9v5m2t6r4"
+    novel = lambda text: [text[a:b] for a, k, b in scanner.spans(text)[1] if k == 3]
+    for text in (f"see SECRET_KEY={key} there", f"jwt_secret_value: {key}", f"MY_CREDENTIALS -> {key}", "signature" + " " * 44 + key):
+        assert novel(text) == [key], text
+    assert key in novel(f"auth config_settings_value_1 {key}")  # a harmless one before it
+
+
 # 3 ------------------------------------------------------------------- packing
 
 

@@ -3,11 +3,13 @@
 Patterns: assignments to a sensitive name, access key ids and long hexadecimal runs, each leftmost and
 non-overlapping, kept where long enough. These are always reported.
 
-Novelty: other long tokens that stand shortly after a sensitive word are candidates. A candidate's novelty
-is the bytes it adds to a zstandard frame, `size(context + candidate) - size(context)`, where the compressor
-is primed with a dictionary of identifiers and the context is the text around the candidate. Names, paths and
-words that the dictionary or the surroundings explain add little; a random credential adds nearly its
-entropy. Candidates of `least_ratio` or more added bytes a character are reported as kind `novel`.
+Novelty: other long tokens that begin shortly after a sensitive word, which may stand inside a name, are
+candidates; `name=value` is two of them. The bytes that a candidate adds to a zstandard frame are
+`size(context + candidate) - size(context)`, where the compressor is primed with a dictionary of identifiers and
+the context is the text around the candidate. Names, paths and words that the dictionary or the surroundings
+explain add little; a random credential adds as much as any random string of its alphabet (digits, hexadecimal
+digits, small letters, capitals, the signs it has) in its place. A candidate's novelty is its bytes over those of
+such strings, measured in the same context; at `least_ratio` or more it is reported as kind `novel`.
 
 Work is linear in the text: a candidate costs one bounded context. Texts are read whole, one Arrow batch at a time.
 
@@ -17,8 +19,10 @@ points, ends exclusive; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +36,10 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[-_ ]?key|access[-_ ]?key|private[-_ ]?key|credential|auth(?:orization)?|bearer|signature|client[-_ ]id)\b", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
+SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[-_ ]?key|access[-_ ]?key|private[-_ ]?key|credential|auth(?:orization)?|bearer|signature|client[-_ ]id)", re.IGNORECASE | re.ASCII)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]+")
+PIECE = re.compile(r"[^=]+(?:=+$)?")  # of a candidate: what stands between equals signs, with the padding at the end
+LONG = 16
 #: A text without any of these has no sensitive word; `HEX_BYTES` maps hexadecimal digits to h, so that a long run is found as a substring.
 HINTS = (b"pass", b"pwd", b"secret", b"token", b"api", b"access", b"private", b"credential", b"auth", b"bearer", b"signature", b"client")
 HEX_BYTES = bytes(ord("h") if chr(i) in "0123456789abcdef" else 32 for i in range(256))
@@ -45,21 +51,40 @@ def function const let var int string bool list dict map array object request re
 environment variable example placeholder changeme your_password_here your_api_key_here xxxxxxxxxxxxxxxx 0123456789abcdef
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ application/json authorization bearer database connection localhost
 src main java python com org app test lib build target service default local proxy http https port 8080 reset expires
+config_settings_value_0 application_settings user_session_timeout_seconds access_token_expires_at refresh_token_url client_id
+https_proxy_server_port http_server_host_name x86_64-unknown-linux-gnu aarch64-apple-darwin release-1.0.0-rc1-linux-x86_64
+my-blog-post-about-security-2024 docs/v1/reference/authentication-guide sha256_digest_of_the_payload utf8_string_to_base64_encoder
+oauth2.client oauth2.provider getUserTokenFromHttpRequest AbstractAuthenticationFilter EC2InstanceProfileRoleName 2024-01-01T00:00:00.000Z
 getElementById addEventListener toString hashCode equals implements extends override readonly undefined prototype constructor
 """ # identifiers and placeholders, the dictionary's content
 
 
+def alike(candidate: str, n: int = 4) -> list[str]:
+    """Random strings of the candidate's alphabet and length, its signs in their places; the same ones each time."""
+    kept = set(candidate)
+    if kept & set(string.digits) and not kept & set(string.ascii_letters) - set("abcdef") or not kept & set(string.ascii_letters) - set("ABCDEF"):
+        letters = "0123456789" + ("abcdef" if kept & set("abcdef") else "ABCDEF")
+    else:
+        letters = "".join(x for x in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if kept & set(x))
+    out = []
+    for k in range(n):
+        raw = hashlib.shake_128(f"{k}{candidate}".encode()).digest(2 * len(candidate))
+        out.append("".join(letters[int.from_bytes(raw[2 * i : 2 * i + 2], "big") % len(letters)] if c.isalnum() else c for i, c in enumerate(candidate)))
+    return out
+
+
 class Scanner:
-    def __init__(self, least_ratio: float = 0.95, names: str = NAMES):
+    def __init__(self, least_ratio: float = 0.8, names: str = NAMES):
         self.least_ratio = least_ratio
         primed = zstandard.ZstdCompressionDict(names.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
 
     def novelty(self, before: str, candidate: str, after: str) -> float:
-        """Marginal compressed bytes of the candidate among its surroundings, a character."""
+        """Marginal compressed bytes of the candidate among its surroundings, over those of random strings like it."""
         around = f"{before}\n{after}\n".encode("utf-8", "replace")
-        both = self.compressor.compress(around + candidate.encode("utf-8", "replace"))
-        return (len(both) - len(self.compressor.compress(around))) / len(candidate)
+        alone = len(self.compressor.compress(around))
+        own, *others = (len(self.compressor.compress(around + c.encode())) - alone for c in (candidate, *alike(candidate)))
+        return own * len(others) / max(1, sum(others))
 
     def base(self, text: str, hinted: bool = True, hexes: bool = True) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the patterns' spans."""
@@ -78,17 +103,31 @@ class Scanner:
         if not hinted:
             return base, base
         novel: list[tuple[int, int, int]] = []
+        starts = [a for a, _, _ in base]
+        reach: list[int] = []  # the furthest end of the patterns' spans up to each
+        for _, _, end in base:
+            reach.append(max(end, reach[-1]) if reach else end)
         done = 0
         for word in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH)):
-                # The candidate may run past the reach; its whole run counts, and is looked at once.
-                m = CANDIDATE.match(text, m.start())
-                done = m.end()
-                if any(a < m.end() and m.start() < b for a, _, b in base) or not (re.search(r"\d", m.group()) and re.search(r"[A-Za-z]", m.group())):
-                    continue
-                if self.novelty(text[max(0, m.start() - AROUND) : m.start()], m.group(), text[m.end() : m.end() + AROUND]) >= self.least_ratio:
-                    novel.append((m.start(), 3, m.end()))
-                break
+            # A run may go past the reach; its pieces that begin within count whole, and each is looked at once.
+            at, last = max(done, word.end()), word.end() + REACH
+            while (run := CANDIDATE.search(text, at)) and run.start() < last:
+                at = run.end()
+                for m in PIECE.finditer(text, run.start(), run.end()):
+                    if m.start() >= last:
+                        at = m.start()
+                        break
+                    a, b = m.span()
+                    done = b
+                    if b - a < LONG or not (re.search(r"\d", m.group()) and re.search(r"[A-Za-z]", m.group())):
+                        continue
+                    k = bisect.bisect_right(starts, a)
+                    if k and reach[k - 1] >= b:  # within what the patterns report
+                        continue
+                    if self.novelty(text[max(0, a - AROUND) : a], m.group(), text[b : b + AROUND]) >= self.least_ratio:
+                        novel.append((a, 3, b))
+                if at < run.end():
+                    break
         return base, sorted(base + novel)
 
 

@@ -451,6 +451,30 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and all(got[i] == 100 for i in (101, 102, 103))
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    """A family on one template at 0.78, with pairs of it at 0.82."""
+    r = random.Random(9)
+    template = [f"t{i}" for i in range(92)]  # 88 shingles
+    fresh = lambda n: [f"f{r.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for k in range(300):
+        texts.append(template + fresh(12) if k % 10 else template + (own := fresh(2)) + fresh(10))
+        if k % 10 == 0:
+            texts.append(template + own + fresh(10))
+    assert near_duplicates.SMALL_BUCKET < len(texts)
+    rows = [(i, " ".join(w), None, None, 0, 0.0, [], 0, "") for i, w in enumerate(texts)]
+    bags = [near_duplicates.shingles(x[1], WordHashes()) for x in rows]
+    least = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if near_duplicates.similarity(bags[a], bags[b]) >= 0.8:
+                least[a] = least[b]
+                break
+    assert len(rows) - len(set(least)) == 30
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates.near_duplicates(documents(spark, rows)).collect()}
+    assert got == dict(enumerate(least))
+
+
 # 10 -------------------------------------------------------------- decontamination
 
 

@@ -12,9 +12,10 @@ to a centre, never all pairs: the member that meets most others in all its bucke
 copies is the text that the others came from. Links are verified on the exact multisets of the whole texts,
 and groups are the connected components of the verified links. Buckets that hold members of several groups
 take their next centre and link across groups again, until a round finds no link; from the second round on,
-small buckets compare all their members of different groups. A pair of similarity 0.8 shares no band with
-probability (1 - 0.8**rows)**bands, 5e-6. Beyond that, a link is lost only between two members of a large
-bucket whose groups no centre joined, and where a whole round of centres joined no groups at all.
+small buckets compare all their members of different groups. Large buckets that still hold several groups are
+then compared in full, tile by tile: a tile is two stretches of a bucket's members, bounded by number and bytes,
+and tiles of one group are left out. So a link is lost only where a pair shares no band; at similarity 0.8 that has
+the probability (1 - 0.8**rows)**bands, 5e-6. Full comparison costs the square of such a bucket's members.
 
 Equal texts are one node, found by their digest, whatever their number. Centres with many members are salted.
 All tables that a later step reads are written to the shared folder; nothing is collected.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mixed, written
@@ -39,6 +40,8 @@ WIDTH = 5
 BANDS, ROWS = 40, 6
 GOLD = 0x9E3779B97F4A7C15
 SMALL_BUCKET = 24
+TILE_ROWS, TILE_BYTES = 256, 4_000_000
+TILE_COLUMNS = 4096
 SALT_ROWS = 400
 BROADCAST_ROWS = 100_000
 
@@ -161,6 +164,59 @@ def _verified(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return paired.select("node", "centre", "member", "text").mapInPandas(run, "node long, centre long")
 
 
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """rows x columns: the size of the common multiset of each two bags."""
+    n = np.array([len(x) for x, _ in bags])
+    of, x, c = np.repeat(np.arange(len(bags)), n), np.concatenate([x for x, _ in bags]), np.concatenate([c for _, c in bags])
+    # A shingle's k-th occurrence is an element of its own: then common elements are counted.
+    of, x = np.repeat(of, c), np.repeat(x, c)
+    kth = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+    _, column, shared = np.unique(mixed(x + mixed(kth.astype(np.uint64))), return_inverse=True, return_counts=True)
+    place = np.cumsum(shared > 1) - 1
+    of, column = of[shared[column] > 1], place[column[shared[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((len(rows), len(columns)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, TILE_COLUMNS):
+        a, b = np.searchsorted(column, [at, at + TILE_COLUMNS])
+        has = np.zeros((len(bags), TILE_COLUMNS), np.float32)
+        has[of[a:b], column[a:b] - at] = 1
+        both += has[rows] @ has[columns].T
+    return both
+
+
+def _in_full(here: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
+    """The verified links (node, centre) between all members of different labels in the large buckets of here; None where there is none."""
+    big = here.where(F.col("members") > SMALL_BUCKET).select("bucket", "node", "label")
+    if big.isEmpty():
+        return None
+    sizes = texts.select("node", F.octet_length("text").alias("size"))
+    share = F.greatest(F.col("size") / TILE_BYTES, F.lit(1.0 / TILE_ROWS))
+    stretch = F.floor(F.sum(share).over(Window.partitionBy("bucket").orderBy("label", "node"))).cast("int")
+    cut = written(big.join(sizes, "node").select("bucket", "node", "label", stretch.alias("stretch")), "neardup_stretches")
+    ends = cut.groupBy("bucket", "stretch").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    left = ends.select("bucket", F.col("stretch").alias("i"), F.col("low").alias("a"), F.col("high").alias("b"))
+    right = ends.select("bucket", F.col("stretch").alias("j"), F.col("low").alias("c"), F.col("high").alias("d"))
+    tiles = written(left.join(right, "bucket").where("i <= j and least(a, c) < greatest(b, d)").select("bucket", "i", "j"), "neardup_tiles")
+    one = tiles.join(cut.withColumnRenamed("stretch", "i"), ["bucket", "i"]).select("bucket", "i", "j", "node", "label", F.lit(0).alias("side"))
+    two = tiles.where("i < j").join(cut.withColumnRenamed("stretch", "j"), ["bucket", "j"]).select("bucket", "i", "j", "node", "label", F.lit(1).alias("side"))
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        hashes = WordHashes()
+        bags = [shingles(t, hashes) for t in x["text"]]
+        side, label, node = x["side"].to_numpy(), x["label"].to_numpy(), x["node"].to_numpy()
+        rows = np.nonzero(side == 0)[0]
+        columns = np.nonzero(side == 1)[0] if side.any() else rows
+        size = np.array([int(c.sum()) for _, c in bags], float)
+        both = overlaps(bags, rows, columns)
+        every = size[rows][:, None] + size[columns][None, :] - both
+        r, c = np.nonzero((both >= least * every * (1 - 1e-9)) & (label[rows][:, None] != label[columns][None, :]))
+        pairs = [(node[a], node[b]) for a, b in zip(rows[r], columns[c], strict=True) if similarity(bags[a], bags[b]) >= least]
+        return pd.DataFrame(pairs, columns=["node", "centre"])
+
+    return one.unionByName(two).join(texts, "node").groupBy("bucket", "i", "j").applyInPandas(run, "node long, centre long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, least: the least node of each connected component of links(node, centre). Large-star and small-star steps, written each round."""
     edges = written(links.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).where("a != b").distinct(), "neardup_edges")
@@ -206,11 +262,17 @@ def _linked(nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         links = links.where("node != centre").join(side, "centre").where("label != other").select("node", "centre").distinct()
         links = written(links if tested is None else links.join(tested, ["node", "centre"], "left_anti"), "neardup_links")
         found = written(_verified(links, texts, least), "neardup_verified")
-        if used is not None and found.isEmpty():
-            return labels
+        last = used is not None and found.isEmpty()
+        if last:  # what is left of the large buckets is compared in full
+            full = _in_full(here, texts, least)
+            if full is None:
+                return labels
+            found = written(full, "neardup_full")
         as_labels = found.join(labels, "node").join(side, "centre").select(F.col("label").alias("node"), F.col("other").alias("centre"))
         merged = components(as_labels).select(F.col("node").alias("label"), "least")
         labels = written(labels.join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "neardup_labels")
+        if last:
+            return labels
         again = centres.select("bucket", F.col("centre").alias("node"))
         used = again if used is None else used.unionByName(again)
         tested = links if tested is None else tested.unionByName(links)

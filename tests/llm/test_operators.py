@@ -259,6 +259,22 @@ def test_lm_scores_match_brute_force(spark):
     assert lm_scoring.score(documents(spark, []), F.lit(True)).count() == 0
 
 
+def test_lm_blocks_are_bounded_in_uneven_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 20_000)
+    path = str(tmp_path / "uneven")
+    same = (1, prose(30, 1), None, None, 0, 0.0, [], 0, "")  # one id and one text, again and again
+    documents(spark, [same] * 1500).coalesce(1).write.parquet(path)
+    for k in range(5):
+        documents(spark, [(k, "a small file", None, None, 0, 0.0, [], 0, "")]).coalesce(1).write.mode("append").parquet(path)
+    for by_file in (True, False):
+        rows, n = lm_scoring._with_blocks(spark.read.parquet(path), F.lit(True), by_file)
+        sizes = [x["n"] for x in rows.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+        assert sum(sizes) == 1500 * len(same[1]) + 5 * 12 and max(sizes) < 60_000 and len(sizes) <= n
+    got = lm_scoring.score(spark.read.parquet(path), F.lit(True), by_file=True).collect()
+    other = lm_scoring.score(spark.read.parquet(path), F.lit(True)).collect()
+    assert len(got) == 1505 and Counter(map(repr, got)) == Counter(map(repr, other))
+
+
 # 5 ----------------------------------------------------------------- language id
 
 SAMPLES = {"en": "the of and that with this from have", "de": "der die und nicht eine schön über auch", "es": "el que los para una mañana está", "fr": "les que dans pour une été où très", "zz": "qwx zxq xqz wqx zzq"}

@@ -33,12 +33,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, size_in_bytes, written
+from .common import WordHashes, mixed, written
 
 END, START = np.uint64(0xE7D1), np.uint64(0x57A7)
 PRIME = np.uint64(0x100000001B3)
 PRIOR = 300.0
 BLOCK_BYTES = 8_000_000
+ROW_BYTES = 16  # of a row beside its text
+BROADCAST_FILES = 50_000
 FLUSH_TOKENS = 3_000_000
 
 
@@ -95,15 +97,19 @@ def _pairs(words: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def _with_blocks(docs: DataFrame, may_learn: Column, by_file: bool) -> tuple[DataFrame, int]:
-    """block, doc_id, text, learn; and the number of blocks. by_file: docs is a plain scan, whose files stay whole."""
-    n = max(1, -(-size_in_bytes(docs.select("doc_id", "text")) // BLOCK_BYTES))
-    part = F.xxhash64(F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    """block, doc_id, text, learn; and the number of blocks. by_file: docs is a plain scan; other rows are written first, so that each has a place in a file."""
+    rows = docs.select("doc_id", "text", may_learn.alias("learn"))
     if by_file:
-        each = max(1, -(-n // max(1, len(docs.inputFiles()))))
-        block = F.xxhash64(F.input_file_name(), F.pmod(part, F.lit(each)))
+        rows = docs.select("doc_id", "text", may_learn.alias("learn"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     else:
-        block = F.pmod(part, F.lit(n))
-    return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", may_learn.alias("learn")), n
+        rows = written(rows, "lm_rows").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    # A file's rows go to slices by their place in it, as many as its own bytes of text ask for.
+    sizes = rows.groupBy("file").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).alias("size"))
+    files = written(sizes.select("file", F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_BYTES)).alias("slices")), "lm_files")
+    n = files.agg(F.count(F.lit(1)).alias("files"), F.sum("slices").alias("n")).first()
+    slices = F.broadcast(files) if n["files"] <= BROADCAST_FILES else files
+    block = F.xxhash64("file", F.pmod(F.xxhash64("at"), F.col("slices")))
+    return rows.join(slices, "file").select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", "learn"), max(1, int(n["n"] or 0))
 
 
 SENT = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])

@@ -230,9 +230,10 @@ WITH v AS (SELECT l_orderkey, CAST(l_extendedprice AS decimal(18,2)) AS x FROM l
 t AS (SELECT o_orderkey, CAST(o_totalprice AS decimal(18,2)) / 4 AS target FROM orders)
 SELECT o_orderkey, CAST(min(struct_pack(gap := abs(x - CAST(target AS decimal(18,2))), x := x)).x AS double) AS nearest FROM t JOIN v ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def closest_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = tab(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_extendedprice").cast(MONEY))).alias("v"))
+    v = tab(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast(MONEY).alias("x"))
     t = tab(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice").cast(MONEY) / 4).cast(MONEY).alias("target"))
-    return t.join(v, t.o_orderkey == v.l_orderkey).select("o_orderkey", A.closest(F.col("v"), F.col("target")).cast("double").alias("nearest"))
+    near = t.join(v, t.o_orderkey == v.l_orderkey).groupBy("o_orderkey").agg(F.min(F.struct(F.abs(F.col("x") - F.col("target")).alias("gap"), "x")).alias("near"))
+    return near.select("o_orderkey", F.col("near.x").cast("double").alias("nearest"))
 
 
 @query("search_down", INVOICES + "SELECT doc_id, CASE WHEN grand > sub THEN CAST(grand AS double) END AS larger FROM parts")

@@ -422,16 +422,20 @@ def brute_classes(rows, least=0.8):
             if len(bags[i][0]) and len(bags[j][0]) and near_duplicates.similarity(bags[i], bags[j]) >= least:
                 parent[root(i)] = root(j)
     group = {t: root(i) for i, t in enumerate(texts)}
-    named = defaultdict(list)
+    first = {}
     for r in rows:
-        if r[1] is not None and r[0] is not None:
-            named[group[r[1]]].append(r[0])
-    return Counter((r[0], (min(named[group[r[1]]]) if named[group[r[1]]] else None) if r[1] is not None else r[0]) for r in rows)
+        if r[1] is not None:
+            own = (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest())
+            first[group[r[1]]] = min(first.get(group[r[1]], own), own)
+    name = lambda i: "null" if i is None else str(i)
+    named = {g: f"{'null' if no else i}:{key}" for g, (no, i, key) in first.items()}
+    return Counter((r[0], f"{name(r[0])}:" if r[1] is None else named[group[r[1]]]) for r in rows)
 
 
 def test_near_duplicates_match_brute_force(spark):
     r = random.Random(9)
     rows, k = awkward(), 1000
+    rows += [(2, "one id with another text that is no copy", *rows[0][2:]), (None, prose(70, 3) + " more", *rows[0][2:])]
     for f in range(25):
         base = prose(r.randrange(30, 300), 100 + f).split(" ")
         for _ in range(r.randrange(1, 14)):
@@ -441,7 +445,11 @@ def test_near_duplicates_match_brute_force(spark):
             rows.append((k, " ".join(t), None, None, 0, 0.0, [], 0, ""))
             k += 1
     out = near_duplicates.near_duplicates(documents(spark, rows))
-    assert Counter((x["doc_id"], x["class_id"]) for x in out.collect()) == brute_classes(rows)
+    got = out.collect()
+    assert Counter((x["doc_id"], x["class_id"]) for x in got) == brute_classes(rows)
+    size = Counter(c for _, c in {(x["key"], x["class_id"]) for x in got if x["key"]})  # texts of each class
+    assert all((x["links"] > 0) == (x["similarity"] is not None) == (size[x["class_id"]] > 1) and (x["similarity"] or 1) >= 0.8 for x in got)
+    assert all(x["class_doc"] == (None if x["class_id"].startswith("null") else int(x["class_id"].split(":")[0])) for x in got)
     assert near_duplicates.near_duplicates(documents(spark, [])).count() == 0
 
 
@@ -477,7 +485,7 @@ def test_near_duplicates_in_large_buckets(spark):
         texts.append(template + fresh(12) if k % 10 else template + (own := fresh(2)) + fresh(10))
         if k % 10 == 0:
             texts.append(template + own + fresh(10))
-    assert near_duplicates.SMALL_BUCKET < len(texts)
+    assert near_duplicates.TILE_ROWS < len(texts)
     rows = [(i, " ".join(w), None, None, 0, 0.0, [], 0, "") for i, w in enumerate(texts)]
     bags = [near_duplicates.shingles(x[1], WordHashes()) for x in rows]
     least = list(range(len(rows)))
@@ -487,10 +495,34 @@ def test_near_duplicates_in_large_buckets(spark):
                 least[a] = least[b]
                 break
     assert len(rows) - len(set(least)) == 30
-    got = {x["doc_id"]: x["class_id"] for x in near_duplicates.near_duplicates(documents(spark, rows)).collect()}
+    got = {x["doc_id"]: x["class_doc"] for x in near_duplicates.near_duplicates(documents(spark, rows)).collect()}
     assert got == dict(enumerate(least))
 
 
+def test_near_duplicates_of_a_family_match_independent_brute_force(spark):
+    """160 copies of one text, each with up to five words changed, by plain Python multisets of word tuples."""
+    r = random.Random(11)
+    base, texts = prose(200, 31).split(" "), []
+    for k in range(160):
+        t = list(base)
+        for _ in range(r.randrange(0, 6)):
+            t[r.randrange(len(t))] = f"e{r.randrange(10**9)}"
+        texts.append(" ".join(t))
+    bags = [Counter(zip(*(t.lower().split()[i:] for i in range(5)))) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = (bags[a] & bags[b]).total()
+            if both / (bags[a].total() + bags[b].total() - both) >= 0.8 and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {}
+    for i, g in enumerate(group):
+        least.setdefault(g, i)
+    rows = [(i, t, None, None, 0, 0.0, [], 0, "") for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x["class_doc"] for x in near_duplicates.near_duplicates(documents(spark, rows)).collect()}
+    assert 1 < len(set(group)) < 120 and got == {i: least[g] for i, g in enumerate(group)}
+
+
 # 10 -------------------------------------------------------------- decontamination
 
 

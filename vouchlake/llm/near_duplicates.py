@@ -7,31 +7,38 @@ that carry a time, a component and a weight level; levels over the shingle's cou
 component keeps the least time. A process ends when its time passes the largest of the minima, so a text
 costs about one point a shingle and m log m more.
 
-Signatures are cut into bands; texts that share a band meet in a bucket. Each bucket links its members
-to a centre, never all pairs: the member that meets most others in all its buckets, which in a family of
-copies is the text that the others came from. Links are verified on the exact multisets of the whole texts,
-and groups are the connected components of the verified links. Buckets that hold members of several groups
-take their next centre and link across groups again, until a round finds no link; from the second round on,
-small buckets compare all their members of different groups. Large buckets that still hold several groups are
-then compared in full, tile by tile: a tile is two stretches of a bucket's members, bounded by number and bytes,
-and tiles of one group are left out. So a link is lost only where a pair shares no band; at similarity 0.8 that has
-the probability (1 - 0.8**rows)**bands, 5e-6. Full comparison costs the square of such a bucket's members.
-
-Equal texts are one node, found by their digest, whatever their number. Centres with many members are salted.
-All tables that a later step reads are written to the shared folder; nothing is collected.
-
-Defined results: a null text is a class of its own row; empty texts are equal texts, and so one class; null
-ids are allowed, a class is named by its least id; repeated rows are copies; other columns are ignored.
+Signatures are cut into bands; texts that share a band meet in a bucket. Equal texts are one node, found by their
+digest, whatever their number. Groups are the connected components of verified links, found in two steps:
+
+1. Stars, by groups of bands, a few bands first. In a bucket that holds several components, one member of each
+   component is linked to the bucket's centre: the member that meets most others, which in a family of copies
+   is the text that the others came from. Links are verified on the exact multisets of the whole texts. After the
+   first bands a family is nearly one component, so the many buckets of the other bands cost a few rows each.
+2. Rests. In every bucket that still holds several components, of whatever size, all its members of different
+   components are compared, tile by tile: a tile is two stretches of the members, of bounded number and
+   bytes, and tiles of one component are left out. A byte of each component of the signatures estimates the similarity;
+   pairs estimated at `least` - `MARGIN` or more, each in the first bucket it shares, are verified on their texts.
+
+So a link is lost only where a pair shares no band, which at similarity 0.8 has the probability
+(1 - 0.8**rows)**bands, 5e-6, or where the estimate is off by more than the margin, 7e-7. Step 2 costs the square
+of the members that a bucket of several components has, in comparisons of 240 bytes, never in texts.
+
+Centres with many links are salted. All tables that a later step reads are written to the shared folder; nothing
+is collected.
+
+Defined results: a class is named by its least id and the digest of the text that has it (`class_id`, as text;
+ids that repeat with other texts keep their classes apart). Null ids come last and are written `null`; a null
+text is a class of its id; empty texts are equal texts, and so one class; repeated rows are copies; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mixed, written
@@ -39,9 +46,11 @@ from .common import WordHashes, mixed, written
 WIDTH = 5
 BANDS, ROWS = 40, 6
 GOLD = 0x9E3779B97F4A7C15
-SMALL_BUCKET = 24
+BAND_GROUPS = (4, 12, 24)  # bands of each round of stars
+MARGIN = 0.125
 TILE_ROWS, TILE_BYTES = 256, 4_000_000
 TILE_COLUMNS = 4096
+PART_ROWS = 2_000  # members in a task's part of small tiles, about
 SALT_ROWS = 400
 BROADCAST_ROWS = 100_000
 
@@ -114,8 +123,13 @@ def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return key.view(np.int64)
 
 
+def sketched(h: np.ndarray) -> np.ndarray:
+    """A byte of each component of each signature."""
+    return (mixed(h.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the text) and band keys of every row with a text."""
+    """doc_id, key (digest of the text), size in bytes, band keys and sketch of every row with a text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -123,29 +137,35 @@ def _signed(docs: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 256):
                 x = batch.iloc[at : at + 256]
                 first = x.drop_duplicates("key")
-                keys = band_keys(signatures(bags := [shingles(t, hashes) for t in first["text"]]))
-                of = {k: (row if len(b[0]) else []) for k, row, b in zip(first["key"], keys, bags, strict=True)}
-                yield pd.DataFrame({"doc_id": x["doc_id"], "key": x["key"], "bands": [of[k] for k in x["key"]]})
+                h = signatures(bags := [shingles(t, hashes) for t in first["text"]])
+                of = {k: (row, s.tobytes()) if len(b[0]) else ([], b"") for k, row, s, b in zip(first["key"], band_keys(h), sketched(h), bags, strict=True)}
+                yield pd.DataFrame({"doc_id": x["doc_id"], "key": x["key"], "size": x["size"], "bands": [of[k][0] for k in x["key"]], "sketch": [of[k][1] for k in x["key"]]})
 
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("key"), "text")
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("key"), F.octet_length("text").alias("size"), "text")
     # Ids travel as text: pandas would make floats of integers beside nulls.
-    return rows.mapInPandas(run, "doc_id string, key string, bands array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(run, "doc_id string, key string, size int, bands array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table, broadcast where its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _texts(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts(shared: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node and text of the nodes that share a bucket: only theirs are shuffled, and only once."""
-    wanted = written(members.select("node").distinct().join(nodes.select("node", "key"), "node"), "neardup_wanted")
-    few = wanted.count() <= BROADCAST_ROWS  # rows of a digest and an id: 10 MB at most
+    wanted = written(shared.join(nodes.select("node", "key"), "node"), "neardup_wanted")
     rows = docs.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("key"), "text")
-    held = rows.join(F.broadcast(wanted) if few else wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
+    held = rows.join(_sized(wanted), "key").groupBy("node").agg(F.first("text").alias("text"))
     return written(held, "neardup_texts")
 
 
 def _verified(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The links (node, centre) whose whole texts have a similarity of at least `least`."""
-    salts = links.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
-    members = links.join(salts, "centre").select("node", "centre", F.expr("pmod(xxhash64(node), salts)").cast("int").alias("salt"), F.lit(1).alias("member"))
-    centres = salts.select(F.col("centre").alias("node"), "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
+    """The links (node, centre) whose whole texts have a similarity of at least `least`, with it."""
+    # Centres of many links are few: the total over SALT_ROWS at most. The others have no salt.
+    heavy = written(links.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_ROWS).select("centre", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "neardup_heavy")
+    salted = links.join(_sized(heavy), "centre", "left")
+    members = salted.select("node", "centre", F.expr("pmod(xxhash64(node), coalesce(salts, 1))").cast("int").alias("salt"), F.lit(1).alias("member"))
+    centres = members.select(F.col("centre").alias("node"), "centre", "salt", F.lit(0).alias("member")).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, at, bag = WordHashes(), None, None
@@ -155,13 +175,13 @@ def _verified(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 own = shingles(text, hashes)
                 if not member:
                     at, bag = centre, own
-                elif at == centre and similarity(own, bag) >= least:
-                    found.append((node, centre))
-            yield pd.DataFrame(found, columns=["node", "centre"])
+                elif at == centre and (s := similarity(own, bag)) >= least:
+                    found.append((node, centre, s))
+            yield pd.DataFrame(found, columns=["node", "centre", "similarity"])
 
     parts = max(1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     paired = members.unionByName(centres).join(texts, "node").repartition(parts, "centre", "salt").sortWithinPartitions("centre", "salt", "member", "node")
-    return paired.select("node", "centre", "member", "text").mapInPandas(run, "node long, centre long")
+    return paired.select("node", "centre", "member", "text").mapInPandas(run, "node long, centre long, similarity double")
 
 
 def overlaps(bags: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -185,21 +205,52 @@ def overlaps(bags: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, column
     return both
 
 
-def _in_full(here: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
-    """The verified links (node, centre) between all members of different labels in the large buckets of here; None where there is none."""
-    big = here.where(F.col("members") > SMALL_BUCKET).select("bucket", "node", "label")
-    if big.isEmpty():
-        return None
-    sizes = texts.select("node", F.octet_length("text").alias("size"))
+def likely(bucket: int, side: np.ndarray, label: np.ndarray, sketch: np.ndarray, bands: np.ndarray, least: float) -> np.ndarray:
+    """Which members of a tile have a partner of another component that the sketches put at `least` - MARGIN or more, and that meets them in no band before this bucket's."""
+    rows = np.nonzero(side == 0)[0]
+    columns = np.nonzero(side == 1)[0] if side.any() else rows
+    some = np.zeros(len(side), bool)
+    enough = (least - MARGIN) * sketch.shape[1]
+    for r in rows:
+        near = columns[((sketch[columns] == sketch[r]).sum(1) >= enough) & (label[columns] != label[r])]
+        if len(near):
+            met = bands[near] == bands[r]
+            near = near[bands[near, met.argmax(1)] == bucket]
+            some[near] = True
+            some[r] |= len(near) > 0
+    return some
+
+
+def _rests(here: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The verified links (node, centre, similarity) between all members of different components in the buckets of here(bucket, node, label)."""
+    facts = nodes.select("node", "size", "bands", "sketch")
+    # A component's members fill stretches of their own where they are many, and share stretches with those of others where they are few.
     share = F.greatest(F.col("size") / TILE_BYTES, F.lit(1.0 / TILE_ROWS))
-    stretch = F.floor(F.sum(share).over(Window.partitionBy("bucket").orderBy("label", "node"))).cast("int")
-    cut = written(big.join(sizes, "node").select("bucket", "node", "label", stretch.alias("stretch")), "neardup_stretches")
-    ends = cut.groupBy("bucket", "stretch").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    left = ends.select("bucket", F.col("stretch").alias("i"), F.col("low").alias("a"), F.col("high").alias("b"))
-    right = ends.select("bucket", F.col("stretch").alias("j"), F.col("low").alias("c"), F.col("high").alias("d"))
-    tiles = written(left.join(right, "bucket").where("i <= j and least(a, c) < greatest(b, d)").select("bucket", "i", "j"), "neardup_tiles")
+    held = written(here.join(facts.select("node", "size"), "node").withColumn("share", share), "neardup_held")
+    own = held.groupBy("bucket", "label").agg(F.sum("share").alias("own"))
+    few = own.where("own < 1").groupBy("bucket").agg(F.sum("own").alias("few"))
+    own = own.join(few, "bucket", "left").select("bucket", "label", F.when(F.col("own") >= 1, F.ceil("own")).alias("own"), F.ceil("few").alias("few"))
+    alone = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("own")))
+    stretch = F.when(F.col("own").isNotNull(), alone).otherwise(F.pmod(F.xxhash64("label"), F.col("few")))
+    cut = written(held.join(own, ["bucket", "label"]).select("bucket", "node", "label", stretch.alias("stretch")), "neardup_stretches")
+    ends = cut.groupBy("bucket", "stretch").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    left = ends.select("bucket", F.col("stretch").alias("i"), F.col("low").alias("a"), F.col("high").alias("b"), F.col("n").alias("p"))
+    right = ends.select("bucket", F.col("stretch").alias("j"), F.col("low").alias("c"), F.col("high").alias("d"), F.col("n").alias("q"))
+    tiles = written(left.join(right, "bucket").where("i <= j and least(a, c) < greatest(b, d)").select("bucket", "i", "j", F.expr("p + if(i < j, q, 0)").alias("rows")), "neardup_tiles")
+    parts = max(1, (tiles.agg(F.sum("rows")).first()[0] or 0) // PART_ROWS)
     one = tiles.join(cut.withColumnRenamed("stretch", "i"), ["bucket", "i"]).select("bucket", "i", "j", "node", "label", F.lit(0).alias("side"))
     two = tiles.where("i < j").join(cut.withColumnRenamed("stretch", "j"), ["bucket", "j"]).select("bucket", "i", "j", "node", "label", F.lit(1).alias("side"))
+    members = one.unionByName(two).join(facts.drop("size"), "node").withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(parts)))
+
+    def estimated(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["bucket", "i", "j"], kind="stable")
+        bucket, i, j, side, label = (x[c].to_numpy() for c in ("bucket", "i", "j", "side", "label"))
+        sketch, bands = np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), -1), np.stack(list(x["bands"]))
+        starts = np.nonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))[0]
+        some = np.zeros(len(x), bool)
+        for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
+            some[a:b] = likely(bucket[a], side[a:b], label[a:b], sketch[a:b], bands[a:b], least)
+        return x.loc[some, ["bucket", "i", "j", "node", "label", "side"]]
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         hashes = WordHashes()
@@ -211,10 +262,12 @@ def _in_full(here: DataFrame, texts: DataFrame, least: float) -> DataFrame | Non
         both = overlaps(bags, rows, columns)
         every = size[rows][:, None] + size[columns][None, :] - both
         r, c = np.nonzero((both >= least * every * (1 - 1e-9)) & (label[rows][:, None] != label[columns][None, :]))
-        pairs = [(node[a], node[b]) for a, b in zip(rows[r], columns[c], strict=True) if similarity(bags[a], bags[b]) >= least]
-        return pd.DataFrame(pairs, columns=["node", "centre"])
+        pairs = [(node[a], node[b], s) for a, b in zip(rows[r], columns[c], strict=True) if (s := similarity(bags[a], bags[b])) >= least and (side.any() or a < b)]
+        return pd.DataFrame(pairs, columns=["node", "centre", "similarity"])
 
-    return one.unionByName(two).join(texts, "node").groupBy("bucket", "i", "j").applyInPandas(run, "node long, centre long")
+    close = members.groupBy("part").applyInPandas(estimated, "bucket long, i long, j long, node long, label long, side int")
+    close = written(close, "neardup_close")
+    return close.join(texts, "node").groupBy("bucket", "i", "j").applyInPandas(run, "node long, centre long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,58 +288,65 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _linked(nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """node, label: the least node of its component, for the nodes that share a bucket."""
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+def _linked(nodes: DataFrame, docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """node, label (the least node of its component) of the nodes that share a bucket; and the verified links."""
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = written(rows.join(shared, "bucket"), "neardup_met")
     # A node's rank: how many others it meets. The text that a family was copied from meets the most of it.
-    rank = met.groupBy("node").agg(F.sum("members").alias("rank"))
-    met = written(met.join(rank, "node"), "neardup_ranked")
-    texts = _texts(met, nodes, docs)
+    rank = written(met.groupBy("node").agg(F.sum("members").alias("rank")), "neardup_rank")
+    texts = _texts(rank.select("node"), nodes, docs)
     labels = written(rank.select("node", F.col("node").alias("label")), "neardup_labels")
-    used: DataFrame | None = None  # the centres that a bucket has had
-    tested: DataFrame | None = None
-    while True:
-        here = met.join(labels, "node")
-        mixed_up = here.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-        here = written(here.join(mixed_up, "bucket"), "neardup_here")  # a bucket of one component is done with
-        free = here if used is None else here.join(used, ["bucket", "node"], "left_anti")
-        centres = written(free.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre")), "neardup_centres")
-        links = here.join(centres, "bucket").select("node", "centre", "label")
-        if used is not None:  # what is left of a small bucket is compared in full
-            small = here.where(F.col("members") <= SMALL_BUCKET).select("bucket", "node", "label")
-            other = small.select("bucket", F.col("node").alias("centre"), F.col("label").alias("other"))
-            links = links.unionByName(small.join(other, "bucket").where("node < centre and label != other").select("node", "centre", "label"))
+    every: DataFrame | None = None
+
+    def mixed_up(of: DataFrame, name: str) -> DataFrame:
+        """The rows of the buckets with several components; a bucket of one component is done with."""
+        here = of.join(labels, "node")
+        some = here.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
+        return written(here.join(some, "bucket"), name)
+
+    def merged(found: DataFrame) -> None:
+        nonlocal labels, every
+        every = found if every is None else every.unionByName(found)
         side = labels.select(F.col("node").alias("centre"), F.col("label").alias("other"))
-        links = links.where("node != centre").join(side, "centre").where("label != other").select("node", "centre").distinct()
-        links = written(links if tested is None else links.join(tested, ["node", "centre"], "left_anti"), "neardup_links")
-        found = written(_verified(links, texts, least), "neardup_verified")
-        last = used is not None and found.isEmpty()
-        if last:  # what is left of the large buckets is compared in full
-            full = _in_full(here, texts, least)
-            if full is None:
-                return labels
-            found = written(full, "neardup_full")
         as_labels = found.join(labels, "node").join(side, "centre").select(F.col("label").alias("node"), F.col("other").alias("centre"))
-        merged = components(as_labels).select(F.col("node").alias("label"), "least")
-        labels = written(labels.join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "neardup_labels")
-        if last:
-            return labels
-        again = centres.select("bucket", F.col("centre").alias("node"))
-        used = again if used is None else used.unionByName(again)
-        tested = links if tested is None else tested.unionByName(links)
+        least_of = components(as_labels).select(F.col("node").alias("label"), "least")
+        labels = written(labels.join(least_of, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "neardup_labels")
+
+    low = 0
+    for n in BAND_GROUPS:
+        here = mixed_up(met.where(F.col("band").between(low, low + n - 1)).join(rank, "node"), "neardup_here")
+        low += n
+        one = written(here.groupBy("bucket", "label").agg(F.max(F.struct("rank", "node")).alias("m")).select("bucket", "m"), "neardup_ones")
+        centres = one.groupBy("bucket").agg(F.max("m").alias("c"))
+        links = one.join(centres, "bucket").where("m.node != c.node").select(F.col("m.node").alias("node"), F.col("c.node").alias("centre")).distinct()
+        links = written(links, "neardup_links")
+        if not links.isEmpty():
+            merged(written(_verified(links, texts, least), "neardup_verified"))
+    here = mixed_up(met, "neardup_rests").select("bucket", "node", "label")
+    if not here.isEmpty():
+        merged(written(_rests(here, nodes, texts, least), "neardup_rest_links"))
+    return labels, every
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, class_id, copies (rows with the same text) and key (digest of the text) for every row of docs."""
+    """A row for each of docs: doc_id, class_id, class_doc (the id that names the class), copies (rows with the same text), links (verified with other texts), similarity (of the closest of them) and key (digest of the text)."""
     signed = written(_signed(docs), "neardup_signed")
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", "bands", "sketch")])
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup_nodes")  # written once, so the ids hold
-    labels = _linked(nodes, docs, least)
-    of = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = of.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = of.join(names, "label").select("key", "copies", "class_id")
-    named = signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "copies", "key")
-    null = docs.where("text is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(None).cast("string").alias("key"))
+    labels, links = _linked(nodes, docs, least)
+    of = nodes.select("node", "key", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    names = of.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("no"), "rep", "key")).alias("first"))
+    classes = of.join(names, "label").select("node", "key", "copies", F.col("first.rep").alias("class_doc"), F.concat_ws(":", F.coalesce(F.col("first.rep").cast("string"), F.lit("null")), "first.key").alias("class_id"))
+    none = F.lit(None).cast("double")
+    if links is None:
+        classes = classes.withColumns({"links": F.lit(0).cast("long"), "similarity": none})
+    else:
+        ends = links.select("node", "similarity").unionByName(links.select(F.col("centre").alias("node"), "similarity"))
+        own = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"), F.max("similarity").alias("similarity"))
+        classes = classes.join(own, "node", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+    columns = ["doc_id", "class_id", "class_doc", "copies", "links", "similarity", "key"]
+    named = signed.select("doc_id", "key").join(classes, "key").select(columns)
+    own_id = F.col("doc_id").cast("long")
+    null = docs.where("text is null").select(own_id.alias("doc_id"), F.concat(F.coalesce(own_id.cast("string"), F.lit("null")), F.lit(":")).alias("class_id"), own_id.alias("class_doc"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"), none.alias("similarity"), F.lit(None).cast("string").alias("key"))
     return named.unionByName(null)

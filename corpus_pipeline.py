@@ -32,16 +32,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one whose id names it. Of rows that repeat that id, one is kept."""
+    """One document of each class: the one whose id and text name it. Rows are told apart by id and digest; of equal rows of it, one is kept. Null texts are all kept."""
     docs = docs.select(COLUMNS)
-    classes = written(near_duplicates.near_duplicates(docs), "pipeline_classes")
-    dropped = written(classes.where("doc_id != class_id").select("doc_id").distinct(), "pipeline_dropped")
-    kept = docs.join(_few(dropped), "doc_id", "left_anti")
-    again = written(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline_repeated")
+    classes = written(near_duplicates.near_duplicates(docs).where("key is not null").select("doc_id", "key", "class_id"), "pipeline_classes")
+    first = F.col("class_id") == F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "key")
+    dropped = written(classes.where(~first).select("doc_id", "key").distinct(), "pipeline_dropped")
+    again = written(classes.where(first).groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "pipeline_repeated")
+
+    def joined(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.md5(F.col("text").cast("binary")) == F.col("of_key"))
+        return rows.join(_few(ids.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"))), same, how)
+
+    kept = joined(docs, dropped, "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(_few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(_few(again), "doc_id", "left_anti").unionByName(once)
+    once = joined(kept, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return joined(kept, again, "left_anti").unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

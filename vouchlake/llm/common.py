@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a folder of our own where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a folder of our own in local mode; an error on a cluster."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("vouchlake.checkpoint.dir", "")
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vouchlake-")
         spark.conf.set("vouchlake.checkpoint.dir", at)
         sc.setCheckpointDir(at)
@@ -38,6 +40,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -66,16 +77,20 @@ def hash_sample(rows: DataFrame, total: int, n: int, *keys: str) -> DataFrame:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for reuse; emptied when it holds `most`, so memory stays bounded."""
+    """64-bit hashes of words, kept for reuse; emptied when it holds `most` words or `most_bytes` of them, so memory stays bounded."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000, most_bytes: int = 8_000_000):
         super().__init__()
-        self.most = most
+        self.most, self.most_bytes, self.held = most, most_bytes, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.held + len(word) > self.most_bytes:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+            self.held = 0
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 1000:  # a huge word is not held
+            self[word] = h
+            self.held += len(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

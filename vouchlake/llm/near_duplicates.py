@@ -46,7 +46,7 @@ from .common import WordHashes, mixed, written
 WIDTH = 5
 BANDS, ROWS = 40, 6
 GOLD = 0x9E3779B97F4A7C15
-BAND_GROUPS = (4, 12, 24)  # bands of each round of stars
+BAND_GROUPS = (5, 35)  # bands of each round of stars
 MARGIN = 0.125
 TILE_ROWS, TILE_BYTES = 256, 4_000_000
 TILE_COLUMNS = 4096

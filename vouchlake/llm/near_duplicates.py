@@ -10,10 +10,9 @@ costs about one point a shingle and m log m more.
 Signatures are cut into bands; texts that share a band meet in a bucket. Equal texts are one node, found by their
 digest, whatever their number. Groups are the connected components of verified links, found in two steps:
 
-1. Stars, by groups of bands, a few bands first. In a bucket that holds several components, one member of each
-   component is linked to the bucket's centre: the member that meets most others, which in a family of copies
-   is the text that the others came from. Links are verified on the exact multisets of the whole texts. After the
-   first bands a family is nearly one component, so the many buckets of the other bands cost a few rows each.
+1. Stars, in the first `STAR_BANDS` bands. A bucket's members are linked to its centre: the member that meets most
+   others in all bands, which in a family of copies is the text that the others came from. Links are verified on the
+   exact multisets of the whole texts. After this a family is nearly one component, and most buckets hold one only.
 2. Rests. In every bucket that still holds several components, of whatever size, all its members of different
    components are compared, tile by tile: a tile is two stretches of the members, of bounded number and
    bytes, and tiles of one component are left out. A byte of each component of the signatures estimates the similarity;
@@ -46,7 +45,7 @@ from .common import WordHashes, mixed, written
 WIDTH = 5
 BANDS, ROWS = 40, 6
 GOLD = 0x9E3779B97F4A7C15
-BAND_GROUPS = (5, 35)  # bands of each round of stars
+STAR_BANDS = 5
 MARGIN = 0.125
 TILE_ROWS, TILE_BYTES = 256, 4_000_000
 TILE_COLUMNS = 4096
@@ -146,24 +145,20 @@ def _signed(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id string, key string, size int, bands array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A written table, broadcast where its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _texts(shared: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node and text of the nodes that share a bucket: only theirs are shuffled, and only once."""
-    wanted = written(shared.join(nodes.select("node", "key"), "node"), "neardup_wanted")
+    wanted = shared.join(nodes.select("node", "key"), "node")
+    few = shared.count() <= BROADCAST_ROWS  # rows of a digest and an id: 10 MB at most
     rows = docs.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("key"), "text")
-    held = rows.join(_sized(wanted), "key").groupBy("node").agg(F.first("text").alias("text"))
+    held = rows.join(F.broadcast(wanted) if few else wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
     return written(held, "neardup_texts")
 
 
 def _verified(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The links (node, centre) whose whole texts have a similarity of at least `least`, with it."""
-    # Centres of many links are few: the total over SALT_ROWS at most. The others have no salt.
-    heavy = written(links.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_ROWS).select("centre", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "neardup_heavy")
-    salted = links.join(_sized(heavy), "centre", "left")
+    """The links (node, centre) of a written table whose whole texts have a similarity of at least `least`, with it."""
+    heavy = links.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_ROWS).select("centre", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    few = links.count() // SALT_ROWS <= BROADCAST_ROWS  # heavy centres are no more than that; the others have no salt
+    salted = links.join(F.broadcast(heavy) if few else heavy, "centre", "left")
     members = salted.select("node", "centre", F.expr("pmod(xxhash64(node), coalesce(salts, 1))").cast("int").alias("salt"), F.lit(1).alias("member"))
     centres = members.select(F.col("centre").alias("node"), "centre", "salt", F.lit(0).alias("member")).distinct()
 
@@ -222,11 +217,11 @@ def likely(bucket: int, side: np.ndarray, label: np.ndarray, sketch: np.ndarray,
 
 
 def _rests(here: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The verified links (node, centre, similarity) between all members of different components in the buckets of here(bucket, node, label)."""
-    facts = nodes.select("node", "size", "bands", "sketch")
+    """The verified links (node, centre, similarity) between all members of different components in the buckets of here(bucket, node, label, size)."""
+    facts = nodes.select("node", "bands", "sketch")
     # A component's members fill stretches of their own where they are many, and share stretches with those of others where they are few.
     share = F.greatest(F.col("size") / TILE_BYTES, F.lit(1.0 / TILE_ROWS))
-    held = written(here.join(facts.select("node", "size"), "node").withColumn("share", share), "neardup_held")
+    held = here.withColumn("share", share)
     own = held.groupBy("bucket", "label").agg(F.sum("share").alias("own"))
     few = own.where("own < 1").groupBy("bucket").agg(F.sum("own").alias("few"))
     own = own.join(few, "bucket", "left").select("bucket", "label", F.when(F.col("own") >= 1, F.ceil("own")).alias("own"), F.ceil("few").alias("few"))
@@ -240,7 +235,7 @@ def _rests(here: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) ->
     parts = max(1, (tiles.agg(F.sum("rows")).first()[0] or 0) // PART_ROWS)
     one = tiles.join(cut.withColumnRenamed("stretch", "i"), ["bucket", "i"]).select("bucket", "i", "j", "node", "label", F.lit(0).alias("side"))
     two = tiles.where("i < j").join(cut.withColumnRenamed("stretch", "j"), ["bucket", "j"]).select("bucket", "i", "j", "node", "label", F.lit(1).alias("side"))
-    members = one.unionByName(two).join(facts.drop("size"), "node").withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(parts)))
+    members = one.unionByName(two).join(facts, "node").withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(parts)))
 
     def estimated(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["bucket", "i", "j"], kind="stable")
@@ -271,17 +266,18 @@ def _rests(here: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) ->
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, least: the least node of each connected component of links(node, centre). Large-star and small-star steps, written each round."""
-    edges = written(links.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).where("a != b").distinct(), "neardup_edges")
+    """node, least: the least node of each connected component of links(node, centre). Large-star and small-star steps, written every two."""
+    edges = links.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).where("a != b").distinct()
     before = None
     while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        # Small star: each node's smaller neighbours, and the node itself, point to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        edges = written(small, "neardup_edges")
+        for _ in range(2):
+            both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+            # Small star: each node's smaller neighbours, and the node itself, point to the least of them.
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            edges = large.join(least, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        edges = written(edges, "neardup_edges")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == before:
             return edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), "least")
@@ -289,44 +285,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _linked(nodes: DataFrame, docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """node, label (the least node of its component) of the nodes that share a bucket; and the verified links."""
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    """node, least (of its component) of the linked nodes; and the verified links."""
+    rows = nodes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = written(rows.join(shared, "bucket"), "neardup_met")
     # A node's rank: how many others it meets. The text that a family was copied from meets the most of it.
     rank = written(met.groupBy("node").agg(F.sum("members").alias("rank")), "neardup_rank")
     texts = _texts(rank.select("node"), nodes, docs)
-    labels = written(rank.select("node", F.col("node").alias("label")), "neardup_labels")
-    every: DataFrame | None = None
-
-    def mixed_up(of: DataFrame, name: str) -> DataFrame:
-        """The rows of the buckets with several components; a bucket of one component is done with."""
-        here = of.join(labels, "node")
-        some = here.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-        return written(here.join(some, "bucket"), name)
-
-    def merged(found: DataFrame) -> None:
-        nonlocal labels, every
-        every = found if every is None else every.unionByName(found)
-        side = labels.select(F.col("node").alias("centre"), F.col("label").alias("other"))
-        as_labels = found.join(labels, "node").join(side, "centre").select(F.col("label").alias("node"), F.col("other").alias("centre"))
-        least_of = components(as_labels).select(F.col("node").alias("label"), "least")
-        labels = written(labels.join(least_of, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "neardup_labels")
-
-    low = 0
-    for n in BAND_GROUPS:
-        here = mixed_up(met.where(F.col("band").between(low, low + n - 1)).join(rank, "node"), "neardup_here")
-        low += n
-        one = written(here.groupBy("bucket", "label").agg(F.max(F.struct("rank", "node")).alias("m")).select("bucket", "m"), "neardup_ones")
-        centres = one.groupBy("bucket").agg(F.max("m").alias("c"))
-        links = one.join(centres, "bucket").where("m.node != c.node").select(F.col("m.node").alias("node"), F.col("c.node").alias("centre")).distinct()
-        links = written(links, "neardup_links")
-        if not links.isEmpty():
-            merged(written(_verified(links, texts, least), "neardup_verified"))
-    here = mixed_up(met, "neardup_rests").select("bucket", "node", "label")
-    if not here.isEmpty():
-        merged(written(_rests(here, nodes, texts, least), "neardup_rest_links"))
-    return labels, every
+    stars = met.where(F.col("band") < STAR_BANDS).join(rank, "node")
+    centres = stars.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
+    links = written(stars.join(centres, "bucket").where("node != centre").select("node", "centre").distinct(), "neardup_links")
+    found = written(_verified(links, texts, least), "neardup_verified")
+    labels = written(rank.select("node").join(components(found), "node", "left").select("node", F.coalesce("least", "node").alias("label")), "neardup_labels")
+    here = met.select("node", "size", "bucket").join(labels, "node")
+    mixed_up = here.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
+    here = written(here.join(mixed_up, "bucket"), "neardup_rests")  # a bucket of one component is done with
+    every = found.unionByName(written(_rests(here, nodes, texts, least), "neardup_rest_links"))
+    return components(every), every
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -335,16 +310,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", "bands", "sketch")])
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup_nodes")  # written once, so the ids hold
     labels, links = _linked(nodes, docs, least)
-    of = nodes.select("node", "key", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = nodes.select("node", "key", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("least", "node"))
     names = of.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("no"), "rep", "key")).alias("first"))
     classes = of.join(names, "label").select("node", "key", "copies", F.col("first.rep").alias("class_doc"), F.concat_ws(":", F.coalesce(F.col("first.rep").cast("string"), F.lit("null")), "first.key").alias("class_id"))
+    ends = links.select("node", "similarity").unionByName(links.select(F.col("centre").alias("node"), "similarity"))
+    own = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"), F.max("similarity").alias("similarity"))
+    classes = classes.join(own, "node", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
     none = F.lit(None).cast("double")
-    if links is None:
-        classes = classes.withColumns({"links": F.lit(0).cast("long"), "similarity": none})
-    else:
-        ends = links.select("node", "similarity").unionByName(links.select(F.col("centre").alias("node"), "similarity"))
-        own = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"), F.max("similarity").alias("similarity"))
-        classes = classes.join(own, "node", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
     columns = ["doc_id", "class_id", "class_doc", "copies", "links", "similarity", "key"]
     named = signed.select("doc_id", "key").join(classes, "key").select(columns)
     own_id = F.col("doc_id").cast("long")

@@ -54,6 +54,13 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in short slices, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def over_texts(docs: DataFrame, make: Callable[[], Callable[[str | None], tuple]], fields: str) -> DataFrame:
     """doc_id and the fields that a function gives of each text, for every row. make() builds the function once a task."""
     schema = T.StructType.fromDDL(f"doc_id long, {fields}")
@@ -61,7 +68,7 @@ def over_texts(docs: DataFrame, make: Callable[[], Callable[[str | None], tuple]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for b in batches:
+        for b in sliced(batches):
             rows = [of(t) for t in b.column("text").to_pylist()]
             made = zip(*rows, strict=True) if rows else [[]] * (len(arrow) - 1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(made, list(arrow)[1:], strict=True))], schema=arrow)

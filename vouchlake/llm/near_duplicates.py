@@ -37,10 +37,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WordHashes, mixed, written
+from .common import WordHashes, mixed, sliced, written
 
 WIDTH = 5
 BANDS, ROWS = 40, 6
@@ -130,19 +133,21 @@ def sketched(h: np.ndarray) -> np.ndarray:
 def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, key (digest of the text), size in bytes, band keys and sketch of every row with a text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "doc_id long, key string, size int, bands array<long>, sketch binary"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                x = batch.iloc[at : at + 256]
-                first = x.drop_duplicates("key")
-                h = signatures(bags := [shingles(t, hashes) for t in first["text"]])
-                of = {k: (row, s.tobytes()) if len(b[0]) else ([], b"") for k, row, s, b in zip(first["key"], band_keys(h), sketched(h), bags, strict=True)}
-                yield pd.DataFrame({"doc_id": x["doc_id"], "key": x["key"], "size": x["size"], "bands": [of[k][0] for k in x["key"]], "sketch": [of[k][1] for k in x["key"]]})
+        for x in sliced(batches, 256):
+            keys = x.column("key").to_pylist()
+            first = {k: i for i, k in reversed(list(enumerate(keys)))}
+            h = signatures(bags := [shingles(x.column("text")[i].as_py(), hashes) for i in first.values()])
+            of = {k: (row, s.tobytes()) if len(b[0]) else ([], b"") for k, row, s, b in zip(first, band_keys(h), sketched(h), bags, strict=True)}
+            columns = [x.column("doc_id"), x.column("key"), x.column("size"), [of[k][0] for k in keys], [of[k][1] for k in keys]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("key"), F.octet_length("text").alias("size"), "text")
-    # Ids travel as text: pandas would make floats of integers beside nulls.
-    return rows.mapInPandas(run, "doc_id string, key string, size int, bands array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("key"), F.octet_length("text").alias("size"), "text")
+    return rows.mapInArrow(run, schema)
 
 
 def _texts(shared: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -266,18 +271,16 @@ def _rests(here: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) ->
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, least: the least node of each connected component of links(node, centre). Large-star and small-star steps, written every two."""
+    """node, least: the least node of each connected component of links(node, centre). Large-star and small-star steps, written each time: plans stay small."""
     edges = links.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).where("a != b").distinct()
     before = None
     while True:
-        for _ in range(2):
-            both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-            # Small star: each node's smaller neighbours, and the node itself, point to the least of them.
-            least = large.groupBy("a").agg(F.min("b").alias("m"))
-            edges = large.join(least, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        edges = written(edges, "neardup_edges")
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        # Small star: each node's smaller neighbours, and the node itself, point to the least of them.
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        edges = written(large.join(least, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "neardup_edges")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == before:
             return edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), "least")
@@ -285,7 +288,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _linked(nodes: DataFrame, docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """node, least (of its component) of the linked nodes; and the verified links."""
+    """node, label (the least node of its component) of the nodes that share a bucket; and the verified links."""
     rows = nodes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = written(rows.join(shared, "bucket"), "neardup_met")
@@ -300,8 +303,11 @@ def _linked(nodes: DataFrame, docs: DataFrame, least: float) -> tuple[DataFrame,
     here = met.select("node", "size", "bucket").join(labels, "node")
     mixed_up = here.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
     here = written(here.join(mixed_up, "bucket"), "neardup_rests")  # a bucket of one component is done with
-    every = found.unionByName(written(_rests(here, nodes, texts, least), "neardup_rest_links"))
-    return components(every), every
+    rest = written(_rests(here, nodes, texts, least), "neardup_rest_links")
+    side = labels.select(F.col("node").alias("centre"), F.col("label").alias("other"))
+    merged = components(rest.join(labels, "node").join(side, "centre").select(F.col("label").alias("node"), F.col("other").alias("centre")))
+    ends = labels.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return ends, found.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -310,7 +316,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", "bands", "sketch")])
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup_nodes")  # written once, so the ids hold
     labels, links = _linked(nodes, docs, least)
-    of = nodes.select("node", "key", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("least", "node"))
+    of = nodes.select("node", "key", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = of.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("no"), "rep", "key")).alias("first"))
     classes = of.join(names, "label").select("node", "key", "copies", F.col("first.rep").alias("class_doc"), F.concat_ws(":", F.coalesce(F.col("first.rep").cast("string"), F.lit("null")), "first.key").alias("class_id"))
     ends = links.select("node", "similarity").unionByName(links.select(F.col("centre").alias("node"), "similarity"))

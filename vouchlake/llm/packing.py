@@ -26,13 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import sliced
 from .tokens import Encoder
 
-SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
 @dataclass(frozen=True)
@@ -104,10 +108,10 @@ class Packer:
     def __init__(self, costs: Costs, encoder: Encoder, first_id: int):
         self.costs, self.encoder, self.next_id = costs, encoder, first_id
         self.ends = encoder.ends_sentence()
-        self.docs: list[tuple[str | None, np.ndarray]] = []
+        self.docs: list[tuple[int | None, np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, doc_id: str | None, text: str | None) -> pd.DataFrame | None:
+    def add(self, doc_id: int | None, text: str | None) -> pd.DataFrame | None:
         ids = np.append(self.encoder.ids(text) if text else np.zeros(0, "<u4"), np.uint32(0)).astype("<u4")
         self.docs.append((doc_id, ids))
         self.waiting += len(ids)
@@ -130,7 +134,7 @@ class Packer:
         raw = memoryview(stream.tobytes())
         rows = pd.DataFrame(
             {
-                "doc_id": [self.docs[d][0] for d in doc],
+                "doc_id": pd.array([self.docs[d][0] for d in doc], "Int64"),
                 "start": starts - doc_starts[doc],
                 "length": ends - starts,
                 "ids_crc32": [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)],
@@ -148,15 +152,15 @@ class Packer:
 def pack(docs: DataFrame, costs: Costs = Costs(), vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
     """The pieces of all documents: where each lies in its document and in its sequence."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(T.StructType.fromDDL(SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(costs, Encoder(vocabulary, ranks), TaskContext.get().partitionId() << 32)
-        for x in batches:
-            for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
+        for x in sliced(batches):
+            for doc_id, text in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True):
                 if (rows := packer.add(doc_id, text)) is not None:
-                    yield rows
+                    yield pa.RecordBatch.from_pandas(rows, schema=schema, preserve_index=False)
         if (rows := packer.pack()) is not None:
-            yield rows
+            yield pa.RecordBatch.from_pandas(rows, schema=schema, preserve_index=False)
 
-    # Ids travel as text: pandas would make floats of integers beside nulls.
-    pieces = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
-    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

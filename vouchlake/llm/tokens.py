@@ -21,23 +21,26 @@ ODD = re.compile(r"[^\n\r\t\x20-\x7e\xa1-\xac\xae-ſ‐-‟…€]")
 
 
 class Encoder:
-    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, most: int = 400_000):
-        """vocabulary: a tokenizers JSON file; ranks: the same vocabulary for tiktoken; most: pieces kept."""
+    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, most: int = 150_000, longest: int = 64):
+        """vocabulary: a tokenizers JSON file; ranks: the same vocabulary for tiktoken; most: pieces kept, of at most `longest` characters."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
         ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.bytes_of = {i: b for b, i in table.items()}
+        self.ending = np.zeros(1 + max(table.values()), bool)
+        self.ending[[i for b, i in table.items() if b[-1:] in (b".", b"!", b"?", b"\n")]] = True
         self.exact = None
         self.kept: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.longest = most, longest
 
     def _piece(self, piece: str) -> bytes:
         if len(self.kept) >= self.most:
             self.kept.clear()
-        got = self.kept[piece] = np.array(self.fast.encode_ordinary(piece), "<u4").tobytes()
+        got = np.array(self.fast.encode_ordinary(piece), "<u4").tobytes()
+        if len(piece) <= self.longest:
+            self.kept[piece] = got
         return got
 
     def ids(self, text: str) -> np.ndarray:
@@ -58,4 +61,4 @@ class Encoder:
 
     def ends_sentence(self, size: int = 50_257) -> np.ndarray:
         """By id, whether a token's text ends with a full stop, a question or exclamation mark, or a line's end."""
-        return np.array([self.bytes_of.get(i, b"")[-1:] in (b".", b"!", b"?", b"\n") for i in range(size)])
+        return np.append(self.ending, np.zeros(max(0, size - len(self.ending)), bool))

@@ -50,17 +50,19 @@ def features(word: str) -> list[str]:
 
 
 class WordWeights(dict):
-    """The summed weight of a word's features, kept for reuse; emptied when it holds `most`."""
+    """The summed weight of a word's features, kept for reuse where it is no longer than `longest`; emptied when it holds `most`."""
 
-    def __init__(self, weights: dict[str, float], most: int = 500_000):
+    def __init__(self, weights: dict[str, float], most: int = 200_000, longest: int = 64):
         super().__init__()
-        self.weights, self.most = weights, most
+        self.weights, self.most, self.longest = weights, most, longest
 
     def __missing__(self, token: str) -> float:
         if len(self) >= self.most:
             self.clear()
         word, get = token.strip(EDGES), self.weights.get
-        z = self[token] = sum(get(f, 0.0) for f in features(word)) if word else 0.0
+        z = sum(get(f, 0.0) for f in features(word)) if word else 0.0
+        if len(token) <= self.longest:
+            self[token] = z
         return z
 
 

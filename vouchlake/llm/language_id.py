@@ -4,29 +4,30 @@ A linear support vector machine per language family (one against the rest) decid
 one machine for each pair of its languages votes. All work on the same features: byte trigrams of the
 lower-cased text, hashed to `DIMS` counts, square-rooted and scaled to length one.
 
-The machines are fitted on a bounded sample of the learning rows (`per_language` texts of each of the
-`most_languages` commonest languages, by hash of the id, of at most `sample_bytes`). Prediction reads every whole text.
+The machines are fitted on a bounded sample of the learning rows: `sample_docs` texts in all, of at most `sample_bytes`,
+shared equally by all languages (`per_language` each at most, one at least), by hash of id and text. No language is left
+out. Prediction reads every whole text.
 
 Families come from `FAMILIES`; a language it does not list is a family of its own.
 
-Defined results: null texts and texts without a letter are `und` with score 0; with no learning row all
-are `und`; repeated rows get equal results; other columns are ignored. Equal votes go to the pair margin's
+Defined results: null texts and texts without a letter (a character of Unicode's category L; number signs are none)
+are `und` with score 0; with no learning row all are `und`; repeated rows get equal results; other columns are ignored. Equal votes go to the pair margin's
 sum, then to the first language in alphabetical order.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, over_texts
+from .common import over_texts, written
 
 DIMS = 4096
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "is", "nl", "no", "sv"],
     "romance": ["ca", "es", "fr", "gl", "it", "pt", "ro"],
@@ -111,22 +112,21 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(of, families, by_family, pairs, by_pair)
 
 
-def train(docs: DataFrame, may_learn: Column, per_language: int = 300, most_languages: int = 32, sample_bytes: int = 30_000) -> Model:
-    """A model from text and lang of the rows that may_learn allows: at most per_language * most_languages texts of sample_bytes."""
+def train(docs: DataFrame, may_learn: Column, per_language: int = 300, sample_docs: int = 9600, sample_bytes: int = 30_000) -> Model:
+    """A model from text and lang of the rows that may_learn allows: at most per_language texts of each language, sample_docs in all (or one of each language), of sample_bytes."""
     rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= sample_bytes)).select("doc_id", "lang", "text")
-    common = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    picked = [hash_sample(rows.where(F.col("lang") == a), n, per_language, "doc_id", "text") for a, n in common.items()]
-    if not picked:
-        return fit([], [])
-    sample = picked[0]
-    for p in picked[1:]:
-        sample = sample.unionByName(p)
-    got = sample.toPandas()
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang_counts")
+    each = max(1, min(per_language, sample_docs // max(1, counts.count())))
+    # A filter on the hash leaves about twice what is taken of each language, so that no task ranks a whole one.
+    h = F.xxhash64("doc_id", "text")
+    near = rows.join(F.broadcast(counts) if counts.count() <= sample_docs else counts, "lang").where(F.pmod(F.xxhash64(h), F.lit(2**30)) < F.ceil(F.lit(2**31 * each) / F.col("n")))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id")))
+    got = ranked.where(F.col("rank") <= each).select("lang", "text").toPandas().sort_values(["lang", "text"])
     return fit(list(got["text"]), list(got["lang"]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and family of every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # (families + pairs) * DIMS floats; bounded by most_languages
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # (families + pairs) * DIMS floats
 
     return over_texts(docs, lambda: sent.value.predict, FIELDS)

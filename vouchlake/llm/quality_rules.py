@@ -3,11 +3,13 @@
 Two histograms describe a text: bytes by character class, and words by the commonest words of a language.
 The same histograms, summed over all documents of a language, are that language's reference. A text's
 distance to a reference is the Jensen-Shannon distance (base 2, from 0 to 1) of each histogram; it fails
-where, for every language, one of them is over its threshold. Short texts have noisy histograms: the word
-histogram counts from `least_words` words on, the class histogram from `least_chars`.
+where, for every language, one of them is over its threshold. Short texts have noisy histograms, so each has a
+guard of its own: the word histogram counts from `least_words` words on, the class histogram from `least_chars`
+bytes. Where neither counts, the verdict is the base rule's.
 
-References come from all documents, by counts summed in each task before the shuffle; only the `common`
-words of each of the `most_languages` commonest languages reach the driver.
+References come from all documents and all languages, by counts summed in each task before the shuffle; only the
+`common` words of each language reach the driver, in one pass. A reference is `common` counts, eight classes and a
+total, so many languages are no burden.
 
 Defined results: a null text has no word and fails the base rule, as every text of under 50 words does; a
 null lang is left out of the references; with no reference at all the verdict is the base rule's; repeated
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import over_texts, written
@@ -80,18 +82,26 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
 class References:
     langs: list[str]
     classes: np.ndarray  # languages x CLASSES
-    words: list[bytes]  # the common words of all languages
-    counts: np.ndarray  # languages x (words + 1): the last is all other words
+    words: list[list[bytes]]  # the common words of each language
+    counts: np.ndarray  # languages x (common + 1): the last is all other words
 
     def __post_init__(self) -> None:
-        self.place = {w: i for i, w in enumerate(self.words)}
+        self.places: dict[bytes, list[tuple[int, int]]] = {}  # of a word: languages, and its place in theirs
+        for k, own in enumerate(self.words):
+            for i, w in enumerate(own):
+                self.places.setdefault(w, []).append((k, i))
 
-    def apart(self, raw: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def class_distances(self, raw: bytes) -> np.ndarray:
+        return distance(class_counts(raw), self.classes)
+
+    def word_distances(self, words: list[bytes]) -> np.ndarray:
         n = Counter(words)
-        own = np.zeros(len(self.words))
-        for w in n.keys() & self.place.keys():
-            own[self.place[w]] = n[w]
-        return distance(class_counts(raw), self.classes), distance(np.append(own, len(words) - own.sum()), self.counts)
+        own = np.zeros(self.counts.shape)
+        for w in n.keys() & self.places.keys():
+            for k, i in self.places[w]:
+                own[k, i] = n[w]
+        own[:, -1] = len(words) - own.sum(1)
+        return distance(own, self.counts)
 
 
 @dataclass
@@ -99,55 +109,67 @@ class Rules:
     most_class: float = 0.23
     most_word: float = 0.58
     least_chars: int = 200
-    least_words: int = 50
-
-    def verdict(self, refs: References | None, raw: bytes, words: list[bytes]) -> tuple[bool, str | None, float, float]:
-        """Kept, the nearest language and the distances to it."""
-        if refs is None or not refs.langs or len(raw) < self.least_chars or len(words) < self.least_words:
-            return True, None, 0.0, 0.0
-        c, w = refs.apart(raw, words)
+    least_words: int = 80
+
+    def verdict(self, refs: References | None, raw: bytes, words: list[bytes]) -> tuple[bool, str | None, float | None, float | None]:
+        """Kept, the nearest language and the distances to it that count."""
+        by_class, by_word = len(raw) >= self.least_chars, len(words) >= self.least_words
+        if refs is None or not refs.langs or not (by_class or by_word):
+            return True, None, None, None
+        c = refs.class_distances(raw) if by_class else np.zeros(len(refs.langs))
+        w = refs.word_distances(words) if by_word else np.zeros(len(refs.langs))
         k = int(np.argmin(np.maximum(c / self.most_class, w / self.most_word)))
-        return bool(c[k] <= self.most_class and w[k] <= self.most_word), refs.langs[k], float(c[k]), float(w[k])
+        return bool(c[k] <= self.most_class and w[k] <= self.most_word), refs.langs[k], float(c[k]) if by_class else None, float(w[k]) if by_word else None
 
 
-def references(docs: DataFrame, common: int = 150, most_languages: int = 64) -> References | None:
+def references(docs: DataFrame, common: int = 150) -> References | None:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, tuple[Counter, np.ndarray, int]] = {}
-        flushed = lambda: pd.concat([pd.DataFrame({"lang": a, "kind": "w", "key": [str(k, "utf-8", "replace") for k in n], "n": list(n.values())}) for a, (n, _, _) in seen.items()] + [pd.DataFrame({"lang": a, "kind": "c", "key": [str(i) for i in range(CLASSES)], "n": c.astype(int)}) for a, (_, c, _) in seen.items()] + [pd.DataFrame({"lang": list(seen), "kind": "d", "key": "", "n": [d for _, _, d in seen.values()]})])
+        seen: dict[str, tuple[Counter, np.ndarray]] = {}
+        held = 0
+
+        def flushed() -> pd.DataFrame:
+            parts = [pd.DataFrame({"lang": a, "kind": "w", "key": [str(k, "utf-8", "replace") for k in n], "n": list(n.values())}) for a, (n, _) in seen.items()]
+            return pd.concat(parts + [pd.DataFrame({"lang": a, "kind": "c", "key": [str(i) for i in range(CLASSES)], "n": c.astype(int)}) for a, (_, c) in seen.items()])
+
         for x in batches:
             for lang, text in zip(x["lang"], x["text"], strict=True):
                 raw = text.encode("utf-8", "replace")
-                n, c, d = seen.get(lang) or (Counter(), np.zeros(CLASSES), 0)
+                n, c = seen.get(lang) or (Counter(), np.zeros(CLASSES))
+                before = len(n)
                 n.update(raw.lower().split())
-                seen[lang] = (n, c + class_counts(raw), d + 1)
-            if sum(len(n) for n, _, _ in seen.values()) > 300_000:  # a task's memory is bounded
-                yield flushed()
-                seen = {}
+                seen[lang] = (n, c + class_counts(raw))
+                held += len(n) - before
+                if held > 300_000:  # a task's memory is bounded
+                    yield flushed()
+                    seen, held = {}, 0
         if seen:
             yield flushed()
 
     counts = docs.select("lang", "text").where("lang is not null and text is not null").mapInPandas(run, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     counts = written(counts, "quality_counts")
-    langs = [r["lang"] for r in counts.where("kind = 'd'").orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
+    # Spark keeps each task's first words of a language before the shuffle.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    top = counts.where("kind = 'w'").withColumn("rank", rank).where(F.col("rank") <= common).select("lang", "rank", "key", "n").collect()
+    totals = counts.groupBy("lang").pivot("kind", ["w"]).agg(F.sum("n")).collect()
+    langs = sorted(r["lang"] for r in totals)
     if not langs:
         return None
-    langs.sort()
-    top = {a: [r["key"] for r in counts.where((F.col("kind") == "w") & (F.col("lang") == a)).orderBy(F.desc("n"), "key").limit(common).collect()] for a in langs}
-    words = sorted({w for ws in top.values() for w in ws})
-    totals = {r["lang"]: r["n"] for r in counts.where((F.col("kind") == "w") & F.col("lang").isin(langs)).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    at, of = {a: i for i, a in enumerate(langs)}, {w: i for i, w in enumerate(words)}
-    table, classes = np.zeros((len(langs), len(words) + 1)), np.zeros((len(langs), CLASSES))
-    for r in counts.where((F.col("kind") == "w") & F.col("lang").isin(langs) & F.col("key").isin(words)).collect():  # at most common * most_languages ** 2
-        table[at[r["lang"]], of[r["key"]]] = r["n"]
-    for r in counts.where((F.col("kind") == "c") & F.col("lang").isin(langs)).collect():
+    at = {a: i for i, a in enumerate(langs)}
+    words: list[list[bytes]] = [[] for _ in langs]
+    table, classes = np.zeros((len(langs), common + 1)), np.zeros((len(langs), CLASSES))
+    for r in sorted(top, key=lambda r: r["rank"]):
+        table[at[r["lang"]], len(words[at[r["lang"]]])] = r["n"]
+        words[at[r["lang"]]].append(r["key"].encode())
+    for r in totals:
+        table[at[r["lang"]], -1] = (r["w"] or 0) - table[at[r["lang"]]].sum()
+    for r in counts.where("kind = 'c'").collect():
         classes[at[r["lang"]], int(r["key"])] = r["n"]
-    table[:, -1] = [totals.get(a, 0) for a in langs] - table.sum(1)
-    return References(langs, classes, [w.encode() for w in words], table)
+    return References(langs, classes, words, table)
 
 
 def judge(docs: DataFrame, refs: References | None, rules: Rules = Rules()) -> DataFrame:
     """The counts and the verdict of every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(refs)  # bounded by common and most_languages
+    sent = docs.sparkSession.sparkContext.broadcast(refs)  # common + CLASSES numbers a language
 
     def make():
         refs = sent.value
@@ -158,7 +180,7 @@ def judge(docs: DataFrame, refs: References | None, rules: Rules = Rules()) -> D
             words = raw.split()
             counts = base_counts(text, words)
             failed = len(words) < 50 or 100 * counts[3] > 50 * len(words)
-            verdict = (False, None, 0.0, 0.0) if failed else rules.verdict(refs, raw, raw.lower().split())
+            verdict = (False, None, None, None) if failed else rules.verdict(refs, raw, raw.lower().split())
             return len(words), *counts, failed, *verdict
 
         return of

@@ -123,11 +123,15 @@ def test_streams(spark, tmp_path):
     assert spark.table("n").first()["n"] == 2
 
 
-def test_tables(spark):
-    store.create_tables(spark)
-    store.create_tables(spark)
-    h = spark.createDataFrame([(C1,)], "text string")
-    store.append_history(store.history_rows(extract(h), F.lit("a"), F.lit(None).cast("string"), F.lit("VALID")), "invoices")
-    assert spark.table("invoices").count() == 1
-    spark.sql("DROP TABLE invoices")
-    spark.sql("DROP TABLE users")
+def test_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE history_test LOCATION '{tmp_path / 'history'}'")
+    try:
+        store.create_tables(spark, "history_test")
+        store.create_tables(spark, "history_test")
+        h = spark.createDataFrame([(C1,)], "text string")
+        for more in (h.unionByName(h), h, h):
+            store.append_history(store.history_rows(extract(more), F.lit("a"), F.lit(None).cast("string"), F.lit("VALID")), "history_test.invoices")
+        t = spark.table("history_test.invoices")
+        assert t.count() == 4 and t.select("id").distinct().count() == 4  # unique over appends
+    finally:
+        spark.sql("DROP DATABASE history_test CASCADE")

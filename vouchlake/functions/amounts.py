@@ -1,179 +1,176 @@
-"""Money in lines of text. Amounts are DECIMAL(18,2): every amount that the tokenizer accepts has at most two decimals.
+"""Money in lines of text, as SQL expressions. Amounts are DECIMAL(18,2): every amount that the tokenizer accepts has at most two decimals.
 
 A document's lines stay one array in its row, so that looking at neighbouring lines needs no shuffle:
 `analyzed` turns text into array<struct<line, amts>>, and the look-ups below are expressions over that array.
+Functions take and give SQL text, for `F.expr`: one parse builds what would be thousands of calls into the JVM.
+Their lambda variables are single small letters, `line` and `num`: columns given to them need other names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .text import lines, strip
-
+# Money, the patterns of amounts and of what is no amount, stop words and total words.
 MONEY = "decimal(18,2)"
 AMOUNT = r"\b\d+(?:,\d{3})*(?:\.\d{1,2})?\b"
 CODE = r"\b(HSN|SAC)\b"
+COUNTED = "^(NOS|UNITS|PCS|QTY)"
+POSTAL = "PIN|TAMIL|NADU|CHENNAI|BANGALORE"
+SUSPECT = "HSN|SAC|NOS|UNITS|PCS|QTY|PIN|TAMIL|NADU|CHENNAI|BANGALORE"
+ITEM_STOPS = ["SUB TOTAL", "TOTAL TAXABLE", "CGST", "SGST", "IGST", "TOTAL IN WORDS", "AMOUNT IN WORDS"]
+ITEM_HEADER = ["DESCRIPTION", "AMOUNT"]
+TOTAL_WORD = r"\b(TOTAL|GRAND TOTAL|AMOUNT PAYABLE|NET PAYABLE)\b"
+TOTAL_NEAR = r"\b(TOTAL|AMOUNT\s+PAYABLE|GRAND\s+TOTAL)\b"
+TAX_COLUMN = "TAX AMOUNT"
+ROUND_OFF = "ROUND OFF"
+SIGNED = r"[+-]?\d+(?:,\d{3})*(?:\.\d{1,2})?"
+#: White space as stripping sees it: ASCII white space with the four separator controls.
+STRIP = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+ZERO = f"CAST(0 AS {MONEY})"
+
 
+def quoted(text: str) -> str:
+    """A raw SQL literal, without escapes."""
+    return f'r"{text}"' if "'" in text else f"r'{text}'"
 
-def money(x: Column) -> Column:
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, {quoted(STRIP)}, '')"
+
+
+def money(x: str) -> str:
     """A matched number as money."""
-    return F.replace(x, F.lit(","), F.lit("")).try_cast(MONEY)
+    return f"try_cast(replace({x}, ',', '') AS {MONEY})"
 
 
-def placed(line: Column, pattern: str = AMOUNT) -> Column:
-    """array<struct<num, at>> of the matches and their offsets (from 0): the pieces between matches give the offsets."""
-    nums, pieces = F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.split(line, pattern, -1)
+def there(xs: str) -> str:
+    """The elements that are not null."""
+    return f"array_compact({xs})"
 
-    def at(num: Column, i: Column) -> Column:
-        before = F.slice(pieces, F.lit(1), i + 1)
-        passed = F.slice(nums, F.lit(1), i)
-        size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-        return F.struct(num.alias("num"), (size(before) + size(passed)).alias("at"))
 
-    return F.transform(nums, at)
+def placed(line: str, pattern: str = AMOUNT) -> str:
+    """array<struct<num, at>> of the matches and their offsets (from 0): the pieces between matches give the offsets."""
+    nums, pieces = f"regexp_extract_all({line}, {quoted(pattern)}, 0)", f"split({line}, {quoted(pattern)}, -1)"
+    size = lambda xs: f"aggregate({xs}, 0, (a, s) -> a + length(s))"
+    return f"transform({nums}, (num, k) -> named_struct('num', num, 'at', {size(f'slice({pieces}, 1, k + 1)')} + {size(f'slice({nums}, 1, k)')}))"
 
 
-def _is_money(line: Column, m: Column) -> Column:
+def _is_money(line: str, m: str) -> str:
     """Whether a placed number is money: no count, product code or postal code by its surroundings."""
-    num, at = m["num"], m["at"]
-    end = at + F.length(num)
-    upper = F.upper(line)
-    whole = F.regexp_replace(F.substring_index(num, ".", 1), ",", "")
-    digits = F.length(whole)
-    after = F.upper(strip(F.substr(line, end + 1, F.lit(10))))
-    low = F.greatest(at - 20, F.lit(0))
-    around = F.substr(upper, low + 1, end + 20 - low)
-    prefix_at = F.greatest(at - 12, F.lit(0))
-    prefix = F.substr(upper, prefix_at + 1, at - prefix_at)
-    counted = after.rlike("^(NOS|UNITS|PCS|QTY)")
-    code = digits.between(4, 8) & (around.rlike(CODE) | prefix.rlike(CODE + r"\s*[:\-/]*\s*$"))
-    postal = (digits == 6) & around.rlike("PIN|TAMIL|NADU|CHENNAI|BANGALORE")
-    return ~(counted | code | postal)
-
-
-def line_amounts(line: Column) -> Column:
-    """The money amounts of a line, in order."""
-    # Lines without a digit, most of a text, skip the work.
-    found = F.transform(F.filter(placed(line), lambda m: _is_money(line, m)), lambda m: money(m["num"]))
-    return F.when(line.rlike(r"\d"), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast(f"array<{MONEY}>"))
-
-
-def analyzed(text: Column) -> Column:
+    num, at, upper = f"{m}.num", f"{m}.at", f"upper({line})"
+    end = f"({at} + length({num}))"
+    digits = f"length(replace(substring_index({num}, '.', 1), ',', ''))"
+    around = f"substr({upper}, greatest({at} - 20, 0) + 1, {end} + 20 - greatest({at} - 20, 0))"
+    prefix = f"substr({upper}, greatest({at} - 12, 0) + 1, {at} - greatest({at} - 12, 0))"
+    after = f"upper({strip(f'substr({line}, {end} + 1, 10)')})"
+    code = f"{digits} BETWEEN 4 AND 8 AND ({around} RLIKE {quoted(CODE)} OR {prefix} RLIKE {quoted(CODE + '\\s*[:\\-/]*\\s*$')})"
+    return f"NOT ({after} RLIKE {quoted(COUNTED)} OR ({code}) OR ({digits} = 6 AND {around} RLIKE {quoted(POSTAL)}))"
+
+
+def line_amounts(line: str) -> str:
+    """The money amounts of a line, in order. Lines without a digit, most of a text, skip the work; only lines with a suspect word look at surroundings."""
+    every = there(f"transform(regexp_extract_all({line}, {quoted(AMOUNT)}, 0), m -> {money('m')})")
+    kept = there(f"transform(filter({placed(line)}, m -> {_is_money(line, 'm')}), m -> {money('m.num')})")
+    return f"CASE WHEN NOT {line} RLIKE '[0-9]' THEN CAST(array() AS array<{MONEY}>) WHEN NOT upper({line}) RLIKE {quoted(SUSPECT)} THEN {every} ELSE {kept} END"
+
+
+def analyzed(text: str) -> str:
     """array<struct<line, amts>> of a text's lines."""
-    return F.transform(lines(text), lambda x: F.struct(x.alias("line"), line_amounts(x).alias("amts")))
+    return f"transform(split({text}, '\\n', -1), line -> named_struct('line', line, 'amts', {line_amounts('line')}))"
 
 
-def last(xs: Column) -> Column:
-    return F.try_element_at(xs, F.lit(-1))
+def last(xs: str) -> str:
+    return f"try_element_at({xs}, -1)"
 
 
-def first_of(xs: Column, value: Callable[[Column, Column], Column]) -> Column:
-    """The first value over the elements that is not null."""
-    return F.get(F.filter(F.transform(xs, value), lambda v: v.isNotNull()), F.lit(0))
+def first_of(xs: str, value: Callable[[str, str], str]) -> str:
+    """The first value over the elements (x, their index i) that is not null."""
+    return f"get({there(f'transform({xs}, (x, i) -> {value("x", "i")})')}, 0)"
 
 
-def has_any(line: Column, labels: list[str]) -> Column:
-    out = F.contains(line, F.lit(labels[0]))
-    for label in labels[1:]:
-        out = out | F.contains(line, F.lit(label))
-    return out
+def has_any(line: str, labels: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({line}, {quoted(x)})" for x in labels) + ")"
 
 
-def labelled(L: Column, labels: list[str]) -> Column:
+def labelled(L: str, labels: list[str]) -> str:
     """The first line with a label and an amount in it, or else in the next line: its last amount."""
-    return first_of(L, lambda x, i: F.when(has_any(x["line"], labels), F.coalesce(last(x["amts"]), last(F.get(L, i + 1)["amts"]))))
+    return first_of(L, lambda x, i: f"CASE WHEN {has_any(f'{x}.line', labels)} THEN coalesce({last(f'{x}.amts')}, {last(f'get({L}, {i} + 1).amts')}) END")
 
 
-def labelled_here(L: Column, labels: list[str]) -> Column:
+def labelled_here(L: str, labels: list[str]) -> str:
     """As `labelled`, without the next line."""
-    return first_of(L, lambda x, i: F.when(has_any(x["line"], labels), last(x["amts"])))
+    return first_of(L, lambda x, i: f"CASE WHEN {has_any(f'{x}.line', labels)} THEN {last(f'{x}.amts')} END")
 
 
-def _sum(xs: Column) -> Column:
-    return F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0).cast(MONEY), lambda a, x: (a + x).cast(MONEY)))
+def total(xs: str, value: str = "x") -> str:
+    """The sum of a value over the elements x; null where there is none."""
+    return f"CASE WHEN size({xs}) > 0 THEN aggregate({xs}, {ZERO}, (a, x) -> CAST(a + {value} AS {MONEY})) END"
 
 
-def tax_sum(L: Column, label: str) -> Column:
+def tax_sum(L: str, label: str) -> str:
     """Sum over the label's lines of their last amount; only where there is none, the most of its TOTAL lines."""
-    own = F.filter(L, lambda x: F.contains(x["line"], F.lit(label)) & (F.size(x["amts"]) > 0))
-    part = F.filter(own, lambda x: ~F.contains(x["line"], F.lit("TOTAL")))
-    total = F.filter(own, lambda x: F.contains(x["line"], F.lit("TOTAL")))
-    return F.coalesce(_sum(F.transform(part, lambda x: last(x["amts"]))), F.array_max(F.transform(total, lambda x: last(x["amts"]))))
-
-
-ITEM_STOPS = ["SUB TOTAL", "TOTAL TAXABLE", "CGST", "SGST", "IGST", "TOTAL IN WORDS", "AMOUNT IN WORDS"]
+    of = lambda no: f"transform(filter({L}, x -> contains(x.line, {quoted(label)}) AND size(x.amts) > 0 AND {no} contains(x.line, 'TOTAL')), x -> {last('x.amts')})"
+    return f"coalesce({total(of('NOT'))}, array_max({of('')}))"
 
 
-def item_sum(L: Column) -> Column:
+def item_sum(L: str) -> str:
     """Sum of the last amounts of the lines after the first item header, up to a stop word; later headers are skipped."""
-    header = lambda x: F.contains(x["line"], F.lit("DESCRIPTION")) & F.contains(x["line"], F.lit("AMOUNT"))
-    start = F.array_position(F.transform(L, header), F.lit(True)).cast("int")
-    rest = F.when(start > 0, F.slice(L, start + 1, F.size(L)))
-    stop = F.array_position(F.transform(rest, lambda x: ~header(x) & has_any(x["line"], ITEM_STOPS)), F.lit(True)).cast("int")
-    body = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
-    amounts = F.filter(F.transform(body, lambda x: F.when(~header(x), last(x["amts"]))), lambda v: v.isNotNull())
-    return _sum(amounts)
+    header = lambda x: " AND ".join(f"contains({x}.line, {quoted(h)})" for h in ITEM_HEADER)
+    step = f"""CASE WHEN a.done THEN a
+      WHEN {header('x')} THEN named_struct('open', true, 'done', false, 'sum', a.sum)
+      WHEN NOT a.open THEN a
+      WHEN {has_any('x.line', ITEM_STOPS)} THEN named_struct('open', true, 'done', true, 'sum', a.sum)
+      WHEN size(x.amts) > 0 THEN named_struct('open', true, 'done', false, 'sum', CAST(coalesce(a.sum, {ZERO}) + {last('x.amts')} AS {MONEY}))
+      ELSE a END"""
+    return f"aggregate({L}, named_struct('open', false, 'done', false, 'sum', CAST(NULL AS {MONEY})), (a, x) -> {step}, a -> a.sum)"
 
 
-def closest(values: Column, target: Column, tolerance: Column | None = None) -> Column:
+def closest(values: str, target: str, tolerance: str | None = None) -> str:
     """The value nearest to the target, the first of equals; null beyond the tolerance."""
-    best = F.array_min(F.transform(values, lambda x, i: F.struct(F.abs(x - target).alias("gap"), i.alias("i"), x.alias("x"))))
-    return best["x"] if tolerance is None else F.when(best["gap"] <= tolerance, best["x"])
+    best = f"array_min(transform({values}, (v, k) -> named_struct('gap', abs(v - ({target})), 'k', k, 'v', v)))"
+    return f"{best}.v" if tolerance is None else f"CASE WHEN {best}.gap <= {tolerance} THEN {best}.v END"
 
 
-def all_amounts(L: Column) -> Column:
-    return F.flatten(F.transform(L, lambda x: x["amts"]))
+def all_amounts(L: str) -> str:
+    return f"flatten(transform({L}, x -> x.amts))"
 
 
-TOTAL_WORD = r"\b(TOTAL|GRAND TOTAL|AMOUNT PAYABLE|NET PAYABLE)\b"
-TOTAL_NEAR = r"\b(TOTAL|AMOUNT\s+PAYABLE|GRAND\s+TOTAL)\b"
-
-
-def near_totals(L: Column, target: Column) -> Column:
+def near_totals(L: str, target: str) -> str:
     """The amount nearest to the target among the lines around each total keyword."""
-    around = F.transform(L, lambda x, i: F.when(x["line"].rlike(TOTAL_NEAR), F.flatten(F.transform(F.slice(L, F.greatest(i, F.lit(1)), F.when(i > 0, 3).otherwise(2)), lambda y: y["amts"]))))
-    return closest(F.flatten(F.filter(around, lambda a: a.isNotNull())), target)
+    around = f"transform({L}, (x, i) -> CASE WHEN x.line RLIKE {quoted(TOTAL_NEAR)} THEN flatten(transform(slice({L}, greatest(i, 1), if(i > 0, 3, 2)), y -> y.amts)) END)"
+    return closest(f"flatten({there(around)})", target)
 
 
-def search_down(L: Column, least: Column) -> Column:
+def search_down(L: str, least: str) -> str:
     """From the bottom, right to left, the first amount of a total line that is over `least`."""
-    found = F.transform(F.filter(F.reverse(L), lambda x: x["line"].rlike(TOTAL_WORD)), lambda x: F.reverse(x["amts"]))
-    return F.get(F.filter(F.flatten(found), lambda v: v > least), F.lit(0))
+    found = f"transform(filter(reverse({L}), x -> x.line RLIKE {quoted(TOTAL_WORD)}), x -> reverse(x.amts))"
+    return f"get(filter(flatten({found}), v -> v > {least}), 0)"
 
 
-def column_tax(L: Column, label: str) -> Column:
+def column_tax(L: str, label: str) -> str:
     """The label's amount in a TAX AMOUNT column: by offset within four lines, else the last number."""
-    def row(y: Column, anchor: Column) -> Column:
-        nums = placed(y["line"])
-        right = F.filter(nums, lambda m: m["at"] >= anchor)
-        return money(F.coalesce(last(right)["num"], last(nums)["num"]))
-
-    def window(x: Column, i: Column) -> Column:
-        anchor = F.nullif(F.locate("TAX AMOUNT", x["line"]), F.lit(0)) - 1
-        return F.when(F.contains(x["line"], F.lit(label)), first_of(F.slice(L, i + 1, F.lit(4)), lambda y, _: row(y, anchor)))
-
-    return first_of(L, window)
+    anchor = f"(nullif(locate({quoted(TAX_COLUMN)}, x.line), 0) - 1)"
+    row = money(f"coalesce({last(f'filter({placed("y.line")}, m -> m.at >= {anchor})')}.num, {last(placed('y.line'))}.num)")
+    window = f"get({there(f'transform(slice({L}, i + 1, 4), y -> {row})')}, 0)"
+    return first_of(L, lambda x, i: f"CASE WHEN contains(x.line, {quoted(label)}) THEN {window} END")
 
 
-def near_label_tax(L: Column, pattern: str) -> Column:
+def near_label_tax(L: str, pattern: str) -> str:
     """The last amount of the three lines after a label, else of its own line."""
-    return first_of(L, lambda x, i: F.when(x["line"].rlike(pattern), F.coalesce(first_of(F.slice(L, i + 2, F.lit(3)), lambda y, _: last(y["amts"])), last(x["amts"]))))
+    after = f"get({there(f'transform(slice({L}, i + 2, 3), y -> {last("y.amts")})')}, 0)"
+    return first_of(L, lambda x, i: f"CASE WHEN x.line RLIKE {quoted(pattern)} THEN coalesce({after}, {last('x.amts')}) END")
 
 
-def rate_tax(L: Column, tax: str) -> Column:
+def rate_tax(L: str, tax: str) -> str:
     """A tax at nine per cent near its label, else by column."""
-    return F.coalesce(near_label_tax(L, rf"(?:9\s*%\s*{tax}|{tax}\s*[:\-]?\s*9\s*%)"), column_tax(L, tax))
+    return f"coalesce({near_label_tax(L, rf'(?:9\s*%\s*{tax}|{tax}\s*[:\-]?\s*9\s*%)')}, {column_tax(L, tax)})"
 
 
-def round_off(L: Column) -> Column:
+def round_off(L: str) -> str:
     """The last signed number of the first ROUND OFF line that has one."""
-    signed = r"[+-]?\d+(?:,\d{3})*(?:\.\d{1,2})?"
-    return first_of(L, lambda x, i: F.when(F.contains(x["line"], F.lit("ROUND OFF")), money(last(F.regexp_extract_all(x["line"], F.lit(signed), F.lit(0))))))
+    return first_of(L, lambda x, i: f"CASE WHEN contains(x.line, {quoted(ROUND_OFF)}) THEN {money(last(f'regexp_extract_all(x.line, {quoted(SIGNED)}, 0)'))} END")
 
 
-def is_close(a: Column, b: Column, tolerance: float = 1.5) -> Column:
-    zero = F.lit(0).cast(MONEY)
-    return F.abs(F.coalesce(a, zero) - F.coalesce(b, zero)) <= F.lit(tolerance).cast(MONEY)
+def is_close(a: str, b: str, tolerance: float = 1.5) -> str:
+    return f"(abs(coalesce({a}, {ZERO}) - coalesce({b}, {ZERO})) <= CAST({tolerance} AS {MONEY}))"

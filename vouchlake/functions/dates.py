@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .text import strip
 
 ISO_THEN_DAY_FIRST = ["y-M-d", "d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yy", "d/M/yy", "d.M.yy", "d-MMM-yyyy", "d MMM yyyy", "d-MMM-yy", "d MMM yy", "d MMMM yyyy"]
+MONTH_FIRST = ["M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yy", "M-d-yy", "M.d.yy"]
 VOUCHER = ["d-M-yyyy", "d/M/yyyy", "yyyy-M-d", "d-MMM-yyyy", "d MMM yyyy"]
 EXPIRY = ["yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M/d/yyyy", "yyyy/M/d"]
 
@@ -17,8 +18,8 @@ def first_date(x: Column, formats: list[str]) -> Column:
 
 
 def normalized_date(x: Column) -> Column:
-    """yyyy-MM-dd: ISO first, then day-first formats; null where none fits."""
-    return F.date_format(first_date(x, ["yyyy-M-d", *ISO_THEN_DAY_FIRST[1:]]), "yyyy-MM-dd")
+    """yyyy-MM-dd: ISO first, then day-first formats, then month-first ones where the day comes second; null where none fits."""
+    return F.date_format(first_date(x, ["yyyy-M-d", *ISO_THEN_DAY_FIRST[1:], *MONTH_FIRST]), "yyyy-MM-dd")
 
 
 def voucher_date(x: Column) -> Column:

@@ -1,7 +1,8 @@
 """Field extraction from document text, and its arithmetic check, as staged DataFrame projections.
 
-No stage shuffles: a document's lines stay one array in its row. Each stage is a select of its own, so the
-line analysis, the costly expression, is computed once.
+No stage shuffles: a document's lines stay one array in its row. Each stage is a select of its own, so that the
+line analysis, the costly expression, is computed once. Look-ups stand behind a test whether the text has their
+labels at all, and what only a missing value needs is computed only there. Stages are SQL text, parsed at once.
 
 `strict` repairs two defects that the compatible mode keeps: a total that a comma-aware pattern cuts after
 three digits, and an inter-state tax that the expected total leaves out.
@@ -13,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amounts as A
-from ..functions.text import GSTIN, first_group, gstin_valid, normalize, other_identifier, strip, words_to_number
-
-MONEY = A.MONEY
+from ..functions.amounts import MONEY, ZERO, quoted
+from ..functions.text import GSTIN, gstin_valid, normalize, words_to_number
 
 # Labels, patterns and rule names of the extraction rules.
 TAXABLE_LABELS = ["TAXABLE AMOUNT", "TAXABLE VALUE", "SUB TOTAL", "BASIC AMOUNT"]
@@ -26,8 +26,14 @@ ITEM_ANCHORS = ["DESCRIPTION", "HSN", "QTY", "RATE", "AMOUNT"]
 TAX_ANCHORS = ["CGST", "SGST", "IGST"]
 TOTAL_ANCHORS = ["GRAND TOTAL", "AMOUNT PAYABLE", "TOTAL"]
 ITEM_ROW_STOPS = ["DESCRIPTION", "SUB TOTAL", "TOTAL TAXABLE", "CGST", "SGST", "IGST", "TOTAL"]
+DATE_LABELS = ["PI DATE", "ORDER REF DATE"]
+NO_DATE_LABELS = ["PRICE IS VALID TILL", "WARRANTY"]
+OTHER_IDENTIFIERS = "UDYAM|MSME|LUT|ARN"
 NUMBER_TAIL = r"\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/]*)"
 INVOICE_LABEL = r"(?:INVOICE|INV|BILL|DOC|VOUCHER|S\.?NO)\s*(?:NO|NUMBER)?\.?\s*[:\-]?\s*"
+LABELLED_NUMBERS = [r"\bPI\s*NO\b" + NUMBER_TAIL, r"\bESTIMATION\s*NO\b" + NUMBER_TAIL]
+INVOICE_NUMBERS = [r"INVOICE\s+NUMBER\s*[:\-]\s*([A-Z0-9][A-Z0-9\-/]*)", INVOICE_LABEL + r"([A-Z0-9\-/]+)"]
+FALLBACK_NUMBERS = [INVOICE_LABEL + r"([A-Z0-9][A-Z0-9\-/]*\d(?:[A-Z0-9\-/]*))", r"\b(\d{3,8}/\d{2}-\d{2})\b"]
 DATES = [r"\b\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}\b", r"\b\d{1,2}\s+[A-Z]{3,9}\s+\d{2,4}\b", r"\b\d{1,2}-[A-Z]{3}-\d{2,4}\b"]
 SHORT_NUMBER = r"(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+\.\d{2})"
 FULL_NUMBER = r"(\d+(?:,\d{3})*(?:\.\d{1,2})?)"
@@ -38,162 +44,162 @@ FINALS = [
     ("TOTAL_RUPEE_PRIORITY", r"\bTOTAL\s*₹?\s*"),
     ("TOTAL_AMOUNT_PRIORITY", r"\bTOTAL\s*AMOUNT\b[^\d]{0,25}"),
 ]
+GENERIC_TOTAL = r"TOTAL\s*[:\-]?\s*(\d+(?:,\d{3})*(?:\.\d{1,2})?)"
 SUBTOTAL = r"(?:SUB\s*TOTAL|TAXABLE\s*VALUE|TAXABLE\s*AMOUNT|BASIC\s*AMOUNT|NET\s*AMOUNT)[^\d]{0,40}(\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+\.\d{1,2}|\d+)"
+LINE_TAX = r"\b{tax}\b[^\d]{{0,20}}(\d{{1,3}}(?:,\d{{3}})+(?:\.\d{{1,2}})?|\d+\.\d{{1,2}})"
+TABLE_HEADER = ["HSN/SAC", "TAXABLE VALUE"]
 TABLE_AMOUNT = r"\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+\.\d{1,2}|\d+"
 TABLE_IGST = r"^\s*\d{4,8}\s+(\d+(?:,\d{3})*(?:\.\d{1,2})?)\s+\d{1,2}(?:\.\d{1,2})?\s*%?\s+(\d+(?:,\d{3})*(?:\.\d{1,2})?)"
-WORDS_ANCHOR = r"(TOTAL\s+INVOICE\s+VALUE\s*\(IN\s+WORDS\)|AMOUNT\s+IN\s+WORDS|TOTAL\s+IN\s+WORDS)"
 TABLE_LINES = 45
+WORDS_MASTER = r"(TOTAL\s+INVOICE\s+VALUE\s*\(IN\s+WORDS\)|AMOUNT\s+IN\s+WORDS|TOTAL\s+IN\s+WORDS)"
+WORDS_ANYWHERE = r"AMOUNT IN WORDS:\s*(.*)"
+WORDS_INLINE = ("AMOUNT IN WORDS", r"AMOUNT\s+IN\s+WORDS\s*[:\-]\s*(.+)$")
+WORDS_CHARGEABLE = ("AMOUNT CHARGEABLE (IN WORDS)", r"AMOUNT\s+CHARGEABLE\s*\(IN\s+WORDS\)\s*[:\-]?\s*(.+)$")
+ENGINE_NUMBER = r"\bINVOICE\s*(?:NO|NUMBER)?" + NUMBER_TAIL
+ENGINE_DATE = r"\bINVOICE\s*DATE\s*[:\-]?\s*(\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4})"
+ENGINE_GSTIN = rf"\bGSTIN\s*[:\-]?\s*({GSTIN})\b"
+CONF = ["invoice_number", "invoice_date", "gst_number", "taxable_amount", "cgst_amount", "sgst_amount", "igst_amount", "total_tax_amount", "round_off", "final_amount", "amount_in_words"]
+
+
+def found(x: str, pattern: str, group: int = 1) -> str:
+    """A group of the first match; null where nothing matches or the group is empty."""
+    return f"nullif(regexp_extract({x}, {quoted(pattern)}, {group}), '')"
 
 
-def _m(x) -> Column:
-    return F.lit(x).cast(MONEY)
+def _zero(x: str) -> str:
+    return f"coalesce({x}, {ZERO})"
 
 
-def _zero(x: Column) -> Column:
-    return F.coalesce(x, _m(0))
+def _missing(x: str) -> str:
+    return f"({x} IS NULL OR {x} = 0)"
 
 
-def _missing(x: Column) -> Column:
-    return x.isNull() | (x == 0)
+def _at_least(conf: str, value: float) -> str:
+    return f"greatest(coalesce({conf}, 0.0D), {value}D)"
 
 
-def _at_least(conf: Column, value: float) -> Column:
-    return F.greatest(F.coalesce(conf, F.lit(0.0)), F.lit(value))
+def _when(condition: str, value: str, other: str | None = None) -> str:
+    return f"CASE WHEN {condition} THEN {value}{f' ELSE {other}' if other else ''} END"
 
 
-def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"^[ \-:/]+|[ \-:/]+$", "")
+def _if_any(text: str, labels: list[str], value: str) -> str:
+    """A look-up that can find something only where the text has one of the labels."""
+    return _when(A.has_any(text, labels), value)
 
 
-def invoice_number(text: Column) -> Column:
+def trimmed(x: str) -> str:
+    return f"regexp_replace({x}, {quoted('^[ \\-:/]+|[ \\-:/]+$')}, '')"
+
+
+def invoice_number(text: str) -> str:
     """By the priority labels: purchase, estimation, invoice number, any invoice label; the latter two need a digit."""
-    out = []
-    for label in (r"\bPI\s*NO\b", r"\bESTIMATION\s*NO\b"):
-        c = trimmed(first_group(text, label + NUMBER_TAIL))
-        out.append(F.when(~other_identifier(c), c))
-    for pattern in (r"INVOICE\s+NUMBER\s*[:\-]\s*([A-Z0-9][A-Z0-9\-/]*)", INVOICE_LABEL + r"([A-Z0-9\-/]+)"):
-        c = trimmed(first_group(text, pattern))
-        out.append(F.when((c != "") & c.rlike(r"\d") & ~other_identifier(c), c))
-    return F.coalesce(*out)
+    cands = [f"filter(array({trimmed(found(text, p))}), c -> NOT c RLIKE {quoted(OTHER_IDENTIFIERS)})" for p in LABELLED_NUMBERS]
+    cands += [f"filter(array({trimmed(found(text, p))}), c -> c <> '' AND c RLIKE '[0-9]' AND NOT c RLIKE {quoted(OTHER_IDENTIFIERS)})" for p in INVOICE_NUMBERS]
+    return f"coalesce({', '.join(f'get({c}, 0)' for c in cands)})"
+
 
+def invoice_number_fallback(text: str) -> str:
+    cands = [f"get(filter(array({trimmed(found(text, p))}), c -> c RLIKE '[0-9]' AND NOT c RLIKE {quoted(OTHER_IDENTIFIERS)}), 0)" for p in FALLBACK_NUMBERS]
+    return f"coalesce({', '.join(cands)})"
 
-def invoice_number_fallback(text: Column) -> Column:
-    out = []
-    for pattern in (INVOICE_LABEL + r"([A-Z0-9][A-Z0-9\-/]*\d(?:[A-Z0-9\-/]*))", r"\b(\d{3,8}/\d{2}-\d{2})\b"):
-        c = trimmed(first_group(text, pattern))
-        out.append(F.when(c.rlike(r"\d") & ~other_identifier(c), c))
-    return F.coalesce(*out)
 
+def priority_date(L: str) -> str:
+    return A.first_of(L, lambda x, i: _when(f"{A.has_any('x.line', DATE_LABELS)} AND NOT {A.has_any('x.line', NO_DATE_LABELS)}", found("x.line", DATES[0], 0)))
 
-def _dated(line: Column) -> Column:
-    return ~A.has_any(line, ["PRICE IS VALID TILL", "WARRANTY"])
 
+def any_date(L: str) -> str:
+    dates = f"coalesce({', '.join(found('x.line', d, 0) for d in DATES)})"
+    return A.first_of(L, lambda x, i: _when(f"x.line RLIKE '[0-9]' AND NOT {A.has_any('x.line', NO_DATE_LABELS)}", dates))
 
-def priority_date(L: Column) -> Column:
-    return A.first_of(L, lambda x, i: F.when(_dated(x["line"]) & A.has_any(x["line"], ["PI DATE", "ORDER REF DATE"]), first_group(x["line"], DATES[0], 0)))
 
+def gstin(text: str) -> str:
+    """The first identifier-shaped word; its check character is looked at apart."""
+    return found(text, rf"\b{GSTIN}\b", 0)
 
-def any_date(L: Column) -> Column:
-    return A.first_of(L, lambda x, i: F.when(_dated(x["line"]), F.coalesce(*[first_group(x["line"], d, 0) for d in DATES])))
 
+def word_readings(text: str, L: str) -> str:
+    """What may be an amount in words, in the order of the four readings: in the line, or in the one after it."""
+    def reading(anchor: str, pattern: str, group: int) -> str:
+        return f"flatten({A.there(f'transform({L}, (x, i) -> {_when(anchor, f"array({found('x.line', pattern, group)}, get({L}, i + 1).line)")})')})"
 
-def gstin(text: Column) -> Column:
-    """The first identifier-shaped word, if its check character holds."""
-    found = first_group(text, rf"\b{GSTIN}\b", 0)
-    return F.when(gstin_valid(found), found)
+    ways = [reading(f"x.line RLIKE {quoted(WORDS_MASTER)}", WORDS_MASTER + "(.*)$", 2), f"array({found(text, WORDS_ANYWHERE)})"]
+    ways += [reading(f"contains(x.line, {quoted(label)})", pattern, 1) for label, pattern in (WORDS_INLINE, WORDS_CHARGEABLE)]
+    return _when(f"{text} RLIKE {quoted('IN\\s+WORDS')}", f"flatten(array({', '.join(ways)}))")
 
 
-def amount_in_words(text: Column, L: Column) -> Column:
-    """The first of four readings of an amount in words: in the line, or in the one after it."""
-    following = lambda i: F.get(L, i + 1)["line"]
-    master = A.first_of(L, lambda x, i: F.when(x["line"].rlike(WORDS_ANCHOR), F.coalesce(words_to_number(first_group(x["line"], WORDS_ANCHOR + "(.*)$", 2)), words_to_number(following(i)))))
-    anywhere = words_to_number(first_group(text, r"AMOUNT IN WORDS:\s*(.*)"))
-    inline = A.first_of(L, lambda x, i: F.when(F.contains(x["line"], F.lit("AMOUNT IN WORDS")), F.coalesce(words_to_number(first_group(x["line"], r"AMOUNT\s+IN\s+WORDS\s*[:\-]\s*(.+)$")), words_to_number(following(i)))))
-    chargeable = A.first_of(L, lambda x, i: F.when(F.contains(x["line"], F.lit("AMOUNT CHARGEABLE (IN WORDS)")), F.coalesce(words_to_number(first_group(x["line"], r"AMOUNT\s+CHARGEABLE\s*\(IN\s+WORDS\)\s*[:\-]?\s*(.+)$")), words_to_number(following(i)))))
-    return F.coalesce(master, anywhere, inline, chargeable).cast(MONEY)
+def amount_in_words(readings: Column) -> Column:
+    """The first reading that has a number word."""
+    return F.get(F.array_compact(F.transform(readings, words_to_number)), F.lit(0)).cast(MONEY)
 
 
-def tax_summary(L: Column) -> Column:
+def tax_summary(L: str) -> str:
     """Totals, line sums and the inter-state sum of a product-code tax table of up to 45 lines; fields are null where absent."""
-    header = lambda x: F.contains(x["line"], F.lit("HSN/SAC")) & F.contains(x["line"], F.lit("TAXABLE VALUE")) & A.has_any(x["line"], TAX_ANCHORS)
-    start = F.array_position(F.transform(L, header), F.lit(True)).cast("int")
-    table = F.slice(L, F.greatest(start, F.lit(1)), F.lit(TABLE_LINES))
-
-    def row(x: Column) -> Column:
-        line = strip(x["line"])
-        nums = F.filter(F.transform(F.regexp_extract_all(line, F.lit(TABLE_AMOUNT), F.lit(0)), A.money), lambda v: v.isNotNull())
-        code = F.floor(F.get(nums, F.lit(0))).between(1000, 99_999_999)
-        return F.struct(
-            nums.alias("nums"),
-            F.contains(line, F.lit("TOTAL")).alias("total"),
-            F.when(code, F.slice(nums, 2, TABLE_LINES * 10)).otherwise(nums).alias("row"),
-            A.money(first_group(line, TABLE_IGST, 2)).alias("igst"),
-        )
-
-    rows = F.filter(F.transform(F.when(start > 0, table), row), lambda r: F.size(r["nums"]) >= 2)
-    total = A.last(F.filter(rows, lambda r: r["total"]))
-    items = F.filter(rows, lambda r: ~r["total"] & (F.size(r["row"]) >= 2))
-    add = lambda xs, f: F.when(F.size(xs) > 0, F.aggregate(xs, _m(0), lambda a, x: (a + f(x)).cast(MONEY)))
-    rest = lambda r: F.aggregate(F.slice(r["row"], 2, TABLE_LINES * 10), _m(0), lambda a, v: (a + v).cast(MONEY))
-    return F.struct(
-        F.get(total["nums"], F.lit(0)).alias("taxable"),
-        A.last(total["nums"]).alias("tax"),
-        add(items, lambda r: F.get(r["row"], F.lit(0))).alias("line_taxable"),
-        add(items, rest).alias("line_tax"),
-        add(F.filter(rows, lambda r: r["igst"].isNotNull()), lambda r: r["igst"]).alias("igst"),
-    )
-
-
-def line_tax(L: Column, tax: str) -> Column:
-    pattern = rf"\b{tax}\b[^\d]{{0,20}}(\d{{1,3}}(?:,\d{{3}})+(?:\.\d{{1,2}})?|\d+\.\d{{1,2}})"
-    return A.first_of(L, lambda x, i: A.money(first_group(x["line"], pattern)))
-
-
-def final_ladder(text: Column, L: Column, strict: bool = False) -> Column:
+    header = " AND ".join([f"contains(x.line, {quoted(h)})" for h in TABLE_HEADER] + [A.has_any("x.line", TAX_ANCHORS)])
+    start = f"CAST(array_position(transform({L}, x -> {header}), true) AS int)"
+    nums = A.there(f"transform(regexp_extract_all({A.strip('x.line')}, {quoted(TABLE_AMOUNT)}, 0), n -> {A.money('n')})")
+    read = f"transform(slice({L}, greatest({start}, 1), {TABLE_LINES}), x -> named_struct('nums', {nums}, 'total', contains(x.line, 'TOTAL'), 'igst', {A.money(found(A.strip('x.line'), TABLE_IGST, 2))}))"
+    code = "floor(get(r.nums, 0)) BETWEEN 1000 AND 99999999"
+    rows = f"filter({_when(f'{start} > 0', read)}, r -> size(r.nums) >= 2)"
+    rows = f"transform({rows}, r -> named_struct('nums', r.nums, 'total', r.total, 'igst', r.igst, 'row', if({code}, slice(r.nums, 2, {TABLE_LINES * 10}), r.nums)))"
+    rest = f"aggregate(slice(r.row, 2, {TABLE_LINES * 10}), {ZERO}, (b, v) -> CAST(b + v AS {MONEY}))"
+    # One fold over the rows: the last total row, and the sums of the others.
+    start_sums = f"named_struct('total', CAST(NULL AS array<{MONEY}>), 'taxable', CAST(NULL AS {MONEY}), 'tax', CAST(NULL AS {MONEY}), 'igst', CAST(NULL AS {MONEY}))"
+    item = "NOT r.total AND size(r.row) >= 2"
+    plus = lambda field, condition, value: f"if({condition}, CAST({_zero(f'a.{field}')} + {value} AS {MONEY}), a.{field})"
+    step = f"named_struct('total', if(r.total, r.nums, a.total), 'taxable', {plus('taxable', item, 'get(r.row, 0)')}, 'tax', {plus('tax', item, rest)}, 'igst', {plus('igst', 'r.igst IS NOT NULL', 'r.igst')})"
+    end = f"named_struct('taxable', get(a.total, 0), 'tax', {A.last('a.total')}, 'line_taxable', a.taxable, 'line_tax', a.tax, 'igst', a.igst)"
+    return f"aggregate({rows}, {start_sums}, (a, r) -> {step}, a -> {end})"
+
+
+def line_tax(L: str, tax: str) -> str:
+    return A.first_of(L, lambda x, i: _when(f"contains(x.line, {quoted(tax)})", A.money(found("x.line", LINE_TAX.format(tax=tax)))))
+
+
+def final_ladder(text: str, L: str, strict: bool = False) -> str:
     """rule and amount of the first total pattern that matches; then the line after GRAND TOTAL; then any total."""
     number = FULL_NUMBER if strict else SHORT_NUMBER
-    out = F.lit(None).cast(f"struct<rule:string,amount:{MONEY}>")
-    after = A.first_of(L, lambda x, i: F.when(F.contains(x["line"], F.lit("GRAND TOTAL")), A.last(F.get(L, i + 1)["amts"])))
-    generic = A.money(first_group(text, r"TOTAL\s*[:\-]?\s*(\d+(?:,\d{3})*(?:\.\d{1,2})?)"))
-    ways = [(rule, A.money(first_group(text, p + number))) for rule, p in FINALS] + [(None, after), ("TOTAL_GENERIC_FALLBACK", generic)]
-    for rule, amount in reversed(ways):
-        out = F.when(amount.isNotNull(), F.struct(F.lit(rule).cast("string").alias("rule"), amount.alias("amount"))).otherwise(out)
-    return out
+    after = A.first_of(L, lambda x, i: _when("contains(x.line, 'GRAND TOTAL')", A.last(f"get({L}, i + 1).amts")))
+    # A step's value is computed only where those before it have none.
+    ways = [(quoted(rule), A.money(found(text, p + number))) for rule, p in FINALS] + [("CAST(NULL AS string)", after), ("'TOTAL_GENERIC_FALLBACK'", A.money(found(text, GENERIC_TOTAL)))]
+    steps = [f"get(filter(array(named_struct('rule', {rule}, 'amount', {amount})), w -> w.amount IS NOT NULL), 0)" for rule, amount in ways]
+    return f"coalesce({', '.join(steps)})"
 
 
-def sections(L: Column) -> Column:
+def sections(L: str) -> str:
     """Start positions (from 1) of the item, tax and total blocks, each looked for from the one before; null where absent."""
-    def find(start: Column, anchors: list[str], least: int) -> Column:
-        hits = lambda x: sum((F.contains(x["line"], F.lit(a)).cast("int") for a in anchors[1:]), F.contains(x["line"], F.lit(anchors[0])).cast("int"))
-        return A.first_of(L, lambda x, i: F.when((i + 1 >= start) & (hits(x) >= least), i + 1))
+    def hits(anchors: list[str]) -> str:
+        return " + ".join(f"CAST(contains(x.line, {quoted(a)}) AS int)" for a in anchors)
 
-    item = find(F.lit(1), ITEM_ANCHORS, 2)
-    tax = find(F.coalesce(item, F.lit(1)), TAX_ANCHORS, 1)
-    total = find(F.coalesce(tax, item, F.lit(1)), TOTAL_ANCHORS, 1)
-    return F.struct(item.alias("item"), tax.alias("tax"), total.alias("total"))
+    # One fold: the block looked for is the first that has not begun; a line may begin several.
+    item = f"coalesce(a.item, if({hits(ITEM_ANCHORS)} >= 2, a.at, NULL))"
+    mark = f"aggregate({L}, named_struct('at', 1, 'item', CAST(NULL AS int)), (a, x) -> named_struct('at', a.at + 1, 'item', {item}), a -> a.item)"
+    first = lambda anchors, start: f"get({A.there(f'transform({L}, (x, i) -> if(i + 1 >= {start} AND {A.has_any("x.line", anchors)}, i + 1, NULL))')}, 0)"
+    at_tax = f"transform(array({mark}), m -> named_struct('item', m, 'tax', {first(TAX_ANCHORS, 'coalesce(m, 1)')}))"
+    return f"get(transform({at_tax}, s -> named_struct('item', s.item, 'tax', s.tax, 'total', {first(TOTAL_ANCHORS, 'coalesce(s.tax, s.item, 1)')})), 0)"
 
 
-def block(L: Column, start: Column, end: Column | None = None) -> Column:
+def block(L: str, start: str, end: str | None = None) -> str:
     """Lines from start up to end (exclusive), or to the last; none where start is null."""
-    stop = F.coalesce(end, F.size(L) + 1) if end is not None else F.size(L) + 1
-    return F.when(start.isNotNull(), F.slice(L, start, F.greatest(stop - start, F.lit(0)))).otherwise(F.slice(L, 1, 0))
+    stop = f"coalesce({end}, size({L}) + 1)" if end else f"size({L}) + 1"
+    return _when(f"{start} IS NOT NULL", f"slice({L}, {start}, greatest({stop} - {start}, 0))", f"slice({L}, 1, 0)")
 
 
-def items(item_lines: Column) -> Column:
+def items(item_lines: str) -> str:
     """array<struct<hsn_code, description, amount>> of an item block's rows."""
-    kept = F.filter(item_lines, lambda x: ~A.has_any(x["line"], ITEM_ROW_STOPS) & (F.size(x["amts"]) > 0))
+    kept = f"filter({item_lines}, x -> size(x.amts) > 0 AND NOT {A.has_any('x.line', ITEM_ROW_STOPS)})"
+    line = A.strip("x.line")
+    words = f"regexp_replace(regexp_replace({line}, {quoted(A.AMOUNT)}, ' '), {quoted('\\s+')}, ' ')"
+    words = f"regexp_replace({words}, {quoted('^[ \\-:]+|[ \\-:]+$')}, '')"
+    code = found(line, r"\b\d{4,8}\b", 0)
+    return f"transform({kept}, x -> named_struct('hsn_code', {code}, 'description', nullif({words}, ''), 'amount', {A.last('x.amts')}))"
 
-    def item(x: Column) -> Column:
-        line = strip(x["line"])
-        words = F.regexp_replace(F.regexp_replace(line, A.AMOUNT, " "), r"\s+", " ")
-        words = F.regexp_replace(words, r"^[ \-:]+|[ \-:]+$", "")
-        return F.struct(first_group(line, r"\b\d{4,8}\b", 0).alias("hsn_code"), F.nullif(words, F.lit("")).alias("description"), A.last(x["amts"]).alias("amount"))
 
-    return F.transform(kept, item)
+def _rules(*pairs: tuple[str, str]) -> str:
+    return A.there(f"array({', '.join(_when(c, r) for c, r in pairs)})")
 
 
-def _rules(*pairs: tuple[Column, Column | str]) -> Column:
-    return F.array_compact(F.array(*[F.when(c, F.lit(r) if isinstance(r, str) else r) for c, r in pairs]))
+def _stage(d: DataFrame, keep: list[Column], **columns: str | Column) -> DataFrame:
+    return d.select(*keep, *[n if isinstance(c, str) and c == n else (F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
 
 
 def extract(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
@@ -201,188 +207,141 @@ def extract(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFr
 
     A null text gives an invoice without fields, as an empty text does.
     """
-    keep = [c for c in docs.columns]
-    d = docs.select(*keep, normalize(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    d = d.select(*keep, "_t", A.analyzed(F.col("_t")).alias("_L"))
-    t, L = F.col("_t"), F.col("_L")
-    d = d.select(
-        *keep, "_t", "_L",
-        invoice_number(t).alias("pri_no"), invoice_number_fallback(t).alias("alt_no"), gstin(t).alias("gst0"),
-        priority_date(L).alias("pri_date"), any_date(L).alias("alt_date"), amount_in_words(t, L).alias("words"), tax_summary(L).alias("s"),
-        A.labelled(L, ORDER_VALUE_LABELS).alias("order_value"), A.labelled(L, ["NET AMOUNT"]).alias("net"), A.money(first_group(t, SUBTOTAL)).alias("subtotal"),
-        A.labelled_here(L, ["FREIGHT"]).alias("freight"), A.item_sum(L).alias("item_sum"), A.tax_sum(L, "CGST").alias("cgst_sum"), A.tax_sum(L, "SGST").alias("sgst_sum"),
-        *[line_tax(L, x).alias(f"line_{x.lower()}") for x in TAX_ANCHORS], A.round_off(L).alias("ro"), final_ladder(t, L, strict).alias("f"),
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    d = _stage(docs, keep, _t=normalize(F.coalesce(F.col(text), F.lit(""))))
+    d = _stage(d, keep, _t="_t", _L=A.analyzed("_t"), _again=normalize(F.col("_t")))
+    if_any = lambda labels, value: _if_any("_t", labels, value)
+    looked = {
+        "pri_no": invoice_number("_t"), "shaped_gst": gstin("_t"), "pri_date": if_any(DATE_LABELS, priority_date("_L")), "readings": word_readings("_t", "_L"),
+        "s": if_any(TABLE_HEADER[:1], tax_summary("_L")), "order_value": if_any(ORDER_VALUE_LABELS, A.labelled("_L", ORDER_VALUE_LABELS)),
+        "net": if_any(["NET AMOUNT"], A.labelled("_L", ["NET AMOUNT"])), "subtotal": A.money(found("_t", SUBTOTAL)), "freight": if_any(["FREIGHT"], A.labelled_here("_L", ["FREIGHT"])),
+        "item_sum": if_any(["FREIGHT"], A.item_sum("_L")), "cgst_sum": if_any(["CGST"], A.tax_sum("_L", "CGST")), "sgst_sum": if_any(["SGST"], A.tax_sum("_L", "SGST")),
+        "ro": if_any([A.ROUND_OFF], A.round_off("_L")), "f": final_ladder("_t", "_L", strict),
+    }
+    d = _stage(d, keep, _t="_t", _L="_L", _again="_again", **looked)
+    names = [n for n in looked if n not in ("shaped_gst", "readings", "order_value", "net")]
+    # What only a missing value needs: a second number, any date, a tax by its line.
+    d = _stage(
+        d, keep, **{n: n for n in ("_t", "_L", "_again", *names)},
+        alt_no=_when("pri_no IS NULL", invoice_number_fallback("_t")), alt_date=_when("pri_date IS NULL", any_date("_L")),
+        gst0=F.when(gstin_valid(F.col("shaped_gst")), F.col("shaped_gst")), words=amount_in_words(F.col("readings")),
+        line_cgst=_when(f"{_missing('cgst_sum')} AND contains(_t, 'CGST')", line_tax("_L", "CGST")), line_sgst=_when(f"{_missing('sgst_sum')} AND contains(_t, 'SGST')", line_tax("_L", "SGST")),
+        line_igst=if_any(["IGST"], line_tax("_L", "IGST")), order_value="order_value", net_wins="net IS NOT NULL AND s.taxable IS NULL",
+        tx1=_when("net IS NOT NULL AND s.taxable IS NULL", "net", "coalesce(order_value, s.taxable)"),
     )
-    c = F.col
-    all_found = [x for x in d.columns if x not in keep]
+    names += ["alt_no", "alt_date", "gst0", "words", "line_cgst", "line_sgst", "line_igst", "order_value", "net_wins", "tx1"]
+    kept = {n: n for n in ("_t", "_L", "_again", *names)}
     # Taxable before taxes: order value, table total, net amount, subtotal, share of the words' total.
-    net_wins = c("net").isNotNull() & c("s.taxable").isNull()
-    near = A.closest(A.all_amounts(L), c("words") * F.lit(0.8475).cast("decimal(5,4)"), F.greatest(_m(8), c("words") * F.lit(0.02).cast("decimal(3,2)")))
-    d = d.select(
-        *keep, *all_found,
-        net_wins.alias("net_wins"),
-        F.when(net_wins, c("net")).otherwise(F.coalesce("order_value", "s.taxable")).alias("tx1"),
-    )
-    d = d.withColumn("tx2", F.coalesce("tx1", "subtotal")).withColumn("near", F.when(c("tx2").isNull(), near))
-    d = d.withColumn("tx3", F.coalesce("tx2", "near")).withColumn("tx3_conf", F.when(c("tx1").isNotNull(), 0.99).when(c("tx2").isNotNull(), 0.9).when(c("near").isNotNull(), 0.86))
-    with_freight = c("freight").isNotNull() & c("item_sum").isNotNull() & (c("tx3").isNull() | (F.abs(c("tx3") - c("item_sum")) > 1))
-    d = d.withColumn("with_freight", with_freight)
-    d = d.withColumns(
-        {
-            "tx": F.when(c("with_freight"), c("item_sum")).otherwise(c("tx3")),
-            "tx_conf": F.when(c("with_freight"), _at_least(c("tx3_conf"), 0.96)).otherwise(c("tx3_conf")),
-            "cg": F.when(_missing(c("cgst_sum")), F.coalesce(c("line_cgst"), _zero(c("cgst_sum")))).otherwise(c("cgst_sum")),
-            "sg": F.when(_missing(c("sgst_sum")), F.coalesce(c("line_sgst"), _zero(c("sgst_sum")))).otherwise(c("sgst_sum")),
-            "cg_conf": F.when(_missing(c("cgst_sum")) & c("line_cgst").isNotNull(), 0.9).when(c("cgst_sum").isNotNull(), 0.97),
-            "sg_conf": F.when(_missing(c("sgst_sum")) & c("line_sgst").isNotNull(), 0.9).when(c("sgst_sum").isNotNull(), 0.97),
-            "ig": F.coalesce(c("s.igst"), c("line_igst"), _m(0)),
-            "ig_conf": F.when(c("s.igst").isNotNull(), 0.99).when(c("line_igst").isNotNull(), 0.9),
-            "tt0": F.coalesce("s.igst", "s.tax"),
-            "tt0_conf": F.when(c("s.igst").isNotNull(), 0.99).when(c("s.tax").isNotNull(), 0.97),
-            "final0": F.coalesce("words", "f.amount"),
-            "final0_conf": F.when(c("words").isNotNull(), 0.98).when(c("f.amount").isNotNull(), 0.9),
-        }
-    )
-    both = (c("cg") != 0) & (c("sg") != 0)
-    summed = c("cg") + c("sg") + c("ig")
-    d = d.withColumns(
-        {
-            "both": both,
-            "tt": F.when(both, c("cg") + c("sg")).otherwise(F.coalesce(c("tt0"), F.when(summed > 0, summed))).cast(MONEY),
-            "tt_conf": F.when(both, _at_least(c("tt0_conf"), 0.95)).otherwise(c("tt0_conf")),
-        }
-    )
-    derived = c("final0") - c("tt") - _zero(c("ro"))
-    d = d.withColumn("derived", F.when(c("tx").isNull() & (derived > 0), derived.cast(MONEY)))
-    d = d.withColumns({"taxable": F.coalesce("tx", "derived"), "taxable_conf": F.when(c("derived").isNotNull(), _at_least(c("tx_conf"), 0.94)).otherwise(c("tx_conf"))})
-    d = d.withColumn("larger", F.when(c("final0") < c("taxable"), A.search_down(L, c("taxable"))))
-    d = d.withColumns({"final1": F.coalesce("larger", "final0"), "final1_conf": F.when(c("larger").isNotNull(), 0.92).otherwise(c("final0_conf"))})
-    computed = c("taxable") + c("cg") + c("sg") + _zero(c("ro"))
-    by_column = c("cgst_sum").isNull() & c("sgst_sum").isNull() & c("final1").isNotNull() & ~A.is_close(computed, c("final1"), 0.01)
-    d = d.withColumns({"col_cgst": F.when(by_column, A.column_tax(L, "CGST")), "col_sgst": F.when(by_column, A.column_tax(L, "SGST"))})
-    recon = c("s.line_taxable") + c("s.line_tax")
+    near = A.closest(A.all_amounts("_L"), "words * CAST(0.8475 AS decimal(5,4))", f"greatest(CAST(8 AS {MONEY}), words * CAST(0.02 AS decimal(3,2)))")
+    d = _stage(d, keep, **kept, near=_when("tx1 IS NULL AND subtotal IS NULL AND words IS NOT NULL", near), tx2="coalesce(tx1, subtotal)")
+    freight = "freight IS NOT NULL AND item_sum IS NOT NULL AND (coalesce(tx2, near) IS NULL OR abs(coalesce(tx2, near) - item_sum) > 1)"
+    own_tax = lambda t: _when(_missing(f"{t}_sum"), f"coalesce(line_{t}, {_zero(f'{t}_sum')})", f"{t}_sum")
+    own_conf = lambda t: f"CASE WHEN {_missing(f'{t}_sum')} AND line_{t} IS NOT NULL THEN 0.9D WHEN {t}_sum IS NOT NULL THEN 0.97D END"
+    d = _stage(d, keep, **kept, near="near", with_freight=freight, tx3="coalesce(tx2, near)", cg=own_tax("cgst"), sg=own_tax("sgst"), ig=f"coalesce(s.igst, line_igst, {ZERO})", final0="coalesce(words, f.amount)")
+    tx_conf = "CASE WHEN tx1 IS NOT NULL THEN 0.99D WHEN subtotal IS NOT NULL THEN 0.9D WHEN near IS NOT NULL THEN 0.86D END"
+    both = "cg <> 0 AND sg <> 0"
+    total_tax = f"CAST({_when(both, 'cg + sg', f'coalesce(s.igst, s.tax, {_when("cg + sg + ig > 0", "cg + sg + ig")})')} AS {MONEY})"
+    tt_conf = "CASE WHEN s.igst IS NOT NULL THEN 0.99D WHEN s.tax IS NOT NULL THEN 0.97D END"
+    kept |= {n: n for n in ("near", "with_freight", "cg", "sg", "ig", "final0")}
+    d = _stage(d, keep, **kept, tx=_when("with_freight", "item_sum", "tx3"), tx_conf=_when("with_freight", _at_least(tx_conf, 0.96), tx_conf), both=both, tt=total_tax, tt_conf=_when(both, _at_least(tt_conf, 0.95), tt_conf))
+    kept |= {n: n for n in ("both", "tt", "tt_conf")}
+    derived = f"final0 - tt - {_zero('ro')}"
+    d = _stage(d, keep, **kept, tx="tx", tx_conf="tx_conf", derived=_when(f"tx IS NULL AND {derived} > 0", f"CAST({derived} AS {MONEY})"))
+    d = _stage(d, keep, **kept, derived="derived", taxable="coalesce(tx, derived)", taxable_conf=_when("derived IS NOT NULL", _at_least("tx_conf", 0.94), "tx_conf"))
+    kept |= {n: n for n in ("derived", "taxable", "taxable_conf")}
+    d = _stage(d, keep, **kept, larger=_when("final0 < taxable", A.search_down("_L", "taxable")))
+    kept |= {"larger": "larger"}
+    final1 = "coalesce(larger, final0)"
+    by_column = f"cgst_sum IS NULL AND sgst_sum IS NULL AND {final1} IS NOT NULL AND NOT {A.is_close(f'taxable + cg + sg + {_zero("ro")}', final1, 0.01)}"
+    column = lambda t: _when(f"contains(_t, '{t}') AND {by_column}", A.column_tax("_L", t))
+    d = _stage(d, keep, **kept, final1=final1, col_cgst=column("CGST"), col_sgst=column("SGST"))
+    recon = "s.line_taxable + s.line_tax"
     applied = _rules(
-        (c("pri_no").isNotNull(), "INVOICE_NUMBER_LABEL_PRIORITY"), (c("pri_no").isNull() & c("alt_no").isNotNull(), "INVOICE_NO_WITH_SUFFIX"),
-        (c("pri_date").isNotNull(), "PI_OR_ORDER_REF_DATE_PRIORITY"), (c("words").isNotNull(), "MASTER_TOTAL_FROM_WORDS"),
-        (c("order_value").isNotNull(), "TOTAL_ORDER_VALUE_EXCLUDING_TAX_PRIORITY"), (c("order_value").isNull() & c("s.taxable").isNotNull(), "SUMMARY_TABLE_TOTAL_ROW_PRIORITY"),
-        (c("s.igst").isNotNull(), "IGST_SUM_FROM_HSN_SAC_TABLE"), (c("net_wins"), "NET_AMOUNT_PRIORITY"), (c("near").isNotNull(), "TAXABLE_FROM_MASTER_TOTAL_RATIO"),
-        (c("with_freight"), "TAXABLE_INCLUDES_FREIGHT_FROM_ITEMS"), (c("cgst_sum").isNotNull(), "CGST_MULTI_LINE_SUM"), (c("sgst_sum").isNotNull(), "SGST_MULTI_LINE_SUM"),
-        (c("both"), "TOTAL_TAX_FROM_9_PERCENT_COMPONENTS"), (c("ro").isNotNull(), "ROUND_OFF_CAPTURED"), (c("f.rule").isNotNull(), c("f.rule")),
-        (c("words").isNotNull(), "FINAL_FROM_AMOUNT_IN_WORDS_ANCHOR"), (c("derived").isNotNull(), "TAXABLE_DERIVED_FROM_MASTER_TOTAL_MINUS_TAX"),
-        (c("larger").isNotNull(), "REJECT_SMALL_TOTAL_AND_SEARCH_DOWN"), (recon.isNotNull() & c("final1").isNotNull(), "MATHEMATICAL_RECONCILIATION"),
-        (c("col_cgst").isNotNull() | c("col_sgst").isNotNull(), "GST_FROM_TAX_AMOUNT_COLUMN_FALLBACK"),
-    )
-    record = F.struct(
-        F.coalesce("pri_no", "alt_no").alias("invoice_number"),
-        F.coalesce("pri_date", "alt_date").alias("invoice_date"),
-        c("gst0").alias("gst_number"),
-        c("taxable").alias("taxable_amount"), c("taxable").alias("sub_total"),
-        F.coalesce("col_cgst", "cg").alias("cgst_amount"), F.coalesce("col_sgst", "sg").alias("sgst_amount"), c("ig").alias("igst_amount"),
-        c("tt").alias("total_tax_amount"), _zero(c("ro")).alias("round_off"), c("final1").alias("final_amount"), c("words").alias("amount_in_words"),
-        c("s.line_taxable").alias("line_item_taxable_sum"), c("s.line_tax").alias("line_item_tax_sum"), c("freight").alias("freight_charges"),
-        F.when(c("final1").isNotNull(), recon.cast(MONEY)).alias("reconciliation_total"),
-        F.when(recon.isNotNull() & c("final1").isNotNull(), A.is_close(recon, c("final1"), 0.01)).alias("reconciliation_passed"),
-        F.coalesce("pri_no", "alt_no").isNotNull().alias("label_match"),
-        F.struct(
-            F.when(c("pri_no").isNotNull(), 0.99).when(c("alt_no").isNotNull(), 0.95).alias("invoice_number"),
-            F.when(c("pri_date").isNotNull(), 0.99).when(c("alt_date").isNotNull(), 0.95).alias("invoice_date"),
-            F.when(c("gst0").isNotNull(), 0.95).alias("gst_number"), c("taxable_conf").alias("taxable_amount"),
-            F.when(c("col_cgst").isNotNull(), _at_least(c("cg_conf"), 0.85)).otherwise(c("cg_conf")).alias("cgst_amount"),
-            F.when(c("col_sgst").isNotNull(), _at_least(c("sg_conf"), 0.85)).otherwise(c("sg_conf")).alias("sgst_amount"),
-            c("ig_conf").alias("igst_amount"), c("tt_conf").alias("total_tax_amount"), F.when(c("ro").isNotNull(), 0.95).alias("round_off"),
-            c("final1_conf").alias("final_amount"), F.when(c("words").isNotNull(), 0.98).alias("amount_in_words"),
-        ).alias("conf"),
-        applied.alias("rules"),
-    )
-    d = d.select(*keep, "_t", "_L", record.alias("r"))
-    return validate(d, keep, strict)
-
-
-CONF = ["invoice_number", "invoice_date", "gst_number", "taxable_amount", "cgst_amount", "sgst_amount", "igst_amount", "total_tax_amount", "round_off", "final_amount", "amount_in_words"]
-
-
-def validate(d: DataFrame, keep: list[str], strict: bool = False) -> DataFrame:
-    """The checking engine over _t, _L and r: fallbacks by label and section, the sum, the last resort, confidence and rules."""
-    c, L, t = F.col, F.col("_L"), F.col("_t")
-    label = lambda key, labels: F.when(_missing(c(f"r.{key}")), A.labelled(L, labels))
-    again = normalize(t)  # the sections are those of the text normalized once more
-    d = d.withColumns(
-        {
-            "l_taxable": label("taxable_amount", TAXABLE_LABELS), "l_cgst": label("cgst_amount", ["CGST"]), "l_sgst": label("sgst_amount", ["SGST"]),
-            "l_igst": label("igst_amount", ["IGST"]), "l_final": label("final_amount", FINAL_LABELS),
-            "e_no": F.when(c("r.invoice_number").isNull(), trimmed(first_group(t, r"\bINVOICE\s*(?:NO|NUMBER)?" + NUMBER_TAIL))),
-            "e_date": F.when(c("r.invoice_date").isNull(), first_group(t, r"\bINVOICE\s*DATE\s*[:\-]?\s*(\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4})")),
-            "e_gst": F.when(c("r.gst_number").isNull(), first_group(t, rf"\bGSTIN\s*[:\-]?\s*({GSTIN})\b")),
-            "_S": F.when(again == t, L).otherwise(A.analyzed(again)),
-        }
+        ("pri_no IS NOT NULL", "'INVOICE_NUMBER_LABEL_PRIORITY'"), ("pri_no IS NULL AND alt_no IS NOT NULL", "'INVOICE_NO_WITH_SUFFIX'"),
+        ("pri_date IS NOT NULL", "'PI_OR_ORDER_REF_DATE_PRIORITY'"), ("words IS NOT NULL", "'MASTER_TOTAL_FROM_WORDS'"),
+        ("order_value IS NOT NULL", "'TOTAL_ORDER_VALUE_EXCLUDING_TAX_PRIORITY'"), ("order_value IS NULL AND s.taxable IS NOT NULL", "'SUMMARY_TABLE_TOTAL_ROW_PRIORITY'"),
+        ("s.igst IS NOT NULL", "'IGST_SUM_FROM_HSN_SAC_TABLE'"), ("net_wins", "'NET_AMOUNT_PRIORITY'"), ("near IS NOT NULL", "'TAXABLE_FROM_MASTER_TOTAL_RATIO'"),
+        ("with_freight", "'TAXABLE_INCLUDES_FREIGHT_FROM_ITEMS'"), ("cgst_sum IS NOT NULL", "'CGST_MULTI_LINE_SUM'"), ("sgst_sum IS NOT NULL", "'SGST_MULTI_LINE_SUM'"),
+        ("both", "'TOTAL_TAX_FROM_9_PERCENT_COMPONENTS'"), ("ro IS NOT NULL", "'ROUND_OFF_CAPTURED'"), ("f.rule IS NOT NULL", "f.rule"),
+        ("words IS NOT NULL", "'FINAL_FROM_AMOUNT_IN_WORDS_ANCHOR'"), ("derived IS NOT NULL", "'TAXABLE_DERIVED_FROM_MASTER_TOTAL_MINUS_TAX'"),
+        ("larger IS NOT NULL", "'REJECT_SMALL_TOTAL_AND_SEARCH_DOWN'"), (f"{recon} IS NOT NULL AND final1 IS NOT NULL", "'MATHEMATICAL_RECONCILIATION'"),
+        ("col_cgst IS NOT NULL OR col_sgst IS NOT NULL", "'GST_FROM_TAX_AMOUNT_COLUMN_FALLBACK'"),
     )
-    d = d.withColumn("at", sections(c("_S")))
-    S = c("_S")
-    d = d.withColumns(
-        {
-            "items": items(block(S, c("at.item"), F.coalesce("at.tax", "at.total"))),
-            "tax_block": block(S, c("at.tax"), c("at.total")),
-            "total_block": block(S, F.coalesce("at.tax", "at.total")),
-        }
-    )
-    d = d.withColumns(
-        {
-            **{f"b_{x}": A.tax_sum(c("tax_block"), x.upper()) for x in ("cgst", "sgst", "igst")},
-            "b_taxable": A.labelled(c("total_block"), TAXABLE_LABELS),
-            "b_ro": A.round_off(c("total_block")),
-            "b_final": A.labelled(c("total_block"), BLOCK_FINAL_LABELS),
-            "b_items": F.when(F.size("items") > 0, F.aggregate("items", _m(0), lambda a, x: (a + x["amount"]).cast(MONEY))),
-        }
-    )
-    own = {k: c(f"r.{k}_amount") for k in ("taxable", "cgst", "sgst", "igst", "final")}
-    one = {k: F.when(_missing(own[k]) & c(f"l_{k}").isNotNull(), c(f"l_{k}")).otherwise(own[k]) for k in own}
-    conf1 = {k: F.when(_missing(own[k]) & c(f"l_{k}").isNotNull(), _at_least(c(f"r.conf.{k}_amount"), 0.88)).otherwise(c(f"r.conf.{k}_amount")) for k in own}
-    d = d.withColumns({f"v1_{k}": one[k] for k in own} | {f"k1_{k}": conf1[k] for k in own})
-    fill = {k: _missing(c(f"v1_{k}")) & c(f"b_{k}").isNotNull() for k in own}
-    d = d.withColumns(
-        {f"v2_{k}": F.when(fill[k], c(f"b_{k}")).otherwise(c(f"v1_{k}")) for k in own}
-        | {f"k2_{k}": F.when(fill[k], _at_least(c(f"k1_{k}"), 0.88)).otherwise(c(f"k1_{k}")) if k != "final" else c("k1_final") for k in own}
-        | {"v_ro": F.coalesce("b_ro", "r.round_off")}
-    )
-    use_items = _missing(c("v2_taxable")) & c("b_items").isNotNull()
-    d = d.withColumns(
-        {
-            "v_taxable": F.when(use_items, c("b_items")).otherwise(c("v2_taxable")),
-            "v_sub_total": F.when(use_items, c("b_items")).when(fill["taxable"], c("b_taxable")).otherwise(c("r.sub_total")),
-            "v_gst": F.coalesce("r.gst_number", "e_gst"),
-        }
-    )
-    taxes = _zero(c("v2_cgst")) + _zero(c("v2_sgst")) + (_zero(c("v2_igst")) if strict else _m(0))
-    d = d.withColumn("expected", (_zero(c("v_taxable")) + taxes + _zero(c("v_ro"))).cast(MONEY))
-    off = F.abs(_zero(c("v2_final")) - c("expected")) > 1
-    part = F.when(_missing(c("v2_igst")), _zero(c("v2_cgst")) + _zero(c("v2_sgst"))).otherwise(c("v2_igst"))
-    d = d.withColumn("resort", F.when(off, A.near_totals(L, _zero(c("v_taxable")) + part)))
-    d = d.withColumn("v_final", F.coalesce("resort", "v2_final"))
-    d = d.withColumn("difference", (_zero(c("v_final")) - c("expected")).cast(MONEY))
-    d = d.withColumns(
-        {
-            "math_ok": F.abs("difference") <= 1,
-            "words_ok": F.coalesce(A.is_close(c("r.amount_in_words"), c("v_final"), 1.0) & c("r.amount_in_words").isNotNull() & c("v_final").isNotNull(), F.lit(False)),
-            "is_gst": c("v_gst").isNotNull() | ~_missing(c("v2_cgst")) | ~_missing(c("v2_sgst")) | ~_missing(c("v2_igst")),
-            "v_no": F.coalesce("r.invoice_number", "e_no"),
-        }
-    )
-    applied = F.concat(c("r.rules"), _rules((F.lit(True), "MATH_VALIDATION"), (c("resort").isNotNull(), "TOTAL_BLOCK_PRIORITY"), (c("words_ok"), "WORDS_TOTAL_MATCH")))
-    every = F.concat(applied, _rules((c("resort").isNull(), "TOTAL_BLOCK_PRIORITY"), (~c("words_ok"), "WORDS_TOTAL_MATCH")))
-    default = lambda k: F.coalesce(c(f"k2_{k}"), F.when(c(f"v_{k}" if k in ("taxable", "final") else f"v2_{k}").isNull(), 0.4).otherwise(0.7))
-    conf = {k: c(f"r.conf.{k}") for k in CONF} | {f"{k}_amount": default(k) for k in own}
-    confidence = F.map_filter(F.create_map(*[x for k in CONF for x in (F.lit(k), conf[k].cast("double"))]), lambda _, v: v.isNotNull())
-    label_match = c("r.label_match") | c("e_no").isNotNull()
-    overall = F.when(label_match, 0.95).when(F.coalesce(c("v_no"), F.lit("")) != "", 0.7).otherwise(0.2) + F.when(gstin_valid(c("v_gst")), 0.95).otherwise(0.2) + F.when(c("math_ok"), 0.1).otherwise(0.0) + F.when(c("words_ok"), 0.1).otherwise(0.0)
-    invoice = F.struct(
-        c("v_no").alias("invoice_number"), F.coalesce("r.invoice_date", "e_date").alias("invoice_date"), c("v_gst").alias("gst_number"),
-        c("v_taxable").alias("taxable_amount"), c("v_sub_total").alias("sub_total"), c("v2_cgst").alias("cgst_amount"), c("v2_sgst").alias("sgst_amount"),
-        c("v2_igst").alias("igst_amount"), c("r.total_tax_amount").alias("total_tax_amount"), c("v_ro").alias("round_off"), c("v_final").alias("final_amount"),
-        *[c(f"r.{x}").alias(x) for x in ("amount_in_words", "line_item_taxable_sum", "line_item_tax_sum", "freight_charges", "reconciliation_total", "reconciliation_passed")],
-        c("expected").alias("math_expected_total"), c("difference").alias("math_difference"), c("math_ok").alias("tax_math_match"), c("words_ok").alias("words_match"),
-        c("is_gst").alias("is_gst_invoice"), F.when(c("is_gst"), "GST Invoice").otherwise("Non-GST Invoice").alias("invoice_type"),
-        F.when(~c("is_gst"), "Non GST Invoice").when(c("math_ok"), "Verified").otherwise("Math Mismatch").alias("validation"),
-        (_missing(c("v_final")) | ~c("math_ok")).alias("requires_manual_review"), F.round(overall / 4, 4).alias("overall_confidence"),
-        confidence.alias("confidence"), every.alias("rules_applied"), label_match.alias("invoice_number_label_match"), c("items").alias("items"),
+    conf = {
+        "invoice_number": "CASE WHEN pri_no IS NOT NULL THEN 0.99D WHEN alt_no IS NOT NULL THEN 0.95D END", "invoice_date": "CASE WHEN pri_date IS NOT NULL THEN 0.99D WHEN alt_date IS NOT NULL THEN 0.95D END",
+        "gst_number": _when("gst0 IS NOT NULL", "0.95D"), "taxable_amount": "taxable_conf", "cgst_amount": _when("col_cgst IS NOT NULL", _at_least(own_conf("cgst"), 0.85), own_conf("cgst")),
+        "sgst_amount": _when("col_sgst IS NOT NULL", _at_least(own_conf("sgst"), 0.85), own_conf("sgst")), "igst_amount": "CASE WHEN s.igst IS NOT NULL THEN 0.99D WHEN line_igst IS NOT NULL THEN 0.9D END",
+        "total_tax_amount": "tt_conf", "round_off": _when("ro IS NOT NULL", "0.95D"), "amount_in_words": _when("words IS NOT NULL", "0.98D"),
+        "final_amount": "CASE WHEN larger IS NOT NULL THEN 0.92D WHEN words IS NOT NULL THEN 0.98D WHEN f.amount IS NOT NULL THEN 0.9D END",
+    }
+    record = {
+        "invoice_number": "coalesce(pri_no, alt_no)", "invoice_date": "coalesce(pri_date, alt_date)", "gst_number": "gst0", "taxable_amount": "taxable", "sub_total": "taxable",
+        "cgst_amount": "coalesce(col_cgst, cg)", "sgst_amount": "coalesce(col_sgst, sg)", "igst_amount": "ig", "total_tax_amount": "tt", "round_off": _zero("ro"), "final_amount": "final1",
+        "amount_in_words": "words", "line_item_taxable_sum": "s.line_taxable", "line_item_tax_sum": "s.line_tax", "freight_charges": "freight",
+        "reconciliation_total": _when("final1 IS NOT NULL", f"CAST({recon} AS {MONEY})"), "reconciliation_passed": _when(f"{recon} IS NOT NULL AND final1 IS NOT NULL", A.is_close(recon, "final1", 0.01)),
+        "label_match": "coalesce(pri_no, alt_no) IS NOT NULL", "conf": _struct(conf), "rules": applied,
+    }
+    return validate(_stage(d, keep, _t="_t", _L="_L", _again="_again", r=_struct(record)), keep, strict)
+
+
+def _struct(fields: dict[str, str]) -> str:
+    return f"named_struct({', '.join(f"'{n}', {x}" for n, x in fields.items())})"
+
+
+def validate(d: DataFrame, keep: list[Column], strict: bool = False) -> DataFrame:
+    """The checking engine over _t, _L, _again (the text normalized once more) and r: fallbacks by label and section, the sum, the last resort, confidence and rules."""
+    own = ("taxable", "cgst", "sgst", "igst", "final")
+    labels = {"taxable": TAXABLE_LABELS, "cgst": ["CGST"], "sgst": ["SGST"], "igst": ["IGST"], "final": FINAL_LABELS}
+    d = _stage(
+        d, keep, _L="_L", r="r", _S=_when("_again = _t", "_L", A.analyzed("_again")),
+        **{f"l_{k}": _when(f"{_missing(f'r.{k}_amount')} AND {A.has_any('_t', labels[k])}", A.labelled("_L", labels[k])) for k in own},
+        e_no=_when("r.invoice_number IS NULL", trimmed(found("_t", ENGINE_NUMBER))), e_date=_when("r.invoice_date IS NULL", found("_t", ENGINE_DATE)), e_gst=_when("r.gst_number IS NULL", found("_t", ENGINE_GSTIN)),
     )
-    return d.select(*keep, invoice.alias("invoice"))
+    kept = {n: n for n in ("_L", "r", "_S", *(f"l_{k}" for k in own), "e_no", "e_date", "e_gst")}
+    d = _stage(d, keep, **kept, at=sections("_S"))
+    del kept["_S"]
+    # The sections are those of the text normalized once more.
+    d = _stage(d, keep, **kept, items=items(block("_S", "at.item", "coalesce(at.tax, at.total)")), tax_block=block("_S", "at.tax", "at.total"), total_block=block("_S", "coalesce(at.tax, at.total)"))
+    v1 = {k: _when(f"{_missing(f'r.{k}_amount')} AND l_{k} IS NOT NULL", f"l_{k}", f"r.{k}_amount") for k in own}
+    k1 = {k: _when(f"{_missing(f'r.{k}_amount')} AND l_{k} IS NOT NULL", _at_least(f"r.conf.{k}_amount", 0.88), f"r.conf.{k}_amount") for k in own}
+    kept = {n: n for n in ("_L", "r", "items", "e_no", "e_date", "e_gst")}
+    d = _stage(d, keep, **kept, tax_block="tax_block", total_block="total_block", **{f"v1_{k}": v1[k] for k in own}, **{f"k1_{k}": k1[k] for k in own})
+    sums = {k: A.tax_sum("tax_block", k.upper()) for k in ("cgst", "sgst", "igst")} | {"taxable": A.labelled("total_block", TAXABLE_LABELS), "final": A.labelled("total_block", BLOCK_FINAL_LABELS)}
+    kept |= {f"{x}1_{k}": f"{x}1_{k}" for x in "vk" for k in own}
+    d = _stage(d, keep, **kept, v_ro=f"coalesce({A.round_off('total_block')}, r.round_off)", b_items=A.total("items", "x.amount"), **{f"b_{k}": _when(_missing(f"v1_{k}"), sums[k]) for k in own})
+    fill = {k: f"{_missing(f'v1_{k}')} AND b_{k} IS NOT NULL" for k in own}
+    kept = {n: n for n in ("_L", "r", "items", "e_no", "e_date", "v_ro")}
+    second = {f"v2_{k}": _when(fill[k], f"b_{k}", f"v1_{k}") for k in own} | {f"k2_{k}": _when(fill[k], _at_least(f"k1_{k}", 0.88), f"k1_{k}") if k != "final" else "k1_final" for k in own}
+    d = _stage(d, keep, **kept, **second, b_items="b_items", v_sub1=_when(fill["taxable"], "b_taxable", "r.sub_total"), v_gst="coalesce(r.gst_number, e_gst)")
+    use_items = f"{_missing('v2_taxable')} AND b_items IS NOT NULL"
+    kept |= {n: n for n in (*second, "v_gst")}
+    d = _stage(d, keep, **kept, v_taxable=_when(use_items, "b_items", "v2_taxable"), v_sub_total=_when(use_items, "b_items", "v_sub1"))
+    kept |= {n: n for n in ("v_taxable", "v_sub_total")}
+    taxes = f"{_zero('v2_cgst')} + {_zero('v2_sgst')} + {_zero('v2_igst') if strict else ZERO}"
+    d = _stage(d, keep, **kept, expected=f"CAST({_zero('v_taxable')} + ({taxes}) + {_zero('v_ro')} AS {MONEY})")
+    part = _when(_missing("v2_igst"), f"{_zero('v2_cgst')} + {_zero('v2_sgst')}", "v2_igst")
+    d = _stage(d, keep, **kept, expected="expected", resort=_when(f"abs({_zero('v2_final')} - expected) > 1", A.near_totals("_L", f"{_zero('v_taxable')} + {part}")))
+    del kept["_L"], kept["e_no"]
+    d = _stage(d, keep, **kept, e_no="e_no", expected="expected", resort="resort", v_final="coalesce(resort, v2_final)", difference=f"CAST({_zero('coalesce(resort, v2_final)')} - expected AS {MONEY})", v_no="coalesce(r.invoice_number, e_no)")
+    words_ok = f"coalesce({A.is_close('r.amount_in_words', 'v_final', 1.0)} AND r.amount_in_words IS NOT NULL AND v_final IS NOT NULL, false)"
+    is_gst = f"v_gst IS NOT NULL OR NOT {_missing('v2_cgst')} OR NOT {_missing('v2_sgst')} OR NOT {_missing('v2_igst')}"
+    kept |= {n: n for n in ("expected", "resort", "v_final", "difference", "v_no")}
+    d = _stage(d, keep, **kept, label_match="r.label_match OR e_no IS NOT NULL", math_ok="abs(difference) <= 1", words_ok=words_ok, is_gst=is_gst, gst_ok=gstin_valid(F.col("v_gst")))
+    first = _rules(("true", "'MATH_VALIDATION'"), ("resort IS NOT NULL", "'TOTAL_BLOCK_PRIORITY'"), ("words_ok", "'WORDS_TOTAL_MATCH'"))
+    later = _rules(("resort IS NULL", "'TOTAL_BLOCK_PRIORITY'"), ("NOT words_ok", "'WORDS_TOTAL_MATCH'"))
+    default = lambda k: f"coalesce(k2_{k}, if({f'v_{k}' if k in ('taxable', 'final') else f'v2_{k}'} IS NULL, 0.4D, 0.7D))"
+    conf = {k: f"r.conf.{k}" for k in CONF} | {f"{k}_amount": default(k) for k in own}
+    confidence = f"map_filter(map({', '.join(f"'{k}', CAST({conf[k]} AS double)" for k in CONF)}), (k, v) -> v IS NOT NULL)"
+    overall = "CASE WHEN label_match THEN 0.95D WHEN coalesce(v_no, '') <> '' THEN 0.7D ELSE 0.2D END + if(gst_ok, 0.95D, 0.2D) + if(math_ok, 0.1D, 0.0D) + if(words_ok, 0.1D, 0.0D)"
+    invoice = {
+        "invoice_number": "v_no", "invoice_date": "coalesce(r.invoice_date, e_date)", "gst_number": "v_gst", "taxable_amount": "v_taxable", "sub_total": "v_sub_total", "cgst_amount": "v2_cgst",
+        "sgst_amount": "v2_sgst", "igst_amount": "v2_igst", "total_tax_amount": "r.total_tax_amount", "round_off": "v_ro", "final_amount": "v_final",
+        **{x: f"r.{x}" for x in ("amount_in_words", "line_item_taxable_sum", "line_item_tax_sum", "freight_charges", "reconciliation_total", "reconciliation_passed")},
+        "math_expected_total": "expected", "math_difference": "difference", "tax_math_match": "math_ok", "words_match": "words_ok", "is_gst_invoice": "is_gst",
+        "invoice_type": "if(is_gst, 'GST Invoice', 'Non-GST Invoice')", "validation": "CASE WHEN NOT is_gst THEN 'Non GST Invoice' WHEN math_ok THEN 'Verified' ELSE 'Math Mismatch' END",
+        "requires_manual_review": f"{_missing('v_final')} OR NOT math_ok", "overall_confidence": f"round(({overall}) / 4, 4)", "confidence": confidence,
+        "rules_applied": f"concat(r.rules, {first}, {later})", "invoice_number_label_match": "label_match", "items": "items",
+    }
+    # A filter on the invoice stays above this stage: pushed below, it would copy every stage's expressions into itself.
+    # Spark keeps it there because the expression is not deterministic by name, though its value is: no partition is below 0.
+    return _stage(d, keep, invoice=_when("spark_partition_id() >= 0", _struct(invoice)))

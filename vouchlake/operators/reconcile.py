@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.amounts import MONEY, is_close
+from ..functions.amounts import MONEY
 
 __all__ = ["audit", "better_of", "choose", "confidence_mean", "gst_total", "is_close", "is_non_gst", "quota_single", "quota_bulk", "status", "tax_math"]
 
@@ -14,6 +14,10 @@ def _zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0).cast(MONEY))
 
 
+def is_close(a: Column, b: Column, tolerance: float = 1.5) -> Column:
+    return F.abs(_zero(a) - _zero(b)) <= F.lit(tolerance).cast(MONEY)
+
+
 def gst_total(cgst: Column, sgst: Column, igst: Column) -> Column:
     return (_zero(cgst) + _zero(sgst) + _zero(igst)).cast(MONEY)
 

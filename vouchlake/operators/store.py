@@ -18,7 +18,7 @@ def create_tables(spark: SparkSession, database: str = "default") -> None:
 
 
 def history_rows(invoices: DataFrame, email: Column, file_url: Column, status: Column, at: Column | None = None) -> DataFrame:
-    """Rows for the history from a DataFrame with an `invoice` struct. Ids are unique, and increase within a partition."""
+    """Rows for the history from a DataFrame with an `invoice` struct. Ids are unique among them, and increase within a partition; `append_history` sets them above a table's own."""
     inv = F.col("invoice")
     return invoices.select(
         F.monotonically_increasing_id().alias("id"),
@@ -34,6 +34,10 @@ def history_rows(invoices: DataFrame, email: Column, file_url: Column, status: C
 
 
 def append_history(rows: DataFrame, table: str) -> None:
+    """Appends history rows; their ids go on after the table's greatest, so that ids stay unique over appends by one writer."""
+    most = rows.sparkSession.table(table).agg(F.max("id")).first()[0]
+    if most is not None:
+        rows = rows.withColumn("id", F.col("id") + F.lit(most + 1))
     rows.write.mode("append").format("parquet").saveAsTable(table)
 
 

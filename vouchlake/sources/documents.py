@@ -107,17 +107,27 @@ def enough_text(text: Column, least: int = 50) -> Column:
     return F.when(F.length(strip(F.coalesce(text, F.lit("")))) < least, "OCR failed or insufficient text extracted")
 
 
+def key_values(rows: DataFrame, value: str = "value") -> DataFrame:
+    """rows with key and value of the lines with an equals sign, cut at the first."""
+    parts = F.split(F.col(value), "=", 2)
+    kept = rows.where(F.contains(value, F.lit("=")))
+    return kept.select(*[c for c in rows.columns if c != value], strip(parts[0]).alias("key"), strip(parts[1]).alias("value"))
+
+
 def settings(spark: SparkSession, path: str) -> DataFrame:
-    """key, value of the lines with an equals sign, cut at the first; the last of a repeated key is for the reader to choose."""
-    rows = spark.read.text(path).where(F.contains("value", F.lit("=")))
-    parts = F.split("value", "=", 2)
-    return rows.select(strip(parts[0]).alias("key"), strip(parts[1]).alias("value"))
+    """key, value of a settings file's lines; the last of a repeated key is for the reader to choose."""
+    return key_values(spark.read.text(path))
+
+
+def counter_rows(raw: DataFrame, value: str = "value") -> DataFrame:
+    """raw with email, n of each counter of a JSON object; what does not parse has none."""
+    counts = F.coalesce(F.from_json(F.col(value), "map<string,bigint>"), F.create_map().cast("map<string,bigint>"))
+    return raw.select(*[c for c in raw.columns if c != value], F.explode(counts).alias("email", "n"))
 
 
 def counters(spark: SparkSession, path: str) -> DataFrame:
-    """email, n of a JSON object of counters; a file that does not parse has none."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.coalesce(F.from_json("value", "map<string,bigint>"), F.create_map().cast("map<string,bigint>"))).alias("email", "n"))
+    """email, n of a JSON file of counters."""
+    return counter_rows(spark.read.text(path, wholetext=True))
 
 
 def write_counters(counts: DataFrame, path: str) -> None:

@@ -1,10 +1,14 @@
 """Language-model scoring by a weighted backoff automaton of smoothed bigrams.
 
-States are the root and one for each context word (or the text's start); an arc of a context state carries
-log10((c(a,b) + K * P(b)) / (c(a) + K)), its failure arc to the root log10(K / (c(a) + K)), and the root's
-arcs log10 P(b) with P(b) = (c(b) + 1) / (N + V + 1). Following a failure arc and then the root's arc gives
-the arc's own formula with c(a,b) = 0, so the probabilities of a state sum to one. A text is read once from
-left to right, the state being the last word; the log-probabilities met add up to its score.
+States are the root and one for each context word (or the text's start). An arc of a context state for a word that
+was seen after it carries log10((c(a,b) + K * P(b)) / (c(a) + K)); its failure arc to the root carries
+log10(K / (c(a) + K)); the root's arcs carry log10 P(b) with P(b) = (c(b) + 1) / (N + V + 1). Where a state has no
+arc for a word, the failure arc and then the root's arc are taken, which gives the formula of an arc with c(a,b) = 0:
+the probabilities of a state sum to one. Each arc leads to its word's state. A text is read once from left to right
+from the start's state, and the weights met add up to its score. As an arc's end is its word's state whatever state
+it leaves, the states along a text are its words, so a block's texts are walked all at once, as arrays.
+
+The order is two: triples would take the data that is exchanged over the disk that the job may use (README).
 
 The model grows with the corpus, so it is never gathered in one place. Documents lie in blocks of a few MB:
 
@@ -13,9 +17,10 @@ The model grows with the corpus, so it is never gathered in one place. Documents
 2. Each range adds its counts up over all blocks, and returns to a block only the totals that differ from
    the block's own counts. The words' totals also give N and V.
 3. Each block meets its documents again, recounts, overrides its counts by the totals returned, and so
-   holds exactly the states and arcs that its texts need. All counts are those of the whole corpus.
+   builds exactly the states and arcs that its texts need. All counts are those of the whole corpus.
 
-A word that every block has costs a row of a few bytes for each block, however frequent it is.
+A word that every block has costs a row of a few bytes for each block, however frequent it is. Blocks are dealt to as
+many tasks as there are blocks, so a task's data does not grow with the corpus.
 
 Defined results: a null text is an empty one, whose only token is the end; words of no learning document have
 c = 0; with no learning documents N = V = 0 and P = 1; rows that repeat are counted and scored as often as
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +175,33 @@ def _totals(rows: DataFrame, order: int, n_blocks: int) -> DataFrame:
     return counts.groupBy("range").applyInArrow(add_up, "block long, ord int, keys binary, totals binary, n long, v long")
 
 
+@dataclass
+class Automaton:
+    """States by context word, their failure weights and arcs; the root's arcs. Arcs are sorted by (state, word) keys."""
+
+    root: np.ndarray  # of each word: the weight of the root's arc
+    failure: np.ndarray  # of each state: the weight of the arc to the root
+    arcs: np.ndarray  # keys of the arcs, ascending
+    weights: np.ndarray  # of the arcs
+
+    @classmethod
+    def of(cls, c_word: np.ndarray, c_state: np.ndarray, arcs: np.ndarray, c_arc: np.ndarray, state: np.ndarray, word: np.ndarray, total: int, distinct: int, prior: float) -> Automaton:
+        """From the counts of words, states and arcs (with each arc's state and word); arcs that were never seen are left to the failure arcs."""
+        p = (c_word + 1.0) / (total + distinct + 1.0)
+        seen = c_arc > 0
+        weights = np.log10((c_arc[seen] + prior * p[word[seen]]) / (c_state[state[seen]] + prior))
+        return cls(np.log10(p), np.log10(prior / (c_state + prior)), arcs[seen], weights)
+
+    def walk(self, states: np.ndarray, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The weight of each step from a state by a word (with the key of its arc): the arc's, or the failure arc's and the root's."""
+        at = np.searchsorted(self.arcs, keys)
+        found = at < len(self.arcs)
+        found[found] = self.arcs[at[found]] == keys[found]
+        out = self.failure[states] + self.root[words]
+        out[found] = self.weights[at[found]]
+        return out
+
+
 def score(docs: DataFrame, may_learn: Column, prior: float = PRIOR, by_file: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     rows, n_blocks = _with_blocks(docs, may_learn, by_file)
@@ -176,36 +209,40 @@ def score(docs: DataFrame, may_learn: Column, prior: float = PRIOR, by_file: boo
     whole = of_words.where("block is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(whole["n"] or 0), int(whole["v"] or 0)
 
-    def traverse(x: pa.Table, arcs: pa.Table) -> pa.Table:
+    def traverse(x: pa.Table, back: pa.Table) -> pa.Table:
         words, sizes = tokens(x.column("text").to_pylist(), WordHashes())
         if not len(words):
             return OUT.empty_table()
-        before = contexts(words, sizes)
         learn = np.repeat(x.column("learn").to_numpy().astype(np.int64), sizes)
+        firsts = np.cumsum(sizes) - sizes
 
-        def totalled(order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Distinct keys of the block, their corpus counts, and the count at each token."""
-            keys, own, back, place = counted(keys, learn)
-            for o, k, t in zip(arcs.column("ord").to_pylist(), arcs.column("keys"), arcs.column("totals"), strict=True):
+        def totalled(order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Distinct keys of the block, their corpus counts, the place of each token's key, and a token of each key."""
+            keys, own, order_of, place = counted(keys, learn)
+            for o, k, t in zip(back.column("ord").to_pylist(), back.column("keys"), back.column("totals"), strict=True):
                 if o == order:
                     own[np.searchsorted(keys, _unpacked_keys(k.as_py()))] = _unpacked(t.as_py())
-            at = np.empty(len(back), np.int64)
-            at[back] = own[place]
-            return keys, own, at
-
-        keys, own, c_word = totalled(1, mixed(words))
-        c_pair = totalled(2, _pairs(words, before))[2]
-        # A state's count is that of its word; the start's is that of the end, which closes every text.
-        firsts = np.cumsum(sizes) - sizes
-        c_state = np.empty_like(c_word)
-        c_state[1:] = c_word[:-1]
-        c_state[firsts] = own[np.searchsorted(keys, mixed(np.array([END]))[0])]
-        root = (c_word + 1.0) / (n + v + 1.0)
-        step = np.log10((c_pair + prior * root) / (c_state + prior))
-        known = np.add.reduceat((c_word > 0).astype(np.int64), firsts)
-        columns = [x.column("doc_id").combine_chunks(), sizes, known, np.full(len(sizes), n), np.add.reduceat(np.log10(root), firsts), np.add.reduceat(step, firsts)]
+            at, one = np.empty(len(place), np.int64), np.empty(len(keys), np.int64)
+            at[order_of] = place
+            one[place] = order_of
+            return keys, own, at, one
+
+        word_keys, c_word, word, _ = totalled(1, mixed(words))
+        # The state before a token is that of the word before it; a text begins at the start's state, whose count is the end's: it closes every text.
+        start = len(word_keys)
+        state = np.append(start, word[:-1])
+        state[firsts] = start
+        c_state = np.append(c_word, c_word[np.searchsorted(word_keys, mixed(np.array([END]))[0])])
+        before = contexts(words, sizes)
+        steps = _pairs(words, before)
+        arcs, c_arc, _, one = totalled(2, steps)
+        automaton = Automaton.of(c_word, c_state, arcs, c_arc, state[one], word[one], n, v, prior)
+        weights = automaton.walk(state, word, steps)
+        known = np.add.reduceat((c_word[word] > 0).astype(np.int64), firsts)
+        columns = [x.column("doc_id").combine_chunks(), sizes, known, np.full(len(sizes), n), np.add.reduceat(automaton.root[word], firsts), np.add.reduceat(weights, firsts)]
         return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, OUT, strict=True)], schema=OUT)
 
-    back = of_words.unionByName(_totals(rows, 2, n_blocks)).where("block is not null").select("block", "ord", "keys", "totals")
-    dealt = rows.select("block", "doc_id", "text", F.col("learn").cast("int").alias("learn"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks)
+    back = of_words.unionByName(_totals(rows, 2, n_blocks)).where("block is not null").select("block", "ord", "keys", "totals").repartition(parts, "block")
+    dealt = rows.select("block", "doc_id", "text", F.col("learn").cast("int").alias("learn")).repartition(parts, "block")
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(traverse, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -3,10 +3,13 @@
 Patterns: assignments to a sensitive name, access key ids and long hexadecimal runs, each leftmost and
 non-overlapping, kept where long enough. These are always reported.
 
+Identifiers of the corpus (words joined by underscores or by capitals, without digits) are counted over all texts, and
+the commonest go into the dictionary beside the fixed names.
+
 Novelty: other long tokens that begin shortly after a sensitive word, which may stand inside a name, are
 candidates; `name=value` is two of them. The bytes that a candidate adds to a zstandard frame are
 `size(context + candidate) - size(context)`, where the compressor is primed with a dictionary of identifiers and
-the context is the text around the candidate. Names, paths and words that the dictionary or the surroundings
+the context is the text around the candidate, less exact copies of it: a secret that stands twice does not explain itself. Names, paths and words that the dictionary or the surroundings
 explain add little; a random credential adds as much as any random string of its alphabet (digits, hexadecimal
 digits, small letters, capitals, the signs it has) in its place. A candidate's novelty is its bytes over those of
 such strings, measured in the same context; at `least_ratio` or more it is reported as kind `novel`.
@@ -30,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_texts
+from .common import over_texts, sliced
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -80,8 +83,8 @@ class Scanner:
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
 
     def novelty(self, before: str, candidate: str, after: str) -> float:
-        """Marginal compressed bytes of the candidate among its surroundings, over those of random strings like it."""
-        around = f"{before}\n{after}\n".encode("utf-8", "replace")
+        """Marginal compressed bytes of the candidate among its surroundings without copies of it, over those of random strings like it."""
+        around = f"{before}\n{after}\n".replace(candidate, "").encode("utf-8", "replace")
         alone = len(self.compressor.compress(around))
         own, *others = (len(self.compressor.compress(around + c.encode())) - alone for c in (candidate, *alike(candidate)))
         return own * len(others) / max(1, sum(others))
@@ -145,11 +148,22 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+IDENTIFIER = r"\b[a-z]+(?:_[a-z]+)+\b|\b[A-Z]+(?:_[A-Z]+)+\b|\b[a-z]+(?:[A-Z][a-z]+)+\b|\b(?:[A-Z][a-z]+){2,}\b"
+
+
+def names_of(docs: DataFrame, most: int = 300, longest: int = 60) -> str:
+    """The fixed names, and the `most` commonest identifiers of all texts, the commonest last: a dictionary's end is nearest."""
+    found = docs.where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("name")).where(F.length("name") <= longest)
+    top = found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(most).collect()
+    return " ".join([*(r["name"] for r in reversed(top)), NAMES])
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans of every row of docs."""
+    names = names_of(docs)
 
     def make():
-        scanner = Scanner()
+        scanner = Scanner(names=names)
 
         def of(text: str | None) -> tuple:
             base, every = scanner.spans(text)
@@ -163,10 +177,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets in text replaced, and n_chars to match; texts without a secret stay as they are."""
+    names = names_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
-        for b in batches:
+        scanner = Scanner(names=names)
+        for b in sliced(batches):
             texts = [t if t is None or not (s := scanner.spans(t)[1]) else redacted(t, s) for t in b.column("text").to_pylist()]
             at = b.schema.get_field_index("text")
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))

@@ -93,6 +93,44 @@ def test_toxicity_of_long_texts(spark):
     assert rows[-1][1] in seen
 
 
+def test_toxicity_fit_is_near_the_least_loss():
+    """The loss of document labels, in plain Python: no small change of a weight betters the fit's."""
+    rows, labels = toxic_rows(150, 5)
+    texts, y = [x[1] for x in rows], [x[2] for x in labels]
+    decay = 1e-4
+    model = toxicity.fit(texts, y, most_words=60, rounds=600, decay=decay)
+    bags = [[{f for w in toxicity.words(t[a:b]) for f in toxicity.features(w)} for a, b in toxicity.sentences(t)] for t in texts]
+
+    def loss(bias, weights):
+        out = sum(decay / 2 * w * w for w in weights.values())
+        for bag, label in zip(bags, y):
+            none = sum(math.log1p(-1 / (1 + math.exp(-(bias + sum(weights.get(f, 0.0) for f in s))))) for s in bag)
+            out -= (math.log(max(1e-9, -math.expm1(none))) if label else none) / len(y)
+        return out
+
+    least = loss(model.bias, model.weights)
+    assert least < 0.05
+    r = random.Random(1)
+    for f in r.sample(sorted(model.weights), 12):
+        for by in (-0.3, 0.3):
+            assert loss(model.bias, {**model.weights, f: model.weights[f] + by}) > least - 2e-4, f
+    assert min(loss(model.bias + by, model.weights) for by in (-0.3, 0.3)) > least - 2e-4
+
+
+def test_toxicity_conflicting_and_null_labels(spark):
+    rows, labels = toxic_rows(200, 6)
+    odd = [(0, 1, 0), (None, 1, 1), (7, 1, None), (10**9, 1, 1)]  # a conflict counts as toxic; null ids, null labels and unknown ids are left out
+    schema = "doc_id long, quality int, toxic int"
+    seen = []
+    kept, toxicity.fit = toxicity.fit, lambda texts, y: seen.append((texts, y)) or kept(texts, y)
+    try:
+        toxicity.train(documents(spark, rows), spark.createDataFrame(labels, schema), F.lit(True))
+        toxicity.train(documents(spark, rows), spark.createDataFrame(labels + odd, schema), F.lit(True))
+    finally:
+        toxicity.fit = kept
+    assert seen[0] == seen[1]
+
+
 def test_noisy_or():
     m = toxicity.Model(-2.0, {"bad": 3.0})
     p = [1 / (1 + math.exp(2)), 1 / (1 + math.exp(-1))]
@@ -124,7 +162,9 @@ def test_secret_novelty_and_awkward_rows(spark):
     text = "Authorization header: bearer Zx8kQ2mV9pLr4TnW7yBc1HdJ and auth config_settings_value_1 here"
     assert [text[a:b] for a, k, b in scanner.spans(text)[1] if k == 3] == ["Zx8kQ2mV9pLr4TnW7yBc1HdJ"]
     repeated = "key Zx8kQ2mV9pLr4TnW7yBc1HdJ then auth Zx8kQ2mV9pLr4TnW7yBc1HdJ"
-    assert not [1 for _, k, _ in scanner.spans(repeated)[1] if k == 3]  # the surroundings explain it
+    assert [repeated[a:b] for a, k, b in scanner.spans(repeated)[1] if k == 3] == ["Zx8kQ2mV9pLr4TnW7yBc1HdJ"]  # its own copy does not explain it
+    twice = "auth Zx8kQ2mV9pLr4TnW7yBc1HdJ, again auth Zx8kQ2mV9pLr4TnW7yBc1HdJ"
+    assert len([1 for _, k, _ in scanner.spans(twice)[1] if k == 3]) == 2
     out = secrets.scan(documents(spark))
     assert ids(out) == IDS
     assert {r["base_sha256"] for r in out.collect() if r["doc_id"] in (5, 6)} == {hashlib.sha256(b"").hexdigest()}
@@ -157,6 +197,20 @@ def test_every_secret_candidate_within_reach_is_measured():
     assert key in novel(f"auth config_settings_value_1 {key}")  # a harmless one before it
 
 
+def test_secret_dictionary_of_the_corpus(spark):
+    """Identifiers of all texts are learned, and explain a candidate that the fixed names do not."""
+    rows = [(i, "call tenant_billing_ledger and fooBarBaz or HttpServer in retry_loop", None, None, 0, 0.0, [], 0, "") for i in range(5)] + [(9, None, None, None, None, 0.0, [], 0, "")]
+    names = secrets.names_of(documents(spark, rows))
+    assert all(x in names.split() for x in ("tenant_billing_ledger", "fooBarBaz", "HttpServer", "retry_loop")) and names.endswith(secrets.NAMES)
+    assert secrets.names_of(documents(spark, [])) == secrets.NAMES
+    text = "auth tenant_billing_ledger_v2 here"
+    plain, primed = secrets.Scanner(), secrets.Scanner(names=names)
+    assert plain.novelty("auth ", "tenant_billing_ledger_v2", " here") > 1.5 * primed.novelty("auth ", "tenant_billing_ledger_v2", " here")
+    assert not [1 for _, k, _ in primed.spans(text)[1] if k == 3]
+    odd = "token " + "a1" * 50_000 + " auth " + "9z" * 40  # very long runs
+    assert all(b <= len(odd) for _, _, b in primed.spans(odd)[1])
+
+
 # 3 ------------------------------------------------------------------- packing
 
 
@@ -259,6 +313,31 @@ def test_lm_scores_match_brute_force(spark):
     assert lm_scoring.score(documents(spark, []), F.lit(True)).count() == 0
 
 
+def test_lm_automaton_is_a_backoff_traversal():
+    """Against a traversal in plain Python: a state, its arcs, a failure arc to the root, one word after the other."""
+    r = random.Random(4)
+    c_word = {w: r.randrange(0, 9) for w in range(12)}
+    c_pair = {(a, b): r.choice([0, 0, 1, 3]) for a in range(13) for b in range(12)}
+    c_state = {**c_word, 12: 5}
+    total, distinct, prior = sum(c_word.values()), sum(n > 0 for n in c_word.values()), 4.0
+    root = {b: math.log10((c_word[b] + 1) / (total + distinct + 1)) for b in c_word}
+    arcs = {k: math.log10((n + prior * 10 ** root[k[1]]) / (c_state[k[0]] + prior)) for k, n in c_pair.items() if n}
+    text, state, want = [r.randrange(12) for _ in range(300)], 12, []
+    for w in text:
+        want.append(arcs[state, w] if (state, w) in arcs else math.log10(prior / (c_state[state] + prior)) + root[w])
+        state = w
+    keys = np.array(sorted(a * 100 + b for a, b in c_pair), np.uint64)
+    n_arc = np.array([c_pair[int(k) // 100, int(k) % 100] for k in keys])
+    made = lm_scoring.Automaton.of(np.array([c_word[w] for w in range(12)]), np.array([c_state[w] for w in range(13)]), keys, n_arc, (keys // 100).astype(int), (keys % 100).astype(int), total, distinct, prior)
+    states, words = np.array([12, *text[:-1]]), np.array(text)
+    assert made.walk(states, words, (states * 100 + words).astype(np.uint64)).tolist() == pytest.approx(want)
+    # The probabilities of a state, over all words and the unknown one, sum to one.
+    every = sum(10 ** made.walk(np.full(12, 3), np.arange(12), (300 + np.arange(12)).astype(np.uint64)))
+    unknown = prior / (c_state[3] + prior) / (total + distinct + 1)
+    unseen = sum(c_pair[3, b] for b in range(12)) / (c_state[3] + prior)
+    assert every + unknown - unseen == pytest.approx(prior / (c_state[3] + prior) * (total + 12 + 1) / (total + distinct + 1))
+
+
 def test_lm_blocks_are_bounded_in_uneven_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 20_000)
     path = str(tmp_path / "uneven")
@@ -296,6 +375,38 @@ def test_language_id_held_out(spark):
     assert {x["lang_pred"] for x in language_id.predict(documents(spark), none).collect()} == {"und"}
 
 
+def test_language_votes_match_brute_force():
+    r = np.random.default_rng(3)
+    langs = ["aa", "bb", "cc", "dd"]
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    for k in range(60):
+        w = r.normal(size=(6, language_id.DIMS + 1)).astype(np.float32)
+        if k % 3 == 0:
+            w[:] = 0  # all margins tie: each pair's first language wins it, then the first in the alphabet
+        model = language_id.Model({"fam": langs, "one": ["zz"]}, ["fam", "one"], np.array([[0.0] * language_id.DIMS + [1.0], [0.0] * language_id.DIMS + [-1.0]], np.float32), {"fam": pairs, "one": []}, {"fam": w, "one": w[:0]})
+        text = f"some text {k}"
+        x = np.append(language_id.vector(text), np.float32(1))
+        votes, sums = Counter(), Counter()
+        for (i, j), row in zip(pairs, w):
+            m = float(row @ x)
+            votes[i if m >= 0 else j] += 1
+            sums[i] += m
+            sums[j] -= m
+        best = sorted(range(4), key=lambda i: (-votes[i], -sums[i], i))[0]
+        got = model.predict(text)
+        assert got[0] == langs[best] and got[2] == "fam" and 0 <= got[1] <= 1
+    assert model.predict("² ½ 5")[0] == "und" and model.predict("ª")[0] != "und"
+
+
+def test_language_id_keeps_every_language(spark):
+    """Forty languages, more than any bound on texts a language leaves over ten of."""
+    rows = [(40 * k + a, " ".join(f"{chr(97 + a % 26)}{chr(97 + a // 26)}{chr(97 + (k * j) % 26)}q" for j in range(30)), f"l{a:02d}", "s", 0, 0.0, [], 0, "") for k in range(12) for a in range(40)]
+    model = language_id.train(documents(spark, rows), F.lit(True), sample_docs=200)
+    assert sorted(x for xs in model.langs.values() for x in xs) == [f"l{a:02d}" for a in range(40)]
+    got = [model.predict(r[1])[0] == r[2] for r in rows]
+    assert sum(got) > 0.9 * len(got)
+
+
 # 6 ----------------------------------------------------------------- chat format
 
 
@@ -395,6 +506,53 @@ def test_quality_counts_and_verdicts(spark):
     assert quality_rules.references(empty) is None and quality_rules.judge(empty, None).count() == 0
 
 
+def test_quality_verdicts_match_brute_force(spark):
+    r, rows = random.Random(12), []
+    for i in range(120):
+        lang = ["en", "fr", None][i % 3]
+        own = [f"{'le' if lang == 'fr' else 'the'}{r.randrange(60)}" if r.random() < 0.9 else f"Zz{r.randrange(10**6)}#|" for _ in range(r.choice([60, 90, 160]))]
+        if i % 10 == 0:
+            own = [f"Q{r.randrange(10**6)}%%" for _ in own]
+        rows.append((i, " ".join(own), lang, "s", 0, 0.0, [], 0, ""))
+    docs = documents(spark, rows)
+    rules = quality_rules.Rules(most_class=0.3, most_word=0.5)
+    got = {x["doc_id"]: x for x in quality_rules.judge(docs, quality_rules.references(docs, common=40), rules).collect()}
+
+    def classes(raw):
+        n = [0] * 8
+        for c in raw:
+            if not 0x80 <= c < 0xC0:
+                ch = chr(c)
+                k = 7 if c >= 0xC0 else 0 if ch in "abcdefghijklmnopqrstuvwxyz" else 1 if ch.isupper() else 2 if ch.isdigit() else 3 if ch in " \t\n\v\f\r" else 4 if ch in ".,;:!?'\"()-" else 5 if ch in "#*$%&|<>" else 6
+                n[k] += 1
+        return n
+
+    def apart(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        kl = lambda a, b: sum(x * math.log2(2 * x / (x + z)) for x, z in zip(a, b) if x)
+        return math.sqrt(max(0.0, (kl(p, q) + kl(q, p)) / 2))
+
+    refs = {}
+    for lang in ("en", "fr"):
+        raw = [x[1].encode() for x in rows if x[2] == lang]
+        words = Counter(w for t in raw for w in t.lower().split())
+        top = sorted(words, key=lambda w: (-words[w], w))[:40]
+        refs[lang] = ([sum(c) for c in zip(*map(classes, raw))], top, [words[w] for w in top] + [sum(words.values()) - sum(words[w] for w in top)])
+    seen = Counter()
+    for i, text, *_ in rows:
+        raw, words = text.encode(), text.lower().encode().split()
+        own = Counter(words)
+        ok = False
+        for c, top, q in refs.values():
+            p = [own[w] for w in top]
+            a = apart(classes(raw), c) if len(raw) >= 200 else 0
+            b = apart(p + [len(words) - sum(p)], q) if len(words) >= 80 else 0
+            ok |= a <= 0.3 and b <= 0.5
+        assert got[i]["kept"] == (ok and not got[i]["base_failed"]), i
+        seen[got[i]["kept"], len(words) >= 80] += 1
+    assert min(seen[True, True], seen[False, True], seen[True, False]) > 0
+
+
 def test_jensen_shannon_distance():
     p, q = np.array([1.0, 0, 3]), np.array([[1.0, 0, 3], [0, 5, 0]])
     assert quality_rules.distance(p, q) == pytest.approx([0, 1])
@@ -424,6 +582,25 @@ def test_shards_match_the_mixture(spark):
     assert sharding.stratified_shards(documents(spark, [])).count() == 0
 
 
+def test_shards_match_brute_force(spark):
+    r = random.Random(18)
+    rows = [(i, "x" * r.randrange(30), None, f"s{r.randrange(4)}" if i % 9 else None, 0, 0.0, [], 0, "") for i in range(500)]
+    got = {x["doc_id"]: (x["shard"], x["slot"]) for x in sharding.stratified_shards(documents(spark, rows), 24, seed=7, bucket_rows=40).collect()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    by = defaultdict(list)
+    for i, source in ((x[0], x[3]) for x in rows):
+        by["\0" if source is None else source].append((md5(f"7:{i}"), i))
+    line = []
+    for source, own in by.items():
+        start = int(md5(f"7/{source}")[:7], 16) / 16**7
+        line += [((k + start) / len(own), source, h, i) for k, (h, i) in enumerate(sorted(own))]
+    want, n = {}, len(rows)
+    for rank, (*_, i) in enumerate(sorted(line)):
+        shard = rank * 24 // n
+        want[i] = (shard, rank - (shard * n + 23) // 24)
+    assert got == want
+
+
 # 9 -------------------------------------------------------------- near duplicates
 
 

@@ -9,7 +9,9 @@ Both ranks (within a source, and over all rows) are counted in two steps: rows p
 whose running sums are a small table, then a row's place within its bucket. Buckets hold about
 `bucket_rows` rows however large a source is, so no task sees a whole source or the whole table.
 
-Only the id, source, size and checksum of a row are shuffled; the text stays in the scan.
+Only the id, source, size and checksum of a row are shuffled; the text stays in the scan. Rows that are equal in
+all four are counted before the first shuffle and ranked as one, with their number as weight; they are dealt out again,
+`bucket_rows` at a time, only when each has its fraction. So one row may be repeated without bound.
 
 Defined results: a null source is a source of its own; a null text has size 8 and the checksum of no bytes;
 null or repeated ids are rows like any other (ties are ordered by id, checksum and size); an empty table
@@ -27,8 +29,8 @@ HEX = 16
 
 
 def _ranked(rows: DataFrame, keys: list[str], bucket: str, order: list[str]) -> DataFrame:
-    """rank (from 0) and n (rows with these keys) of each row, in the order of bucket, then order."""
-    sums = rows.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("in_bucket"))
+    """rank (from 0, of its first copy) and n (copies with these keys) of each row, in the order of bucket, then order; a row counts `copies` times."""
+    sums = rows.groupBy(*keys, bucket).agg(F.sum("copies").alias("in_bucket"))
     run = Window.partitionBy(*keys).orderBy(bucket)
     sums = sums.select(
         *[F.col(k).alias(f"s_{k}") for k in keys],
@@ -36,7 +38,7 @@ def _ranked(rows: DataFrame, keys: list[str], bucket: str, order: list[str]) ->
         (F.sum("in_bucket").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_bucket")).alias("before"),
         F.sum("in_bucket").over(Window.partitionBy(*keys)).alias("n"),
     )
-    place = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)) - 1
+    place = F.sum("copies").over(Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies")
     same = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys] + [F.col(bucket) == F.col("s_bucket")]
     on = same[0]
     for c in same[1:]:
@@ -52,10 +54,12 @@ def stratified_shards(docs: DataFrame, n_shards: int = 24, seed: int = 7, bucket
         F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"),
     )
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size").cast("binary"))
+    rows = rows.groupBy("doc_id", "source", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")).withColumn("h", h)
     rows = written(rows, "shard_rows")
-    total = rows.count()
+    sums = rows.agg(F.sum("copies").alias("total"), F.max("copies").alias("most")).first()
+    total, most = int(sums["total"] or 0), int(sums["most"] or 0)
     buckets = max(1, -(-total // bucket_rows))
     digits = min(6, max(1, len(f"{buckets - 1:x}")))
     # The first hex digits of the hash cut each source into equal buckets, in the order of the hash.
@@ -63,7 +67,13 @@ def stratified_shards(docs: DataFrame, n_shards: int = 24, seed: int = 7, bucket
     ranked = _ranked(rows, ["source"], "hash_bucket", ["h", "doc_id", "text_crc32", "size"])
     # Each source starts at an offset of its own, else all sources of one row would meet at one place.
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("source")).cast("binary")), 1, 7), 16, 10).cast("double") / F.lit(float(HEX**7))
-    ranked = ranked.withColumn("fraction", (F.col("rank") + start) / F.col("n")).drop("rank", "n", "hash_bucket")
+    if most > bucket_rows:  # a row of many copies is dealt to several tasks before it is multiplied
+        ranked = ranked.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(bucket_rows).cast("long"))))
+        ranked = ranked.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "first")
+    else:
+        ranked = ranked.withColumn("first", F.lit(0).cast("long"))
+    ranked = ranked.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + bucket_rows, "copies") - 1)))
+    ranked = ranked.withColumn("fraction", (F.col("rank") + F.col("copy") + start) / F.col("n")).withColumn("copies", F.lit(1).cast("long")).drop("rank", "n", "hash_bucket", "first", "copy")
     ranked = ranked.withColumn("fraction_bucket", F.least(F.floor(F.col("fraction") * buckets), F.lit(buckets - 1)).cast("long")).withColumn("all", F.lit(0))
     placed = _ranked(ranked, ["all"], "fraction_bucket", ["fraction", "source", "h", "doc_id", "text_crc32", "size"])
     placed = placed.withColumn("shard", F.expr(f"(rank * {n_shards}) div {max(total, 1)}"))

@@ -44,8 +44,9 @@ def _sized(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """d and h tell texts apart: a null id counts as the least one, as equal texts have equal results under any id."""
+    return docs.select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
 
 
 def windows(benchmark: DataFrame, width: int) -> DataFrame:
@@ -96,27 +97,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, slop: int = 4) -> DataFrame:
-    """Words, hit words, items and verdict of every row of docs. contaminated: a hit, and share * n_hit >= n_words."""
+    """Words, hit words, items, verdict, phrase and proximity matches of every row of docs.
+
+    contaminated: a hit, and share * n_hit >= n_words. n_phrases: windows that occur, at each start; n_near: windows whose
+    two rarest terms stand up to `slop` words from their places.
+    """
     phrases, near, of_items = matches(docs, benchmark, width, slop)
     # The union of the matches' positions, by what each adds beyond those before it.
-    spans = phrases.groupBy("d", "h", "start").agg(F.max("len").alias("len"))
+    spans = phrases.groupBy("d", "h", "start").agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("phrases"))
     before = F.max(F.col("start") + F.col("len")).over(Window.partitionBy("d", "h").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     end = F.col("start") + F.col("len")
-    hits = spans.withColumn("new", F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))).groupBy("d", "h").agg(F.sum("new").cast("long").alias("n_hit"))
+    hits = spans.withColumn("new", F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))).groupBy("d", "h").agg(F.sum("new").cast("long").alias("n_hit"), F.sum("phrases").alias("n_phrases"))
     items = phrases.select("d", "h", "window").join(of_items, "window").groupBy("d", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
     close = near.groupBy("d", "h").agg(F.count(F.lit(1)).alias("n_near"))
     found = hits.join(items, ["d", "h"]).join(close, ["d", "h"], "full")
-    counted = _keyed(docs).select("d", "h", F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    counted = _keyed(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "d", "h", F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
     out = counted.join(found, ["d", "h"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     none = F.array().cast("array<string>")
     return out.select(
-        F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"),
+        "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("items", none), ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("n_phrases", F.lit(0)).cast("long").alias("n_phrases"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.coalesce("items", none).alias("items"),
         "h",

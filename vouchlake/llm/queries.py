@@ -27,12 +27,24 @@ lens AS (SELECT DISTINCT n FROM wins),
 doc_wins AS (
   SELECT r, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS win
   FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, lens WHERE len(w) >= n)),
-found AS (SELECT d.r, d.n, d.k, i.item FROM doc_wins d JOIN wins i ON d.n = i.n AND d.win = i.win),
+found AS (SELECT d.r, d.n, d.k, d.win, i.item FROM doc_wins d JOIN wins i ON d.n = i.n AND d.win = i.win),
 hits AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS q FROM found) GROUP BY r),
+phrases AS (SELECT r, count(DISTINCT (k, win)) AS n_phrases FROM found GROUP BY r),
+-- Proximity: the two rarest terms of a window, up to four words from their places.
+tokens AS (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM docs),
+places AS (SELECT n, win, unnest(string_split(win, ' ')) AS term, generate_subscripts(string_split(win, ' '), 1) - 1 AS off FROM (SELECT DISTINCT n, win FROM wins)),
+counts AS (SELECT term, count(*) AS c FROM tokens WHERE term IN (SELECT term FROM places) GROUP BY term),
+ranked AS (
+  SELECT n, win, term, off, row_number() OVER (PARTITION BY win ORDER BY c, off) AS which, min(coalesce(c, 0)) OVER (PARTITION BY win) AS least
+  FROM places LEFT JOIN counts USING (term)),
+starts AS (SELECT r, n, win, pos - off AS s, which FROM tokens JOIN (SELECT * FROM ranked WHERE which <= 2 AND least > 0) USING (term)),
+lagged AS (SELECT *, s - lag(s) OVER v AS gap, lag(which) OVER v AS other FROM starts WINDOW v AS (PARTITION BY r, win ORDER BY s, which)),
+near AS (SELECT r, count(DISTINCT win) AS n_near FROM lagged WHERE s >= 0 AND n > 1 AND other <> which AND gap BETWEEN 1 AND 4 GROUP BY r),
 named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(n_phrases, 0) AS n_phrases, coalesce(n_near, 0) AS n_near
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r) LEFT JOIN phrases USING (r) LEFT JOIN near USING (r)
 """
 
 ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL}
@@ -88,7 +100,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_phrases", "n_near")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

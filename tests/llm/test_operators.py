@@ -582,14 +582,27 @@ def test_shards_match_the_mixture(spark):
     assert sharding.stratified_shards(documents(spark, [])).count() == 0
 
 
+def test_shards_of_rows_that_repeat(spark):
+    """One row 900 times, over any bucket, among others: every copy has a place, and sources stay mixed."""
+    rows = [(5, "same", None, "hot", 0, 0.0, [], 0, "")] * 900 + [(None, None, None, None, None, 0.0, [], 0, "")] * 150 + [(5, f"other {k}", None, "hot", 0, 0.0, [], 0, "") for k in range(150)]
+    out = sharding.stratified_shards(documents(spark, rows), 24, bucket_rows=50).collect()
+    by = defaultdict(list)
+    for x in out:
+        by[x["shard"]].append(x)
+    assert len(out) == 1200 and {len(b) for b in by.values()} == {50} and all(sorted(x["slot"] for x in b) == list(range(50)) for b in by.values())
+    assert Counter((x["doc_id"], x["size"]) for x in out)[5, 12] == 900
+    hot = [sum(x["source"] == "hot" for x in b) for b in by.values()]
+    assert max(hot) - min(hot) <= 2
+
+
 def test_shards_match_brute_force(spark):
     r = random.Random(18)
     rows = [(i, "x" * r.randrange(30), None, f"s{r.randrange(4)}" if i % 9 else None, 0, 0.0, [], 0, "") for i in range(500)]
     got = {x["doc_id"]: (x["shard"], x["slot"]) for x in sharding.stratified_shards(documents(spark, rows), 24, seed=7, bucket_rows=40).collect()}
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     by = defaultdict(list)
-    for i, source in ((x[0], x[3]) for x in rows):
-        by["\0" if source is None else source].append((md5(f"7:{i}"), i))
+    for i, text, source in ((x[0], x[1], x[3]) for x in rows):
+        by["\0" if source is None else source].append((md5(f"7:{i}:{zlib.crc32(text.encode())}:{len(text) + 8}"), i))
     line = []
     for source, own in by.items():
         start = int(md5(f"7/{source}")[:7], 16) / 16**7
@@ -758,11 +771,27 @@ def test_decontamination_matches_brute_force(spark):
     out = decontamination.decontaminate(documents(spark, rows), bench).collect()
     got = Counter((x["doc_id"], x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in out)
     assert got == brute_hits([(x[0], x[1]) for x in rows], items)
+    assert all((x["n_phrases"] > 0) == (x["n_hit"] > 0) for x in out)
+    least = decontamination.decontaminate(documents(spark, [(-(2**63), "one two three", *rows[0][2:]), (None, "one two three", *rows[0][2:])]), bench).collect()
+    assert {x["doc_id"] for x in least} == {-(2**63), None} and all(x["n_hit"] == 3 for x in least)
     none = decontamination.decontaminate(documents(spark), bench.limit(0)).collect()
     assert len(none) == len(awkward()) and not any(x["contaminated"] for x in none)
     assert decontamination.decontaminate(documents(spark, []), bench).count() == 0
 
 
+def test_proximity_matches(spark):
+    """The two rarest words of a window, one word out of place: no phrase, but a near match; too far apart: neither."""
+    item = " ".join(f"k{i}" for i in range(13))
+    words = item.split()
+    near, far = words[:7] + ["more"] + words[7:], words[:7] + ["x"] * 9 + words[7:]
+    rows = [(i, " ".join(w), None, None, 0, 0.0, [], 0, "") for i, w in enumerate((words, near, far, words[1:12] * 3))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {x["doc_id"]: x for x in decontamination.decontaminate(documents(spark, rows), bench).collect()}
+    assert got[0]["n_phrases"] == 1 and got[0]["n_near"] == 0 and got[0]["contaminated"]
+    assert got[1]["n_phrases"] == 0 and got[1]["n_near"] == 1 and not got[1]["contaminated"]
+    assert got[2]["n_phrases"] == 0 and got[2]["n_near"] == 0
+
+
 def test_big_ids_stay_exact(spark):
     for out in (secrets.scan(documents(spark)), packing.pack(documents(spark)), near_duplicates.near_duplicates(documents(spark)), lm_scoring.score(documents(spark), F.lit(True))):
         assert BIG in {x["doc_id"] for x in out.collect()}

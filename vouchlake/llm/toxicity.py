@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, over_texts
+from .common import hash_sample, over_texts, sliced
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
@@ -209,7 +209,7 @@ def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         document = Model(*sent.value).document
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([document(t)[0] < threshold for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -13,8 +13,9 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, STRIP, "")
 
 
-def null_if_empty(x: Column) -> Column:
-    return F.when(x != "", x)
+def first_available(*values: Column, default: Column | None = None) -> Column:
+    """The first value that is neither null nor empty, else the default."""
+    return F.coalesce(*[F.when(v.cast("string") != "", v) for v in values], *([default] if default is not None else []))
 
 
 def first_group(x: Column, pattern: str, group: int = 1) -> Column:
@@ -106,9 +107,14 @@ def gstin_valid(gstin: Column) -> Column:
     return F.coalesce(x.rlike("^[0-9A-Z]{15}$") & (place(F.lit(15)) == check), F.lit(False))
 
 
+# Names of registrations other than an invoice; status words of the badges, in order.
+OTHER_IDENTIFIERS = "UDYAM|MSME|LUT|ARN"
+BADGES = {"VALID": "success", "MISSING": "warning", "MISMATCH": "error"}
+
+
 def other_identifier(x: Column) -> Column:
     """Whether a value names a registration other than an invoice."""
-    return x.rlike("UDYAM|MSME|LUT|ARN")
+    return x.rlike(OTHER_IDENTIFIERS)
 
 
 def email_key(email: Column) -> Column:
@@ -152,4 +158,5 @@ def percent(score: Column) -> Column:
 
 
 def status_badge(status: Column) -> Column:
-    return F.when(F.contains(status, F.lit("VALID")), "success").when(F.contains(status, F.lit("MISSING")), "warning").when(F.contains(status, F.lit("MISMATCH")), "error").otherwise("info")
+    """The badge of the first word that the status contains, else `info`."""
+    return F.coalesce(*[F.when(F.contains(status, F.lit(word)), badge) for word, badge in BADGES.items()], F.lit("info"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts as A
 from ..functions.amounts import MONEY, ZERO, quoted
-from ..functions.text import GSTIN, gstin_valid, normalize, words_to_number
+from ..functions.text import GSTIN, OTHER_IDENTIFIERS, gstin_valid, normalize, words_to_number
 
 # Labels, patterns and rule names of the extraction rules.
 TAXABLE_LABELS = ["TAXABLE AMOUNT", "TAXABLE VALUE", "SUB TOTAL", "BASIC AMOUNT"]
@@ -28,7 +28,6 @@ TOTAL_ANCHORS = ["GRAND TOTAL", "AMOUNT PAYABLE", "TOTAL"]
 ITEM_ROW_STOPS = ["DESCRIPTION", "SUB TOTAL", "TOTAL TAXABLE", "CGST", "SGST", "IGST", "TOTAL"]
 DATE_LABELS = ["PI DATE", "ORDER REF DATE"]
 NO_DATE_LABELS = ["PRICE IS VALID TILL", "WARRANTY"]
-OTHER_IDENTIFIERS = "UDYAM|MSME|LUT|ARN"
 NUMBER_TAIL = r"\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/]*)"
 INVOICE_LABEL = r"(?:INVOICE|INV|BILL|DOC|VOUCHER|S\.?NO)\s*(?:NO|NUMBER)?\.?\s*[:\-]?\s*"
 LABELLED_NUMBERS = [r"\bPI\s*NO\b" + NUMBER_TAIL, r"\bESTIMATION\s*NO\b" + NUMBER_TAIL]

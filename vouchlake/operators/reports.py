@@ -48,11 +48,11 @@ def bulk_rows(df: DataFrame, name: Column, status: Column, error: Column, output
     return df.select(*[(F.when(ok, v).otherwise(bad[k]) if k in bad else F.when(ok, v)).alias(n) for k, (v, n) in enumerate(zip(good, BULK, strict=True))])
 
 
-def batch_summary(bulk: DataFrame) -> DataFrame:
-    """The 9-column summary of bulk rows: taxes added up, numbers and dates coerced."""
+def batch_summary(bulk: DataFrame, *more: str) -> DataFrame:
+    """The 9-column summary of bulk rows: taxes added up, numbers and dates coerced; with `more` columns of theirs, as they are."""
     gst = gst_total(*[F.col(k).cast(MONEY) for k in ("CGST", "SGST", "IGST")]).cast("double")
     values = [_none(), F.col("Invoice No"), normalized_date(F.col("Date")).cast("date"), F.col("Taxable Value").try_cast("double"), gst, F.col("Total").try_cast("double"), F.col("Source File Name"), F.col("Validation Status"), F.col("Confidence Score").try_cast("double")]
-    return bulk.select(*[v.alias(n) for v, n in zip(values, BATCH, strict=True)])
+    return bulk.select(*[v.alias(n) for v, n in zip(values, BATCH, strict=True)], *[F.col(f"`{m}`") for m in more])
 
 
 def column_widths(df: DataFrame) -> DataFrame:

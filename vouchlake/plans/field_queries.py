@@ -207,7 +207,7 @@ def final_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tax_math", """
 SELECT o_orderkey, abs(CAST(o_totalprice AS decimal(18,2)) - e) <= 0.01 AS valid, CAST(e AS double) AS expected, CAST(CAST(o_totalprice AS decimal(18,2)) - e AS double) AS difference,
-  concat_ws(',', CASE WHEN o_orderkey % 2 = 0 THEN 'gst_number' END, CASE WHEN o_totalprice > 0.005 THEN 'taxable_amount' END, CASE WHEN o_totalprice > 0.005 THEN 'final_amount' END) AS notes FROM (
+  concat_ws(',', CASE WHEN o_orderkey % 2 = 0 THEN 'gst_number' END, CASE WHEN o_totalprice > 0.005 THEN 'taxable_amount' END, CASE WHEN o_totalprice > 0.005 THEN 'final_amount' END) AS notes, o_orderkey % 2 = 1 AND o_orderkey % 4 IN (0, 3) AS non_gst FROM (
   SELECT *, CAST(o_totalprice AS decimal(18,2)) - 3 + CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END + CASE WHEN o_orderkey % 3 = 0 THEN CAST(0.01 AS decimal(18,2)) ELSE 0 END AS e FROM orders)""")
 def tax_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tax check with a total tax, an inter-state tax, both halves or none; and the notes on the fields that were found."""
@@ -218,16 +218,17 @@ def tax_math(spark: SparkSession, sf_dir: str) -> DataFrame:
         m(price - 3).alias("taxable_amount"), m(F.when(k == 0, 3)).alias("total_tax_amount"), m(F.when(k == 1, 2)).alias("igst_amount"), m(F.when(k == 2, 1)).alias("cgst_amount"), m(F.when(k == 2, 2)).alias("sgst_amount"),
         m(F.when(F.col("o_orderkey") % 3 == 0, F.lit(0.01))).alias("round_off"), price.alias("final_amount"), F.when(F.col("o_orderkey") % 2 == 0, "27AAPFU0939F1ZV").otherwise("").alias("gst_number"),
     )
-    d = d.select("o_orderkey", inv.alias("inv")).select("o_orderkey", R.tax_math(F.col("inv")).alias("m"), R.audit(F.col("inv")).alias("audit"))
+    d = d.select("o_orderkey", inv.alias("inv")).select("o_orderkey", R.tax_math(F.col("inv")).alias("m"), R.audit(F.col("inv")).alias("audit"), R.is_non_gst(F.col("inv.gst_number"), F.col("inv.cgst_amount"), F.col("inv.sgst_amount"), F.col("inv.igst_amount")).alias("non_gst"))
     names = F.filter(F.array(*map(F.lit, R.AUDIT)), lambda n: F.map_contains_key(F.col("audit"), n))
-    return d.select("o_orderkey", "m.valid", F.col("m.expected").cast("double").alias("expected"), F.col("m.difference").cast("double").alias("difference"), F.array_join(names, ",").alias("notes"))
+    return d.select("o_orderkey", "m.valid", F.col("m.expected").cast("double").alias("expected"), F.col("m.difference").cast("double").alias("difference"), F.array_join(names, ",").alias("notes"), "non_gst")
 
 
-@query("confidence_texts", "SELECT p_partkey, concat(CAST(p_size * 2 AS varchar), '%') AS percent, CASE WHEN p_size * 2 >= 95 THEN '✅ High' WHEN p_size * 2 >= 85 THEN '⚠️ Medium' ELSE '❌ Review' END AS label, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_brand END AS chosen FROM part")
+@query("confidence_texts", """SELECT p_partkey, concat(CAST(p_size * 2 AS varchar), '%') AS percent, CASE WHEN p_size * 2 >= 95 THEN '✅ High' WHEN p_size * 2 >= 85 THEN '⚠️ Medium' ELSE '❌ Review' END AS label, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_brand END AS chosen,
+  CASE WHEN p_size % 4 = 0 THEN p_brand WHEN p_size % 4 = 1 THEN p_name ELSE 'none' END AS first FROM part""")
 def confidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidences as percentages and labels, and the choice of the model's record where there is one."""
+    """Confidences as percentages and labels, the choice of the model's record where there is one, and of the first value that is there."""
     score = (F.col("p_size") * 2).cast("decimal(5,2)") / 100
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.percent(score).alias("percent"), T.confidence_label(score).alias("label"), R.choose(F.when(F.col("p_size") % 3 == 0, F.col("p_name")), F.col("p_brand")).alias("chosen"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.percent(score).alias("percent"), T.confidence_label(score).alias("label"), R.choose(F.when(F.col("p_size") % 3 == 0, F.col("p_name")), F.col("p_brand")).alias("chosen"), T.first_available(F.when(F.col("p_size") % 4 == 0, F.col("p_brand")).otherwise(""), F.when(F.col("p_size") % 4 == 1, F.col("p_name")), default=F.lit("none")).alias("first"))
 
 
 @query("other_vouchers", """

@@ -412,6 +412,19 @@ def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(F.col("Validation Status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(money("GST"), F.lit(0.0)).alias("gst"), money("Total").alias("total"))
 
 
+@query("bulk_sheet", INVOICES + """,
+conf AS (SELECT *, CASE WHEN NOT halves THEN 0.7 WHEN cgst = 0 THEN 0.9 ELSE 0.97 END + CASE WHEN NOT halves THEN 0.7 WHEN sgst = 0 THEN 0.9 ELSE 0.97 END + CASE WHEN halves THEN 0.7 ELSE 0.9 END AS taxes, CAST(cgst <> 0 AND sgst <> 0 AS integer) AS whole FROM checked)
+SELECT concat(CAST(doc_id AS varchar), '.pdf') AS source, CAST(strptime(substr(text, strpos(text, 'DATE: ') + 6, 10), '%d-%m-%Y') AS date) AS date, CAST(cgst + sgst + igst AS double) AS gst,
+  CAST(round(100 * (0.99 + 0.95 + 0.9 + 0.9 + taxes + 0.95 * whole) / (7 + whole), 2) AS double) AS score,
+  concat_ws(', ', 'INVOICE_NUMBER_LABEL_PRIORITY', CASE WHEN halves THEN 'CGST_MULTI_LINE_SUM, SGST_MULTI_LINE_SUM' END, CASE WHEN whole = 1 THEN 'TOTAL_TAX_FROM_9_PERCENT_COMPONENTS' END, 'GRAND_TOTAL_PRIORITY, MATH_VALIDATION, TOTAL_BLOCK_PRIORITY, WORDS_TOTAL_MATCH') AS rules FROM conf""")
+def bulk_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk rows with their rule lists, and their summary with dates and mean confidences."""
+    got = extract(rendered(spark, sf_dir), strict=True)
+    bulk = reports.bulk_rows(got, F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")), R.status(F.col("invoice")), F.lit(None).cast("string"), F.lit("out"))
+    s = reports.batch_summary(bulk, "Rules Applied")
+    return s.select(*[F.col(c).alias(n) for c, n in (("Source File Name", "source"), ("Date", "date"), ("GST", "gst"), ("Confidence Score", "score"), ("Rules Applied", "rules"))])
+
+
 @query("date_formats", """
 WITH d AS (SELECT o_orderkey, o_orderdate, o_orderkey % 6 AS k FROM orders)
 SELECT o_orderkey, CASE WHEN k = 5 AND day(o_orderdate) <= 12 THEN strftime(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)), '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS normalized,

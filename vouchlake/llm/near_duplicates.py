@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WordHashes, mixed, sliced, written
+from .common import WordHashes, mixed, removed, sliced, written
 
 WIDTH = 5
 BANDS, ROWS = 40, 6
@@ -267,7 +267,10 @@ def _rests(here: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) ->
 
     close = members.groupBy("part").applyInPandas(estimated, "bucket long, i long, j long, node long, label long, side int")
     close = written(close, "neardup_close")
-    return close.join(texts, "node").groupBy("bucket", "i", "j").applyInPandas(run, "node long, centre long, similarity double")
+    pairs = close.join(texts, "node").groupBy("bucket", "i", "j").applyInPandas(run, "node long, centre long, similarity double")
+    pairs = written(pairs, "neardup_rest_links")
+    removed(cut, tiles, close)
+    return pairs
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -280,8 +283,11 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         # Small star: each node's smaller neighbours, and the node itself, point to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
+        of = edges
         edges = written(large.join(least, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "neardup_edges")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        if before:
+            removed(of)
         if now == before:
             return edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), "least")
         before = now
@@ -303,7 +309,8 @@ def _linked(nodes: DataFrame, docs: DataFrame, least: float) -> tuple[DataFrame,
     here = met.select("node", "size", "bucket").join(labels, "node")
     mixed_up = here.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
     here = written(here.join(mixed_up, "bucket"), "neardup_rests")  # a bucket of one component is done with
-    rest = written(_rests(here, nodes, texts, least), "neardup_rest_links")
+    rest = _rests(here, nodes, texts, least)
+    removed(met, links, texts, here)
     side = labels.select(F.col("node").alias("centre"), F.col("label").alias("other"))
     merged = components(rest.join(labels, "node").join(side, "centre").select(F.col("label").alias("node"), F.col("other").alias("centre")))
     ends = labels.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("least", "label").alias("label"))

@@ -50,6 +50,9 @@ TABLE_HEADER = ["HSN/SAC", "TAXABLE VALUE"]
 TABLE_AMOUNT = r"\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+\.\d{1,2}|\d+"
 TABLE_IGST = r"^\s*\d{4,8}\s+(\d+(?:,\d{3})*(?:\.\d{1,2})?)\s+\d{1,2}(?:\.\d{1,2})?\s*%?\s+(\d+(?:,\d{3})*(?:\.\d{1,2})?)"
 TABLE_LINES = 45
+SUMMARY_SEGMENT = r"HSN/SAC\s+TAXABLE\s+VALUE[\s\S]{0,1200}?\bTOTAL\b[\s\S]{0,200}"
+SUMMARY_ROW = r"\bTOTAL\b\s+([\d,.]+)\s+([\d,.]+)\s+([\d,.]+)"
+RETRY_TAXABLE = r"(?:TAXABLE\s*VALUE|TAXABLE\s*AMOUNT|SUB\s*TOTAL|BASIC\s*AMOUNT)[^\d]{0,20}(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?)"
 WORDS_MASTER = r"(TOTAL\s+INVOICE\s+VALUE\s*\(IN\s+WORDS\)|AMOUNT\s+IN\s+WORDS|TOTAL\s+IN\s+WORDS)"
 WORDS_ANYWHERE = r"AMOUNT IN WORDS:\s*(.*)"
 WORDS_INLINE = ("AMOUNT IN WORDS", r"AMOUNT\s+IN\s+WORDS\s*[:\-]\s*(.+)$")
@@ -150,6 +153,19 @@ def tax_summary(L: str) -> str:
     return f"aggregate({rows}, {start_sums}, (a, r) -> {step}, a -> {end})"
 
 
+def summary_row(text: str) -> str:
+    """taxable and tax of a tax table's total row of three numbers, by pattern alone."""
+    row = found(text, SUMMARY_SEGMENT, 0)
+    return f"named_struct('taxable', {A.money(found(row, SUMMARY_ROW, 1))}, 'tax', {A.money(found(row, SUMMARY_ROW, 2))})"
+
+
+def retried_amounts(text: str, final: str, taxable: str) -> str:
+    """final and taxable amounts: a missing one is looked for once more by the priority patterns."""
+    finals = f"coalesce({', '.join(A.money(found(text, p + SHORT_NUMBER)) for _, p in FINALS)}, {final})"
+    again = f"coalesce({A.money(found(text, RETRY_TAXABLE))}, {taxable})"
+    return f"named_struct('final', {_when(_missing(final), finals, final)}, 'taxable', {_when(_missing(taxable), again, taxable)})"
+
+
 def line_tax(L: str, tax: str) -> str:
     return A.first_of(L, lambda x, i: _when(f"contains(x.line, {quoted(tax)})", A.money(found("x.line", LINE_TAX.format(tax=tax)))))
 

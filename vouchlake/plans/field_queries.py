@@ -202,6 +202,27 @@ def final_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("k", "s.rule", *doubled(amount="s.amount", compatible="c.amount"))
 
 
+SUMMARY = f"concat('HSN/SAC  TAXABLE VALUE IGST', {N}, '8471 1.00', {N}, CASE WHEN o_orderkey % 4 = 0 THEN 'SUM ' ELSE 'TOTAL ' END, {PRICE}, ' 1,', lpad(CAST(o_orderkey % 1000 AS {{string}}), 3, '0'), '.50', CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE ' 7.00' END, {N}, 'END')"
+
+
+@query("summary_row", sql("orders", ORDER, SUMMARY, "SELECT k, CASE WHEN k % 4 > 1 THEN CAST(price AS double) END AS taxable, CASE WHEN k % 4 > 1 THEN 1000.5::double + k % 1000 END AS tax FROM t"))
+def summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The total row of a tax table by pattern: three numbers, or none."""
+    d = built(spark, sf_dir, "orders", ORDER, SUMMARY).select("k", F.expr(X.summary_row("text")).alias("s"))
+    return d.select("k", *doubled(taxable="s.taxable", tax="s.tax"))
+
+
+RETRY = f"concat('BASIC AMOUNT: ', {PRICE}, {N}, CASE o_orderkey % 3 WHEN 0 THEN 'NET PAYABLE ' WHEN 1 THEN 'TOTAL ' ELSE 'SUM ' END, {PRICE})"
+CUT = "CASE WHEN price < 1000 THEN CAST(price AS double) ELSE CAST(substr(CAST(price AS varchar), 1, 3) AS double) END"
+
+
+@query("retry_amounts", sql("orders", ORDER, RETRY, f"SELECT k, CASE WHEN k % 2 = 0 THEN 5.0::double WHEN k % 3 < 2 THEN {CUT} ELSE 0.0::double END AS final, CASE WHEN k % 5 = 0 THEN 6.0::double ELSE {CUT} END AS taxable FROM t"))
+def retry_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing amounts looked for once more: known ones stay, others are found by pattern (cut after three digits, as the patterns do)."""
+    d = built(spark, sf_dir, "orders", ORDER, RETRY).selectExpr("k", "text", f"CAST(if(k % 2 = 0, 5, 0) AS {MONEY}) AS f", f"CAST(if(k % 5 = 0, 6, NULL) AS {MONEY}) AS t")
+    return d.select("k", F.expr(X.retried_amounts("text", "f", "t")).alias("r")).select("k", *doubled(final="r.final", taxable="r.taxable"))
+
+
 # --------------------------------------------------------------------- checks and notes
 
 
@@ -300,6 +321,17 @@ def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.archive_members(good.unionByName(bad)).select("archive", "name", F.sha2("content", 256).alias("digest"), "error")
 
 
+@query("report_bundle", "SELECT CAST(o_custkey AS varchar) AS archive, concat('invoice_', CAST(o_orderkey AS varchar), '.xlsx') AS name, sha256(concat(CAST(o_orderkey AS varchar), ',', CAST(CAST(o_totalprice AS decimal(18,2)) AS varchar))) AS digest FROM orders")
+def report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ZIP archive of each customer's reports, and its members read back."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    name = T.xlsx_name(F.concat(F.lit("invoice_"), F.col("o_orderkey").cast("string"), F.lit(".pdf")))
+    content = F.concat(F.col("o_orderkey").cast("string"), F.lit(","), F.col("o_totalprice").cast(MONEY).cast("string")).cast("binary")
+    archives = S.bundled(o.select(F.col("o_custkey").cast("string").alias("customer"), name.alias("name"), content.alias("content")), "customer")
+    members = S.archive_members(archives.withColumnRenamed("customer", "path"), ".xlsx")
+    return members.select("archive", "name", F.sha2("content", 256).alias("digest"))
+
+
 @query("key_values", "SELECT page_id, regexp_extract(url, '^([^=]*)=', 1) AS key, regexp_extract(url, '=(.*)$', 1) AS value FROM pages WHERE url LIKE '%=%'")
 def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.key_values(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("value")))

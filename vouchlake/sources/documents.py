@@ -64,6 +64,20 @@ def archive_members(archives: DataFrame, suffix: str = ".pdf") -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, "archive string, name string, content binary, error string")
 
 
+def bundled(files: DataFrame, by: str) -> DataFrame:
+    """by and content: a ZIP archive of the files (name, content) of each batch. A task holds one batch's files, as an archive does."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in sorted(zip(x["name"], x["content"], strict=True), key=lambda f: f[0]):
+                z.writestr(zipfile.ZipInfo(name), content, zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({by: [x[by].iloc[0]], "content": [raw.getvalue()]})
+
+    kind = files.schema[by].dataType.simpleString()
+    return files.select(by, "name", "content").groupBy(by).applyInPandas(run, f"`{by}` {kind}, content binary")
+
+
 def page_text(pages: Column) -> Column:
     """Pages joined by line ends, blank ones dropped, stripped."""
     return strip(F.array_join(F.filter(pages, lambda p: p.isNotNull() & (strip(p) != "")), "\n"))

@@ -326,16 +326,16 @@ def test_lm_automaton_is_a_backoff_traversal():
     for w in text:
         want.append(arcs[state, w] if (state, w) in arcs else math.log10(prior / (c_state[state] + prior)) + root[w])
         state = w
-    keys = np.array(sorted(a * 100 + b for a, b in c_pair), np.uint64)
-    n_arc = np.array([c_pair[int(k) // 100, int(k) % 100] for k in keys])
-    made = lm_scoring.Automaton.of(np.array([c_word[w] for w in range(12)]), np.array([c_state[w] for w in range(13)]), keys, n_arc, (keys // 100).astype(int), (keys % 100).astype(int), total, distinct, prior)
-    states, words = np.array([12, *text[:-1]]), np.array(text)
-    assert made.walk(states, words, (states * 100 + words).astype(np.uint64)).tolist() == pytest.approx(want)
-    # The probabilities of a state, over all words and the unknown one, sum to one.
-    every = sum(10 ** made.walk(np.full(12, 3), np.arange(12), (300 + np.arange(12)).astype(np.uint64)))
-    unknown = prior / (c_state[3] + prior) / (total + distinct + 1)
-    unseen = sum(c_pair[3, b] for b in range(12)) / (c_state[3] + prior)
-    assert every + unknown - unseen == pytest.approx(prior / (c_state[3] + prior) * (total + 12 + 1) / (total + distinct + 1))
+    pairs = sorted(c_pair)
+    place = {k: i for i, k in enumerate(pairs)}
+    of = lambda xs: np.array(list(xs))
+    made = lm_scoring.Automaton.of(of(c_word[w] for w in range(12)), of(c_state[w] for w in range(13)), of(c_pair[k] for k in pairs), of(a for a, _ in pairs), of(b for _, b in pairs), total, distinct, prior)
+    states = [12, *text[:-1]]
+    assert made.walk(of(states), of(text), of(place[k] for k in zip(states, text))).tolist() == pytest.approx(want)
+    # A state's probabilities over the known words and an unknown one: what it saw, and its failure arc times the root's.
+    every = sum(10 ** made.walk(np.full(12, 3), np.arange(12), of(place[3, b] for b in range(12))))
+    root_sum = sum(10**x for x in root.values())
+    assert every == pytest.approx((sum(c_pair[3, b] for b in range(12)) + prior * root_sum) / (c_state[3] + prior))
 
 
 def test_lm_blocks_are_bounded_in_uneven_files(spark, tmp_path, monkeypatch):

@@ -97,7 +97,7 @@ def hash_sample(rows: DataFrame, total: int, n: int, *keys: str) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, kept for reuse; emptied when it holds `most` words or `most_bytes` of them, so memory stays bounded."""
 
-    def __init__(self, most: int = 200_000, most_bytes: int = 8_000_000):
+    def __init__(self, most: int = 500_000, most_bytes: int = 20_000_000):
         super().__init__()
         self.most, self.most_bytes, self.held = most, most_bytes, 0
 

@@ -177,28 +177,26 @@ def _totals(rows: DataFrame, order: int, n_blocks: int) -> DataFrame:
 
 @dataclass
 class Automaton:
-    """States by context word, their failure weights and arcs; the root's arcs. Arcs are sorted by (state, word) keys."""
+    """States by context word with their failure arcs, arcs by (state, word), and the root's arcs."""
 
     root: np.ndarray  # of each word: the weight of the root's arc
     failure: np.ndarray  # of each state: the weight of the arc to the root
-    arcs: np.ndarray  # keys of the arcs, ascending
-    weights: np.ndarray  # of the arcs
+    arcs: np.ndarray  # of each (state, word) of the texts: the arc's weight, or nothing (NaN) where it was never seen
 
     @classmethod
-    def of(cls, c_word: np.ndarray, c_state: np.ndarray, arcs: np.ndarray, c_arc: np.ndarray, state: np.ndarray, word: np.ndarray, total: int, distinct: int, prior: float) -> Automaton:
-        """From the counts of words, states and arcs (with each arc's state and word); arcs that were never seen are left to the failure arcs."""
+    def of(cls, c_word: np.ndarray, c_state: np.ndarray, c_arc: np.ndarray, state: np.ndarray, word: np.ndarray, total: int, distinct: int, prior: float) -> Automaton:
+        """From the counts of words, states and arcs, and each arc's state and word."""
         p = (c_word + 1.0) / (total + distinct + 1.0)
-        seen = c_arc > 0
-        weights = np.log10((c_arc[seen] + prior * p[word[seen]]) / (c_state[state[seen]] + prior))
-        return cls(np.log10(p), np.log10(prior / (c_state + prior)), arcs[seen], weights)
-
-    def walk(self, states: np.ndarray, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The weight of each step from a state by a word (with the key of its arc): the arc's, or the failure arc's and the root's."""
-        at = np.searchsorted(self.arcs, keys)
-        found = at < len(self.arcs)
-        found[found] = self.arcs[at[found]] == keys[found]
-        out = self.failure[states] + self.root[words]
-        out[found] = self.weights[at[found]]
+        arcs = np.full(len(c_arc), np.nan)
+        seen = np.nonzero(c_arc)[0]
+        arcs[seen] = np.log10((c_arc[seen] + prior * p[word[seen]]) / (c_state[state[seen]] + prior))
+        return cls(np.log10(p), np.log10(prior / (c_state + prior)), arcs)
+
+    def walk(self, states: np.ndarray, words: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        """The weight of each step from a state by a word: its arc's, or where there is none the failure arc's and the root's."""
+        out = self.arcs[arcs]
+        back = np.nonzero(np.isnan(out))[0]
+        out[back] = self.failure[states[back]] + self.root[words[back]]
         return out
 
 
@@ -233,11 +231,9 @@ def score(docs: DataFrame, may_learn: Column, prior: float = PRIOR, by_file: boo
         state = np.append(start, word[:-1])
         state[firsts] = start
         c_state = np.append(c_word, c_word[np.searchsorted(word_keys, mixed(np.array([END]))[0])])
-        before = contexts(words, sizes)
-        steps = _pairs(words, before)
-        arcs, c_arc, _, one = totalled(2, steps)
-        automaton = Automaton.of(c_word, c_state, arcs, c_arc, state[one], word[one], n, v, prior)
-        weights = automaton.walk(state, word, steps)
+        _, c_arc, arc, one = totalled(2, _pairs(words, contexts(words, sizes)))
+        automaton = Automaton.of(c_word, c_state, c_arc, state[one], word[one], n, v, prior)
+        weights = automaton.walk(state, word, arc)
         known = np.add.reduceat((c_word[word] > 0).astype(np.int64), firsts)
         columns = [x.column("doc_id").combine_chunks(), sizes, known, np.full(len(sizes), n), np.add.reduceat(automaton.root[word], firsts), np.add.reduceat(weights, firsts)]
         return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, OUT, strict=True)], schema=OUT)

@@ -21,7 +21,7 @@ ODD = re.compile(r"[^\n\r\t\x20-\x7e\xa1-\xac\xae-ſ‐-‟…€]")
 
 
 class Encoder:
-    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, most: int = 150_000, longest: int = 64):
+    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, most: int = 400_000, longest: int = 64):
         """vocabulary: a tokenizers JSON file; ranks: the same vocabulary for tiktoken; most: pieces kept, of at most `longest` characters."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, lm_scoring, near_duplicates, packing, quality_rules, secrets, sharding, toxicity
+from . import alignment, byte_bpe, chat_format, decontamination, filter_audit, language_id, lm_scoring, near_duplicates, packing, quality_rules, secrets, sharding, toxicity
 from .common import fold, table
 
 #: Window by window, by equality of joined words; the rows of documents are told apart by their number.
@@ -47,7 +47,41 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r) LEFT JOIN phrases USING (r) LEFT JOIN near USING (r)
 """
 
-ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL}
+#: Every set of failed filters goes through every order and step.
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+marks AS (
+  SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+firsts AS (SELECT t, min(doc_id) AS f FROM docs GROUP BY t),
+flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CAST(len(w) < 50 AS int) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS int)
+    + 4 * CAST(100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t) AS int)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS int) + 16 * CAST(coalesce(doc_id > f, false) AS int) AS failed
+  FROM docs LEFT JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, s AS step, bits[s] AS bit, CAST(coalesce(list_sum(list_slice(bits, 1, s - 1)), 0) AS int) AS before FROM orders, range(1, 6) AS v(s)),
+grouped AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM flags GROUP BY part, failed),
+each AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (failed & (before | bit) = 0) AS kept, sum(n) FILTER (failed & bit <> 0 AND failed & before = 0) AS removed,
+    sum(n) FILTER (failed & bit <> 0 AND failed & before <> 0) AS redundant, sum(n) FILTER (failed = bit) AS unique_fails,
+    sum(g) FILTER (failed & bit <> 0 AND failed & before = 0) AS good_lost, sum(t) FILTER (failed & bit <> 0 AND failed & before = 0) AS toxic_lost
+  FROM grouped, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS int) AS step, CAST(coalesce(kept, 0) AS bigint) AS kept, CAST(coalesce(removed, 0) AS bigint) AS removed,
+  CAST(coalesce(redundant, 0) AS bigint) AS redundant, CAST(coalesce(unique_fails, 0) AS bigint) AS unique_fails, CAST(coalesce(good_lost, 0) AS bigint) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS bigint) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS bigint) AS shapley
+FROM each
+"""
+
+ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL, "op12_filter_audit": OP12_SQL}
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +137,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_phrases", "n_near")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.col("ids")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(byte_bpe.little_endian(ids), 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(ids), 256).alias("decoded_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_packing, op4_lm_scoring, op5_language_id, op6_chat_format, op7_quality_rules, op8_sharding, op9_near_duplicates, op10_decontamination)
+    f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_packing, op4_lm_scoring, op5_language_id, op6_chat_format, op7_quality_rules, op8_sharding, op9_near_duplicates, op10_decontamination, op11_byte_bpe, op12_filter_audit, op13_alignment)
 }

@@ -19,10 +19,12 @@ import tiktoken
 SPECIAL = "<|endoftext|>"
 ODD = re.compile(r"[^\n\r\t\x20-\x7e\xa1-\xac\xae-ſ‐-‟…€]")
 
+JOINED = re.compile(r"\s \s")  # white space around a space: no cut is sure before it
+
 
 class Encoder:
-    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, most: int = 400_000, longest: int = 64):
-        """vocabulary: a tokenizers JSON file; ranks: the same vocabulary for tiktoken; most: pieces kept, of at most `longest` characters."""
+    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, most: int = 400_000, longest: int = 64, plain: bool = False):
+        """vocabulary: a tokenizers JSON file; ranks: the same vocabulary for tiktoken; most: pieces kept, of at most `longest` characters; plain: special tokens' strings in a text are plain text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
         ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,7 +35,8 @@ class Encoder:
         self.ending[[i for b, i in table.items() if b[-1:] in (b".", b"!", b"?", b"\n")]] = True
         self.exact = None
         self.kept: dict[str, bytes] = {}
-        self.most, self.longest = most, longest
+        self.most, self.longest, self.plain = most, longest, plain
+        self.table = table
 
     def _piece(self, piece: str) -> bytes:
         if len(self.kept) >= self.most:
@@ -45,13 +48,14 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of the whole text as 32-bit integers."""
-        if SPECIAL in text or (not text.isascii() and ODD.search(text)):
+        if (SPECIAL in text and not self.plain) or (not text.isascii() and ODD.search(text)):
             if self.exact is None:
                 from tokenizers import Tokenizer
 
                 self.exact = Tokenizer.from_file(self.vocabulary)
+                self.exact.encode_special_tokens = self.plain
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
-        if "  " in text or text[:1] == " " or text[-1:] == " " or len(text) < 2:
+        if "  " in text or text[-1:] == " " or len(text) < 2 or JOINED.search(text):
             return np.array(self.fast.encode_ordinary(text), "<u4")
         first, *rest = text.split(" ")
         kept, piece = self.kept.get, self._piece
@@ -59,6 +63,13 @@ class Encoder:
         out += [kept(p) or piece(p) for p in map(" ".__add__, rest)]
         return np.frombuffer(b"".join(out), "<u4")
 
+    def bytes_of(self) -> list[bytes]:
+        """The bytes of each id."""
+        got = [b""] * (1 + max(self.table.values()))
+        for entry, i in self.table.items():
+            got[i] = entry
+        return got
+
     def ends_sentence(self, size: int = 50_257) -> np.ndarray:
         """By id, whether a token's text ends with a full stop, a question or exclamation mark, or a line's end."""
         return np.append(self.ending, np.zeros(max(0, size - len(self.ending)), bool))

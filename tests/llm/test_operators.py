@@ -686,8 +686,10 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and all(got[i] == 100 for i in (101, 102, 103))
 
 
-def test_near_duplicates_in_large_buckets(spark):
-    """A family on one template at 0.78, with pairs of it at 0.82."""
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """A family on one template at 0.78, with pairs of it at 0.82, in buckets of several stretches."""
+    monkeypatch.setattr(near_duplicates, "TILE_ROWS", 64)
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 16)
     r = random.Random(9)
     template = [f"t{i}" for i in range(92)]  # 88 shingles
     fresh = lambda n: [f"f{r.randrange(10**9)}" for _ in range(n)]
@@ -734,6 +736,52 @@ def test_near_duplicates_of_a_family_match_independent_brute_force(spark):
     assert 1 < len(set(group)) < 120 and got == {i: least[g] for i, g in enumerate(group)}
 
 
+def test_rows_of_a_template_s_tiles_grow_with_its_documents(spark, monkeypatch):
+    """300 words of which six are changed at random places: most pairs are below 0.8, and all meet in some bucket."""
+    rows, whole = {}, near_duplicates.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name == "neardup_tiles":
+            rows[n] = out.agg(F.sum("rows")).first()[0]
+        return out
+
+    monkeypatch.setattr(near_duplicates, "written", counted)
+    for n in (300, 600):
+        r = random.Random(3)
+        texts = []
+        for _ in range(n):
+            t = [f"t{i}" for i in range(300)]
+            for _ in range(6):
+                t[r.randrange(300)] = f"x{r.randrange(10**9)}"
+            texts.append(" ".join(t))
+        bags = [near_duplicates.shingles(t, WordHashes()) for t in texts]
+        both = near_duplicates.overlaps(bags, np.arange(n), np.arange(n))
+        size = np.array([c.sum() for _, c in bags])
+        group = list(range(n))
+        for a, b in zip(*np.nonzero(np.triu(both >= 0.8 * (size[:, None] + size[None, :] - both), 1)), strict=True):
+            group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+        docs = documents(spark, [(i, t, None, None, 0, 0.0, [], 0, "") for i, t in enumerate(texts)])
+        assert {x["doc_id"]: x["class_doc"] for x in near_duplicates.near_duplicates(docs).collect()} == dict(enumerate(group))
+    assert rows[600] <= 2.2 * rows[300]
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    """1,500 pairs of 0.80 to 0.85: the stated chance to lose one is 6e-6."""
+    r = random.Random(12)
+    texts = []
+    while len(texts) < 3000:
+        a = [f"p{r.randrange(10**9)}" for _ in range(r.randrange(60, 160))]
+        b = list(a)
+        while (s := near_duplicates.similarity(*(near_duplicates.shingles(" ".join(x), WordHashes()) for x in (a, b)))) > 0.85:
+            b[r.randrange(len(b))] = f"q{r.randrange(10**9)}"
+        if s >= 0.8:
+            texts += [" ".join(a), " ".join(b)]
+    docs = documents(spark, [(i, t, None, None, 0, 0.0, [], 0, "") for i, t in enumerate(texts)])
+    got = {x["doc_id"]: x["class_doc"] for x in near_duplicates.near_duplicates(docs).collect()}
+    assert sum(got[i + 1] == i for i in range(0, len(texts), 2)) == 1500
+
+
 # 10 -------------------------------------------------------------- decontamination
 
 

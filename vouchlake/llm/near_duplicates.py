@@ -19,8 +19,9 @@ digest, whatever their number. Groups are the connected components of verified l
    pairs estimated at `least` - `MARGIN` or more, each in the first bucket it shares, are verified on their texts.
 
 So a link is lost only where a pair shares no band, which at similarity 0.8 has the probability
-(1 - 0.8**rows)**bands, 5e-6, or where the estimate is off by more than the margin, 7e-7. Step 2 costs the square
-of the members that a bucket of several components has, in comparisons of 240 bytes, never in texts.
+(1 - 0.8**rows)**bands, 5e-6, or where the estimate is off by more than the margin, 7e-7. A stretch holds thousands of
+members, so the rows of step 2 grow with the members; beyond a stretch each goes to one more tile for each further stretch.
+Within a tile members are compared in the square of their number, by 240 bytes each, and texts only where these agree.
 
 Centres with many links are salted. All tables that a later step reads are written to the shared folder; nothing
 is collected.
@@ -50,7 +51,8 @@ BANDS, ROWS = 40, 6
 GOLD = 0x9E3779B97F4A7C15
 STAR_BANDS = 5
 MARGIN = 0.125
-TILE_ROWS, TILE_BYTES = 256, 4_000_000
+TILE_ROWS, TILE_BYTES = 2048, 12_000_000
+BLOCK_ROWS = 256
 TILE_COLUMNS = 4096
 PART_ROWS = 2_000  # members in a task's part of small tiles, about
 SALT_ROWS = 400
@@ -186,6 +188,8 @@ def _verified(links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def overlaps(bags: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """rows x columns: the size of the common multiset of each two bags."""
+    own = np.unique(np.concatenate([rows, columns]))
+    bags, rows, columns = [bags[i] for i in own], np.searchsorted(own, rows), np.searchsorted(own, columns)
     n = np.array([len(x) for x, _ in bags])
     of, x, c = np.repeat(np.arange(len(bags)), n), np.concatenate([x for x, _ in bags]), np.concatenate([c for _, c in bags])
     # A shingle's k-th occurrence is an element of its own: then common elements are counted.
@@ -259,10 +263,14 @@ def _rests(here: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) ->
         rows = np.nonzero(side == 0)[0]
         columns = np.nonzero(side == 1)[0] if side.any() else rows
         size = np.array([int(c.sum()) for _, c in bags], float)
-        both = overlaps(bags, rows, columns)
-        every = size[rows][:, None] + size[columns][None, :] - both
-        r, c = np.nonzero((both >= least * every * (1 - 1e-9)) & (label[rows][:, None] != label[columns][None, :]))
-        pairs = [(node[a], node[b], s) for a, b in zip(rows[r], columns[c], strict=True) if (s := similarity(bags[a], bags[b])) >= least and (side.any() or a < b)]
+        pairs = []
+        for a in range(0, len(rows), BLOCK_ROWS):  # the tile block by block, so that its matrices stay small
+            for b in range(0 if side.any() else a, len(columns), BLOCK_ROWS):
+                own, others = rows[a : a + BLOCK_ROWS], columns[b : b + BLOCK_ROWS]
+                both = overlaps(bags, own, others)
+                every = size[own][:, None] + size[others][None, :] - both
+                r, c = np.nonzero((both >= least * every * (1 - 1e-9)) & (label[own][:, None] != label[others][None, :]))
+                pairs += [(node[i], node[j], s) for i, j in zip(own[r], others[c], strict=True) if (side.any() or i < j) and (s := similarity(bags[i], bags[j])) >= least]
         return pd.DataFrame(pairs, columns=["node", "centre", "similarity"])
 
     close = members.groupBy("part").applyInPandas(estimated, "bucket long, i long, j long, node long, label long, side int")

@@ -140,12 +140,42 @@ def test_status_branches(spark):
 
 
 def test_retry_replaces_only_improvements(spark):
-    first = extract(spark.createDataFrame([(1, C1), (2, C2), (3, C3)], "k int, text string"))
+    first = extract(spark.createDataFrame([(1, C1), (2, C2), (3, C3), (2, C2)], "k int, text string"))
     seen = []
 
     def rescan(rows):
         seen.extend(r["k"] for r in rows.select("k").collect())
-        return extract(rows.select("k", F.when(F.col("k") == 2, C1).otherwise(C3).alias("text")))
+        return extract(rows.withColumn("text", F.when(F.col("k") == 2, C1).otherwise(C3)))
 
-    got = {r["k"]: r["invoice"]["validation"] for r in R.retried(first, rescan, ["k"]).collect()}
-    assert sorted(seen) == [2, 3] and got == {1: "Verified", 2: "Verified", 3: "Non GST Invoice"}
+    got = sorted((r["k"], r["invoice"]["validation"]) for r in R.retried(first, rescan).collect())
+    assert sorted(seen) == [2, 2, 3] and got == [(1, "Verified"), (2, "Verified"), (2, "Verified"), (3, "Non GST Invoice")]
+
+
+def test_status_prints_plain_digits(spark):
+    d = Decimal
+    fields = "invoice_type string, validation string, requires_manual_review boolean, final_amount decimal(18,2), is_gst_invoice boolean, cgst_amount decimal(18,2), sgst_amount decimal(18,2), igst_amount decimal(18,2), sub_total decimal(18,2), taxable_amount decimal(18,2)"
+    row = lambda final, net: (("GST Invoice", "Verified", False, final, True, d(2), d(3), d(0), net, net),)
+    rows = spark.createDataFrame([row(d("12345678.90"), d(20000000)), row(d("1234567890123.05"), d("0.45"))], f"i struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>")
+    assert [r[0] for r in rows.select(R.status(F.col("i"))).collect()] == ["TAX MISMATCH (Expected 20000005.0, Found 12345678.9)", "TAX MISMATCH (Expected 5.45, Found 1234567890123.05)"]
+
+
+def test_callers_columns_may_have_the_stages_names(spark):
+    stages = ["items", "words", "difference", "s", "r", "f", "net", "near", "tx", "at", "expected", "resort", "_t", "_L", "conf", "keep", "ro", "final0", "v_no", "e_no", "math_ok", "a b.c"]
+    docs = spark.createDataFrame([(1, C1, *["own"] * len(stages))], "k int, text string, " + ", ".join(f"`{c}` string" for c in stages))
+    got = extract(docs)
+    row = got.first()
+    assert got.columns == [*docs.columns, "invoice"] and all(row[c] == "own" for c in stages)
+    assert row["invoice"] == extract(docs.select("text")).first()["invoice"]
+    again = extract(extract(docs).withColumn("text", F.lit(C2)))  # an `invoice` of the caller is replaced
+    assert again.columns == got.columns and again.first()["invoice"] == extract(spark.createDataFrame([(C2,)], "text string")).first()["invoice"]
+    assert extract(docs.withColumnRenamed("text", "a b"), text="a b").first()["invoice"] == row["invoice"]
+
+
+def test_a_key_filter_reaches_the_scan_and_an_invoice_filter_stays_above(spark, tmp_path):
+    spark.createDataFrame([(1, C1, "x"), (2, C2, "x")], "k int, text string, unused string").write.parquet(f"{tmp_path}/docs")
+    got = extract(spark.read.parquet(f"{tmp_path}/docs"))
+    plan = got.where("k = 2").select("k", "invoice")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,2)" in plan and "unused" not in plan.split("ReadSchema")[1]
+    optimized = got.where("invoice.validation = 'Verified'")._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.index("Filter") < optimized.index("Generate explode") and optimized.count("Filter") == 1
+    assert [r["k"] for r in got.where("k = 2").collect()] == [2]

@@ -220,10 +220,14 @@ def _stage(d: DataFrame, keep: list[Column], **columns: str | Column) -> DataFra
 def extract(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
     """docs with `invoice`, a struct of every extracted, checked and scored field of its text.
 
-    A null text gives an invoice without fields, as an empty text does.
+    A null text gives an invoice without fields, as an empty text does. Other columns may have any names; one that is called
+    `invoice` is replaced. A filter on them goes to the scan of docs; one on the invoice stays above the extraction.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    d = _stage(docs, keep, _t=normalize(F.coalesce(F.col(text), F.lit(""))))
+    caller = [c for c in docs.columns if c.lower() != "invoice"]
+    # Stages name their own columns, so the caller's have reserved names until the end.
+    held = [F.col(f"`{c}`").alias(f"__kept{i}") for i, c in enumerate(caller)]
+    keep = [F.col(f"__kept{i}") for i in range(len(caller))]
+    d = _stage(docs, held, _t=normalize(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     d = _stage(d, keep, _t="_t", _L=A.analyzed("_t"), _again=normalize(F.col("_t")))
     if_any = lambda labels, value: _if_any("_t", labels, value)
     looked = {
@@ -296,7 +300,8 @@ def extract(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFr
         "reconciliation_total": _when("final1 IS NOT NULL", f"CAST({recon} AS {MONEY})"), "reconciliation_passed": _when(f"{recon} IS NOT NULL AND final1 IS NOT NULL", A.is_close(recon, "final1", 0.01)),
         "label_match": "coalesce(pri_no, alt_no) IS NOT NULL", "conf": _struct(conf), "rules": applied,
     }
-    return validate(_stage(d, keep, _t="_t", _L="_L", _again="_again", r=_struct(record)), keep, strict)
+    checked = validate(_stage(d, keep, _t="_t", _L="_L", _again="_again", r=_struct(record)), keep, strict)
+    return checked.select(*[F.col(f"__kept{i}").alias(c) for i, c in enumerate(caller)], "invoice")
 
 
 def _struct(fields: dict[str, str]) -> str:
@@ -357,6 +362,6 @@ def validate(d: DataFrame, keep: list[Column], strict: bool = False) -> DataFram
         "requires_manual_review": f"{_missing('v_final')} OR NOT math_ok", "overall_confidence": f"round(({overall}) / 4, 4)", "confidence": confidence,
         "rules_applied": f"concat(r.rules, {first}, {later})", "invoice_number_label_match": "label_match", "items": "items",
     }
-    # A filter on the invoice stays above this stage: pushed below, it would copy every stage's expressions into itself.
-    # Spark keeps it there because the expression is not deterministic by name, though its value is: no partition is below 0.
-    return _stage(d, keep, invoice=_when("spark_partition_id() >= 0", _struct(invoice)))
+    # Generated as the one element of an array: a filter on the invoice stays above a generator, as it would
+    # otherwise copy every stage's expressions into itself, and a filter on other columns passes it.
+    return d.select(*keep, F.explode(F.array(F.expr(_struct(invoice)))).alias("invoice"))

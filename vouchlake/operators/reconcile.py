@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import MONEY
+from ..sources.shared import written
 
 __all__ = ["audit", "better_of", "choose", "confidence_mean", "gst_total", "is_close", "is_non_gst", "quota_single", "quota_bulk", "status", "tax_math"]
 
+FIRST = "__first"
+
 
 def _zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0).cast(MONEY))
@@ -52,7 +57,8 @@ def status(inv: Column) -> Column:
     gst = gst_total(inv["cgst_amount"], inv["sgst_amount"], inv["igst_amount"])
     base = F.coalesce(F.when(inv["sub_total"] != 0, inv["sub_total"]), F.when(inv["taxable_amount"] != 0, inv["taxable_amount"]), F.lit(0).cast(MONEY))
     expected = (base + gst).cast(MONEY)
-    plain = lambda x: x.cast("double").cast("string")
+    # Plain digits with one decimal place at least, whatever the size.
+    plain = lambda x: F.regexp_replace(x.cast(MONEY).cast("string"), "0$", "")
     return (
         F.when(inv.isNull(), "INVALID DATA")
         .when((inv["invoice_type"] == "Non-GST Invoice") | (inv["validation"] == "Non GST Invoice"), "Non GST Invoice")
@@ -99,11 +105,16 @@ def quota_bulk(usage: Column, batch: Column, most: int = 10) -> Column:
     return F.struct((used + batch <= most).alias("allowed"), F.greatest(F.lit(0), F.lit(most) - used).alias("remaining"), batch.alias("requested"))
 
 
-def retried(first: DataFrame, rescan, keys: list[str]) -> DataFrame:
-    """Second pass for the rows that need review: rescan(those rows) gives keys and `invoice`; improvements replace.
+def retried(first: DataFrame, rescan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Second pass for the rows that need review: improvements replace their invoices.
 
-    Only reviewable rows reach the second, costly scan: the filter stands before it.
+    The first pass is written once. rescan gets the rows to review, without their invoice, and gives them back with the
+    `invoice` of the second scan; it keeps rows and their other columns as they are. Rows are never joined, so repeated rows
+    and keys stay as they are. A null invoice needs no review.
     """
-    again = rescan(first.where("invoice.requires_manual_review")).select(*keys, F.col("invoice").alias("again"))
-    joined = first.join(again, keys, "left")
-    return joined.withColumn("invoice", F.when(F.col("again").isNull(), F.col("invoice")).otherwise(better_of(F.col("invoice"), F.col("again")))).drop("again")
+    names = first.columns
+    done = written(first, "first_pass")
+    review = F.coalesce(F.col("invoice.requires_manual_review"), F.lit(False))
+    again = rescan(done.where(review).withColumnRenamed("invoice", FIRST))
+    better = again.withColumn("invoice", better_of(F.col(FIRST), F.col("invoice"))).select(*[f"`{c}`" for c in names])
+    return done.where(~review).unionByName(better)

@@ -1,13 +1,14 @@
 """Byte-level BPE by a rank file: encoding by ranked merges in Spark's higher-order functions, decoding by concatenation.
 
 1. A pass over whole texts cuts them by the pattern. Texts are taken in blocks; a block numbers its distinct words, and a
-   document becomes the row of its words' numbers. Words that are entries of the rank file have their id as number.
-2. The distinct other words of the corpus are encoded once each. A word is an array of byte ids; a fold over the
-   array merges the adjacent pair of the least rank, the leftmost of equals, until no pair has a rank. Ranks are a
+   document becomes the row of its words' numbers. Words that are entries of the rank file have their id as number. Rows are
+   written bucketed by block; a block's other words go out in ranges of their hash, many words a row.
+2. A task of a range passes on each distinct word once, before the first row that has it. There it is encoded: a word is an array of byte
+   ids; a fold over the array merges the adjacent pair of the least rank, the leftmost of equals, until no pair has a rank. Ranks are a
    literal: a sparse table in which a pair's place is known from its ids, so that a look-up costs the same for every
-   size of the vocabulary. A merged pair's rank is its id.
-3. Each block gets the ids of its own words, and its documents read their ids by number. Only numbers and words
-   are shuffled, no text; a block's words are held, its documents pass by in short batches.
+   size of the vocabulary. A merged pair's rank is its id. The rows of words then become rows of ids.
+3. Each block gets the ids of its own words, and its documents, which stay where they were written, read their ids by number.
+   Only words and their ids are shuffled, no text and no document.
 
 The map holds, for each entry of the file, the pair that it is merged from when its own bytes are encoded; a fold that
 reaches the bytes of an entry has reached this pair, as merges within the bytes do not depend on what is around them.
@@ -26,7 +27,8 @@ from __future__ import annotations
 import base64
 import functools
 import json
-import os
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,18 +36,20 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, sliced, written
+from .common import shared_folder, short_batches, sliced
 
 SHIFT = 20  # ids have fewer bits
 PLACE = 24  # places in a word have fewer bits
 NONE = 2**31 - 1
 BLOCK_BYTES = 64_000_000
 BLOCK_WORDS = 500_000
-PART_WORDS = 20_000
-KEPT, LONGEST = 400_000, 64
+RANGE_BYTES, MOST_RANGES = 8_000_000, 16_384  # of text for each range of words
+KEPT, LONGEST = 800_000, 64
+ROWS_OUT = 5_000
 JOINED = regex.compile(r"\s \s")  # white space around a space: no cut is sure before it
 
 
@@ -150,16 +154,17 @@ class Numbered:
         self.kept: dict[str, bytes] = {}
         self.size = 0
 
+    def _number(self, word: str) -> bytes:
+        b = word.encode("utf-8", "replace")
+        n = self.ranks.get(b)
+        return (self.words.setdefault(b, self.base + len(self.words)) if n is None else n).to_bytes(4, "little")
+
     def _numbers(self, text: str) -> bytes:
-        out = []
-        for w in self.find(text):
-            b = w.encode("utf-8", "replace")
-            n = self.ranks.get(b)
-            out.append(self.words.setdefault(b, self.base + len(self.words)) if n is None else n)
-        return np.array(out, "<u4").tobytes()
+        return b"".join(map(self._number, self.find(text)))
 
     def _piece(self, piece: str) -> bytes:
-        got = self._numbers(piece)
+        # Letters only, after a space or not, are one word by the pattern that this cutting is for.
+        got = self._number(piece) if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else self._numbers(piece)
         if len(piece) <= LONGEST:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
@@ -186,81 +191,121 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("number", pa.int64()), ("word", pa.binary())])
+ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("range", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
+SPREAD = pa.schema([("range", pa.int32()), ("word", pa.binary()), ("block", pa.int64()), ("sizes", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
+BACK = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
+def _cut(sizes: bytes, words: bytes) -> list[bytes]:
+    """The words of a row."""
+    raw = zstandard.decompress(words)
+    ends = np.cumsum(_unpacked(sizes), dtype=np.int64).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """The rows written once, in buckets of their block: what is grouped by block later stays where it is."""
+    spark, name = rows.sparkSession, f"bpe_rows_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "block").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id and ids (array<int>) of every row. ranks: the path of a rank file, which every executor has."""
+    """doc_id and ids (array<int>) of every row. ranks: the path of a rank file, which every executor has; pattern: one that cuts before single spaces and runs of letters, as byte-level vocabularies' do."""
     path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     spark = docs.sparkSession
     short_batches(spark)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(least, size // RANGE_BYTES))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, block = Numbered(ranks_of(path), pattern), int.from_bytes(os.urandom(7), "little")
+        n, block = Numbered(ranks_of(path), pattern), TaskContext.get().partitionId() << 32
 
         def words() -> Iterator[pa.RecordBatch]:
             every = list(n.words)
-            for at in range(0, len(every), 10_000):
-                part = every[at : at + 10_000]
-                count = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * count, pa.int64()), pa.nulls(count, pa.int64()), pa.nulls(count, pa.binary()), pa.array(range(n.base + at, n.base + at + count), pa.int64()), pa.array(part, pa.binary())], schema=ROWS)
+            of = np.fromiter((zlib.crc32(w) % ranges for w in every), np.int32, len(every))
+            order = np.argsort(of, kind="stable")
+            cut = np.nonzero(np.append(True, of[order][1:] != of[order][:-1]))[0].tolist() if len(every) else []
+            for a, b in zip(cut, [*cut[1:], len(every)], strict=True):
+                at = order[a:b]
+                own = [every[i] for i in at.tolist()]
+                row = (block, None, None, int(of[at[0]]), _packed(np.array([len(w) for w in own])), zstandard.compress(b"".join(own), 3), _packed(np.diff(at + n.base, prepend=0)))
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ROWS, strict=True)], schema=ROWS)
             n.clear()
 
         for x in sliced(batches, 200):
             got = [_packed(n.of(t)) if t else None for t in x.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * x.num_rows, pa.int64()), x.column("doc_id"), pa.array(got, pa.binary()), pa.nulls(x.num_rows, pa.int64()), pa.nulls(x.num_rows, pa.binary())], schema=ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * x.num_rows, pa.int64()), x.column("doc_id"), pa.array(got, pa.binary()), *[pa.nulls(x.num_rows, f.type) for f in list(ROWS)[3:]]], schema=ROWS)
             if n.size >= BLOCK_BYTES or len(n.words) >= BLOCK_WORDS:
                 yield from words()
-                block = int.from_bytes(os.urandom(7), "little")
+                block += 1
         yield from words()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(texts.mapInArrow(number, "block long, doc_id long, numbers binary, number long, word binary"), "bpe_rows")  # written once, so a block's name holds
-    words = rows.where("word is not null").select("block", "number", "word")
-    distinct = words.select("word").distinct()
-    n = words.agg(F.approx_count_distinct("word").alias("words"), F.approx_count_distinct("block").alias("blocks")).first()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = written(distinct.repartition(max(least, n["words"] // PART_WORDS), "word").select("word", encoded(F.col("word"), path).alias("word_ids")), "bpe_words")
-    known = words.join(ids, "word").select("block", "number", "word_ids", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("numbers"))
-    read = rows.where("word is null").select("block", F.lit(None).cast("long").alias("number"), F.lit(None).cast("array<int>").alias("word_ids"), "doc_id", "numbers")
+    rows = _bucketed(texts.mapInArrow(number, "block long, doc_id long, numbers binary, range int, sizes binary, words binary, places binary"), max(least, -(-size // BLOCK_BYTES)))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, out = None, set(), []
+        for x in batches:
+            for of, block, sizes, words, places in zip(*[x.column(c).to_pylist() for c in ("range", "block", "sizes", "words", "places")], strict=True):
+                if of != held:
+                    held, seen = of, set()
+                for w in _cut(sizes, words):
+                    if w not in seen:
+                        seen.add(w)
+                        out.append((of, w, None, None, None, None))
+                out.append((of, None, block, sizes, words, places))
+                while len(out) >= ROWS_OUT:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[:ROWS_OUT], strict=True), SPREAD, strict=True)], schema=SPREAD)
+                    del out[:ROWS_OUT]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SPREAD, strict=True)], schema=SPREAD)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, {}
+        for x in batches:
+            out = []
+            for of, word, ids, block, sizes, words, places in zip(*[x.column(c).to_pylist() for c in ("range", "word", "word_ids", "block", "sizes", "words", "places")], strict=True):
+                if of != held:
+                    held, known = of, {}
+                if word is not None:
+                    known[word] = np.array(ids, "<u4").tobytes()
+                    continue
+                own = [known[w] for w in _cut(sizes, words)]
+                out.append((block, places, _packed(np.array([len(i) // 4 for i in own])), _packed(np.frombuffer(b"".join(own), "<u4"))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), BACK, strict=True)], schema=BACK)
+
+    # The three steps of a range keep the order of its rows: a word comes before the rows that have it.
+    dealt = rows.where("range is not null").select("range", "block", "sizes", "words", "places").repartition(ranges, "range").sortWithinPartitions("range")
+    passed = dealt.mapInArrow(spread, "range int, word binary, block long, sizes binary, words binary, places binary")
+    folded = passed.select("range", "word", F.when(F.col("word").isNotNull(), encoded(F.col("word"), path)).alias("word_ids"), "block", "sizes", "words", "places")
+    back = folded.mapInArrow(meet, "block long, places binary, counts binary, ids binary")
     base = 1 + max(ranks_of(path).values())
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, table = None, [], None
-
-        def laid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Flat ids of all numbers of the block, with each number's start and length."""
-            lengths = np.concatenate([np.ones(base, np.int64), *[x.value_lengths().to_numpy(zero_copy_only=False) for x in held]])
-            flat = np.concatenate([np.arange(base, dtype=np.int32), *[x.flatten().to_numpy(zero_copy_only=False) for x in held]])
-            return flat, np.cumsum(lengths) - lengths, lengths
-
-        for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            is_word = batch.column("number").is_valid().to_numpy(zero_copy_only=False)
-            cuts = np.nonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (is_word[1:] != is_word[:-1])))[0] if len(blocks) else []
-            for a, b in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
-                if blocks[a] != block:
-                    block, held, table = blocks[a], [], None
-                part = batch.slice(a, b - a)
-                if is_word[a]:
-                    held.append(part.column("word_ids"))
-                    continue
-                if table is None:
-                    table, held = laid(), []
-                flat, start, length = table
-                for x in sliced(iter([part]), 50):
-                    at = [np.zeros(0, np.int64) if raw is None else _unpacked(raw).astype(np.int64) for raw in x.column("numbers").to_pylist()]
-                    sizes = [int(length[k].sum()) for k in at]
-                    every = np.concatenate(at)
-                    n = length[every]
-                    place = np.repeat(start[every] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat[place], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([x.column("doc_id"), ids], schema=OUT)
-
-    # A block's words come first, in the order of their numbers; then its documents.
-    dealt = known.unionByName(read).repartition(max(least, n["blocks"]), "block").sortWithinPartitions("block", F.col("number").asc_nulls_last())
-    return dealt.select("block", "number", "word_ids", "doc_id", "numbers").mapInArrow(gather, "doc_id long, ids array<int>")
+    def gather(numbers: pa.Table, known: pa.Table) -> pa.Table:
+        places = [np.cumsum(_unpacked(p), dtype=np.int64) for p in known.column("places").to_pylist()]
+        counts = [_unpacked(c).astype(np.int64) for c in known.column("counts").to_pylist()]
+        flat = np.concatenate([np.arange(base, dtype=np.uint32), *[_unpacked(i) for i in known.column("ids").to_pylist()]])
+        length = np.ones(1 + max([base - 1, *[int(p[-1]) for p in places]]), np.int64)
+        start = np.arange(len(length))
+        at = base
+        for p, c in zip(places, counts, strict=True):
+            length[p], start[p] = c, at + np.cumsum(c) - c
+            at += int(c.sum())
+        out = []
+        for raw in numbers.column("numbers").to_pylist():
+            every = np.zeros(0, np.int64) if raw is None else _unpacked(raw).astype(np.int64)
+            n = length[every]
+            out.append(flat[np.repeat(start[every] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in out])])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)))
+        return pa.Table.from_arrays([numbers.column("doc_id").combine_chunks(), ids], schema=OUT)
+
+    read = rows.where("range is null").select("block", "doc_id", "numbers")
+    return read.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(gather, "doc_id long, ids array<int>")
 
 
 def _joined(ids: Column, table: list[str]) -> Column:

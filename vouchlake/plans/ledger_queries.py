@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, nearest
+from ..operators import asof, nearest, store, upserts
+from ..sources.shared import new_folder
 from ..streaming import expiry, quota
-from .queries import MONEY, tab
+from .queries import MONEY, orders, tab
 from .registry import query
 
 
@@ -98,3 +101,45 @@ def nearest_of_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = tab(spark, sf_dir, "orders")
     found = nearest.nearest(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), F.col("o_totalprice"), F.col("o_totalprice"), F.col("o_orderkey"), 5000, (F.col("o_custkey"), F.col("o_custkey")))
     return found.select(F.col("o_orderkey").alias("doc_id"), "match", F.col("gap").cast("double").alias("gap"))
+
+
+@query("usage_upserts", "SELECT CAST(user_id AS varchar) AS email, count(*) AS usage_count FROM events GROUP BY 1")
+def usage_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of every user after two writers, a replayed batch, a compaction and changes after it."""
+    e = tab(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("email"), F.lit(1).cast("bigint").alias("usage_count"), (F.col("event_id") % 4).alias("part"))
+    counters = upserts.Store(spark, new_folder(spark, "usage"), store.USERS, ["email"], add=["usage_count"], buckets=8)
+    counters.write(e.where("part = 0"), "a", 1)
+    counters.write(e.where("part = 1"), "b", 1)
+    counters.write(e.where("part = 0"), "a", 1)
+    counters.compact()
+    counters.write(e.where("part = 2"), "a", 2)
+    counters.write(e.where("part = 1"), "b", 1)
+    counters.write(e.where("part = 3"), "b", 2)
+    return counters.read()
+
+
+@query("history_upserts", """
+WITH c AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders)
+SELECT CAST(o_custkey AS varchar) AS email, o_orderkey AS id, CAST(o_totalprice AS double) AS total_amount FROM c WHERE k = 1""")
+def history_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last invoice, from batches that two writers write in any order, with a compaction between."""
+    o = orders(spark, sf_dir).withColumn("at", F.struct("created_at", "id"))
+    last = upserts.Store(spark, new_folder(spark, "history"), "email string, id bigint, total_amount double, at struct<created_at:timestamp,id:bigint>", ["email"], by="at", buckets=8)
+    rows = o.select("email", F.col("id").cast("bigint").alias("id"), F.col("total_amount").cast("double").alias("total_amount"), F.struct(F.col("created_at").cast("timestamp").alias("created_at"), F.col("id").cast("bigint").alias("id")).alias("at"))
+    last.write(rows.where("id % 3 = 1"), "a", 1)
+    last.write(rows.where("id % 3 = 0"), "b", 7)
+    last.compact()
+    last.write(rows.where("id % 3 = 2"), "b", 8)
+    return last.read().select("email", "id", "total_amount")
+
+
+@query("history_laid_out", """
+WITH h AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT CAST(o_custkey AS varchar) AS email, o_orderkey AS id, k AS rank, n AS usage_count FROM h WHERE k <= 10""")
+def history_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten newest rows of every user with the user's counter, from bucketed tables: no shuffle after they are written."""
+    o = orders(spark, sf_dir)
+    name = f"h{uuid.uuid4().hex}"
+    history = upserts.laid_out(o, f"history_{name}", ["email"], ["created_at", "id"], 8, ("id",), new_folder(spark, "history"))
+    usage = upserts.laid_out(store.user_counts(o).withColumnRenamed("n", "usage_count"), f"usage_{name}", ["email"], [], 8, (), new_folder(spark, "usage"))
+    return store.latest_each(history).join(usage, "email").select("email", "id", F.col("rank").cast("bigint").alias("rank"), "usage_count")

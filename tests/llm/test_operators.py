@@ -407,6 +407,17 @@ def test_language_id_keeps_every_language(spark):
     assert sum(got) > 0.9 * len(got)
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    r = random.Random(6)
+    fi, de = ["kissa", "talo", "yksi", "hyvaa", "paivaa", "olen"], ["der", "und", "nicht", "schon", "haus", "ich"]
+    text = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, text(fi, 6000), "fi", "s", 0, 0.0, [], 0, "") for i in range(30)] + [(100 + i, text(de, 60), "de", "s", 0, 0.0, [], 0, "") for i in range(200)]
+    assert all(len(x[1]) > 31_000 for x in rows[:30])
+    model = language_id.train(documents(spark, rows), F.lit(True))
+    assert sorted(x for xs in model.langs.values() for x in xs) == ["de", "fi"]
+    assert all(model.predict(x[1])[0] == x[2] for x in rows) and model.predict(text(fi, 20))[0] == "fi"
+
+
 # 6 ----------------------------------------------------------------- chat format
 
 

@@ -4,9 +4,10 @@ A linear support vector machine per language family (one against the rest) decid
 one machine for each pair of its languages votes. All work on the same features: byte trigrams of the
 lower-cased text, hashed to `DIMS` counts, square-rooted and scaled to length one.
 
-The machines are fitted on a bounded sample of the learning rows: `sample_docs` texts in all, of at most `sample_bytes`,
-shared equally by all languages (`per_language` each at most, one at least), by hash of id and text. No language is left
-out. Prediction reads every whole text.
+The machines are fitted on a bounded sample of the learning rows: `sample_docs` texts in all, shared equally by all
+languages (`per_language` each at most, one at least), by hash of id and text. Of a text over `sample_bytes` a stretch of `stretch`
+characters is learned, its place by hash. No language is left out, whatever the length of its texts. Prediction reads every
+whole text.
 
 Families come from `FAMILIES`; a language it does not list is a family of its own.
 
@@ -112,9 +113,11 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(of, families, by_family, pairs, by_pair)
 
 
-def train(docs: DataFrame, may_learn: Column, per_language: int = 300, sample_docs: int = 9600, sample_bytes: int = 30_000) -> Model:
-    """A model from text and lang of the rows that may_learn allows: at most per_language texts of each language, sample_docs in all (or one of each language), of sample_bytes."""
-    rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= sample_bytes)).select("doc_id", "lang", "text")
+def train(docs: DataFrame, may_learn: Column, per_language: int = 300, sample_docs: int = 9600, sample_bytes: int = 30_000, stretch: int = 10_000) -> Model:
+    """A model from text and lang of the rows that may_learn allows: at most per_language texts of each language, sample_docs in all (or one of each language); of texts over sample_bytes a stretch."""
+    first = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - stretch + 1)).cast("int") + 1
+    cut = F.when(F.octet_length("text") <= sample_bytes, F.col("text")).otherwise(F.substring("text", first, F.lit(stretch)))
+    rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("doc_id", "lang", cut.alias("text"))
     counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang_counts")
     each = max(1, min(per_language, sample_docs // max(1, counts.count())))
     # A filter on the hash leaves about twice what is taken of each language, so that no task ranks a whole one.

@@ -31,10 +31,10 @@ def texts():
 def test_ids_are_the_library_s_and_decode_to_the_text(spark):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(RANKS), special_tokens={})
     rows = [x for x in texts() if x[0] != 12 and x[1] != "x" * 50_000]
-    got = byte_bpe.encode(documents(spark, rows)).select("doc_id", "ids", byte_bpe.decoded(F.col("ids")).alias("raw"), byte_bpe.little_endian(F.col("ids")).alias("le")).collect()
+    got = byte_bpe.encode(documents(spark, rows)).select("doc_id", "ids", byte_bpe.decoded(F.col("ids")).alias("raw"), "packed").collect()
     want = Counter((i, tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t, *_ in rows)
     assert Counter((x["doc_id"], tuple(x["ids"]), bytes(x["raw"])) for x in got) == want
-    assert all(bytes(x["le"]) == np.array(x["ids"], "<u4").tobytes() for x in got)
+    assert all(bytes(x["packed"]) == np.array(x["ids"], "<u4").tobytes() for x in got)
 
 
 def test_a_word_of_thousands_of_bytes(spark):

@@ -47,7 +47,7 @@ PLACE = 24  # places in a word have fewer bits
 NONE = 2**31 - 1
 BLOCK_BYTES = 64_000_000
 BLOCK_WORDS = 500_000
-RANGE_BYTES, MOST_RANGES = 8_000_000, 16_384  # of text for each range of words
+RANGE_BYTES, MOST_RANGES = 32_000_000, 16_384  # of text for each range of words
 KEPT, LONGEST = 800_000, 64
 ROWS_OUT = 5_000
 JOINED = regex.compile(r"\s \s")  # white space around a space: no cut is sure before it
@@ -88,7 +88,7 @@ def _literals(path: str) -> tuple[str, str, str, int]:
     rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), rank in pairs.items():
         rows.setdefault(a, []).append((b, rank))
-    wide = 4 * len(pairs) + 1
+    wide = 2 * len(pairs) + 1
     offsets, table, taken, move = [1] * (end + 1), [end << SHIFT + 1] * (wide + end + 2), np.zeros(wide + end + 2, bool), np.random.default_rng(7)
     for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
         second = np.array([b for b, _ in row])
@@ -111,33 +111,33 @@ def encoded(word: Column, path: str) -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
     def fold(t: Column) -> Column:
-        def rank(a: Column, b: Column) -> Column:
-            """The rank of an entry of the same first id; another first id leaves a value of `none` or more."""
-            return F.get(t["entries"], (F.get(t["offsets"], a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a, SHIFT))
+        def pair(a: Column, b: Column) -> Column:
+            """An element: the rank of a and the b after it, and a. The entry of another first id leaves a value of `none` or more."""
+            entry = F.get(t["entries"], (F.get(t["offsets"], a.cast("int")) + b).cast("int"))
+            return F.shiftleft(F.least(entry.bitwiseXOR(F.shiftleft(a, SHIFT)), none), SHIFT).bitwiseOR(a)
 
-        def start(p: Column) -> Column:
-            return F.struct(p.alias("parts"), F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.get(p, i - 1), F.get(p, i))).alias("ranks"))
+        def id_of(x: Column) -> Column:
+            return x.bitwiseAND(F.lit((1 << SHIFT) - 1))
 
-        def step(s: Column, _: Column) -> Column:
-            p, r = s["parts"], s["ranks"]
+        def start(p: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: pair(F.get(p, i - 1), F.get(p, i)))
 
+        def step(e: Column, _: Column) -> Column:
             def merge(least: Column) -> Column:
-                new, at = F.shiftright(least, PLACE), least.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int") + 1
-                around = F.array(rank(F.get(p, at - 2), new), rank(new, F.get(p, at + 1)))
-                merged = F.struct(
-                    F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, every)).alias("parts"),
-                    F.concat(F.slice(r, F.lit(1), at - 2), around, F.slice(r, at + 2, every)).alias("ranks"),
-                )
-                return F.when(new < none, merged).otherwise(s)
+                new, at = F.shiftright(least, PLACE), least.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+                after = F.coalesce(id_of(F.get(e, at + 2)), F.lit(end).cast("bigint"))
+                around = F.array(pair(id_of(F.get(e, at - 1)), new), pair(new, after))
+                return F.when(new < none, F.concat(F.slice(e, F.lit(1), at - 1), around, F.slice(e, at + 3, every))).otherwise(e)
 
             # The least rank, and of equals the leftmost, with its place.
-            return let(F.array_min(F.transform(r, lambda x, i: F.shiftleft(x, PLACE).bitwiseOR(i.cast("bigint")))), merge)
+            return let(F.array_min(F.transform(e, lambda x, i: F.shiftleft(F.shiftright(x, SHIFT), PLACE).bitwiseOR(i.cast("bigint")))), merge)
 
         latin = F.decode(word, "ISO-8859-1")
         own = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(t["bytes"], F.ascii(F.substring(latin, i, F.lit(1)))))
         ends = F.array(F.lit(end).cast("bigint"))
         steps = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
-        return F.aggregate(steps, let(F.concat(ends, own, ends), start), step, lambda s: F.slice(s["parts"], F.lit(2), F.size(s["parts"]) - 2))
+        # The first element is the word's start, which merges with nothing.
+        return F.aggregate(steps, let(F.concat(ends, own, ends), start), step, lambda e: F.transform(F.slice(e, F.lit(2), every), id_of))
 
     return let(tables, fold).cast("array<int>")
 
@@ -163,8 +163,9 @@ class Numbered:
         return b"".join(map(self._number, self.find(text)))
 
     def _piece(self, piece: str) -> bytes:
-        # Letters only, after a space or not, are one word by the pattern that this cutting is for.
-        got = self._number(piece) if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else self._numbers(piece)
+        """Numbers of a space and the piece."""
+        # A space and letters only are one word by the pattern that this cutting is for.
+        got = self._number(" " + piece) if piece.isalpha() else self._numbers(" " + piece)
         if len(piece) <= LONGEST:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
@@ -178,7 +179,7 @@ class Numbered:
             return np.frombuffer(self._numbers(text), "<u4")
         first, *rest = text.split(" ")
         kept, piece = self.kept.get, self._piece
-        return np.frombuffer(b"".join([piece(first), *[kept(p) or piece(p) for p in map(" ".__add__, rest)]]), "<u4")
+        return np.frombuffer(b"".join([self._numbers(first), *[kept(p) or piece(p) for p in rest]]), "<u4")
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -194,7 +195,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("range", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
 SPREAD = pa.schema([("range", pa.int32()), ("word", pa.binary()), ("block", pa.int64()), ("sizes", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
 BACK = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
-OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("packed", pa.binary())])
 
 
 def _cut(sizes: bytes, words: bytes) -> list[bytes]:
@@ -212,7 +213,7 @@ def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id and ids (array<int>) of every row. ranks: the path of a rank file, which every executor has; pattern: one that cuts before single spaces and runs of letters, as byte-level vocabularies' do."""
+    """doc_id, ids (array<int>) and packed (the ids as unsigned 32-bit integers, least byte first) of every row. ranks: the path of a rank file, which every executor has; pattern: one that cuts before single spaces and runs of letters, as byte-level vocabularies' do."""
     path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     spark = docs.sparkSession
     short_batches(spark)
@@ -302,27 +303,17 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_toke
             out.append(flat[np.repeat(start[every] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
         ends = np.concatenate([[0], np.cumsum([len(x) for x in out])])
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)))
-        return pa.Table.from_arrays([numbers.column("doc_id").combine_chunks(), ids], schema=OUT)
+        return pa.Table.from_arrays([numbers.column("doc_id").combine_chunks(), ids, pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())], schema=OUT)
 
     read = rows.where("range is null").select("block", "doc_id", "numbers")
-    return read.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(gather, "doc_id long, ids array<int>")
-
-
-def _joined(ids: Column, table: list[str]) -> Column:
-    """Binary: the pieces of a literal table (hexadecimal, by id) of all ids, joined."""
-    pieces = F.split(F.lit(",".join(table)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    return read.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(gather, "doc_id long, ids array<int>, packed binary")
 
 
 def decoded(ids: Column, ranks: str | None = None) -> Column:
-    """The bytes of an array of ids."""
+    """The bytes of an array of ids: the pieces of a literal table (hexadecimal, by id), joined."""
     entries = ranks_of(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     table = [""] * (1 + max(entries.values()))
     for entry, rank in entries.items():
         table[rank] = entry.hex()
-    return _joined(ids, table)
-
-
-def little_endian(ids: Column, size: int = 50_256) -> Column:
-    """An array of ids below `size` as unsigned 32-bit integers, least byte first."""
-    return _joined(ids, [i.to_bytes(4, "little").hex() for i in range(size)])
+    pieces = F.split(F.lit(",".join(table)), ",")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))

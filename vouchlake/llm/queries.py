@@ -140,7 +140,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.col("ids")
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"))
-    return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(byte_bpe.little_endian(ids), 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(ids), 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(ids), 256).alias("decoded_sha256"))
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

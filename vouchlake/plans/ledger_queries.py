@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, nearest, store, upserts
+from ..operators import asof, nearest, rollups, store, upserts
 from ..sources.shared import new_folder
-from ..streaming import expiry, quota
+from ..streaming import expiry, quota, sessions
+from ..streaming.sink import drained
 from .queries import MONEY, orders, tab
 from .registry import query
 
@@ -143,3 +144,55 @@ def history_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = upserts.laid_out(o, f"history_{name}", ["email"], ["created_at", "id"], 8, ("id",), new_folder(spark, "history"))
     usage = upserts.laid_out(store.user_counts(o).withColumnRenamed("n", "usage_count"), f"usage_{name}", ["email"], [], 8, (), new_folder(spark, "usage"))
     return store.latest_each(history).join(usage, "email").select("email", "id", F.col("rank").cast("bigint").alias("rank"), "usage_count")
+
+
+@query("rollup_cube", """
+WITH o AS (SELECT o_orderstatus AS status, strftime(o_orderdate, '%Y-%m') AS month, o_custkey, CAST(o_totalprice AS decimal(18,2)) AS x FROM orders)
+SELECT status, month, CAST(GROUPING_ID(status, month) AS bigint) AS level, count(*) AS n, CAST(sum(x) AS double) AS total, true AS distinct_within, true AS median_within
+FROM o GROUP BY CUBE (status, month)""")
+def rollup_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices by status and month from the stored parts of three batches, one of them written twice; estimates are held against exact values, within their stated errors."""
+    o = tab(spark, sf_dir, "orders")
+    dims = {"status": F.col("o_orderstatus"), "month": F.date_format("o_orderdate", "yyyy-MM")}
+    folder = new_folder(spark, "rollup")
+    for b in (0, 1, 2, 1):
+        rollups.stored(rollups.parts(o.where(F.col("o_orderkey") % 3 == b), dims, F.col("o_custkey"), F.col("o_totalprice")), folder, f"b{b}")
+    about = rollups.cube(spark.read.parquet(folder), list(dims), (0.5,))
+    rows = o.select(*[c.alias(n) for n, c in dims.items()], "o_custkey", F.col("o_totalprice").cast("double").alias("x"))
+    exact = rows.cube(*dims).agg(F.grouping_id().cast("bigint").alias("level"), F.countDistinct("o_custkey").alias("d"), F.percentile("x", F.array(F.lit(0.47), F.lit(0.53))).alias("p"))
+    same = F.col("a.level").eqNullSafe(F.col("e.level"))
+    for n in dims:
+        same &= F.col(f"a.{n}").eqNullSafe(F.col(f"e.{n}"))
+    met = about.alias("a").join(exact.alias("e"), same)
+    # Five standard errors for the distinct values; for the median the ranks 0.47 to 0.53, or one place where a group is small.
+    near = F.abs(F.col("distinct_about") - F.col("d")) <= F.greatest(F.lit(1.0), 0.08 * F.col("d"))
+    slack = F.when(F.col("n") < 50, F.lit(float("inf"))).otherwise(0.0)
+    return met.select("a.status", "a.month", "a.level", "n", F.col("total").cast("double").alias("total"), near.alias("distinct_within"), F.col("q50").between(F.col("p")[0] - slack, F.col("p")[1] + slack).alias("median_within"))
+
+
+@query("stream_sessions", """
+WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, before) AS k FROM e),
+g AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT CAST(user_id AS varchar) AS email, epoch_us(started) AS started_us, epoch_us(ended) AS ended_us, n FROM g WHERE ended <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's sessions of events as a stream gives them out; those that the watermark has not passed are still open."""
+    e = arriving(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("email"), F.col("ts").cast("timestamp").alias("at"))
+    got = drained(sessions.sessions(e), "sessions")
+    return got.select("email", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "n")
+
+
+@query("stream_answered", """
+WITH u AS (SELECT event_id AS upload, ts AS t FROM events WHERE event_type = 'purchase'),
+r AS (SELECT event_id AS upload, ts + to_seconds(CAST(event_id % 1500 AS integer)) AS done FROM events WHERE event_type = 'purchase' AND event_id % 7 <> 0),
+w AS (SELECT least((SELECT max(t) FROM u), (SELECT max(done) FROM r)) - INTERVAL 1 HOUR AS mark)
+SELECT u.upload, epoch_us(t) AS at_us, epoch_us(done) AS done_us FROM u LEFT JOIN r ON u.upload = r.upload AND done >= t AND done <= t + INTERVAL 10 MINUTE
+WHERE done IS NOT NULL OR t + INTERVAL 10 MINUTE < (SELECT mark FROM w)""")
+def stream_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads met with their results within ten minutes, both as streams; every fourth upload is sent twice."""
+    e = arriving(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp"))
+    uploads = e.select(F.col("event_id").alias("upload"), F.col("ts").alias("at"), F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 4 == 0, 2).otherwise(1))).alias("sent")).drop("sent")
+    again = arriving(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 7 <> 0")
+    results = again.select(F.col("event_id").alias("upload"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 1500 * 1_000_000).alias("done"))
+    got = drained(sessions.answered(sessions.without_repeats(uploads), results, marked=True), "answered")
+    return got.select("upload", F.unix_micros("at").alias("at_us"), F.unix_micros("done").alias("done_us"))

@@ -226,9 +226,11 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_toke
 
         def words() -> Iterator[pa.RecordBatch]:
             every = list(n.words)
+            if not every:
+                return n.clear()
             of = np.fromiter((zlib.crc32(w) % ranges for w in every), np.int32, len(every))
             order = np.argsort(of, kind="stable")
-            cut = np.nonzero(np.append(True, of[order][1:] != of[order][:-1]))[0].tolist() if len(every) else []
+            cut = np.nonzero(np.append(True, of[order][1:] != of[order][:-1]))[0].tolist()
             for a, b in zip(cut, [*cut[1:], len(every)], strict=True):
                 at = order[a:b]
                 own = [every[i] for i in at.tolist()]

@@ -35,7 +35,7 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-# Number words of the Indian scale, and words that amounts in words may carry.
+# Number words of the Indian scale.
 NUMBER_WORDS = {
     "ZERO": 0, "ONE": 1, "TWO": 2, "THREE": 3, "FOUR": 4, "FIVE": 5, "SIX": 6, "SEVEN": 7, "EIGHT": 8, "NINE": 9,
     "TEN": 10, "ELEVEN": 11, "TWELVE": 12, "THIRTEEN": 13, "FOURTEEN": 14, "FIFTEEN": 15, "SIXTEEN": 16,
@@ -43,7 +43,6 @@ NUMBER_WORDS = {
     "SIXTY": 60, "SEVENTY": 70, "EIGHTY": 80, "NINETY": 90,
 }
 SCALES = {"THOUSAND": 1_000, "LAKH": 100_000, "CRORE": 10_000_000}
-SILENT = ["RUPEES", "RUPEE", "ONLY", "AND", "PAISE", "PAISA"]
 
 
 def _map(values: dict[str, int]) -> Column:
@@ -150,6 +149,7 @@ def machine_hash(host: Column) -> Column:
 
 
 def confidence_label(score: Column) -> Column:
+    # The labels and their bounds.
     return F.when(score >= 0.95, "✅ High").when(score >= 0.85, "⚠️ Medium").otherwise("❌ Review")
 
 

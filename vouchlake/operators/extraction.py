@@ -275,6 +275,7 @@ def extract(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFr
     column = lambda t: _when(f"contains(_t, '{t}') AND {by_column}", A.column_tax("_L", t))
     d = _stage(d, keep, **kept, final1=final1, col_cgst=column("CGST"), col_sgst=column("SGST"))
     recon = "s.line_taxable + s.line_tax"
+    # The rules' names.
     applied = _rules(
         ("pri_no IS NOT NULL", "'INVOICE_NUMBER_LABEL_PRIORITY'"), ("pri_no IS NULL AND alt_no IS NOT NULL", "'INVOICE_NO_WITH_SUFFIX'"),
         ("pri_date IS NOT NULL", "'PI_OR_ORDER_REF_DATE_PRIORITY'"), ("words IS NOT NULL", "'MASTER_TOTAL_FROM_WORDS'"),
@@ -347,6 +348,7 @@ def validate(d: DataFrame, keep: list[Column], strict: bool = False) -> DataFram
     is_gst = f"v_gst IS NOT NULL OR NOT {_missing('v2_cgst')} OR NOT {_missing('v2_sgst')} OR NOT {_missing('v2_igst')}"
     kept |= {n: n for n in ("expected", "resort", "v_final", "difference", "v_no")}
     d = _stage(d, keep, **kept, label_match="r.label_match OR e_no IS NOT NULL", math_ok="abs(difference) <= 1", words_ok=words_ok, is_gst=is_gst, gst_ok=gstin_valid(F.col("v_gst")))
+    # The checking rules' names.
     first = _rules(("true", "'MATH_VALIDATION'"), ("resort IS NOT NULL", "'TOTAL_BLOCK_PRIORITY'"), ("words_ok", "'WORDS_TOTAL_MATCH'"))
     later = _rules(("resort IS NULL", "'TOTAL_BLOCK_PRIORITY'"), ("NOT words_ok", "'WORDS_TOTAL_MATCH'"))
     default = lambda k: f"coalesce(k2_{k}, if({f'v_{k}' if k in ('taxable', 'final') else f'v2_{k}'} IS NULL, 0.4D, 0.7D))"

@@ -14,7 +14,9 @@ from ..functions import text as T
 from ..operators import extraction as X
 from ..operators import reconcile as R
 from ..operators import reports
+from ..sources import archives
 from ..sources import documents as S
+from ..sources.shared import new_folder
 from .registry import query
 
 MONEY = A.MONEY
@@ -352,3 +354,42 @@ def model_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = S.model_records(e.select("event_id", reply.alias("text")), lambda t: t)
     m = F.col("model")
     return d.select("event_id", m["invoice_number"].alias("invoice_number"), m["taxable_amount"].cast("double").alias("taxable"), m["confidence"]["taxable_amount"].alias("confidence"), m["cgst_amount"].cast("double").alias("cgst"))
+
+
+@query("archive_ranges", "SELECT concat('a', CAST(page_id % 3 AS varchar), '.zip') AS archive, concat('p', CAST(page_id AS varchar), '.PDF') AS name, sha256(html) AS digest, CAST(NULL AS varchar) AS error FROM pages WHERE html IS NOT NULL")
+def archive_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of three large ZIP archives of all pages, by the data source: each archive is read in ranges of its members."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null")
+    files = pages.select(F.concat(F.lit("a"), F.col("page_id") % 3, F.lit(".zip")).alias("archive"), F.concat(F.lit("p"), F.col("page_id"), F.lit(".PDF")).alias("name"), F.col("html").cast("binary").alias("content"))
+    folder = new_folder(spark, "archives")
+
+    def put(rows) -> None:
+        for r in rows:
+            to, path = archives.opened(f"{folder}/{r['archive']}")
+            to.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with to.open_output_stream(path) as out:
+                out.write(r["content"])
+
+    S.bundled(files, "archive").foreachPartition(put)
+    spark.dataSource.register(archives.ZipMembers)
+    members = spark.read.format("zip_members").option("partition_bytes", 200_000).load(folder)
+    return members.select("archive", "name", F.sha2("content", 256).alias("digest"), "error")
+
+
+@query("object_store", "SELECT concat('pages/', CAST(page_id AS varchar)) AS path, CAST(page_id AS varchar) AS name, sha256(html) AS digest FROM pages WHERE html IS NOT NULL")
+def object_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages put into the store and got back."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null")
+    name = F.col("page_id").cast("string")
+    kept = S.copied(spark, pages.select(F.concat(F.lit("pages/"), name).alias("path"), name.alias("name"), F.col("html").cast("binary").alias("content")), new_folder(spark, "objects"))
+    return kept.select("path", "name", F.sha2("content", 256).alias("digest"))
+
+
+@query("counters_rewritten", "SELECT CAST(user_id AS varchar) AS email, count(*) AS n FROM events GROUP BY 1")
+def counters_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's counter written as JSON, twice, and read back."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("email"), "event_id")
+    folder = new_folder(spark, "counters")
+    for rows in (e.where("event_id % 2 = 0"), e):
+        S.write_counters(rows.groupBy("email").agg(F.count(F.lit(1)).alias("n")), folder)
+    return spark.read.schema("email string, n bigint").json(folder)

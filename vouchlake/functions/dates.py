@@ -36,6 +36,7 @@ def license_state(machine: Column, own_machine: Column, expiry: Column, today: C
     """valid and message of a license: machine, expiry format, days left."""
     at = expiry_date(expiry)
     left = F.datediff(at, today)
+    # The messages.
     state = lambda ok, text: F.struct(F.lit(ok).alias("valid"), text.alias("message"))
     return (
         F.when(machine.isNull() & expiry.isNull(), state(False, F.lit("License file not found")))

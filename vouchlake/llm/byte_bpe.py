@@ -45,10 +45,10 @@ from .common import shared_folder, short_batches, sliced
 SHIFT = 20  # ids have fewer bits
 PLACE = 24  # places in a word have fewer bits
 NONE = 2**31 - 1
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 BLOCK_WORDS = 500_000
 RANGE_BYTES, MOST_RANGES = 32_000_000, 16_384  # of text for each range of words
-KEPT, LONGEST = 400_000, 64
+KEPT, LONGEST = 200_000, 64
 ROWS_OUT = 5_000
 JOINED = regex.compile(r"\s \s")  # white space around a space: no cut is sure before it
 

@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.test_extraction import C1, C3
@@ -135,3 +136,18 @@ def test_tables(spark, tmp_path):
         assert t.count() == 4 and t.select("id").distinct().count() == 4  # unique over appends
     finally:
         spark.sql("DROP DATABASE history_test CASCADE")
+
+
+def test_small_archives_share_batches(spark):
+    """Small members and archives share Arrow batches, in place of one each; keys, null among them, and members stay whole over the slices' borders."""
+    rows = [(None if k == 7 else f"c{k:03d}", f"m{m}.pdf", bytes([k % 256]) * (m * 40_000)) for k in range(30) for m in range(8)]
+    files = spark.createDataFrame(rows, "c string, name string, content binary")
+    archives = S.bundled(files, "c").withColumnRenamed("c", "path")
+    assert archives.count() == 30
+    got = {(r["archive"], r["name"]): bytes(r["content"]) for r in S.archive_members(archives).collect()}
+    assert got == {(c, n): b for c, n, b in rows}
+    made = list(S.collected(((i,) for i in range(10_000)), pa.schema([("x", pa.int64())]), lambda r: 8))
+    assert len(made) == 1 and made[0].num_rows == 10_000
+    assert [b.num_rows for b in S.collected(((i,) for i in range(5)), pa.schema([("x", pa.int64())]), lambda r: 3_000_000)] == [1] * 5
+    long = pa.RecordBatch.from_arrays([pa.array([b"x" * 1_500_000] * 6 + [None])], ["content"])
+    assert [b.num_rows for b in S.sliced([long])] == [2, 3, 2]

@@ -12,14 +12,22 @@ import posixpath
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.text import coerce_double, json_object, strip
 
 Extractor = Callable[[bytes], "str | list[str]"]
 
+#: Bytes that a task holds as Python objects at a time, beside one row larger than that.
+SLICE_BYTES = 4_000_000
+
 
 def plain_text(content: bytes) -> str:
     return content.decode("utf-8", "replace")
@@ -43,39 +51,87 @@ def accepted(uploads: DataFrame, name: str = "name", suffix: str = ".pdf") -> Da
     return uploads.withColumn("error", F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("Unsupported file type: "), F.coalesce(F.col(name), F.lit("")))))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most_bytes`, a row at least, so that few contents are Python objects at a time."""
+    for b in batches:
+        held = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in b.columns if pa.types.is_binary(c.type) or pa.types.is_string(c.type) or pa.types.is_large_binary(c.type) or pa.types.is_large_string(c.type)]
+        blocks = np.cumsum(np.sum(held, axis=0, dtype=np.int64)) // most_bytes if held else np.zeros(b.num_rows, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield b.slice(start, end - start)
+
+
+def collected(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int], most_bytes: int = SLICE_BYTES, most_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about `most_bytes`, as many rows as that holds: a batch a row would cost more than its row."""
+    held: list[tuple] = []
+    weight = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for r in rows:
+        if held and (weight + size(r) > most_bytes or len(held) >= most_rows):
+            yield batch()
+            held, weight = [], 0
+        held.append(r)
+        weight += size(r)
+    if held:
+        yield batch()
+
+
 def archive_members(archives: DataFrame, suffix: str = ".pdf") -> DataFrame:
     """archive, name and content of every member of ZIP files that ends so; an archive's own error in a row of its own.
 
-    Members are read one at a time; a task holds one archive's bytes and one member.
+    Members are read one at a time; a task holds a slice of archives' bytes and a batch of members, both of a few megabytes or one row.
     """
+    schema = pa.schema([("archive", pa.string()), ("name", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "name", "content", "error"]
-        for x in batches:
-            for path, content in zip(x["path"], x["content"], strict=True):
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in sliced(batches):
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         for info in z.infolist():
                             if not info.is_dir() and info.filename.lower().endswith(suffix):
-                                yield pd.DataFrame([(path, posixpath.basename(info.filename), z.read(info), None)], columns=columns)
+                                yield path, posixpath.basename(info.filename), z.read(info), None
                 except (zipfile.BadZipFile, OSError, RuntimeError) as e:
-                    yield pd.DataFrame([(path, None, None, str(e))], columns=columns)
+                    yield path, None, None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return collected(members(batches), schema, lambda r: len(r[2] or b""))
 
-    return archives.select("path", "content").mapInPandas(run, "archive string, name string, content binary, error string")
+    return archives.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, "archive string, name string, content binary, error string")
 
 
 def bundled(files: DataFrame, by: str) -> DataFrame:
-    """by and content: a ZIP archive of the files (name, content) of each batch. A task holds one batch's files, as an archive does."""
+    """by and content: a ZIP archive of the files (name, content) of each batch.
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        raw = io.BytesIO()
-        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, content in sorted(zip(x["name"], x["content"], strict=True), key=lambda f: f[0]):
+    Files are sorted by batch and name within tasks and put in as they come: a task holds one archive's bytes, and many small archives share its calls.
+    """
+    kind = files.schema[by].dataType
+    schema = to_arrow_schema(StructType([StructField(by, kind), StructField("content", BinaryType())]))
+
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        raw, z, current = io.BytesIO(), None, None
+        for b in sliced(batches):
+            for k, name, content in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if z is None or k != current:
+                    if z is not None:
+                        z.close()
+                        yield current, raw.getvalue()
+                    raw, current = io.BytesIO(), k
+                    z = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
                 z.writestr(zipfile.ZipInfo(name), content, zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({by: [x[by].iloc[0]], "content": [raw.getvalue()]})
+        if z is not None:
+            z.close()
+            yield current, raw.getvalue()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return collected(archives(batches), schema, lambda r: len(r[1]))
 
-    kind = files.schema[by].dataType.simpleString()
-    return files.select(by, "name", "content").groupBy(by).applyInPandas(run, f"`{by}` {kind}, content binary")
+    rows = files.select(by, "name", "content").repartition(F.col(f"`{by}`")).sortWithinPartitions(F.col(f"`{by}`"), "name")
+    return rows.mapInArrow(run, f"`{by}` {kind.simpleString()}, content binary")
 
 
 def page_text(pages: Column) -> Column:
@@ -86,16 +142,21 @@ def page_text(pages: Column) -> Column:
 def extracted(docs: DataFrame, extractor: Extractor, to: str, content: str = "content") -> DataFrame:
     """docs with `to`, a struct<text, error> of what the extractor gives for the bytes."""
 
-    @F.pandas_udf("pages array<string>, error string")
-    def run(raw: pd.Series) -> pd.DataFrame:
-        out = []
-        for b in raw:
-            try:
-                got = extractor(b) if b is not None else ""
-                out.append(([got] if isinstance(got, str) else list(got), None))
-            except Exception as e:  # the document's own failure
-                out.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["pages", "error"])
+    @F.arrow_udf("struct<pages: array<string>, error: string>")
+    def run(raw: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("pages", pa.list_(pa.string())), ("error", pa.string())])
+        for whole in raw:
+            parts = []
+            for part in sliced([pa.RecordBatch.from_arrays([whole], ["content"])]):
+                out = []
+                for b in part.column(0).to_pylist():
+                    try:
+                        got = extractor(b) if b is not None else ""
+                        out.append({"pages": [got] if isinstance(got, str) else list(got), "error": None})
+                    except Exception as e:  # the document's own failure
+                        out.append({"pages": None, "error": f"{type(e).__name__}: {e}"})
+                parts.append(pa.array(out, kind))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     got = docs.withColumn("_got", run(F.col(content)))
     return got.withColumn(to, F.struct(page_text(F.col("_got.pages")).alias("text"), F.col("_got.error").alias("error"))).drop("_got")

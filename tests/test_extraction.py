@@ -1,5 +1,6 @@
 """Goldens of extraction and its functions, hand-traced; edges of every operator family."""
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from vouchlake.functions import amounts as A
 from vouchlake.functions import dates as D
 from vouchlake.functions import text as T
+from vouchlake.functions.text import normalize, normalized_again
 from vouchlake.operators import reconcile as R
 from vouchlake.operators.extraction import extract, items, sections, tax_summary
 
@@ -179,3 +181,28 @@ def test_a_key_filter_reaches_the_scan_and_an_invoice_filter_stays_above(spark,
     optimized = got.where("invoice.validation = 'Verified'")._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.index("Filter") < optimized.index("Generate explode") and optimized.count("Filter") == 1
     assert [r["k"] for r in got.where("k = 2").collect()] == [2]
+
+
+ODD = ["", " ", "a,b", "Inr 5", "rs. 7\n\n8", "i,nr 4", "R\u20b9S", "\u0131nr", "stra\u00dfe", "x\r\ny", "\x1c a \x1f", "plain text\nof 12.50 ", "\t\x0b\x0c end\n", "caf\u00e9 \u2028", "parts 5", None, "rrss"]
+
+
+def test_the_short_way_of_normalizing_gives_what_the_long_way_does(spark):
+    def long_way(t):
+        x = re.sub("\u20b9|INR|RS\\.?", "", t.upper()).replace(",", "").replace("\r", "\n")
+        return re.sub("\n+", "\n", re.sub(r"[^\x00-\x7f]+", " ", x)).strip(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
+
+    d = spark.createDataFrame([(t,) for t in ODD], "t string").select("t", normalize(F.col("t")).alias("n"))
+    for r in d.select("t", "n", normalized_again(F.col("n")).alias("again"), normalize(F.col("n")).alias("twice")).collect():
+        assert r["n"] == (None if r["t"] is None else long_way(r["t"])) and r["again"] == r["twice"], r
+
+
+def test_only_the_wanted_fields_are_computed_and_equal_the_whole_invoices(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([C1, C3, None, "", "TOTAL 5", "ROUND OFF 0.40\nGRAND TOTAL 100.40", "QTY AMOUNT\nITEM 4.00\nCGST 9 2.00\nTOTAL 6"])], "k int, text string")
+    whole = extract(docs, strict=True)
+    names = ["final_amount", "taxable_amount", "cgst_amount", "round_off", "validation", "rules_applied", "invoice_date"]
+    some = extract(docs, strict=True, only=names)
+    assert set(some.schema["invoice"].dataType.names) == set(names)
+    of = lambda d: {r["k"]: [r[n] for n in names] for r in d.select("k", *[f"invoice.{n}" for n in names]).collect()}
+    assert of(some) == of(whole)
+    with pytest.raises(ValueError):
+        extract(docs, only=["no_such_field"])

@@ -12,7 +12,8 @@ from collections.abc import Callable
 
 # Money, the patterns of amounts and of what is no amount, stop words and total words.
 MONEY = "decimal(18,2)"
-AMOUNT = r"\b\d+(?:,\d{3})*(?:\.\d{1,2})?\b"
+#: The digit is looked for before the costlier word border.
+AMOUNT = r"(?=\d)\b\d+(?:,\d{3})*(?:\.\d{1,2})?\b"
 CODE = r"\b(HSN|SAC)\b"
 COUNTED = "^(NOS|UNITS|PCS|QTY)"
 POSTAL = "PIN|TAMIL|NADU|CHENNAI|BANGALORE"
@@ -68,16 +69,21 @@ def _is_money(line: str, m: str) -> str:
     return f"NOT ({after} RLIKE {quoted(COUNTED)} OR ({code}) OR ({digits} = 6 AND {around} RLIKE {quoted(POSTAL)}))"
 
 
-def line_amounts(line: str) -> str:
-    """The money amounts of a line, in order. Lines without a digit, most of a text, skip the work; only lines with a suspect word look at surroundings."""
+def line_amounts(line: str, suspect: bool = True) -> str:
+    """The money amounts of a line, in order. Lines without a digit, most of a text, skip the work; only lines with a suspect word look at surroundings.
+
+    suspect: false where no line has a suspect word.
+    """
     every = there(f"transform(regexp_extract_all({line}, {quoted(AMOUNT)}, 0), m -> {money('m')})")
     kept = there(f"transform(filter({placed(line)}, m -> {_is_money(line, 'm')}), m -> {money('m.num')})")
-    return f"CASE WHEN NOT {line} RLIKE '[0-9]' THEN CAST(array() AS array<{MONEY}>) WHEN NOT upper({line}) RLIKE {quoted(SUSPECT)} THEN {every} ELSE {kept} END"
+    chosen = f"WHEN NOT upper({line}) RLIKE {quoted(SUSPECT)} THEN {every} ELSE {kept}" if suspect else f"ELSE {every}"
+    return f"CASE WHEN NOT {line} RLIKE '[0-9]' THEN CAST(array() AS array<{MONEY}>) {chosen} END"
 
 
-def analyzed(text: str) -> str:
-    """array<struct<line, amts>> of a text's lines."""
-    return f"transform(split({text}, '\\n', -1), line -> named_struct('line', line, 'amts', {line_amounts('line')}))"
+def analyzed(text: str, capital: bool = False) -> str:
+    """array<struct<line, amts>> of a text's lines. Suspect words are looked for in the whole text once; capital: it is in upper case."""
+    lines = lambda suspect: f"transform(split({text}, '\\n', -1), line -> named_struct('line', line, 'amts', {line_amounts('line', suspect)}))"
+    return f"CASE WHEN {has_any(text if capital else f'upper({text})', SUSPECT.split('|'))} THEN {lines(True)} ELSE {lines(False)} END"
 
 
 def last(xs: str) -> str:
@@ -89,6 +95,11 @@ def first_of(xs: str, value: Callable[[str, str], str]) -> str:
     return f"get({there(f'transform({xs}, (x, i) -> {value("x", "i")})')}, 0)"
 
 
+def first_here(xs: str, value: str, kind: str = MONEY) -> str:
+    """The first value over the elements x that is not null, of a kind; the elements after it are not looked at."""
+    return f"aggregate({xs}, CAST(NULL AS {kind}), (a, x) -> coalesce(a, {value}))"
+
+
 def has_any(line: str, labels: list[str]) -> str:
     return "(" + " OR ".join(f"contains({line}, {quoted(x)})" for x in labels) + ")"
 
@@ -100,7 +111,7 @@ def labelled(L: str, labels: list[str]) -> str:
 
 def labelled_here(L: str, labels: list[str]) -> str:
     """As `labelled`, without the next line."""
-    return first_of(L, lambda x, i: f"CASE WHEN {has_any(f'{x}.line', labels)} THEN {last(f'{x}.amts')} END")
+    return first_here(L, f"CASE WHEN {has_any('x.line', labels)} THEN {last('x.amts')} END")
 
 
 def total(xs: str, value: str = "x") -> str:
@@ -110,8 +121,10 @@ def total(xs: str, value: str = "x") -> str:
 
 def tax_sum(L: str, label: str) -> str:
     """Sum over the label's lines of their last amount; only where there is none, the most of its TOTAL lines."""
-    of = lambda no: f"transform(filter({L}, x -> contains(x.line, {quoted(label)}) AND size(x.amts) > 0 AND {no} contains(x.line, 'TOTAL')), x -> {last('x.amts')})"
-    return f"coalesce({total(of('NOT'))}, array_max({of('')}))"
+    here = f"contains(x.line, {quoted(label)}) AND size(x.amts) > 0"
+    fold = lambda when, value: f"aggregate({L}, CAST(NULL AS {MONEY}), (a, x) -> if({when}, {value}, a))"
+    own = fold(f"{here} AND NOT contains(x.line, 'TOTAL')", f"CAST(coalesce(a, {ZERO}) + {last('x.amts')} AS {MONEY})")
+    return f"coalesce({own}, {fold(here, f'greatest(a, {last("x.amts")})')})"
 
 
 def item_sum(L: str) -> str:
@@ -169,7 +182,7 @@ def rate_tax(L: str, tax: str) -> str:
 
 def round_off(L: str) -> str:
     """The last signed number of the first ROUND OFF line that has one."""
-    return first_of(L, lambda x, i: f"CASE WHEN contains(x.line, {quoted(ROUND_OFF)}) THEN {money(last(f'regexp_extract_all(x.line, {quoted(SIGNED)}, 0)'))} END")
+    return first_here(L, f"CASE WHEN contains(x.line, {quoted(ROUND_OFF)}) THEN {money(last(f'regexp_extract_all(x.line, {quoted(SIGNED)}, 0)'))} END")
 
 
 def is_close(a: str, b: str, tolerance: float = 1.5) -> str:

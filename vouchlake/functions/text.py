@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,12 +25,24 @@ def first_group(x: Column, pattern: str, group: int = 1) -> Column:
     return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, group))
 
 
+#: White space that stripping takes off.
+SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+
+
 def normalize(text: Column) -> Column:
-    """Upper case, currency marks and commas gone, ASCII only, single line ends, stripped."""
+    """Upper case, currency marks and commas gone, ASCII only, single line ends, stripped. A plain text takes the short way."""
     x = F.regexp_replace(F.upper(text), "₹|INR|RS\\.?", "")
     x = F.replace(F.replace(x, F.lit(","), F.lit("")), F.lit("\r"), F.lit("\n"))
     x = F.regexp_replace(F.regexp_replace(x, r"[^\x00-\x7F]+", " "), "\n+", "\n")
-    return strip(x)
+    u = F.upper(text)
+    there = [F.contains(text, F.lit(c)) for c in (",", "\r", "\n\n")] + [F.contains(u, F.lit(w)) for w in ("INR", "RS")]
+    dirty = functools.reduce(lambda p, q: p | q, there, F.length(text) != F.octet_length(text))
+    return F.when(dirty, strip(x)).otherwise(F.btrim(u, F.lit(SPACE)))
+
+
+def normalized_again(text: Column) -> Column:
+    """`normalize` of a normalized text: only currency marks that removing others has made are left to remove."""
+    return F.when(F.contains(text, F.lit("INR")) | F.contains(text, F.lit("RS")), normalize(text)).otherwise(text)
 
 
 def lines(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts as A
 from ..functions.amounts import MONEY, ZERO, quoted
-from ..functions.text import GSTIN, OTHER_IDENTIFIERS, gstin_valid, normalize, words_to_number
+from ..functions.text import GSTIN, OTHER_IDENTIFIERS, gstin_valid, normalize, normalized_again, words_to_number
 
 # Labels, patterns and rule names of the extraction rules.
 TAXABLE_LABELS = ["TAXABLE AMOUNT", "TAXABLE VALUE", "SUB TOTAL", "BASIC AMOUNT"]
@@ -29,22 +29,22 @@ ITEM_ROW_STOPS = ["DESCRIPTION", "SUB TOTAL", "TOTAL TAXABLE", "CGST", "SGST", "
 DATE_LABELS = ["PI DATE", "ORDER REF DATE"]
 NO_DATE_LABELS = ["PRICE IS VALID TILL", "WARRANTY"]
 NUMBER_TAIL = r"\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/]*)"
-INVOICE_LABEL = r"(?:INVOICE|INV|BILL|DOC|VOUCHER|S\.?NO)\s*(?:NO|NUMBER)?\.?\s*[:\-]?\s*"
-LABELLED_NUMBERS = [r"\bPI\s*NO\b" + NUMBER_TAIL, r"\bESTIMATION\s*NO\b" + NUMBER_TAIL]
+INVOICE_LABEL = r"(?=[IBDVS])(?:INVOICE|INV|BILL|DOC|VOUCHER|S\.?NO)\s*(?:NO|NUMBER)?\.?\s*[:\-]?\s*"
+LABELLED_NUMBERS = {"PI": r"\bPI\s*NO\b" + NUMBER_TAIL, "ESTIMATION": r"\bESTIMATION\s*NO\b" + NUMBER_TAIL}
 INVOICE_NUMBERS = [r"INVOICE\s+NUMBER\s*[:\-]\s*([A-Z0-9][A-Z0-9\-/]*)", INVOICE_LABEL + r"([A-Z0-9\-/]+)"]
 FALLBACK_NUMBERS = [INVOICE_LABEL + r"([A-Z0-9][A-Z0-9\-/]*\d(?:[A-Z0-9\-/]*))", r"\b(\d{3,8}/\d{2}-\d{2})\b"]
-DATES = [r"\b\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}\b", r"\b\d{1,2}\s+[A-Z]{3,9}\s+\d{2,4}\b", r"\b\d{1,2}-[A-Z]{3}-\d{2,4}\b"]
+DATES = [r"(?=\d)\b\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}\b", r"(?=\d)\b\d{1,2}\s+[A-Z]{3,9}\s+\d{2,4}\b", r"(?=\d)\b\d{1,2}-[A-Z]{3}-\d{2,4}\b"]
 SHORT_NUMBER = r"(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+\.\d{2})"
 FULL_NUMBER = r"(\d+(?:,\d{3})*(?:\.\d{1,2})?)"
 FINALS = [
-    ("GRAND_TOTAL_PRIORITY", r"\bGRAND\s*TOTAL\b[^\d]{0,25}"),
-    ("AMOUNT_PAYABLE_PRIORITY", r"\bAMOUNT\s*PAYABLE\b[^\d]{0,25}"),
-    ("NET_PAYABLE_PRIORITY", r"\bNET\s*PAYABLE\b[^\d]{0,25}"),
-    ("TOTAL_RUPEE_PRIORITY", r"\bTOTAL\s*₹?\s*"),
-    ("TOTAL_AMOUNT_PRIORITY", r"\bTOTAL\s*AMOUNT\b[^\d]{0,25}"),
+    ("GRAND_TOTAL_PRIORITY", r"(?=G)\bGRAND\s*TOTAL\b[^\d]{0,25}"),
+    ("AMOUNT_PAYABLE_PRIORITY", r"(?=A)\bAMOUNT\s*PAYABLE\b[^\d]{0,25}"),
+    ("NET_PAYABLE_PRIORITY", r"(?=N)\bNET\s*PAYABLE\b[^\d]{0,25}"),
+    ("TOTAL_RUPEE_PRIORITY", r"(?=T)\bTOTAL\s*₹?\s*"),
+    ("TOTAL_AMOUNT_PRIORITY", r"(?=T)\bTOTAL\s*AMOUNT\b[^\d]{0,25}"),
 ]
 GENERIC_TOTAL = r"TOTAL\s*[:\-]?\s*(\d+(?:,\d{3})*(?:\.\d{1,2})?)"
-SUBTOTAL = r"(?:SUB\s*TOTAL|TAXABLE\s*VALUE|TAXABLE\s*AMOUNT|BASIC\s*AMOUNT|NET\s*AMOUNT)[^\d]{0,40}(\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+\.\d{1,2}|\d+)"
+SUBTOTAL = r"(?=[STBN])(?:SUB\s*TOTAL|TAXABLE\s*VALUE|TAXABLE\s*AMOUNT|BASIC\s*AMOUNT|NET\s*AMOUNT)[^\d]{0,40}(\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+\.\d{1,2}|\d+)"
 LINE_TAX = r"\b{tax}\b[^\d]{{0,20}}(\d{{1,3}}(?:,\d{{3}})+(?:\.\d{{1,2}})?|\d+\.\d{{1,2}})"
 TABLE_HEADER = ["HSN/SAC", "TAXABLE VALUE"]
 TABLE_AMOUNT = r"\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+\.\d{1,2}|\d+"
@@ -95,7 +95,7 @@ def trimmed(x: str) -> str:
 
 def invoice_number(text: str) -> str:
     """By the priority labels: purchase, estimation, invoice number, any invoice label; the latter two need a digit."""
-    cands = [f"filter(array({trimmed(found(text, p))}), c -> NOT c RLIKE {quoted(OTHER_IDENTIFIERS)})" for p in LABELLED_NUMBERS]
+    cands = [f"filter(array({_if_any(text, [label], trimmed(found(text, p)))}), c -> NOT c RLIKE {quoted(OTHER_IDENTIFIERS)})" for label, p in LABELLED_NUMBERS.items()]
     cands += [f"filter(array({trimmed(found(text, p))}), c -> c <> '' AND c RLIKE '[0-9]' AND NOT c RLIKE {quoted(OTHER_IDENTIFIERS)})" for p in INVOICE_NUMBERS]
     return f"coalesce({', '.join(f'get({c}, 0)' for c in cands)})"
 
@@ -106,17 +106,17 @@ def invoice_number_fallback(text: str) -> str:
 
 
 def priority_date(L: str) -> str:
-    return A.first_of(L, lambda x, i: _when(f"{A.has_any('x.line', DATE_LABELS)} AND NOT {A.has_any('x.line', NO_DATE_LABELS)}", found("x.line", DATES[0], 0)))
+    return A.first_here(L, _when(f"{A.has_any('x.line', DATE_LABELS)} AND NOT {A.has_any('x.line', NO_DATE_LABELS)}", found("x.line", DATES[0], 0)), "string")
 
 
 def any_date(L: str) -> str:
     dates = f"coalesce({', '.join(found('x.line', d, 0) for d in DATES)})"
-    return A.first_of(L, lambda x, i: _when(f"x.line RLIKE '[0-9]' AND NOT {A.has_any('x.line', NO_DATE_LABELS)}", dates))
+    return A.first_here(L, _when(f"x.line RLIKE '[0-9]' AND NOT {A.has_any('x.line', NO_DATE_LABELS)}", dates), "string")
 
 
 def gstin(text: str) -> str:
     """The first identifier-shaped word; its check character is looked at apart."""
-    return found(text, rf"\b{GSTIN}\b", 0)
+    return found(text, rf"(?=\d)\b{GSTIN}\b", 0)
 
 
 def word_readings(text: str, L: str) -> str:
@@ -167,7 +167,7 @@ def retried_amounts(text: str, final: str, taxable: str) -> str:
 
 
 def line_tax(L: str, tax: str) -> str:
-    return A.first_of(L, lambda x, i: _when(f"contains(x.line, {quoted(tax)})", A.money(found("x.line", LINE_TAX.format(tax=tax)))))
+    return A.first_here(L, _when(f"contains(x.line, {quoted(tax)})", A.money(found("x.line", LINE_TAX.format(tax=tax)))))
 
 
 def final_ladder(text: str, L: str, strict: bool = False) -> str:
@@ -199,14 +199,18 @@ def block(L: str, start: str, end: str | None = None) -> str:
     return _when(f"{start} IS NOT NULL", f"slice({L}, {start}, greatest({stop} - {start}, 0))", f"slice({L}, 1, 0)")
 
 
-def items(item_lines: str) -> str:
+def item_lines(block: str) -> str:
+    """The rows of an item block: lines with an amount and without a stop word."""
+    return f"filter({block}, x -> size(x.amts) > 0 AND NOT {A.has_any('x.line', ITEM_ROW_STOPS)})"
+
+
+def items(block: str) -> str:
     """array<struct<hsn_code, description, amount>> of an item block's rows."""
-    kept = f"filter({item_lines}, x -> size(x.amts) > 0 AND NOT {A.has_any('x.line', ITEM_ROW_STOPS)})"
     line = A.strip("x.line")
     words = f"regexp_replace(regexp_replace({line}, {quoted(A.AMOUNT)}, ' '), {quoted('\\s+')}, ' ')"
     words = f"regexp_replace({words}, {quoted('^[ \\-:]+|[ \\-:]+$')}, '')"
-    code = found(line, r"\b\d{4,8}\b", 0)
-    return f"transform({kept}, x -> named_struct('hsn_code', {code}, 'description', nullif({words}, ''), 'amount', {A.last('x.amts')}))"
+    code = found(line, r"(?=\d)\b\d{4,8}\b", 0)
+    return f"transform({item_lines(block)}, x -> named_struct('hsn_code', {code}, 'description', nullif({words}, ''), 'amount', {A.last('x.amts')}))"
 
 
 def _rules(*pairs: tuple[str, str]) -> str:
@@ -217,18 +221,20 @@ def _stage(d: DataFrame, keep: list[Column], **columns: str | Column) -> DataFra
     return d.select(*keep, *[n if isinstance(c, str) and c == n else (F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
 
 
-def extract(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
+def extract(docs: DataFrame, text: str = "text", strict: bool = False, only: list[str] | None = None) -> DataFrame:
     """docs with `invoice`, a struct of every extracted, checked and scored field of its text.
 
     A null text gives an invoice without fields, as an empty text does. Other columns may have any names; one that is called
     `invoice` is replaced. A filter on them goes to the scan of docs; one on the invoice stays above the extraction.
+
+    only: the names of the invoice's fields to give, where not all are wanted; what no other field needs of the rest is not computed.
     """
     caller = [c for c in docs.columns if c.lower() != "invoice"]
     # Stages name their own columns, so the caller's have reserved names until the end.
     held = [F.col(f"`{c}`").alias(f"__kept{i}") for i, c in enumerate(caller)]
     keep = [F.col(f"__kept{i}") for i in range(len(caller))]
     d = _stage(docs, held, _t=normalize(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    d = _stage(d, keep, _t="_t", _L=A.analyzed("_t"), _again=normalize(F.col("_t")))
+    d = _stage(d, keep, _t="_t", _L=A.analyzed("_t", capital=True), _again=normalized_again(F.col("_t")))
     if_any = lambda labels, value: _if_any("_t", labels, value)
     looked = {
         "pri_no": invoice_number("_t"), "shaped_gst": gstin("_t"), "pri_date": if_any(DATE_LABELS, priority_date("_L")), "readings": word_readings("_t", "_L"),
@@ -301,7 +307,7 @@ def extract(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFr
         "reconciliation_total": _when("final1 IS NOT NULL", f"CAST({recon} AS {MONEY})"), "reconciliation_passed": _when(f"{recon} IS NOT NULL AND final1 IS NOT NULL", A.is_close(recon, "final1", 0.01)),
         "label_match": "coalesce(pri_no, alt_no) IS NOT NULL", "conf": _struct(conf), "rules": applied,
     }
-    checked = validate(_stage(d, keep, _t="_t", _L="_L", _again="_again", r=_struct(record)), keep, strict)
+    checked = validate(_stage(d, keep, _t="_t", _L="_L", _again="_again", r=_struct(record)), keep, strict, only)
     return checked.select(*[F.col(f"__kept{i}").alias(c) for i, c in enumerate(caller)], "invoice")
 
 
@@ -309,29 +315,34 @@ def _struct(fields: dict[str, str]) -> str:
     return f"named_struct({', '.join(f"'{n}', {x}" for n, x in fields.items())})"
 
 
-def validate(d: DataFrame, keep: list[Column], strict: bool = False) -> DataFrame:
+def validate(d: DataFrame, keep: list[Column], strict: bool = False, only: list[str] | None = None) -> DataFrame:
     """The checking engine over _t, _L, _again (the text normalized once more) and r: fallbacks by label and section, the sum, the last resort, confidence and rules."""
     own = ("taxable", "cgst", "sgst", "igst", "final")
     labels = {"taxable": TAXABLE_LABELS, "cgst": ["CGST"], "sgst": ["SGST"], "igst": ["IGST"], "final": FINAL_LABELS}
+    blocks = {"taxable": TAXABLE_LABELS, "cgst": ["CGST"], "sgst": ["SGST"], "igst": ["IGST"], "final": BLOCK_FINAL_LABELS}
     d = _stage(
-        d, keep, _L="_L", r="r", _S=_when("_again = _t", "_L", A.analyzed("_again")),
+        d, keep, _L="_L", r="r", _S=_when("_again = _t", "_L", A.analyzed("_again", capital=True)),
         **{f"l_{k}": _when(f"{_missing(f'r.{k}_amount')} AND {A.has_any('_t', labels[k])}", A.labelled("_L", labels[k])) for k in own},
-        e_no=_when("r.invoice_number IS NULL", trimmed(found("_t", ENGINE_NUMBER))), e_date=_when("r.invoice_date IS NULL", found("_t", ENGINE_DATE)), e_gst=_when("r.gst_number IS NULL", found("_t", ENGINE_GSTIN)),
+        **{f"has_{k}": A.has_any("_again", blocks[k]) for k in own}, has_ro=A.has_any("_again", [A.ROUND_OFF]),
+        e_no=_when("r.invoice_number IS NULL", trimmed(found("_t", ENGINE_NUMBER))), e_date=_when("r.invoice_date IS NULL", found("_t", ENGINE_DATE)), e_gst=_when("r.gst_number IS NULL AND contains(_t, 'GSTIN')", found("_t", ENGINE_GSTIN)),
     )
-    kept = {n: n for n in ("_L", "r", "_S", *(f"l_{k}" for k in own), "e_no", "e_date", "e_gst")}
-    d = _stage(d, keep, **kept, at=sections("_S"))
-    del kept["_S"]
-    # The sections are those of the text normalized once more.
-    d = _stage(d, keep, **kept, items=items(block("_S", "at.item", "coalesce(at.tax, at.total)")), tax_block=block("_S", "at.tax", "at.total"), total_block=block("_S", "coalesce(at.tax, at.total)"))
+    kept = {n: n for n in ("_L", "r", "_S", "e_no", "e_date", "e_gst", "has_ro")}
     v1 = {k: _when(f"{_missing(f'r.{k}_amount')} AND l_{k} IS NOT NULL", f"l_{k}", f"r.{k}_amount") for k in own}
     k1 = {k: _when(f"{_missing(f'r.{k}_amount')} AND l_{k} IS NOT NULL", _at_least(f"r.conf.{k}_amount", 0.88), f"r.conf.{k}_amount") for k in own}
-    kept = {n: n for n in ("_L", "r", "items", "e_no", "e_date", "e_gst")}
-    d = _stage(d, keep, **kept, tax_block="tax_block", total_block="total_block", **{f"v1_{k}": v1[k] for k in own}, **{f"k1_{k}": k1[k] for k in own})
-    sums = {k: A.tax_sum("tax_block", k.upper()) for k in ("cgst", "sgst", "igst")} | {"taxable": A.labelled("total_block", TAXABLE_LABELS), "final": A.labelled("total_block", BLOCK_FINAL_LABELS)}
+    d = _stage(d, keep, **kept, **{f"v1_{k}": v1[k] for k in own}, **{f"k1_{k}": k1[k] for k in own}, **{f"has_{k}": f"has_{k}" for k in own})
     kept |= {f"{x}1_{k}": f"{x}1_{k}" for x in "vk" for k in own}
-    d = _stage(d, keep, **kept, v_ro=f"coalesce({A.round_off('total_block')}, r.round_off)", b_items=A.total("items", "x.amount"), **{f"b_{k}": _when(_missing(f"v1_{k}"), sums[k]) for k in own})
+    d = _stage(d, keep, **kept, **{f"want_{k}": f"{_missing(f'v1_{k}')} AND has_{k}" for k in own})
+    kept |= {f"want_{k}": f"want_{k}" for k in own}
+    # The sections are those of the text normalized once more; they are looked for where something is to be read in them.
+    wanted = sections("_S") if only is None or "items" in only else _when(f"has_ro OR {_missing('v1_taxable')} OR {' OR '.join(f'want_{k}' for k in own)}", sections("_S"))
+    d = _stage(d, keep, **kept, at=wanted)
+    del kept["_S"]
+    d = _stage(d, keep, **kept, item_block=block("_S", "at.item", "coalesce(at.tax, at.total)"), tax_block=block("_S", "at.tax", "at.total"), total_block=block("_S", "coalesce(at.tax, at.total)"))
+    sums = {k: A.tax_sum("tax_block", k.upper()) for k in ("cgst", "sgst", "igst")} | {"taxable": A.labelled("total_block", TAXABLE_LABELS), "final": A.labelled("total_block", BLOCK_FINAL_LABELS)}
+    kept = {n: n for n in ("_L", "r", "item_block", "e_no", "e_date", "e_gst", *(f"{x}1_{k}" for x in "vk" for k in own))}
+    d = _stage(d, keep, **kept, v_ro=f"coalesce({_when('has_ro', A.round_off('total_block'))}, r.round_off)", b_items=_when(_missing("v1_taxable"), A.total(item_lines("item_block"), A.last("x.amts"))), **{f"b_{k}": _when(f"want_{k}", sums[k]) for k in own})
     fill = {k: f"{_missing(f'v1_{k}')} AND b_{k} IS NOT NULL" for k in own}
-    kept = {n: n for n in ("_L", "r", "items", "e_no", "e_date", "v_ro")}
+    kept = {n: n for n in ("_L", "r", "item_block", "e_no", "e_date", "v_ro")}
     second = {f"v2_{k}": _when(fill[k], f"b_{k}", f"v1_{k}") for k in own} | {f"k2_{k}": _when(fill[k], _at_least(f"k1_{k}", 0.88), f"k1_{k}") if k != "final" else "k1_final" for k in own}
     d = _stage(d, keep, **kept, **second, b_items="b_items", v_sub1=_when(fill["taxable"], "b_taxable", "r.sub_total"), v_gst="coalesce(r.gst_number, e_gst)")
     use_items = f"{_missing('v2_taxable')} AND b_items IS NOT NULL"
@@ -362,8 +373,12 @@ def validate(d: DataFrame, keep: list[Column], strict: bool = False) -> DataFram
         "math_expected_total": "expected", "math_difference": "difference", "tax_math_match": "math_ok", "words_match": "words_ok", "is_gst_invoice": "is_gst",
         "invoice_type": "if(is_gst, 'GST Invoice', 'Non-GST Invoice')", "validation": "CASE WHEN NOT is_gst THEN 'Non GST Invoice' WHEN math_ok THEN 'Verified' ELSE 'Math Mismatch' END",
         "requires_manual_review": f"{_missing('v_final')} OR NOT math_ok", "overall_confidence": f"round(({overall}) / 4, 4)", "confidence": confidence,
-        "rules_applied": f"concat(r.rules, {first}, {later})", "invoice_number_label_match": "label_match", "items": "items",
+        "rules_applied": f"concat(r.rules, {first}, {later})", "invoice_number_label_match": "label_match", "items": items("item_block"),
     }
+    if only is not None:
+        if unknown := set(only) - set(invoice):
+            raise ValueError(f"no fields of an invoice: {sorted(unknown)}")
+        invoice = {k: v for k, v in invoice.items() if k in only}
     # Generated as the one element of an array: a filter on the invoice stays above a generator, as it would
     # otherwise copy every stage's expressions into itself, and a filter on other columns passes it.
     return d.select(*keep, F.explode(F.array(F.expr(_struct(invoice)))).alias("invoice"))

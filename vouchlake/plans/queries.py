@@ -17,6 +17,13 @@ from .rendered import DUCK, rendered
 MONEY = A.MONEY
 
 
+#: Fields of an invoice that the status ladder and the reports read.
+AMOUNTS = ["taxable_amount", "cgst_amount", "sgst_amount", "igst_amount", "final_amount"]
+STATUS = [*AMOUNTS, "sub_total", "invoice_type", "validation", "requires_manual_review", "is_gst_invoice"]
+HISTORY = [*STATUS, "invoice_number", "invoice_date"]
+SHEET = [*HISTORY, "gst_number", "confidence"]
+
+
 def tab(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,7 +74,7 @@ FROM checked
 )
 def invoice_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: rendered invoices, extracted, reconciled and given a status, in the strict mode."""
-    got = extract(rendered(spark, sf_dir), strict=True).withColumn("status", R.status(F.col("invoice")))
+    got = extract(rendered(spark, sf_dir), strict=True, only=[*STATUS, "invoice_number", "math_expected_total", "math_difference"]).withColumn("status", R.status(F.col("invoice")))
     i = F.col("invoice")
     return got.select(
         "doc_id", i["invoice_number"].alias("invoice_no"),
@@ -93,7 +100,7 @@ SELECT doc_id, concat('INV-', CAST(doc_id AS varchar)) AS invoice_number, substr
 FROM resorted""")
 def invoice_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of field in the compatible mode."""
-    got = extract(rendered(spark, sf_dir)).withColumn("status", R.status(F.col("invoice")))
+    got = extract(rendered(spark, sf_dir), only=[*HISTORY, "overall_confidence", "rules_applied", "total_tax_amount"]).withColumn("status", R.status(F.col("invoice")))
     return got.select("doc_id", "status", *[F.col(f"invoice.{k}") for k in ("invoice_number", "invoice_date", "validation", "requires_manual_review", "overall_confidence")], F.array_join("invoice.rules_applied", ", ").alias("rules"), *dbl_invoice("taxable_amount", "final_amount", "total_tax_amount"))
 
 
@@ -322,7 +329,8 @@ SELECT doc_id, CAST(CASE WHEN review AND NOT again THEN amount ELSE final END AS
 FROM judged""")
 def retried_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered invoices in the compatible mode; those that need review are read once more in the strict mode."""
-    got = R.retried(extract(rendered(spark, sf_dir)), lambda rows: extract(rows, strict=True))
+    fields = ["final_amount", "requires_manual_review", "validation"]
+    got = R.retried(extract(rendered(spark, sf_dir), only=fields), lambda rows: extract(rows, strict=True, only=fields))
     i = F.col("invoice")
     return got.select("doc_id", i["final_amount"].cast("double").alias("final_amount"), i["requires_manual_review"].alias("requires_manual_review"), i["validation"].alias("validation"))
 
@@ -401,7 +409,7 @@ def usage_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("history_insert", INVOICES + "SELECT CAST(cust AS varchar) AS email, concat('INV-', CAST(doc_id AS varchar)) AS invoice_no, CAST(amount AS double) AS total_amount, CAST(cgst + sgst + igst AS double) AS gst_amount FROM checked")
 def history_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = extract(rendered(spark, sf_dir), strict=True)
+    got = extract(rendered(spark, sf_dir), strict=True, only=HISTORY)
     rows = store.history_rows(got, F.col("cust").cast("string"), F.lit(None).cast("string"), R.status(F.col("invoice")))
     return rows.select("email", "invoice_no", "total_amount", "gst_amount")
 
@@ -419,7 +427,7 @@ def expired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("report_rows", INVOICES + """SELECT doc_id, 'Purchase' AS voucher_type, substr(text, strpos(text, 'DATE: ') + 12, 4) || '-' || substr(text, strpos(text, 'DATE: ') + 9, 2) || '-' || substr(text, strpos(text, 'DATE: ') + 6, 2) AS date,
   CAST(sub AS double) AS taxable, CAST(cgst AS double) AS cgst, CAST(sgst AS double) AS sgst, CAST(igst AS double) AS igst, CAST(amount AS double) AS total FROM checked""")
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = extract(rendered(spark, sf_dir), strict=True)
+    got = extract(rendered(spark, sf_dir), strict=True, only=SHEET)
     rows = reports.sheet_rows(got.withColumn("n", F.col("doc_id")), F.col("doc_id").cast("string"), F.lit("a/b.pdf"))
     return rows.select(F.col("Validation Status").cast("long").alias("doc_id"), F.col("Voucher Type").alias("voucher_type"), F.col("Date").alias("date"), F.col("Taxable Value").alias("taxable"), F.col("CGST").alias("cgst"), F.col("SGST").alias("sgst"), F.col("IGST").alias("igst"), F.col("Total Amount").alias("total"))
 
@@ -428,7 +436,7 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) AS n, CAST(coalesce(sum(CASE WHEN doc_id % 5 <> 0 THEN cgst + sgst + igst END), 0) AS double) AS gst, CAST(sum(CASE WHEN doc_id % 5 <> 0 THEN amount END) AS double) AS total FROM checked GROUP BY 1""")
 def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk rows with failures in their own rows, their summary, and its totals by status."""
-    got = extract(rendered(spark, sf_dir), strict=True).withColumn("error", F.when(F.col("doc_id") % 5 == 0, "no text"))
+    got = extract(rendered(spark, sf_dir), strict=True, only=[*SHEET, "rules_applied"]).withColumn("error", F.when(F.col("doc_id") % 5 == 0, "no text"))
     bulk = reports.bulk_rows(got, F.col("doc_id").cast("string"), R.status(F.col("invoice")), F.col("error"), F.lit("out"))
     s = reports.batch_summary(bulk)
     money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
@@ -442,7 +450,7 @@ SELECT concat(CAST(doc_id AS varchar), '.pdf') AS source, CAST(strptime(substr(t
   concat_ws(', ', 'INVOICE_NUMBER_LABEL_PRIORITY', CASE WHEN halves THEN 'CGST_MULTI_LINE_SUM, SGST_MULTI_LINE_SUM' END, CASE WHEN whole = 1 THEN 'TOTAL_TAX_FROM_9_PERCENT_COMPONENTS' END, 'GRAND_TOTAL_PRIORITY, MATH_VALIDATION, TOTAL_BLOCK_PRIORITY, WORDS_TOTAL_MATCH') AS rules FROM conf""")
 def bulk_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk rows with their rule lists, and their summary with dates and mean confidences."""
-    got = extract(rendered(spark, sf_dir), strict=True)
+    got = extract(rendered(spark, sf_dir), strict=True, only=[*SHEET, "rules_applied"])
     bulk = reports.bulk_rows(got, F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")), R.status(F.col("invoice")), F.lit(None).cast("string"), F.lit("out"))
     s = reports.batch_summary(bulk, "Rules Applied")
     return s.select(*[F.col(c).alias(n) for c, n in (("Source File Name", "source"), ("Date", "date"), ("GST", "gst"), ("Confidence Score", "score"), ("Rules Applied", "rules"))])
@@ -485,6 +493,6 @@ def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
   substr(text, strpos(text, 'DATE: ') + 12, 4) || substr(text, strpos(text, 'DATE: ') + 9, 2) || substr(text, strpos(text, 'DATE: ') + 6, 2) AS date FROM checked""")
 def vouchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voucher documents, read back by their tags."""
-    d = extract(rendered(spark, sf_dir), strict=True).select("doc_id", reports.voucher_xml(F.col("invoice")).alias("xml"))
+    d = extract(rendered(spark, sf_dir), strict=True, only=[*AMOUNTS, "invoice_number", "invoice_date"]).select("doc_id", reports.voucher_xml(F.col("invoice")).alias("xml"))
     return d.select("doc_id", F.regexp_count("xml", F.lit("<ALLLEDGERENTRIES.LIST>")).alias("entries"), F.regexp_extract("xml", "<AMOUNT>([^<]*)", 1).alias("debtors"), F.regexp_extract("xml", "<DATE>([^<]*)", 1).alias("date"))
 

@@ -151,3 +151,15 @@ def test_small_archives_share_batches(spark):
     assert [b.num_rows for b in S.collected(((i,) for i in range(5)), pa.schema([("x", pa.int64())]), lambda r: 3_000_000)] == [1] * 5
     long = pa.RecordBatch.from_arrays([pa.array([b"x" * 1_500_000] * 6 + [None])], ["content"])
     assert [b.num_rows for b in S.sliced([long])] == [2, 3, 2]
+
+
+def test_contents_come_in_short_arrow_batches(spark):
+    """An extractor's batches hold few contents, where the session has Spark's default of ten thousand rows."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        docs = spark.range(3).select("id", F.lit("text").cast("binary").alias("content"))
+        assert [r["got"]["text"] for r in S.extracted(docs, S.plain_text, "got").collect()] == ["text"] * 3
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

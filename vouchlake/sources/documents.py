@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.text import coerce_double, json_object, strip
+from .shared import short_batches
 
 Extractor = Callable[[bytes], "str | list[str]"]
 
@@ -85,6 +86,7 @@ def archive_members(archives: DataFrame, suffix: str = ".pdf") -> DataFrame:
 
     Members are read one at a time; a task holds a slice of archives' bytes and a batch of members, both of a few megabytes or one row.
     """
+    short_batches(archives.sparkSession)
     schema = pa.schema([("archive", pa.string()), ("name", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -141,6 +143,7 @@ def page_text(pages: Column) -> Column:
 
 def extracted(docs: DataFrame, extractor: Extractor, to: str, content: str = "content") -> DataFrame:
     """docs with `to`, a struct<text, error> of what the extractor gives for the bytes."""
+    short_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<pages: array<string>, error: string>")
     def run(raw: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -8,6 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 OWN = "vouchlake.shared.dir"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most `rows` rows where the session has Spark's default of 10,000, which contents of files make large in Python."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
 
 
 def shared_folder(spark: SparkSession) -> str:

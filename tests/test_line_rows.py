@@ -82,3 +82,24 @@ def test_a_document_of_very_many_lines_is_many_tasks(spark):
     assert [(x["doc"], str(x["v"])) for x in got] == [("one", "77.50")]
     plan = R.fields(lines, "doc", v=R.labelled(LABELS))._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("chunk", [4, 7])
+def test_expected_totals_are_those_of_the_single_look_ups(spark, docs, chunk):
+    lines = R.of_documents(docs, "doc")
+    sums = R.tax_sums(lines, "doc", "CGST", "SGST")
+    zero = F.lit(0).cast(A.MONEY)
+    targets = R.fields(lines, "doc", chunk, sub=R.labelled(LABELS)).join(sums, "doc").select("doc", (F.col("sub") + F.coalesce("cgst", zero) + F.coalesce("sgst", zero)).cast(A.MONEY).alias("expected"))
+    apart = targets.join(R.near_totals(lines, targets, "doc", "expected", chunk), "doc").join(R.search_down(lines, targets, "doc", "expected"), "doc").join(sums, "doc")
+    got = R.expected_totals(lines, "doc", R.labelled(LABELS), "CGST", "SGST", chunk=chunk)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, apart.select(got.columns).collect()), key=str) and got.where("larger is not null").count() > 0
+
+
+def test_a_document_is_read_once(spark, docs):
+    """Look-ups that have no column to align take a neighbour's last amount alone, and a line's amounts are read once, before it goes to its chunks."""
+    lines = R.of_documents(docs, "doc")
+    for d, scans in ((R.expected_totals(lines, "doc", R.labelled(LABELS), "CGST"), 1), (R.fields(lines, "doc", v=R.labelled(LABELS)), 1)):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate posexplode") == scans and "lead(struct" not in plan
+        above = plan[: plan.index("Generate explode")]
+        assert "regexp_extract_all" not in above

@@ -69,14 +69,14 @@ def _is_money(line: str, m: str) -> str:
     return f"NOT ({after} RLIKE {quoted(COUNTED)} OR ({code}) OR ({digits} = 6 AND {around} RLIKE {quoted(POSTAL)}))"
 
 
-def line_amounts(line: str, suspect: bool = True) -> str:
+def line_amounts(line: str, suspect: bool = True, capital: bool = False) -> str:
     """The money amounts of a line, in order. Lines without a digit, most of a text, skip the work; only lines with a suspect word look at surroundings.
 
-    suspect: false where no line has a suspect word.
+    suspect: false where no line has a suspect word; capital: the line is in upper case.
     """
     every = there(f"transform(regexp_extract_all({line}, {quoted(AMOUNT)}, 0), m -> {money('m')})")
     kept = there(f"transform(filter({placed(line)}, m -> {_is_money(line, 'm')}), m -> {money('m.num')})")
-    chosen = f"WHEN NOT upper({line}) RLIKE {quoted(SUSPECT)} THEN {every} ELSE {kept}" if suspect else f"ELSE {every}"
+    chosen = f"WHEN NOT {has_any(line if capital else f'upper({line})', SUSPECT.split('|'))} THEN {every} ELSE {kept}" if suspect else f"ELSE {every}"
     return f"CASE WHEN NOT {line} RLIKE '[0-9]' THEN CAST(array() AS array<{MONEY}>) {chosen} END"
 
 

@@ -37,13 +37,8 @@ SELECT doc_id, CAST(v AS double) AS near, CAST(CASE WHEN grand > expected THEN g
 FROM near JOIN checked USING (doc_id) WHERE r = 1""")
 def line_row_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums, nearest and larger totals of rendered invoices whose lines are rows, against the expected totals."""
-    docs = rendered(spark, sf_dir)
-    lines = R.of_documents(docs, "doc_id")
-    sums = R.tax_sums(lines, "doc_id", "CGST", "SGST", "IGST")
-    base = R.fields(lines, "doc_id", 4, sub=R.labelled(["SUB TOTAL"]))
-    zero = F.lit(0).cast("decimal(18,2)")
-    targets = base.join(sums, "doc_id").select("doc_id", (F.col("sub") + F.coalesce("cgst", zero) + F.coalesce("sgst", zero) + F.coalesce("igst", zero)).cast("decimal(18,2)").alias("expected"))
-    got = R.near_totals(lines, targets, "doc_id", "expected", 4).join(R.search_down(lines, targets, "doc_id", "expected"), "doc_id").join(sums, "doc_id")
+    lines = R.of_documents(rendered(spark, sf_dir), "doc_id")
+    got = R.expected_totals(lines, "doc_id", R.labelled(["SUB TOTAL"]), "CGST", "SGST", "IGST", chunk=4)
     return got.select("doc_id", *[F.col(c).cast("double").alias(c) for c in ("near", "larger", "cgst", "igst")])
 
 

@@ -139,6 +139,15 @@ def test_late_writes_and_a_file_that_lives_again(spark, tmp_path):
     assert [x["path"] for x in expiry.late_rows(rows, "2024-05-01 10:00:00").collect()] == ["late"]
 
 
+def test_a_late_write_that_is_not_due_counts_without_python(spark, tmp_path):
+    landed(spark, f"{tmp_path}/in", "0", [("a", at(0)), ("z", at(5000))], WRITES)
+    landed(spark, f"{tmp_path}/in", "1", [("b", at(4500)), ("z", at(20_000))], WRITES)  # behind the watermark (4940), due after it
+    writes = stream(spark, f"{tmp_path}/in", WRITES)
+    assert "TransformWithState" not in expiry.deletions(writes, 1000)._jdf.queryExecution().analyzed().toString()
+    got = expiry.deleted(writes, seconds=1000, late="1 minute").collect()
+    assert sorted((x["path"], x["deleted"].replace(tzinfo=UTC)) for x in got) == [("a", at(1000)), ("b", at(5500)), ("z", at(6000))]
+
+
 # ------------------------------------------------------------------------------ as of a time
 
 

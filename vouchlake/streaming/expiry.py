@@ -1,80 +1,32 @@
-"""Expiry of outputs by event-time timers.
+"""Expiry of outputs in event time.
 
-A file is deleted at the retention after a write, unless it was written again until then. A file's state is its runs, stretches of time
-from a write to the due time of the last write that renews it: mostly one. A timer stands at the end of each run. When the
-watermark passes it, every write that could renew the file has been seen; the deletion is emitted and the run goes, so state
+A file is deleted at the retention after a write, unless it was written again until then. A file's writes are sessions whose gap is the
+retention: a session ends when the last write that renews it is due, and Spark's state holds a session's two ends alone. When the
+watermark passes the end, every write that could renew the file has been seen; the deletion is given out and the session goes, so state
 holds live files only. Deletions depend on the times of the writes alone, not on their order within the
 watermark's delay nor on how they fall into micro-batches. A file that is written after its deletion lives again.
 
-Spark drops writes that are later than the watermark; `late_rows` finds them for a sweep (`store.expired` over a listing is
-another). With a delay as long as the retention only files are dropped that should have been gone by then.
+Spark drops writes whose own deletion is due before the watermark; `late_rows` finds those behind a watermark for a sweep (`store.expired`
+over a listing is another). A write behind the watermark that is not yet due by it counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .quota import state_store
 from .sink import drained
 
 RETAINED = 86_400
-EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
-GONE = "path string, written timestamp, deleted timestamp"
-
-
-class Retention(StatefulProcessor):
-    """Emits the deletions of a file, each once."""
-
-    def __init__(self, seconds: int = RETAINED):
-        self.kept_ms = seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.runs = handle.getValueState("runs", "starts array<bigint>, ends array<bigint>")
-
-    def _held(self) -> list[tuple[int, int]]:
-        return list(zip(*self.runs.get(), strict=True)) if self.runs.exists() else []
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self._held()
-        merged: list[list[int]] = []
-        for start, end in sorted({*held, *((r["ms"], r["ms"] + self.kept_ms) for r in rows)}):
-            if merged and start <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], end)
-            else:
-                merged.append([start, end])
-        before, after = {end for _, end in held}, {end for _, end in merged}
-        for end in before - after:
-            self.handle.deleteTimer(end)
-        for end in after - before:
-            self.handle.registerTimer(end)
-        self.runs.update(([s for s, _ in merged], [e for _, e in merged]))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        left = [r for r in self._held() if r[1] != end]
-        if left:
-            self.runs.update(([s for s, _ in left], [e for _, e in left]))
-        else:
-            self.runs.clear()
-        at = EPOCH + timedelta(milliseconds=end)
-        yield Row(path=key[0], written=at - timedelta(milliseconds=self.kept_ms), deleted=at)
-
-    def close(self) -> None:
-        pass
 
 
 def deletions(writes: DataFrame, seconds: int = RETAINED, late: str = "1 hour") -> DataFrame:
     """A stream of deletions (path, written, deleted) over a stream of writes(path, at). Rows without path or time are no writes. Times are whole milliseconds."""
-    at = F.col("at").cast("timestamp")
-    rows = writes.where(F.col("path").isNotNull() & F.col("at").isNotNull()).select("path", at.alias("at"), F.unix_millis(at).alias("ms"))
-    return rows.withWatermark("at", late).groupBy("path").transformWithState(statefulProcessor=Retention(seconds), outputStructType=GONE, outputMode="Append", timeMode="EventTime")
+    at = F.timestamp_millis(F.unix_millis(F.col("at").cast("timestamp")))
+    rows = writes.where(F.col("path").isNotNull() & F.col("at").isNotNull()).select("path", at.alias("at"))
+    runs = rows.withWatermark("at", late).groupBy("path", F.session_window("at", f"{seconds} seconds").alias("run")).agg(F.max("at").alias("written"))
+    return runs.select("path", "written", F.col("run.end").alias("deleted"))
 
 
 def deleted(writes: DataFrame, seconds: int = RETAINED, late: str = "1 hour", checkpoint: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vouchlake.operators import asof, nearest
@@ -102,6 +103,46 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
     assert before == loop(made[:2], set()) and after == loop(made, set())
 
 
+def test_a_user_costs_few_calls_to_the_state_store():
+    calls = []
+    value, rows = [], []
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return value[-1] if value else None
+
+        def update(self, v):
+            calls.append("update")
+            value.append(v)
+
+    class Rows:
+        def get(self):
+            calls.append("list")
+            return iter(list(rows))
+
+        def appendList(self, more):
+            calls.append("append")
+            rows.extend(more)
+
+    class Handle:
+        def getValueState(self, *_, **__):
+            return Value()
+
+        def getListState(self, *_, **__):
+            return Rows()
+
+    gate = quota.Gate(most=10)
+    gate.init(Handle())
+    sent = [Row(request=str(i), at=at(i), size=1, pro=False) for i in range(5000)]
+    first = list(gate.handleInputRows(("u",), iter(sent), None))
+    assert calls == ["get", "append", "update"] and len(rows) == 5 and sum(x["allowed"] for x in first) == 10
+    again = list(gate.handleInputRows(("u",), iter([*sent[::1000], Row(request=None, at=at(9), size=1, pro=False), Row(request="new", at=at(9), size=0, pro=False)]), None))
+    assert calls[3:] == ["get", "list", "append"] and len(rows) == 6
+    was = {x["request"]: (x["used"], x["allowed"], x["remaining"]) for x in first}
+    assert [(x["request"], (x["used"], x["allowed"], x["remaining"])) for x in again if x["repeated"]] == [(n, was[n]) for n in ("0", "1000", "2000", "3000", "4000")]
+
+
 # ------------------------------------------------------------------------------ expiry
 
 

@@ -243,3 +243,13 @@ def test_one_hot_amount_makes_no_hot_bin(spark):
     right = spark.range(5000).select(F.col("id").alias("name"), F.lit("0.50").cast("decimal(18,2)").alias("y"))
     got = nearest.nearest(left, right, F.col("x"), F.col("y"), F.col("name"))
     assert got.count() == 5000 and got.where("match = 0 and gap = 0.5").count() == 5000
+
+
+def test_nearest_amounts_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "TASK_ROWS", 100)
+    left = spark.range(2000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 7).alias("x"))
+    right = spark.range(50).select(F.col("id").alias("n"), (F.col("id") * 2.5).alias("y"))
+    assert nearest.tasks_for(left) == 20 and nearest.tasks_for(right) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = nearest.nearest(left, right, F.col("x"), F.col("y"), F.col("n"), tasks=20)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, nearest.nearest(left, right, F.col("x"), F.col("y"), F.col("n")).collect()), key=str)

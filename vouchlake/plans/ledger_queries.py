@@ -85,8 +85,10 @@ SELECT i.o_orderkey AS doc_id, l_orderkey AS match, CAST(gap AS double) AS gap F
 """)
 def nearest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each invoice's amount the ledger total nearest to it, within the tolerance."""
-    ledger = tab(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast(MONEY)).alias("total"))
-    found = nearest.nearest(tab(spark, sf_dir, "orders"), ledger, F.col("o_totalprice"), F.col("total"), F.col("l_orderkey"))
+    lines, orders = tab(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice"), tab(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    # Dealt by order before the sums: a task's table of sums is as large as its deal, not as its part of a file.
+    ledger = lines.repartition(nearest.tasks_for(lines), "l_orderkey").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast(MONEY)).alias("total"))
+    found = nearest.nearest(orders, ledger, F.col("o_totalprice"), F.col("total"), F.col("l_orderkey"), tasks=nearest.tasks_for(orders))
     return found.select(F.col("o_orderkey").alias("doc_id"), "match", F.col("gap").cast("double").alias("gap"))
 
 

@@ -50,6 +50,7 @@ BLOCK_WORDS = 500_000
 RANGE_BYTES, MOST_RANGES = 32_000_000, 16_384  # of text for each range of words
 KEPT, LONGEST = 200_000, 64
 ROWS_OUT = 5_000
+BACK_ROWS = 200
 JOINED = regex.compile(r"\s \s")  # white space around a space: no cut is sure before it
 
 
@@ -298,14 +299,20 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_toke
         for p, c in zip(places, counts, strict=True):
             length[p], start[p] = c, at + np.cumsum(c) - c
             at += int(c.sum())
-        out = []
-        for raw in numbers.column("numbers").to_pylist():
-            every = np.zeros(0, np.int64) if raw is None else _unpacked(raw).astype(np.int64)
-            n = length[every]
-            out.append(flat[np.repeat(start[every] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in out])])
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)))
-        return pa.Table.from_arrays([numbers.column("doc_id").combine_chunks(), ids, pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())], schema=OUT)
+        del places, counts
+
+        def batch(x: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for raw in x.column("numbers").to_pylist():
+                every = np.zeros(0, np.int64) if raw is None else _unpacked(raw).astype(np.int64)
+                n = length[every]
+                out.append(flat[np.repeat(start[every] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+            ends = np.concatenate([[0], np.cumsum([len(d) for d in out])])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)))
+            return pa.RecordBatch.from_arrays([x.column("doc_id"), ids, pa.array([d.astype("<u4").tobytes() for d in out], pa.binary())], schema=OUT)
+
+        # A block goes back in short batches, as the JVM holds a batch outside its heap.
+        return pa.Table.from_batches([batch(x) for x in sliced(numbers.to_batches(), BACK_ROWS)], schema=OUT)
 
     read = rows.where("range is null").select("block", "doc_id", "numbers")
     return read.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(gather, "doc_id long, ids array<int>, packed binary")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.data import BIG, awkward, documents, prose
-from vouchlake.llm import chat_format, decontamination, language_id, lm_scoring, near_duplicates, packing, quality_rules, secrets, sharding, toxicity
+from vouchlake.llm import chat_format, decontamination, language_id, lm_scoring, near_duplicates, packing, quality_rules, secrets, sharding, tokens, toxicity
 from vouchlake.llm.common import WordHashes, fold
 from vouchlake.llm.tokens import Encoder
 
@@ -278,6 +278,16 @@ def test_cuts_are_the_cheapest():
         assert min(cost([*h, total]) for h in heads) == pytest.approx(least)
 
 
+def test_very_long_runs_are_encoded_by_one_loaded_encoder():
+    from tokenizers import Tokenizer
+
+    fast = tokens.shared()
+    assert tokens.shared() is fast and not hasattr(fast, "kept")  # loaded once a worker; holds nothing of the texts
+    exact = Tokenizer.from_file(fast.vocabulary)
+    for text in (" " * 300_000, "a" + " " * 1_100_000 + "b"):
+        assert fast.ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 def test_token_ids_are_the_library_s():
     import public_tokenizers
     from tokenizers import Tokenizer

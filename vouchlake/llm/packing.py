@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import sliced
-from .tokens import Encoder
+from .tokens import Encoder, shared
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -50,11 +50,16 @@ class Costs:
 
 def candidates(ends: np.ndarray, doc_ends: np.ndarray, total: int, costs: Costs) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a sequence may end, ascending, and their penalties. The first is 0, the last is total."""
-    at = np.union1d(np.union1d(ends, doc_ends), [0, total])
+    may = np.zeros(total + 1, bool)
+    may[ends] = may[doc_ends] = may[[0, total]] = True
+    at = np.flatnonzero(may)
     gaps = np.diff(at)
-    wide = np.nonzero(gaps > costs.spacing)[0]
-    more = [at[i] + np.arange(costs.spacing, gaps[i], costs.spacing) for i in wide]
-    every = np.union1d(at, np.concatenate(more)) if more else at
+    wide = np.flatnonzero(gaps > costs.spacing)
+    # Each wide gap's further candidates: its start plus 1, 2, ... times the spacing, up to before its end.
+    n = (gaps[wide] - 1) // costs.spacing
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+    may[np.repeat(at[wide], n) + step * costs.spacing] = True
+    every = np.flatnonzero(may)
     penalty = np.full(len(every), costs.inside)
     penalty[np.searchsorted(every, ends)] = costs.sentence
     penalty[np.searchsorted(every, doc_ends)] = 0.0
@@ -155,7 +160,7 @@ def pack(docs: DataFrame, costs: Costs = Costs(), vocabulary: str | None = None,
     schema = to_arrow_schema(T.StructType.fromDDL(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(costs, Encoder(vocabulary, ranks), TaskContext.get().partitionId() << 32)
+        packer = Packer(costs, shared(vocabulary, ranks), TaskContext.get().partitionId() << 32)
         for x in sliced(batches):
             for doc_id, text in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True):
                 if (rows := packer.add(doc_id, text)) is not None:

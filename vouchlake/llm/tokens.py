@@ -1,14 +1,14 @@
 """Token ids of texts by a public byte-level tokenizer; the vocabulary's path is a parameter.
 
-Ids are those of the tokenizers library. Plain texts (ASCII and common Latin characters) are cut before each
-single space, where the vocabulary's pattern always cuts, and each distinct piece is encoded once by the same
-vocabulary's ranks, several times as fast; all other texts, and texts that spell a special token, go to the
-tokenizers library itself.
+Ids are those of the tokenizers library. Plain texts (ASCII and common Latin characters) are encoded whole by the
+same vocabulary's ranks, several times as fast; all other texts, texts that spell a special token, and runs of white
+space too long for the ranks' pattern go to the tokenizers library itself.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import re
 
@@ -18,13 +18,13 @@ import tiktoken
 
 SPECIAL = "<|endoftext|>"
 ODD = re.compile(r"[^\n\r\t\x20-\x7e\xa1-\xac\xae-ſ‐-‟…€]")
-
-JOINED = re.compile(r"\s \s")  # white space around a space: no cut is sure before it
+#: The ranks' pattern tracks back over a run of white space, and stops at a million characters.
+RUN = 200_000
 
 
 class Encoder:
-    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, most: int = 400_000, longest: int = 64, plain: bool = False):
-        """vocabulary: a tokenizers JSON file; ranks: the same vocabulary for tiktoken; most: pieces kept, of at most `longest` characters; plain: special tokens' strings in a text are plain text."""
+    def __init__(self, vocabulary: str | None = None, ranks: str | None = None, plain: bool = False):
+        """vocabulary: a tokenizers JSON file; ranks: the same vocabulary for tiktoken; plain: special tokens' strings in a text are plain text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
         ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -34,34 +34,20 @@ class Encoder:
         self.ending = np.zeros(1 + max(table.values()), bool)
         self.ending[[i for b, i in table.items() if b[-1:] in (b".", b"!", b"?", b"\n")]] = True
         self.exact = None
-        self.kept: dict[str, bytes] = {}
-        self.most, self.longest, self.plain = most, longest, plain
+        self.plain = plain
         self.table = table
 
-    def _piece(self, piece: str) -> bytes:
-        if len(self.kept) >= self.most:
-            self.kept.clear()
-        got = np.array(self.fast.encode_ordinary(piece), "<u4").tobytes()
-        if len(piece) <= self.longest:
-            self.kept[piece] = got
-        return got
-
     def ids(self, text: str) -> np.ndarray:
         """Ids of the whole text as 32-bit integers."""
-        if (SPECIAL in text and not self.plain) or (not text.isascii() and ODD.search(text)):
-            if self.exact is None:
-                from tokenizers import Tokenizer
-
-                self.exact = Tokenizer.from_file(self.vocabulary)
-                self.exact.encode_special_tokens = self.plain
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
-        if "  " in text or text[-1:] == " " or len(text) < 2 or JOINED.search(text):
+        odd = (SPECIAL in text and not self.plain) or (not text.isascii() and ODD.search(text))
+        if not odd and not (len(text) > RUN and any(m.end() - m.start() > RUN for m in re.finditer(r"\s+", text))):
             return np.array(self.fast.encode_ordinary(text), "<u4")
-        first, *rest = text.split(" ")
-        kept, piece = self.kept.get, self._piece
-        out = [self._piece(first)]
-        out += [kept(p) or piece(p) for p in map(" ".__add__, rest)]
-        return np.frombuffer(b"".join(out), "<u4")
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.vocabulary)
+            self.exact.encode_special_tokens = self.plain
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
     def bytes_of(self) -> list[bytes]:
         """The bytes of each id."""
@@ -73,3 +59,9 @@ class Encoder:
     def ends_sentence(self, size: int = 50_257) -> np.ndarray:
         """By id, whether a token's text ends with a full stop, a question or exclamation mark, or a line's end."""
         return np.append(self.ending, np.zeros(max(0, size - len(self.ending)), bool))
+
+
+@functools.lru_cache(maxsize=4)
+def shared(vocabulary: str | None = None, ranks: str | None = None, plain: bool = False) -> Encoder:
+    """The encoder that the tasks of one Python worker share: it holds nothing of a text, and loading it costs as much as a megabyte of them."""
+    return Encoder(vocabulary, ranks, plain)

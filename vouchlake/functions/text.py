@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,8 +61,20 @@ NUMBER_WORDS = {
 SCALES = {"THOUSAND": 1_000, "LAKH": 100_000, "CRORE": 10_000_000}
 
 
-def _map(values: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(v) if isinstance(v, str) else F.lit(v).cast("long") for kv in values.items() for v in kv])
+HUNDRED = -1
+#: What a word does to the fold: add its value, multiply by a hundred, or by its scale (negative).
+CODES = NUMBER_WORDS | {"HUNDRED": HUNDRED} | {w: -v for w, v in SCALES.items()}
+#: Each word's code stands at the word's checksum modulo the least length at which no two words meet, so a token is looked up at once.
+SLOTS = next(m for m in itertools.count(len(CODES)) if len({zlib.crc32(w.encode()) % m for w in CODES}) == len(CODES))
+
+
+def _code(token: Column) -> Column:
+    """A token's code; null for other words."""
+    slot = {zlib.crc32(w.encode()) % SLOTS: w for w in CODES}
+    words = F.expr(f"array({', '.join(repr(slot.get(i, '')) for i in range(SLOTS))})")
+    codes = F.expr(f"array({', '.join(f'{CODES[slot[i]]}L' if i in slot else 'NULL' for i in range(SLOTS))})")
+    at = F.pmod(F.crc32(token.cast("binary")), F.lit(SLOTS)).cast("int")
+    return F.when(F.get(words, at) == token, F.get(codes, at))
 
 
 def words_to_number(words: Column) -> Column:
@@ -68,22 +82,17 @@ def words_to_number(words: Column) -> Column:
 
     A scale word multiplies what was collected since the last one (or 1); other words are ignored.
     """
-    tokens = F.split(F.replace(F.regexp_replace(F.upper(words), r"[^A-Z\s-]", " "), F.lit("-"), F.lit(" ")), r"\s+")
+    codes = F.array_compact(F.transform(F.split(F.upper(words), "[^A-Z]+"), _code))
     zero, some = F.lit(0).cast("long"), lambda x: F.greatest(x, F.lit(1).cast("long"))
 
-    def step(acc: Column, token: Column) -> Column:
-        digit, scale = F.try_element_at(_map(NUMBER_WORDS), token), F.try_element_at(_map(SCALES), token)
-        total, part, known = acc["total"], acc["part"], acc["known"]
-        new = lambda t, p: F.struct(t.alias("total"), p.alias("part"), F.lit(True).alias("known"))
-        return (
-            F.when(digit.isNotNull(), new(total, part + digit))
-            .when(token == "HUNDRED", new(total, some(part) * 100))
-            .when(scale.isNotNull(), new(total + some(part) * scale, zero))
-            .otherwise(F.struct(total.alias("total"), part.alias("part"), known.alias("known")))
-        )
-
-    start = F.struct(zero.alias("total"), zero.alias("part"), F.lit(False).alias("known"))
-    return F.aggregate(tokens, start, step, lambda acc: F.when(acc["known"], acc["total"] + acc["part"]))
+    def step(acc: Column, c: Column) -> Column:
+        total = F.when(c < HUNDRED, acc["total"] - some(acc["part"]) * c).otherwise(acc["total"])
+        part = F.when(c >= 0, acc["part"] + c).when(c == HUNDRED, some(acc["part"]) * 100).otherwise(zero)
+        return F.struct(total.alias("total"), part.alias("part"))
+
+    # The list of one binds the codes; without any there is no number.
+    start = F.struct(zero.alias("total"), zero.alias("part"))
+    return F.get(F.transform(F.filter(F.array(codes), lambda c: F.size(c) > 0), lambda c: F.aggregate(c, start, step, lambda acc: acc["total"] + acc["part"])), F.lit(0))
 
 
 def coerce_double(x: Column) -> Column:

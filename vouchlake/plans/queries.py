@@ -148,14 +148,12 @@ def words_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of up to nine digits spelled out on the Indian scale, and read back."""
     small = ["", *list(T.NUMBER_WORDS)[1:20]]
     tens = ["", "", *list(T.NUMBER_WORDS)[20:]]
-    s, t = F.array(*map(F.lit, small)), F.array(*map(F.lit, tens))
-    n = F.col("n")
+    below_100 = [small[x] if x < 20 else f"{tens[x // 10]}-{small[x % 10]}" for x in range(100)]
 
     def named(over, below, word):
         """What a scale counts: n over `over`, below `below`, with the scale's word; empty for none."""
-        x = F.floor(n / over) % below
-        words = F.when(x < 20, F.get(s, x.cast("int"))).otherwise(F.concat(F.get(t, F.floor(x / 10).cast("int")), F.lit("-"), F.get(s, (x % 10).cast("int"))))
-        return F.when(x > 0, F.concat(words, F.lit(word))).otherwise("")
+        words = ", ".join(f"'{below_100[x]}{word}'" if x else "''" for x in range(below))
+        return F.expr(f"get(array({words}), CAST(n div {over} % {below} AS int))")
 
     scales = [(10_000_000, 100, " CRORE "), (100_000, 100, " LAKH "), (1_000, 100, " THOUSAND "), (100, 10, " HUNDRED "), (1, 100, "")]
     spelled = F.concat(F.lit("RUPEES "), *[named(*x) for x in scales], F.lit(" ONLY"))

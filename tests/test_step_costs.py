@@ -18,3 +18,10 @@ def test_number_words_are_looked_up_by_checksum(spark):
     d = spark.createDataFrame([*texts.items(), (None, None)], "t string, want long").select("t", "want", T.words_to_number(F.col("t")).alias("got"))
     assert all(x["got"] == x["want"] for x in d.collect())
     assert "map(" not in plan(d) and "keys: " not in plan(d)  # no search through a map's keys for each token
+
+
+def test_an_identifier_is_stripped_once(spark):
+    d = spark.createDataFrame([("27AAPFU0939F1ZV", True), (" 27aapfu0939f1zv\n", True), ("27AAPFU0939F1ZW", False), ("27AAPFU0939F1Z", False), ("", False), (None, False)], "g string, want boolean")
+    d = d.select("want", T.gstin_valid(F.col("g")).alias("got"))
+    assert all(x["got"] == x["want"] for x in d.collect())
+    assert plan(d).count("regexp_replace") == 1

@@ -115,18 +115,20 @@ GSTIN_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GSTIN = r"\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9]"
 
 
+#: By place in it, what twice a character's value counts, its two base-36 digits summed: the even values, then the odd ones.
+GSTIN_DOUBLED = "".join(GSTIN_ALPHABET[v // 2 + v % 2 * 18] for v in range(36))
+
+
 def gstin_valid(gstin: Column) -> Column:
     """Whether the 15th character is the modulo-36 check of the first 14; false for null or malformed values."""
-    x = F.upper(strip(gstin))
-    place = lambda i: F.position(F.substr(x, i, F.lit(1)), F.lit(GSTIN_ALPHABET)) - 1
 
-    def add(acc: Column, i: Column) -> Column:
-        weighted = place(i) * F.when(i % 2 == 1, 1).otherwise(2)
-        return acc + F.floor(weighted / 36).cast("int") + weighted % 36
+    def checked(x: Column) -> Column:
+        value = lambda i, alphabet: F.position(F.substr(x, F.lit(i), F.lit(1)), F.lit(alphabet)) - 1
+        total = functools.reduce(lambda a, b: a + b, [value(i, GSTIN_ALPHABET if i % 2 else GSTIN_DOUBLED) for i in range(1, 15)])
+        return x.rlike("^[0-9A-Z]{15}$") & (value(15, GSTIN_ALPHABET) == (F.lit(36) - total % 36) % 36)
 
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), add)
-    check = (F.lit(36) - total % 36) % 36
-    return F.coalesce(x.rlike("^[0-9A-Z]{15}$") & (place(F.lit(15)) == check), F.lit(False))
+    # The list of one binds the value: it is made once a row, not once a character.
+    return F.coalesce(F.get(F.transform(F.array(F.upper(strip(gstin))), checked), F.lit(0)), F.lit(False))
 
 
 # Names of registrations other than an invoice; status words of the badges, in order.

@@ -25,3 +25,8 @@ def test_an_identifier_is_stripped_once(spark):
     d = d.select("want", T.gstin_valid(F.col("g")).alias("got"))
     assert all(x["got"] == x["want"] for x in d.collect())
     assert plan(d).count("regexp_replace") == 1
+
+
+def test_tax_tables_read_no_amounts_of_their_own(spark):
+    d = registry.QUERIES["tax_table"](spark, "/root/testdata/sf0.001")
+    assert A.AMOUNT not in plan(d) and d.where("igst is not null").count() > 100

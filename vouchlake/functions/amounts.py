@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .text import SPACE
+
 # Money, the patterns of amounts and of what is no amount, stop words and total words.
 MONEY = "decimal(18,2)"
 #: The digit is looked for before the costlier word border.
@@ -40,6 +42,16 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, {quoted(STRIP)}, '')"
 
 
+def stripped(x: str) -> str:
+    """`strip` of an ASCII line, without a pattern."""
+    return f"btrim({x}, concat({', '.join(f'chr({ord(c)})' for c in SPACE)}))"
+
+
+def filled(x: str) -> str:
+    """x, or null where it is empty. Inside a lambda, where `nullif` would make x twice."""
+    return f"get(filter(array({x}), w -> w <> ''), 0)"
+
+
 def money(x: str) -> str:
     """A matched number as money."""
     return f"try_cast(replace({x}, ',', '') AS {MONEY})"

@@ -138,8 +138,9 @@ def tax_summary(L: str) -> str:
     """Totals, line sums and the inter-state sum of a product-code tax table of up to 45 lines; fields are null where absent."""
     header = " AND ".join([f"contains(x.line, {quoted(h)})" for h in TABLE_HEADER] + [A.has_any("x.line", TAX_ANCHORS)])
     start = f"CAST(array_position(transform({L}, x -> {header}), true) AS int)"
-    nums = A.there(f"transform(regexp_extract_all({A.strip('x.line')}, {quoted(TABLE_AMOUNT)}, 0), n -> {A.money('n')})")
-    read = f"transform(slice({L}, greatest({start}, 1), {TABLE_LINES}), x -> named_struct('nums', {nums}, 'total', contains(x.line, 'TOTAL'), 'igst', {A.money(found(A.strip('x.line'), TABLE_IGST, 2))}))"
+    nums = A.there(f"transform(regexp_extract_all(x.line, {quoted(TABLE_AMOUNT)}, 0), n -> {A.money('n')})")
+    igst = A.money(f"regexp_extract({A.stripped('x.line')}, {quoted(TABLE_IGST)}, 2)")
+    read = f"transform(slice({L}, greatest({start}, 1), {TABLE_LINES}), x -> named_struct('nums', {nums}, 'total', contains(x.line, 'TOTAL'), 'igst', {igst}))"
     code = "floor(get(r.nums, 0)) BETWEEN 1000 AND 99999999"
     rows = f"filter({_when(f'{start} > 0', read)}, r -> size(r.nums) >= 2)"
     rows = f"transform({rows}, r -> named_struct('nums', r.nums, 'total', r.total, 'igst', r.igst, 'row', if({code}, slice(r.nums, 2, {TABLE_LINES * 10}), r.nums)))"

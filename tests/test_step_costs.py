@@ -27,6 +27,13 @@ def test_an_identifier_is_stripped_once(spark):
     assert plan(d).count("regexp_replace") == 1
 
 
+def test_item_rows_make_each_text_once(spark):
+    d = spark.createDataFrame([("DESC\nITEM p1  -12.50\n\x1c 8471: 5 : \nITEM\tA 1,200.00 B",)], "t string").select(F.explode(F.expr(X.items(f"({A.analyzed('t')})"))).alias("i")).select("i.*")
+    assert [(x[0], x[1], str(x[2])) for x in d.collect()] == [(None, "ITEM p1", "12.50"), ("8471", None, "5.00"), (None, "ITEM A B", "1200.00")]
+    once = spark.createDataFrame([([],)], f"L array<struct<line string, amts array<{A.MONEY}>>>").select(F.expr(X.items("L")).alias("v"))
+    assert plan(once).count("regexp_replace") == 2 and plan(once).count("regexp_extract(") == 1
+
+
 def test_tax_tables_read_no_amounts_of_their_own(spark):
     d = registry.QUERIES["tax_table"](spark, "/root/testdata/sf0.001")
     assert A.AMOUNT not in plan(d) and d.where("igst is not null").count() > 100

@@ -207,11 +207,11 @@ def item_lines(block: str) -> str:
 
 def items(block: str) -> str:
     """array<struct<hsn_code, description, amount>> of an item block's rows."""
-    line = A.strip("x.line")
-    words = f"regexp_replace(regexp_replace({line}, {quoted(A.AMOUNT)}, ' '), {quoted('\\s+')}, ' ')"
-    words = f"regexp_replace({words}, {quoted('^[ \\-:]+|[ \\-:]+$')}, '')"
-    code = found(line, r"(?=\d)\b\d{4,8}\b", 0)
-    return f"transform({item_lines(block)}, x -> named_struct('hsn_code', {code}, 'description', nullif({words}, ''), 'amount', {A.last('x.amts')}))"
+    # Ends first: then few lines have white space left to fold, and no line needs a pattern for its ends.
+    words = f"btrim(regexp_replace({A.stripped('x.line')}, {quoted(A.AMOUNT)}, ' '), concat('-:', chr(9), chr(10), chr(11), chr(12), chr(13), chr(32)))"
+    words = A.filled(f"regexp_replace({words}, {quoted('\\s{2,}|[^\\S ]')}, ' ')")
+    code = A.filled(f"regexp_extract(x.line, {quoted(r'(?=\d)\b\d{4,8}\b')}, 0)")
+    return f"transform({item_lines(block)}, x -> named_struct('hsn_code', {code}, 'description', {words}, 'amount', {A.last('x.amts')}))"
 
 
 def _rules(*pairs: tuple[str, str]) -> str:

@@ -19,6 +19,8 @@ AMOUNT = r"(?=\d)\b\d+(?:,\d{3})*(?:\.\d{1,2})?\b"
 CODE = r"\b(HSN|SAC)\b"
 COUNTED = "^(NOS|UNITS|PCS|QTY)"
 POSTAL = "PIN|TAMIL|NADU|CHENNAI|BANGALORE"
+#: What a line may end in, after a space or a hyphen, to end in a whole amount that fits MONEY.
+PLAIN = r"^\d{1,16}(?:\.\d{1,2})?\z"
 SUSPECT = "HSN|SAC|NOS|UNITS|PCS|QTY|PIN|TAMIL|NADU|CHENNAI|BANGALORE"
 ITEM_STOPS = ["SUB TOTAL", "TOTAL TAXABLE", "CGST", "SGST", "IGST", "TOTAL IN WORDS", "AMOUNT IN WORDS"]
 ITEM_HEADER = ["DESCRIPTION", "AMOUNT"]
@@ -92,6 +94,13 @@ def line_amounts(line: str, suspect: bool = True, capital: bool = False) -> str:
     return f"CASE WHEN NOT {line} RLIKE '[0-9]' THEN CAST(array() AS array<{MONEY}>) {chosen} END"
 
 
+def last_amount(line: str, capital: bool = False) -> str:
+    """The last of `line_amounts`. Most lines with one end in it: that is read without a list, unless a word before it may tell that it is no money."""
+    end, words = f"substring_index(substring_index({line}, ' ', -1), '-', -1)", ["HSN", "SAC", *POSTAL.split("|")]
+    plain = f"{end} RLIKE {quoted(PLAIN)} AND NOT {has_any(line if capital else f'upper({line})', words)}"
+    return f"coalesce(CASE WHEN {plain} THEN try_cast({end} AS {MONEY}) END, {last(line_amounts(line, capital=capital))})"
+
+
 def analyzed(text: str, capital: bool = False) -> str:
     """array<struct<line, amts>> of a text's lines. Suspect words are looked for in the whole text once; capital: it is in upper case."""
     lines = lambda suspect: f"transform(split({text}, '\\n', -1), line -> named_struct('line', line, 'amts', {line_amounts('line', suspect)}))"

@@ -85,9 +85,10 @@ def _chunked(lines: DataFrame, key: str, chunk: int, before: int, after: int, **
 
     columns are over `line` and `amts`; they are computed once a line, before it is sent to a neighbouring chunk, and nothing else travels.
     """
-    at, last = F.floor(F.col("n") / chunk), F.col("n") % chunk
+    at, place = F.expr(f"n div {chunk}"), F.col("n") % chunk
     # A chunk's first lines are the frame's end of the chunk before, its last ones the start of the next.
-    homes = F.array_compact(F.array(at, F.when(last < after, at - 1), F.when(last >= chunk - before, at + 1)))
+    down, up = (place < after) & (at > 0), place >= chunk - before
+    homes = F.when(down & up, F.array(at, at - 1, at + 1)).when(down, F.array(at, at - 1)).when(up, F.array(at, at + 1)).otherwise(F.array(at))
     read = lines.select(F.col(f"`{key}`").alias(key), "n", "line", F.expr(A.line_amounts("line", capital=True)).alias("amts"))
     read = read.select(key, "n", at.alias("__own"), homes.alias("__homes"), *[c.alias(n) for n, c in columns.items()])
     return read.withColumn("__chunk", F.explode("__homes")).drop("__homes"), Window.partitionBy(key, "__chunk").orderBy("n")
@@ -114,7 +115,9 @@ def fields(lines: DataFrame, key: str, chunk: int = CHUNK, **wanted: Look | Colu
     """A row for each document with the first value of each wanted look-up (`labelled`, `column_tax`, `near_label_tax`). Whole lines travel only for `column_tax`."""
     looks = {n: v for n, v in wanted.items() if isinstance(v, Look)}
     ahead = max([AFTER - 1] * (len(looks) < len(wanted)) + [v.ahead for v in looks.values()])
-    columns = {"__last0": F.expr(A.last("amts")), **{f"__here_{n}": F.expr(v.here) for n, v in looks.items()}}
+    # A line's list of amounts is made only for look-ups that take it whole.
+    last0 = F.expr(A.last("amts") if len(looks) < len(wanted) else A.last_amount("line", capital=True))
+    columns = {"__last0": last0, **{f"__here_{n}": F.expr(v.here) for n, v in looks.items()}}
     if len(looks) < len(wanted):
         columns |= {"line": F.col("line"), "amts": F.col("amts")}
     rows, w = _chunked(lines, key, chunk, 0, ahead, **columns)
@@ -175,8 +178,7 @@ def _tax_sum(here: Column, total: Column, amount: Column, over: Callable[[Column
 
 def tax_sums(lines: DataFrame, key: str, *labels: str) -> DataFrame:
     """A row for each document with the sum of the label's lines' last amounts, or where there is none the most of its TOTAL lines."""
-    amounts = F.expr(A.line_amounts("line", capital=True))
-    rows = lines.select(F.col(f"`{key}`").alias(key), "line", F.try_element_at(amounts, F.lit(-1)).alias("amount"))
+    rows = lines.select(F.col(f"`{key}`").alias(key), "line", F.expr(A.last_amount("line", capital=True)).alias("amount"))
     return rows.groupBy(key).agg(*[_tax_sum(F.contains("line", F.lit(x)), F.contains("line", F.lit("TOTAL")), F.col("amount")).alias(x.lower()) for x in labels])
 
 
